@@ -38,4 +38,4 @@ def all_queries() -> dict[str, Query]:
     return REGISTRY
 
 
-MODULES = ("series",)
+MODULES = ("series", "measurements")
