@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import casts
 from fleetlens.operators import series
+from fleetlens.plans.nulls import join_null_safe
 from fleetlens.plans.slicing import MAX_ROWS
 
 
@@ -35,7 +36,7 @@ def host_names(collections: DataFrame) -> DataFrame:
 def resolve_hosts(df: DataFrame, hosts: DataFrame) -> DataFrame:
     """Host name from the envelope, else reported by the device, else kept in the data, else the device name."""
     return (
-        df.join(hosts, ["collected_at", "device"], "left")
+        join_null_safe(df, hosts, ["collected_at", "device"], "left")
         .withColumn("hostname", filled(F.col("hostname"), F.col("reported"), F.col("data_hostname"), F.col("device")))
         .drop("reported", "data_hostname")
     )

@@ -73,6 +73,19 @@ def gather_numbered(slots: Sequence[Column]) -> Column:
     return F.when(gap == 0, values).otherwise(F.slice(values, F.lit(1), F.greatest(gap - 1, F.lit(0)).cast("int")))
 
 
+JSON_END = "\u0001end"
+
+
+def whole_json(text: Column) -> Column:
+    """VARIANT of text that is one JSON value from start to end, else null.
+
+    The parser stops after the first value; the marker behind the text shows that it got there.
+    """
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"\\u0001end"]')))
+    parts = F.try_variant_get(parsed, "$", "array<variant>")
+    return F.when((F.size(parts) == 2) & (F.try_variant_get(parsed, "$[1]", "string") == JSON_END), parts[0])
+
+
 def promote_json(fields: Column, key: str = "json") -> Column:
     """Merge the object held as text under ``key`` into its parent map.
 
@@ -80,7 +93,7 @@ def promote_json(fields: Column, key: str = "json") -> Column:
     JSON value stays under ``key`` and text that is not JSON is kept as it is.
     """
     text = fields[key]
-    parsed = F.try_parse_json(text)
+    parsed = whole_json(text)
     members = F.try_variant_get(parsed, "$", "map<string,string>")
     rest = F.map_filter(fields, lambda name, _: name != key)
     return (

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions.naming import protocol_name, protocol_of_flags
+from fleetlens.plans.nulls import join_null_safe
 
 # Smallest category that becomes a measurement, protocols shown on their own.
 MIN_CATEGORY = 5
@@ -111,7 +112,8 @@ def category_counters(
         .filter(F.col("_size") >= min_entries)
         .drop("_size")
     )
-    return reduced.filter(F.coalesce(F.col("counter"), F.lit("")) != "").join(sizes, [*keys, "category"]).drop("_entries")
+    kept = reduced.filter(F.coalesce(F.col("counter"), F.lit("")) != "").drop("_entries")
+    return join_null_safe(kept, sizes, [*keys, "category"])
 
 
 def peer_states(peers: DataFrame, state: Column, keys: Sequence[str] = ()) -> DataFrame:

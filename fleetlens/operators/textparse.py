@@ -67,7 +67,7 @@ GATEWAY_STATISTICS = {
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
 
 def lines(df: DataFrame, text: Column, keys: Sequence[str]) -> DataFrame:

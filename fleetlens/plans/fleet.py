@@ -148,8 +148,9 @@ def body_sql(plan: Plan) -> str:
         return wrap(f"concat('{{\"s1\":{{\"entry\":', {many}, '}},\"note\":\"-\"}}')", (path[0].split("|")[0],))
     second = one if shape == "plane" else wrap(many, ("cpu-load-average", "entry"))
     return (
-        f"case when k % 3 = 0 then {wrap(second, ('resource-monitor', 'data-processors', 'dp0', 'second'))} "
-        f"else {wrap(second, ('resource-monitor', 's1dp0', 'second'))} end"
+        "concat(case when k % 3 = 0 then '{\"resource-monitor\":{\"data-processors\":{\"dp0\":' "
+        "else '{\"resource-monitor\":{\"s1dp0\":' end, "
+        f"{wrap(second, ('second',))}, case when k % 3 = 0 then '}}}}}}' else '}}}}' end)"
     )
 
 

@@ -30,15 +30,11 @@ def write_points(
 ) -> None:
     """Points or long metrics as Parquet by measurement and day.
 
-    Rows are shuffled by the partition columns plus a slice of the device, so a measurement holding
-    most of the rows is written by many tasks and still in few files.
+    The rebalance hint gathers each folder's rows into few files and lets AQE split the folder of a
+    measurement that holds most of the rows over many tasks.
     """
     with_day = df if "dt" in df.columns else df.withColumn("dt", F.to_date("collected_at"))
-    spread = [*partitions]
-    if "device" in df.columns:
-        with_day = with_day.withColumn("_spread", F.pmod(F.xxhash64("device"), F.lit(32)))
-        spread.append("_spread")
-    with_day.repartition(*spread).drop("_spread").write.mode(mode).partitionBy(*partitions).parquet(path)
+    with_day.hint("rebalance", *partitions).write.mode(mode).partitionBy(*partitions).parquet(path)
 
 
 def read_points(
