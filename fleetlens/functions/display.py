@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fleetlens.functions.casts import exact_round
+
 # Unit steps and the rate bands.
 BIT_STEPS = ((1_000_000_000, "Gb/s"), (1_000_000, "Mb/s"), (1_000, "Kb/s"))
 BYTE_STEPS = {
@@ -15,23 +17,28 @@ PACKET_STEPS = ((1_000_000, "M"), (1_000, "k"))
 RATE_BANDS = ((1_000_000_000, "1G"), (100_000_000, "100M"), (10_000_000, "10M"), (1_000_000, "1M"))
 
 
-def _stepped(value: Column, steps, pattern: str, rest: Column) -> Column:
+def _fixed(value: Column, digits: int) -> Column:
+    """Text with a fixed number of decimals, rounded by the exact binary value."""
+    return F.format_string(f"%.{digits}f", exact_round(value, digits))
+
+
+def _stepped(value: Column, steps, gap: str, rest: Column) -> Column:
     out = rest
     for size, unit in reversed(steps):
-        out = F.when(value >= size, F.format_string(pattern + unit, value / F.lit(float(size)))).otherwise(out)
+        out = F.when(value >= size, F.concat(_fixed(value / F.lit(float(size)), 2), F.lit(gap + unit))).otherwise(out)
     return F.when(value.isNotNull(), out)
 
 
 def bit_rate(value: Column) -> Column:
-    return _stepped(value, BIT_STEPS, "%.2f ", F.format_string("%.0f b/s", value.cast("double")))
+    return _stepped(value, BIT_STEPS, " ", F.concat(_fixed(value, 0), F.lit(" b/s")))
 
 
 def byte_volume(value: Column, base: int = 1024) -> Column:
-    return _stepped(value, BYTE_STEPS[base], "%.2f ", F.concat(value.cast("string"), F.lit(" B")))
+    return _stepped(value, BYTE_STEPS[base], " ", F.concat(value.cast("string"), F.lit(" B")))
 
 
 def packet_rate(value: Column) -> Column:
-    return _stepped(value, PACKET_STEPS, "%.2f", F.format_string("%.1f", value.cast("double")))
+    return _stepped(value, PACKET_STEPS, "", _fixed(value, 1))
 
 
 def duration(seconds: Column) -> Column:

@@ -66,13 +66,13 @@ def _typed(kind: str, value: Column) -> tuple[str, Column]:
     if kind == "int":
         return "bigint", casts.int_of_leaf(value)
     if kind.startswith("float"):
-        return "double", F.round(casts.double_of_leaf(value), int(kind[5:] or 2))
+        return "double", casts.exact_round(casts.double_of_leaf(value), int(kind[5:] or 2))
     if kind == "yesno":
         return "boolean", casts.yes_no(text)
     if kind == "truthy":
         return "bigint", casts.truthy_leaf(value)
     if kind == "size":
-        return "double", F.round(casts.gigabytes_of_text(text), 2)
+        return "double", casts.exact_round(casts.gigabytes_of_text(text), 2)
     if kind == "percent":
         return "double", casts.percent_of_text(text)
     if kind == "mean":

@@ -56,7 +56,7 @@ def _int(entry: Column, *keys: str) -> Column:
 
 
 def _float(entry: Column, *keys: str, digits: int = 2) -> Column:
-    return F.round(casts.double_of_leaf(casts.leaf(entry, *keys)), digits)
+    return casts.exact_round(casts.double_of_leaf(casts.leaf(entry, *keys)), digits)
 
 
 def _flag(condition: Column) -> Column:
@@ -68,12 +68,12 @@ def _flag(condition: Column) -> Column:
 
 def _vm_mem_mb(e: Column) -> Column:
     kib = casts.double_of_leaf(casts.leaf(e, "vm-mem"))
-    return F.when(kib != 0, F.round(kib / 1024, 2))
+    return F.when(kib != 0, casts.exact_round(kib / 1024, 2))
 
 
 def _uptime_days(e: Column) -> Column:
     seconds = _int(e, "_uptime_seconds")
-    return F.when(seconds != 0, F.round(seconds / F.lit(86400.0), 2))
+    return F.when(seconds != 0, casts.exact_round(seconds / F.lit(86400.0), 2))
 
 
 def _mac_count(e: Column) -> Column:
@@ -83,13 +83,13 @@ def _mac_count(e: Column) -> Column:
 
 def _cpu_idle(e: Column) -> Column:
     idle = casts.leaf(e, "cpu_idle")
-    return F.when(idle.isNull(), F.lit(0.0)).otherwise(F.round(casts.double_of_leaf(idle), 2))
+    return F.when(idle.isNull(), F.lit(0.0)).otherwise(casts.exact_round(casts.double_of_leaf(idle), 2))
 
 
 def _defaulted_percent(key: str) -> Callable[[Column], Column]:
     def build(e: Column) -> Column:
         found = casts.leaf(e, key)
-        return F.when(found.isNull(), F.lit(0.0)).otherwise(F.round(casts.double_of_leaf(found), 2))
+        return F.when(found.isNull(), F.lit(0.0)).otherwise(casts.exact_round(casts.double_of_leaf(found), 2))
 
     return build
 
@@ -247,7 +247,7 @@ SYSTEM = (
         ),
         computed={
             "cpu_idle": ("double", _cpu_idle),
-            "cpu_total_used": ("double", lambda e: F.round(F.lit(100.0) - _cpu_idle(e), 2)),
+            "cpu_total_used": ("double", lambda e: casts.exact_round(F.lit(100.0) - _cpu_idle(e), 2)),
         },
     ),
     Measurement(

@@ -189,11 +189,11 @@ def _statistics(section: Column) -> dict[str, Column]:
         F.transform(F.split(section, "\n"), lambda line: F.split(_stripped(line), r"\s*:\s*", 2)),
         lambda pair: F.size(pair) == 2,
     )
-    out = {}
-    for name, title in GATEWAY_STATISTICS.items():
-        named = F.filter(pairs, lambda pair, t=title: _stripped(pair[0]) == t)
-        out[name] = F.try_element_at(named, F.lit(-1))[1]
-    return out
+
+    def last_value(title: str) -> Column:
+        return F.try_element_at(F.filter(pairs, lambda pair: _stripped(pair[0]) == title), F.lit(-1))[1]
+
+    return {name: last_value(title) for name, title in GATEWAY_STATISTICS.items()}
 
 
 def _between(text: Column, tag: str, missing: str) -> Column:

@@ -38,4 +38,4 @@ def all_queries() -> dict[str, Query]:
     return REGISTRY
 
 
-MODULES = ("series", "measurements", "documents", "fleet")
+MODULES = ("series", "measurements", "documents", "fleet", "governance", "streams")

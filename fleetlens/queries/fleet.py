@@ -236,7 +236,7 @@ def j2_interface_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j3_source_merge",
     """with li as (select l_orderkey as k, arg_min(l_quantity, pos) as q, arg_min(l_extendedprice, pos) as p from
-          (select *, l_linenumber * 1000000000 + l_partkey * 1000 + l_suppkey + l_extendedprice / 1e7 as pos from lineitem) group by 1)
+          (select *, cast(l_linenumber as bigint) * 1000000000 + l_partkey * 1000 + l_suppkey + l_extendedprice / 1e7 as pos from lineitem) group by 1)
        select o_orderkey, coalesce(case when o_orderkey % 3 <> 0 then o_totalprice end, p) as price,
               coalesce(case when o_orderkey % 2 <> 0 then cast(o_custkey as double) end, q) as quantity
        from orders left join li on k = o_orderkey""",
@@ -298,9 +298,9 @@ def j5_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "j6_validity",
-    f"""with {POLLS}, n as (select *, case when iface = 'error' then ts_us end as at,
+    f"""with {POLLS}, n as (select *, case when iface = 'error' then ts_us end as noted_at,
              case when iface = 'error' then octets end as noted from polls),
-        s as (select *, last_value(at ignore nulls) over k as cached_at, last_value(noted ignore nulls) over k as held
+        s as (select *, last_value(noted_at ignore nulls) over k as cached_at, last_value(noted ignore nulls) over k as held
               from n window k as (partition by device order by ts_us, event_id rows between unbounded preceding and current row))
         select device, event_id, case when ts_us < cached_at + 21600000000 then held end as hostname from s where iface <> 'error'""",
 )
@@ -663,7 +663,7 @@ def p07_identity_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "p08_remaining_percent",
-    """select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_quantity <> 0 and l_partkey % 5 > 0 then round(l_quantity / (l_partkey % 5 * 64) * 100, 2) end as remaining_percent from lineitem""",
+    """select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_quantity <> 0 and l_partkey % 5 > 0 then cast(printf('%.2f', l_quantity / (l_partkey % 5 * 64) * 100) as double) end as remaining_percent from lineitem""",
 )
 def p08_remaining_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = casts.share_left(F.col("l_quantity"), F.expr("l_partkey % 5 * 64"))
