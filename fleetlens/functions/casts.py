@@ -1,9 +1,11 @@
-"""Typed reading of loosely typed values (text and VARIANT leaves)."""
+"""Typed reading of loosely typed values (text and VARIANT leaves).
 
-from __future__ import annotations
+These helpers take and return SQL text: a column name or any expression goes in, an expression
+comes out, to be used with ``F.expr``. Measurement definitions combine hundreds of them, and one
+parsed text is far cheaper to build than the same tree made of Column calls.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 # The shapes of text that count as numbers, and the size and truth words.
 INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
@@ -12,139 +14,137 @@ FLOAT_TEXT = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infin
 SIZE_TEXT = r"(?i)^([0-9.]+)([KMGT]?)$"
 TRUE_WORDS = ("true", "1", "yes", "on")
 SIZE_FACTORS = {
-    "reference": {"K": 1.0 / 1024**3, "M": 1.0 / 1024**2, "G": 1.0, "T": 1024.0},
-    "binary": {"K": 1.0 / 1024**2, "M": 1.0 / 1024, "G": 1.0, "T": 1024.0},
+    "reference": {"K": "1D / 1073741824", "M": "1D / 1048576", "G": "1D", "T": "1024D"},
+    "binary": {"K": "1D / 1048576", "M": "1D / 1024", "G": "1D", "T": "1024D"},
 }
 
 
-def _col(value: Column | str) -> Column:
-    return F.col(value) if isinstance(value, str) else value
+def bound(value: str, body: str, name: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def exact_round(value: Column, digits: int) -> Column:
+def exact_round(value: str, digits: int) -> str:
     """Round to ``digits`` places by the exact binary value, true halves to even.
 
-    ``F.round`` works on the decimal text, so 2.675 (stored just below it) would become 2.68. The
+    SQL ``round`` works on the decimal text, so 2.675 (stored just below it) would become 2.68. The
     two differ only when the text ends in a 5 one place further; then the exact value is compared
     with the half, in pieces small enough for every product to be exact.
     """
     if digits < 0 or digits > 4:
         raise ValueError("digits must be between 0 and 4")
-    step = 10 ** (digits + 1)
-
-    def settle(x: Column) -> Column:
-        units = F.round(F.abs(x) * step).cast("bigint")
-        tie = (F.abs(x) * step < 2.0**52) & (F.round(x, digits + 1) == x) & (F.pmod(units, F.lit(10)) == 5)
-        shifted = F.abs(x) * 2.0 ** (digits + 1)
-        high = shifted.cast("float").cast("double")
-        five = float(5 ** (digits + 1))
-        beyond = (high * five - units) + (shifted - high) * five
-        down, up = F.floor((units - 5) / 10), F.floor((units + 5) / 10)
-        even = F.when(F.pmod(down, F.lit(2)) == 0, down).otherwise(up)
-        chosen = F.when(beyond < 0, down).when(beyond > 0, up).otherwise(even)
-        return F.when(tie, F.signum(x) * chosen / float(10**digits)).otherwise(F.round(x, digits))
-
-    return F.get(F.transform(F.array(value.cast("double")), settle), F.lit(0))
+    step, five = f"{10 ** (digits + 1)}D", f"{5 ** (digits + 1)}D"
+    high = "cast(cast(t.s as float) as double)"
+    beyond = f"(({high} * {five} - t.u) + (t.s - {high}) * {five})"
+    down, up = "((t.u - 5) div 10)", "((t.u + 5) div 10)"
+    units = f"cast(round(abs(v) * {step}) as bigint)"
+    chosen = bound(
+        f"named_struct('u', {units}, 's', abs(v) * {2 ** (digits + 1)}D)",
+        f"CASE WHEN {beyond} < 0 THEN {down} WHEN {beyond} > 0 THEN {up} WHEN {down} % 2 = 0 THEN {down} ELSE {up} END",
+        "t",
+    )
+    tie = f"abs(v) * {step} < 4503599627370496D AND round(v, {digits + 1}) = v AND {units} % 10 = 5"
+    return bound(
+        f"cast({value} as double)",
+        f"CASE WHEN {tie} THEN signum(v) * {chosen} / {10 ** digits}D ELSE round(v, {digits}) END",
+        "v",
+    )
 
 
-def int_of_text(value: Column | str) -> Column:
+def int_of_text(value: str) -> str:
     """Whole numbers only: text such as ``12.5`` or ``12d`` gives null."""
-    text = _col(value)
-    return F.when(text.rlike(INT_TEXT), F.trim(text).try_cast("bigint"))
+    return f"CASE WHEN {value} RLIKE r'{INT_TEXT}' THEN try_cast(trim({value}) AS BIGINT) END"
 
 
-def double_of_text(value: Column | str) -> Column:
+def double_of_text(value: str) -> str:
     """Any float text; the guard keeps out suffixed forms Java would accept (``12d``)."""
-    text = _col(value)
-    return F.when(text.rlike(FLOAT_TEXT), F.trim(text).try_cast("double"))
+    return f"CASE WHEN {value} RLIKE r'{FLOAT_TEXT}' THEN try_cast(trim({value}) AS DOUBLE) END"
 
 
-def float_of_text(value: Column | str, precision: int = 2) -> Column:
+def float_of_text(value: str, precision: int = 2) -> str:
     return exact_round(double_of_text(value), precision)
 
 
-def percent_of_text(value: Column | str) -> Column:
-    return float_of_text(F.regexp_replace(_col(value), "%+$", ""))
+def percent_of_text(value: str) -> str:
+    return bound(f"trim(TRAILING '%' FROM {value})", float_of_text("p"), "p")
 
 
-def gigabytes_of_text(value: Column | str, units: str = "reference") -> Column:
+def gigabytes_of_text(value: str, units: str = "reference") -> str:
     """Size text in GB; empty or missing is 0, anything that is not a size is null.
 
     ``units='reference'`` keeps the established K and M factors, ``'binary'`` the usual ones.
     """
-    text = F.trim(_col(value))
-    number = F.regexp_extract(text, SIZE_TEXT, 1).try_cast("double")
-    unit = F.upper(F.regexp_extract(text, SIZE_TEXT, 2))
-    factor = F.lit(1.0)
-    for letter, size in SIZE_FACTORS[units].items():
-        factor = F.when(unit == letter, F.lit(size)).otherwise(factor)
-    return F.when(_col(value).isNull() | (_col(value) == ""), F.lit(0.0)).when(
-        text.rlike(SIZE_TEXT), number * factor
+    number = f"try_cast(regexp_extract(s, r'{SIZE_TEXT}', 1) AS DOUBLE)"
+    unit = f"upper(regexp_extract(s, r'{SIZE_TEXT}', 2))"
+    factors = " ".join(f"WHEN '{letter}' THEN {size}" for letter, size in SIZE_FACTORS[units].items())
+    size = f"CASE WHEN s RLIKE r'{SIZE_TEXT}' THEN {number} * CASE {unit} {factors} ELSE 1D END END"
+    return bound(
+        f"coalesce({value}, '')", f"CASE WHEN g = '' THEN 0D ELSE {bound('trim(g)', size, 's')} END", "g"
     )
 
 
-def yes_no(value: Column | str) -> Column:
-    return F.when(_col(value) == "yes", F.lit(True)).when(_col(value) == "no", F.lit(False))
+def yes_no(value: str) -> str:
+    return f"CASE {value} WHEN 'yes' THEN true WHEN 'no' THEN false END"
 
 
-def loose_boolean(value: Column | str) -> Column:
-    return F.lower(F.trim(_col(value).cast("string"))).isin(*TRUE_WORDS)
+def loose_boolean(value: str) -> str:
+    words = ", ".join(f"'{w}'" for w in TRUE_WORDS)
+    return f"(lower(trim(cast({value} as string))) IN ({words}))"
 
 
-def mean_of_csv(value: Column | str) -> Column:
+def mean_of_csv(value: str) -> str:
     """Mean of comma-packed whole numbers, null as soon as one part is not a whole number."""
-    parts = F.filter(
-        F.transform(F.split(_col(value), ","), lambda part: F.trim(part)), lambda part: part != ""
+    parts = f"filter(transform(split({value}, ','), part -> trim(part)), part -> part <> '')"
+    total = "aggregate(parts, 0L, (acc, part) -> acc + try_cast(part AS BIGINT))"
+    mean = (
+        f"CASE WHEN size(parts) > 0 AND forall(parts, part -> part RLIKE r'{INT_TEXT}') "
+        f"THEN {exact_round(f'{total} / size(parts)', 2)} END"
     )
-    all_whole = F.forall(parts, lambda part: part.rlike(INT_TEXT))
-    total = F.aggregate(
-        parts, F.lit(0).cast("bigint"), lambda acc, part: acc + part.try_cast("bigint")
-    )
-    return F.when((F.size(parts) > 0) & all_whole, exact_round(total / F.size(parts), 2))
+    return bound(parts, mean, "parts")
 
 
-def share_left(remaining: Column, lifetime: Column) -> Column:
+def share_left(remaining: str, lifetime: str) -> str:
     """Percent of a lifetime still left; null when either number is missing or zero."""
-    return F.when(
-        (remaining != 0) & (lifetime > 0),
-        exact_round(remaining.cast("double") / lifetime * 100, 2),
+    share = exact_round("cast(l.r as double) / l.life * 100", 2)
+    return bound(
+        f"named_struct('r', {remaining}, 'life', {lifetime})", f"CASE WHEN l.r <> 0 AND l.life > 0 THEN {share} END", "l"
     )
 
 
-def text_kind(value: Column | str) -> Column:
+def text_kind(value: str) -> str:
     """Which type a piece of text stands for: digits, then float, then truth word, then text."""
-    text = _col(value)
     return (
-        F.when(text.rlike(DIGITS_TEXT), "integer")
-        .when(text.rlike(FLOAT_TEXT), "float")
-        .when(F.lower(text).isin("true", "false"), "boolean")
-        .when(text.isNotNull(), "string")
+        f"CASE WHEN {value} RLIKE r'{DIGITS_TEXT}' THEN 'integer' WHEN {value} RLIKE r'{FLOAT_TEXT}' THEN 'float' "
+        f"WHEN lower({value}) IN ('true', 'false') THEN 'boolean' WHEN {value} IS NOT NULL THEN 'string' END"
     )
 
 
-def typed_text(value: Column | str) -> Column:
+def typed_text(value: str) -> str:
     """Struct ``(type, v_int, v_dbl, v_bool, v_str)`` with exactly one value set."""
-    text = _col(value)
-    kind = text_kind(text)
-    return F.struct(
-        kind.alias("type"),
-        F.when(kind == "integer", text.try_cast("bigint")).alias("v_int"),
-        F.when(kind == "float", F.trim(text).try_cast("double")).alias("v_dbl"),
-        F.when(kind == "boolean", F.lower(text) == "true").alias("v_bool"),
-        F.when(kind == "string", text).alias("v_str"),
+    return bound(
+        f"named_struct('kind', {text_kind(value)}, 'text', {value})",
+        "named_struct('type', k.kind, "
+        "'v_int', CASE WHEN k.kind = 'integer' THEN try_cast(k.text AS BIGINT) END, "
+        "'v_dbl', CASE WHEN k.kind = 'float' THEN try_cast(trim(k.text) AS DOUBLE) END, "
+        "'v_bool', CASE WHEN k.kind = 'boolean' THEN lower(k.text) = 'true' END, "
+        "'v_str', CASE WHEN k.kind = 'string' THEN k.text END)",
+        "k",
     )
 
 
-def converted_text(value: Column | str) -> Column:
+def converted_text(value: str) -> str:
     """Like ``typed_text`` without truth words; empty text and ``N/A`` stay text."""
-    text = _col(value)
-    whole = text.rlike(INT_TEXT)
-    real = ~whole & text.rlike(FLOAT_TEXT)
-    return F.struct(
-        F.when(whole, "integer").when(real, "float").when(text.isNotNull(), "string").alias("type"),
-        F.when(whole, F.trim(text).try_cast("bigint")).alias("v_int"),
-        F.when(real, F.trim(text).try_cast("double")).alias("v_dbl"),
-        F.when(~whole & ~real, text).alias("v_str"),
+    kind = (
+        f"CASE WHEN {value} RLIKE r'{INT_TEXT}' THEN 'integer' WHEN {value} RLIKE r'{FLOAT_TEXT}' THEN 'float' "
+        f"WHEN {value} IS NOT NULL THEN 'string' END"
+    )
+    return bound(
+        f"named_struct('kind', {kind}, 'text', {value})",
+        "named_struct('type', k.kind, "
+        "'v_int', CASE WHEN k.kind = 'integer' THEN try_cast(trim(k.text) AS BIGINT) END, "
+        "'v_dbl', CASE WHEN k.kind = 'float' THEN try_cast(trim(k.text) AS DOUBLE) END, "
+        "'v_str', CASE WHEN k.kind = 'string' THEN k.text END)",
+        "k",
     )
 
 
@@ -156,45 +156,90 @@ def path_of(*keys: str) -> str:
     return "$" + "".join(f'["{key}"]' for key in keys)
 
 
-def leaf(variant: Column | str, *keys: str) -> Column:
-    return F.try_variant_get(_col(variant), path_of(*keys), "variant")
+def get_as(value: str, kind: str, *keys: str) -> str:
+    return f"try_variant_get({value}, '{path_of(*keys)}', '{kind}')"
 
 
-def leaf_text(variant: Column | str, *keys: str) -> Column:
-    return F.try_variant_get(_col(variant), path_of(*keys), "string")
+def leaf(value: str, *keys: str) -> str:
+    return get_as(value, "variant", *keys)
 
 
-def leaf_label(value: Column) -> Column:
+def leaf_text(value: str, *keys: str) -> str:
+    return get_as(value, "string", *keys)
+
+
+def as_object(value: str, *keys: str) -> str:
+    return get_as(value, "map<string,variant>", *keys)
+
+
+def as_list(value: str, *keys: str) -> str:
+    return get_as(value, "array<variant>", *keys)
+
+
+def leaf_label(value: str) -> str:
     """Type label of a leaf; booleans are told apart before integers, the rest is text."""
-    shape = F.schema_of_variant(value)
     return (
-        F.when(shape == "BOOLEAN", "boolean")
-        .when(shape == "BIGINT", "integer")
-        .when(shape.rlike("^(DOUBLE|FLOAT|DECIMAL)"), "float")
-        .when(value.isNotNull() & ~F.is_variant_null(value), "string")
+        f"CASE WHEN schema_of_variant({value}) = 'BOOLEAN' THEN 'boolean' WHEN schema_of_variant({value}) = 'BIGINT' "
+        f"THEN 'integer' WHEN schema_of_variant({value}) RLIKE '^(DOUBLE|FLOAT|DECIMAL)' THEN 'float' "
+        f"WHEN {value} IS NOT NULL AND NOT is_variant_null({value}) THEN 'string' END"
     )
 
 
-def int_of_leaf(value: Column) -> Column:
-    text = F.try_variant_get(value, "$", "string")
-    return F.when(F.schema_of_variant(value) == "STRING", int_of_text(text)).otherwise(
-        F.try_variant_get(value, "$", "bigint")
-    )
+def int_of_leaf(value: str) -> str:
+    """Whole number of a leaf: text must be whole, numbers lose their fraction."""
+    from_text = bound(get_as("x", "string"), int_of_text("n"), "n")
+    return bound(value, f"CASE WHEN schema_of_variant(x) = 'STRING' THEN {from_text} ELSE {get_as('x', 'bigint')} END", "x")
 
 
-def double_of_leaf(value: Column) -> Column:
-    return double_of_text(F.try_variant_get(value, "$", "string"))
+def double_of_leaf(value: str, precision: int | None = None) -> str:
+    number = double_of_text("n")
+    return bound(get_as(value, "string"), number if precision is None else exact_round(number, precision), "n")
 
 
-def truthy_leaf(value: Column) -> Column:
+def truthy_leaf(value: str) -> str:
     """1 for a set value, 0 for false, zero, empty text and empty collections, null for null."""
-    text = F.try_variant_get(value, "$", "string")
-    return F.when(value.isNull() | F.is_variant_null(value), F.lit(None)).otherwise(
-        F.when(
-            (F.schema_of_variant(value) != "STRING")
-            & (text.isin("false", "{}", "[]") | (F.coalesce(text.try_cast("double"), F.lit(1.0)) == 0)),
-            F.lit(0),
+    empty = "s IN ('false', '{}', '[]') OR coalesce(try_cast(s AS DOUBLE), 1D) = 0"
+    return bound(
+        value,
+        "CASE WHEN x IS NULL OR is_variant_null(x) THEN cast(null as bigint) ELSE "
+        + bound(
+            get_as("x", "string"),
+            f"CASE WHEN s = '' OR (schema_of_variant(x) <> 'STRING' AND ({empty})) THEN 0L ELSE 1L END",
+            "s",
         )
-        .when(text == "", F.lit(0))
-        .otherwise(F.lit(1))
-    ).cast("bigint")
+        + " END",
+        "x",
+    )
+
+
+def present(value: str) -> str:
+    """Neither missing nor null nor empty."""
+    return f"coalesce({value} IS NOT NULL AND NOT is_variant_null({value}) AND {get_as(value, 'string')} NOT IN ('', '{{}}', '[]'), false)"
+
+
+def one_or_many(value: str) -> str:
+    """An array as it is, a single object as an array of one; scalars and null give null."""
+    return f"coalesce({as_list(value)}, CASE WHEN {as_object(value)} IS NOT NULL THEN array({value}) END)"
+
+
+def objects_of(value: str) -> str:
+    """Objects of a one-or-many value; elements that are not objects are left out."""
+    return f"filter({one_or_many(value)}, item -> {as_object('item')} IS NOT NULL)"
+
+
+def first_path(value: str, paths) -> str:
+    """The first of several alternative paths that is present."""
+    return f"coalesce({', '.join(leaf(value, *path) for path in paths)}, cast(null as variant))"
+
+
+def first_key(value: str, keys) -> str:
+    """Which of several alternative keys is present first."""
+    return "CASE " + " ".join(f"WHEN {leaf(value, key)} IS NOT NULL THEN '{key}'" for key in keys) + " END"
+
+
+def unwrapped_text(value: str) -> str:
+    """Text of a value that is text, ``{text: …}`` or ``{result: …}``; anything else gives null."""
+    return (
+        f"CASE WHEN schema_of_variant({value}) = 'STRING' THEN {get_as(value, 'string')} "
+        f"ELSE coalesce({leaf_text(value, 'text')}, {leaf_text(value, 'result')}) END"
+    )

@@ -17,27 +17,28 @@ PACKET_STEPS = ((1_000_000, "M"), (1_000, "k"))
 RATE_BANDS = ((1_000_000_000, "1G"), (100_000_000, "100M"), (10_000_000, "10M"), (1_000_000, "1M"))
 
 
-def _fixed(value: Column, digits: int) -> Column:
+def _fixed(value: str, digits: int) -> str:
     """Text with a fixed number of decimals, rounded by the exact binary value."""
-    return F.format_string(f"%.{digits}f", exact_round(value, digits))
+    return f"format_string('%.{digits}f', {exact_round(value, digits)})"
 
 
-def _stepped(value: Column, steps, gap: str, rest: Column) -> Column:
-    out = rest
-    for size, unit in reversed(steps):
-        out = F.when(value >= size, F.concat(_fixed(value / F.lit(float(size)), 2), F.lit(gap + unit))).otherwise(out)
-    return F.when(value.isNotNull(), out)
+def _stepped(value: str, steps, gap: str, rest: str) -> Column:
+    cases = " ".join(
+        f"WHEN {value} >= {size} THEN concat({_fixed(f'{value} / {size}D', 2)}, '{gap}{unit}')" for size, unit in steps
+    )
+    return F.expr(f"CASE {cases} WHEN {value} IS NOT NULL THEN {rest} END")
 
 
-def bit_rate(value: Column) -> Column:
-    return _stepped(value, BIT_STEPS, " ", F.concat(_fixed(value, 0), F.lit(" b/s")))
+def bit_rate(value: str) -> Column:
+    """Rate text of a column or SQL expression in bits per second."""
+    return _stepped(value, BIT_STEPS, " ", f"concat({_fixed(value, 0)}, ' b/s')")
 
 
-def byte_volume(value: Column, base: int = 1024) -> Column:
-    return _stepped(value, BYTE_STEPS[base], " ", F.concat(value.cast("string"), F.lit(" B")))
+def byte_volume(value: str, base: int = 1024) -> Column:
+    return _stepped(value, BYTE_STEPS[base], " ", f"concat(cast({value} as string), ' B')")
 
 
-def packet_rate(value: Column) -> Column:
+def packet_rate(value: str) -> Column:
     return _stepped(value, PACKET_STEPS, "", _fixed(value, 1))
 
 

@@ -52,7 +52,9 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4), number)
 
 
-def identity_ip(identity: Column) -> Column:
-    """Address inside ``name(ipaddr:1.2.3.4)``; text without the marker is kept."""
-    tail = F.regexp_replace(F.substring_index(identity, "ipaddr:", -1), r"\)+$", "")
-    return F.when(F.contains(identity, F.lit("ipaddr:")), tail).otherwise(identity)
+def identity_ip(identity: str) -> str:
+    """SQL text for the address inside ``name(ipaddr:1.2.3.4)``; text without the marker is kept."""
+    return (
+        f"CASE WHEN contains({identity}, 'ipaddr:') THEN trim(TRAILING ')' FROM substring_index({identity}, 'ipaddr:', -1)) "
+        f"ELSE {identity} END"
+    )

@@ -43,15 +43,15 @@ def is_hostname(value: Column) -> Column:
     )
 
 
-def is_whole_between(value: Column, low: int, high: int) -> Column:
-    return _known(int_of_text(value.cast("string")).between(low, high))
+def is_whole_between(value: str, low: int, high: int) -> Column:
+    return _known(F.expr(int_of_text(f"cast({value} as string)")).between(low, high))
 
 
-def is_port(value: Column) -> Column:
+def is_port(value: str) -> Column:
     return is_whole_between(value, *PORTS)
 
 
-def is_timeout(value: Column) -> Column:
+def is_timeout(value: str) -> Column:
     return is_whole_between(value, *TIMEOUTS)
 
 
@@ -63,8 +63,8 @@ def is_timestamp(value: Column) -> Column:
     return _known(value.rlike(ISO_TIME) & F.try_to_timestamp(value).isNotNull())
 
 
-def is_between(value: Column, low: float | None = None, high: float | None = None) -> Column:
-    number = double_of_text(value.cast("string"))
+def is_between(value: str, low: float | None = None, high: float | None = None) -> Column:
+    number = F.expr(double_of_text(f"cast({value} as string)"))
     ok = number.isNotNull()
     if low is not None:
         ok = ok & (number >= low)
@@ -137,9 +137,9 @@ def collectable(df: DataFrame, rules: DataFrame, module: str, collection: str, d
     return df.filter(enabled).drop("_device_module", "_module", "_device_collection", "_collection")
 
 
-def enabled_devices(devices: DataFrame, flag: Column) -> DataFrame:
-    """Devices whose flag reads as true; a missing flag counts as enabled."""
-    return devices.filter(F.coalesce(loose_boolean(flag), F.lit(True)))
+def enabled_devices(devices: DataFrame, flag: str) -> DataFrame:
+    """Devices whose flag (SQL text) reads as true; a missing flag counts as enabled."""
+    return devices.filter(F.coalesce(F.expr(loose_boolean(flag)), F.lit(True)))
 
 
 def only_devices(df: DataFrame, column: str, names: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.functions import casts
+from fleetlens.functions import casts, netaddr
 
 OUTCOME = "success boolean, data string, error string"
 
@@ -39,18 +39,16 @@ def per_envelope(df: DataFrame, operation: Callable[[dict], str | None], keys: l
 
 # The SQL text of the helpers that are offered as SQL functions.
 SQL_FUNCTIONS = {
-    "safe_int(x STRING) RETURNS BIGINT": f"CASE WHEN x RLIKE r'{casts.INT_TEXT}' THEN try_cast(trim(x) AS BIGINT) END",
-    "safe_double(x STRING) RETURNS DOUBLE": f"CASE WHEN x RLIKE r'{casts.FLOAT_TEXT}' THEN try_cast(trim(x) AS DOUBLE) END",
-    "yes_no(x STRING) RETURNS BOOLEAN": "CASE x WHEN 'yes' THEN true WHEN 'no' THEN false END",
+    "safe_int(x STRING) RETURNS BIGINT": casts.int_of_text("x"),
+    "safe_float(x STRING) RETURNS DOUBLE": f"round({casts.double_of_text('x')}, 2)",
+    "yes_no(x STRING) RETURNS BOOLEAN": casts.yes_no("x"),
     "escape_key(x STRING) RETURNS STRING": r"regexp_replace(x, r'([,= ])', r'\\$1')",
     "safe_key(x STRING) RETURNS STRING": r"regexp_replace(x, r'[^a-zA-Z0-9_\-]', '_')",
     "natural_key(x STRING) RETURNS STRING": (
         "array_join(transform(regexp_extract_all(x, r'([0-9]+|[^0-9]+)', 1), run -> "
         "CASE WHEN run RLIKE '^[0-9]' THEN lpad(regexp_replace(run, r'^0+(?=[0-9])', ''), 20, '0') ELSE run END), '')"
     ),
-    "identity_ip(x STRING) RETURNS STRING": (
-        r"CASE WHEN contains(x, 'ipaddr:') THEN regexp_replace(substring_index(x, 'ipaddr:', -1), r'\)+$', '') ELSE x END"
-    ),
+    "identity_ip(x STRING) RETURNS STRING": netaddr.identity_ip("x"),
     "remaining_percent(remain BIGINT, life BIGINT) RETURNS DOUBLE": (
         "CASE WHEN remain <> 0 AND life > 0 THEN round(CAST(remain AS DOUBLE) / life * 100, 2) END"
     ),

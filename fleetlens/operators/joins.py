@@ -26,7 +26,7 @@ def host_names(collections: DataFrame) -> DataFrame:
     """Host name each device reports about itself, per collection time."""
     info = collections.filter((F.col("module") == "system") & (F.col("collection") == "system_info"))
     return (
-        info.select("collected_at", "device", casts.leaf_text("body", "system", "hostname").alias("reported"))
+        info.select("collected_at", "device", F.expr(casts.leaf_text("body", "system", "hostname")).alias("reported"))
         .filter(filled(F.col("reported")).isNotNull())
         .groupBy("collected_at", "device")
         .agg(F.max("reported").alias("reported"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.functions.casts import leaf, path_of
+from fleetlens.functions import casts
 
 # Field names of the older routing layout and what they are called in the newer one.
 PEER_RENAMES = {
@@ -17,53 +17,16 @@ PEER_RENAMES = {
     "peer-address": "peer-ip",
     "local-address": "local-ip",
 }
-NESTED_TEXT_KEYS = ("text", "result")
-MONITOR_SLOTS = 10
 
 
-def one_or_many(value: Column) -> Column:
-    """An array as it is, a single object as an array of one; scalars and null give null."""
-    many = F.try_variant_get(value, "$", "array<variant>")
-    is_object = F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
-    return F.coalesce(many, F.when(is_object, F.array(value)))
+def explode_entries(df: DataFrame, value: str, into: str = "entry") -> DataFrame:
+    """One row per entry of a one-or-many value (SQL text), with its position in the source list."""
+    return df.select("*", F.expr(f"posexplode({casts.objects_of(value)}) as (pos, {into})"))
 
 
-def objects_of(value: Column) -> Column:
-    """Objects of a one-or-many value; elements that are not objects are left out."""
-    return F.filter(
-        one_or_many(value), lambda item: F.try_variant_get(item, "$", "map<string,variant>").isNotNull()
-    )
-
-
-def explode_entries(df: DataFrame, value: Column, into: str = "entry") -> DataFrame:
-    """One row per entry with its position in the source list."""
-    return df.select("*", F.posexplode(objects_of(value)).alias("pos", into))
-
-
-def explode_map(df: DataFrame, value: Column, key: str = "entry_key", into: str = "entry") -> DataFrame:
+def explode_map(df: DataFrame, value: str, key: str = "entry_key", into: str = "entry") -> DataFrame:
     """One row per key of an object whose keys are data."""
-    return df.select("*", F.explode(F.try_variant_get(value, "$", "map<string,variant>")).alias(key, into))
-
-
-def first_path(value: Column, paths: Sequence[Sequence[str]]) -> Column:
-    """The first of several alternative paths that is present."""
-    return F.coalesce(*[leaf(value, *path) for path in paths])
-
-
-def first_key(value: Column, keys: Sequence[str]) -> Column:
-    """Which of several alternative keys is present first."""
-    out = F.lit(None).cast("string")
-    for key in reversed(keys):
-        out = F.when(leaf(value, key).isNotNull(), F.lit(key)).otherwise(out)
-    return out
-
-
-def present(value: Column) -> Column:
-    """Neither missing nor null nor empty."""
-    text = F.try_variant_get(value, "$", "string")
-    return F.coalesce(
-        value.isNotNull() & ~F.is_variant_null(value) & ~text.isin("", "{}", "[]"), F.lit(False)
-    )
+    return df.select("*", F.expr(f"explode({casts.as_object(value)}) as ({key}, {into})"))
 
 
 def gather_numbered(slots: Sequence[Column]) -> Column:
@@ -120,16 +83,12 @@ def renamed_peer(fields: Column) -> Column:
     return F.transform_keys(kept, lambda name, _: rename(name))
 
 
-def peer_rows(df: DataFrame, value: Column, keys: Sequence[str]) -> DataFrame:
+def peer_rows(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Peers of an older-layout document, keyed by name; of equal names the last one stays."""
-    entries = explode_entries(df, leaf(value, "entry"))
-    name = F.coalesce(
-        F.try_variant_get("entry", path_of("@peer"), "string"),
-        F.try_variant_get("entry", path_of("peer-name"), "string"),
-        F.lit("unknown"),
-    )
+    entries = explode_entries(df, casts.leaf(value, "entry"))
+    name = f"coalesce({casts.leaf_text('entry', '@peer')}, {casts.leaf_text('entry', 'peer-name')}, 'unknown')"
     named = entries.select(
-        *keys, name.alias("peer_name"), "pos", F.try_variant_get("entry", "$", "map<string,variant>").alias("fields")
+        *keys, F.expr(name).alias("peer_name"), "pos", F.expr(casts.as_object("entry")).alias("fields")
     )
     return (
         named.withColumn("fields", renamed_peer(F.col("fields")))
@@ -138,29 +97,25 @@ def peer_rows(df: DataFrame, value: Column, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def route_rows(df: DataFrame, value: Column, keys: Sequence[str]) -> DataFrame:
+def route_rows(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Flat routes of an older-layout document, with defaulted router and destination."""
-    entries = explode_entries(df, leaf(value, "entry"))
-    fields = F.try_variant_get("entry", "$", "map<string,variant>")
+    entries = explode_entries(df, casts.leaf(value, "entry"))
     return entries.select(
         *keys,
         "pos",
-        F.coalesce(F.try_variant_get("entry", path_of("virtual-router"), "string"), F.lit("default")).alias("vrf"),
-        F.coalesce(F.try_variant_get("entry", path_of("destination"), "string"), F.lit("unknown")).alias(
-            "destination"
-        ),
-        F.map_filter(fields, lambda name, _: name != "virtual-router").alias("route"),
+        F.expr(f"coalesce({casts.leaf_text('entry', 'virtual-router')}, 'default')").alias("vrf"),
+        F.expr(f"coalesce({casts.leaf_text('entry', 'destination')}, 'unknown')").alias("destination"),
+        F.expr(f"map_filter({casts.as_object('entry')}, (name, _) -> name <> 'virtual-router')").alias("route"),
     )
 
 
-def summary_rows(df: DataFrame, value: Column, keys: Sequence[str]) -> DataFrame:
+def summary_rows(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Older-layout routing summary, one row per virtual router."""
-    entry = leaf(value, "entry")
-    fields = F.try_variant_get(entry, "$", "map<string,variant>")
-    return df.filter(fields.isNotNull()).select(
+    fields = casts.as_object(value, "entry")
+    return df.filter(F.expr(f"{fields} IS NOT NULL")).select(
         *keys,
-        F.coalesce(F.try_variant_get(entry, path_of("@virtual-router"), "string"), F.lit("default")).alias("vrf"),
-        F.map_filter(fields, lambda name, _: ~name.startswith("@")).alias("fields"),
+        F.expr(f"coalesce({casts.leaf_text(value, 'entry', '@virtual-router')}, 'default')").alias("vrf"),
+        F.expr(f"map_filter({fields}, (name, _) -> NOT startswith(name, '@'))").alias("fields"),
     )
 
 
@@ -170,13 +125,6 @@ def by_routing_mode(df: DataFrame, mode: Column, usable: Column) -> tuple[DataFr
     return df.filter(older), df.filter(~older)
 
 
-def unwrapped_text(value: Column) -> Column:
-    """Text of a value that is text, ``{text: …}`` or ``{result: …}``; anything else gives null."""
-    is_text = F.schema_of_variant(value) == "STRING"
-    inner = F.coalesce(*[F.try_variant_get(value, path_of(k), "string") for k in NESTED_TEXT_KEYS])
-    return F.when(is_text, F.try_variant_get(value, "$", "string")).otherwise(inner)
-
-
 def _leaves(path: str, value: object) -> Iterator[tuple[str, str]]:
     # Objects are walked, everything else (lists included) is a leaf.
     if not isinstance(value, dict):

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import casts
-from fleetlens.functions.lineproto import live_fields, live_tags
+from fleetlens.functions.lineproto import live_tags
 from fleetlens.operators import nested, rollup
 from fleetlens.operators.joins import resolve_hosts
-from fleetlens.operators.specs import MEASUREMENTS, Measurement
+from fleetlens.operators.specs import FALLBACKS, MEASUREMENTS, Measurement
 
 CONTEXT = ("collected_at", "device", "hostname", "data_hostname")
 VALUE_TYPES = {"bigint": "v_int", "double": "v_dbl", "string": "v_str", "boolean": "v_bool"}
@@ -21,52 +21,46 @@ POINT = f"struct<measurement:string,tags:map<string,string>,fields:{FIELD_MAP}>"
 
 
 def _entry_rows(df: DataFrame, shape: str, path: tuple[str, ...]) -> DataFrame:
-    body = F.col("body")
-    at = casts.leaf(body, *path) if path else body
+    at = casts.leaf("body", *path) if path else "body"
     if shape == "one":
-        is_object = F.try_variant_get(at, "$", "map<string,variant>").isNotNull()
-        return df.filter(is_object).select("*", F.lit(None).cast("string").alias("entry_key"), at.alias("entry"))
+        return df.filter(f"{casts.as_object(at)} IS NOT NULL").selectExpr(
+            "*", "cast(null as string) as entry_key", f"{at} as entry"
+        )
     if shape == "many":
-        return df.select("*", F.lit(None).cast("string").alias("entry_key"), F.explode(nested.objects_of(at)).alias("entry"))
+        return df.selectExpr("*", "cast(null as string) as entry_key", f"explode({casts.objects_of(at)}) as entry")
     if shape == "map":
         return nested.explode_map(df, at)
     if shape == "slots":
-        slots = nested.first_path(body, [(name,) for name in path[0].split("|")])
+        slots = casts.first_path("body", [(name,) for name in path[0].split("|")])
         by_slot = nested.explode_map(df, slots, "entry_key", "_slot")
-        return by_slot.select("*", F.explode(nested.objects_of(casts.leaf("_slot", "entry"))).alias("entry")).drop("_slot")
+        return by_slot.selectExpr("*", f"explode({casts.objects_of(casts.leaf('_slot', 'entry'))}) as entry").drop("_slot")
     if shape in ("plane", "cores"):
-        planes = nested.first_path(body, [("resource-monitor", "data-processors"), ("resource-monitor",)])
-        chosen = nested.first_key(planes, ["dp0", "s1dp0"])
-        second = nested.first_path(planes, [("dp0", "second"), ("s1dp0", "second")])
-        rows = df.select("*", chosen.alias("entry_key"), second.alias("entry")).filter(F.col("entry").isNotNull())
+        planes = casts.first_path("body", [("resource-monitor", "data-processors"), ("resource-monitor",)])
+        chosen = casts.first_key("p", ["dp0", "s1dp0"])
+        second = casts.first_path("p", [("dp0", "second"), ("s1dp0", "second")])
+        found = casts.bound(planes, f"named_struct('entry_key', {chosen}, 'entry', {second})", "p")
+        rows = df.selectExpr("*", f"inline(array({found}))").filter("entry IS NOT NULL")
         if shape == "plane":
             return rows
-        return rows.withColumn(
-            "entry", F.explode(nested.objects_of(casts.leaf("entry", "cpu-load-average", "entry")))
-        )
+        cores = casts.objects_of(casts.leaf("entry", "cpu-load-average", "entry"))
+        return rows.withColumn("entry", F.expr(f"explode({cores})"))
     if shape == "summary":
-        members = F.try_variant_get(at, "$", "map<string,variant>")
-        keyed = F.map_filter(
-            members, lambda _, v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
-        )
-        flat = F.map_from_arrays(F.array(F.lit("")), F.array(at))
-        rows = df.filter(members.isNotNull()).select(
-            "*", F.explode(F.when(F.size(keyed) > 0, keyed).otherwise(flat)).alias("entry_key", "entry")
-        )
-        return rows.withColumn("entry_key", F.nullif(F.col("entry_key"), F.lit("")))
+        keyed = f"map_filter({casts.as_object(at)}, (_, v) -> {casts.as_object('v')} IS NOT NULL)"
+        routers = casts.bound(keyed, f"CASE WHEN size(m) > 0 THEN m ELSE map('', {at}) END", "m")
+        rows = df.filter(f"{casts.as_object(at)} IS NOT NULL").selectExpr("*", f"explode({routers}) as (entry_key, entry)")
+        return rows.withColumn("entry_key", F.expr("nullif(entry_key, '')"))
     raise ValueError(f"unknown shape {shape}")
 
 
-def _typed(kind: str, value: Column) -> tuple[str, Column]:
-    """Wide type and typed Column of a plain field."""
-    text = F.try_variant_get(value, "$", "string")
+def _typed(kind: str, value: str) -> tuple[str, str]:
+    """Wide type and typed SQL text of a plain field."""
+    text = casts.leaf_text(value)
     if kind.startswith("raw:"):
-        wide = kind[4:]
-        return wide, text if wide == "string" else F.try_variant_get(value, "$", wide)
+        return kind[4:], casts.get_as(value, kind[4:])
     if kind == "int":
         return "bigint", casts.int_of_leaf(value)
     if kind.startswith("float"):
-        return "double", casts.exact_round(casts.double_of_leaf(value), int(kind[5:] or 2))
+        return "double", casts.double_of_leaf(value, int(kind[5:] or 2))
     if kind == "yesno":
         return "boolean", casts.yes_no(text)
     if kind == "truthy":
@@ -80,59 +74,52 @@ def _typed(kind: str, value: Column) -> tuple[str, Column]:
     raise ValueError(f"unknown field kind {kind}")
 
 
-def _slot(wide: str, value: Column) -> Column:
-    return F.struct(
-        *[
-            (value if wide == type_name else F.lit(None)).cast(type_name).alias(slot)
-            for type_name, slot in VALUE_TYPES.items()
-        ]
+def _slot(wide_type: str, value: str) -> str:
+    """Value struct with the slot of one type filled."""
+    return "named_struct({})".format(
+        ", ".join(
+            f"'{slot}', {value if kind == wide_type else f'cast(null as {kind})'}" for kind, slot in VALUE_TYPES.items()
+        )
     )
 
 
-def _as_it_came(value: Column) -> Column:
+def _as_it_came(value: str) -> str:
     """Value struct of an untyped field: the slot follows the type found in the document."""
-    label = casts.leaf_label(value)
-    return F.struct(
-        F.when(label == "integer", F.try_variant_get(value, "$", "bigint")).alias("v_int"),
-        F.when(label == "float", F.try_variant_get(value, "$", "double")).alias("v_dbl"),
-        F.when(label == "string", F.try_variant_get(value, "$", "string")).alias("v_str"),
-        F.when(label == "boolean", F.try_variant_get(value, "$", "boolean")).alias("v_bool"),
+    slots = ", ".join(
+        f"'{slot}', CASE WHEN k.label = '{label}' THEN {casts.get_as('k.x', kind)} END"
+        for label, (kind, slot) in zip(("integer", "float", "string", "boolean"), VALUE_TYPES.items())
     )
+    labelled = casts.bound(value, f"named_struct('x', x, 'label', {casts.leaf_label('x')})", "x")
+    return casts.bound(labelled, f"named_struct({slots})", "k")
 
 
-def _tags(spec: Measurement, entry: Column, none_text: bool) -> dict[str, Column]:
-    out: dict[str, Column] = {}
+def _tags(spec: Measurement, none_text: bool) -> dict[str, str]:
+    out: dict[str, str] = {}
     if spec.key_tag:
-        out[spec.key_tag] = F.col("entry_key")
+        out[spec.key_tag] = "entry_key"
     for name, source in spec.tags:
-        text = casts.leaf_text(entry, *source.split("/"))
-        out[name] = F.coalesce(text, F.lit("None")) if none_text and name in spec.filled_tags else text
-    for name, build in spec.computed_tags.items():
-        out[name] = build(entry)
-    return out
+        text = casts.leaf_text("entry", *source.split("/"))
+        out[name] = f"coalesce({text}, 'None')" if none_text and name in spec.filled_tags else text
+    return out | spec.computed_tags
+
+
+def _values(spec: Measurement) -> dict[str, tuple[str, str]]:
+    """Wide type and SQL text of every field."""
+    plain = {n: _typed(kind, casts.leaf("entry", *source.split("/"))) for n, source, kind in spec.fields}
+    return plain | spec.computed
 
 
 def wide(collections: DataFrame, spec: Measurement, none_text: bool = False) -> DataFrame:
     """Typed table of one measurement; a row without any field value is left out."""
     rows = _entry_rows(_of(collections, spec), spec.shape, spec.path)
-    entry = F.col("entry")
-    tags = _tags(spec, entry, none_text)
-    values: dict[str, Column] = {}
-    for name, source, kind in spec.fields:
-        values[name] = _typed(kind, casts.leaf(entry, *source.split("/")))[1]
-    for name, (_, build) in spec.computed.items():
-        values[name] = build(entry)
+    values = _values(spec)
     # A tag and a field may share a name (local_as); the tag then gets a suffix. The row travels as
     # one generated struct: a filter on plain columns would be pushed below the projection and
     # evaluate every expression twice.
-    row = F.struct(
-        *[F.nullif(c, F.lit("")).alias(f"{n}_tag" if n in values else n) for n, c in tags.items()],
-        *[c.alias(n) for n, c in values.items()],
-    )
-    any_value = F.lit(False)
-    for name in values:
-        any_value = any_value | F.col(f"`{name}`").isNotNull()
-    return rows.select(*CONTEXT, F.inline(F.array(row))).filter(any_value)
+    parts = [f"'{n}_tag' , nullif({c}, '')" if n in values else f"'{n}', nullif({c}, '')" for n, c in _tags(spec, none_text).items()]
+    parts += [f"'{n}', {c}" for n, (_, c) in values.items()]
+    any_value = " OR ".join(f"`{n}` IS NOT NULL" for n in values)
+    return rows.selectExpr(*CONTEXT, f"inline(array(named_struct({', '.join(parts)})))").filter(any_value)
 
 
 def _of(collections: DataFrame, spec: Measurement) -> DataFrame:
@@ -142,33 +129,26 @@ def _of(collections: DataFrame, spec: Measurement) -> DataFrame:
     )
 
 
-def _point(spec: Measurement, none_text: bool) -> Column:
-    entry = F.col("entry")
-    values = []
+def _point(spec: Measurement, none_text: bool) -> str:
+    """SQL text of the point struct of one entry."""
+    fields = []
     for name, source, kind in spec.fields:
-        found = casts.leaf(entry, *source.split("/"))
-        values.append((name, _as_it_came(found) if kind.startswith("raw:") else _slot(*_typed(kind, found))))
-    for name, (wide_type, build) in spec.computed.items():
-        values.append((name, _slot(wide_type, build(entry))))
-    tags = _tags(spec, entry, none_text)
-    tag_parts = [part for n, c in tags.items() for part in (F.lit(n), c)]
-    tag_map = F.create_map(*tag_parts) if tag_parts else F.create_map().cast("map<string,string>")
-    field_map = F.create_map(*[part for n, c in values for part in (F.lit(n), c)])
-    return F.struct(
-        F.lit(spec.name).alias("measurement"),
-        live_tags(tag_map).alias("tags"),
-        live_fields(field_map).alias("fields"),
-    ).cast(POINT)
+        found = casts.leaf("entry", *source.split("/"))
+        fields.append(f"'{name}', {_as_it_came(found) if kind.startswith('raw:') else _slot(*_typed(kind, found))}")
+    fields += [f"'{name}', {_slot(wide_type, value)}" for name, (wide_type, value) in spec.computed.items()]
+    tags = [f"'{n}', {c}" for n, c in _tags(spec, none_text).items()]
+    tag_map = f"map_filter(map({', '.join(tags)}), (_, t) -> t <> '')" if tags else "cast(map() as map<string,string>)"
+    live = "coalesce(cast(f.v_bool as string), cast(f.v_int as string), cast(f.v_dbl as string), f.v_str) IS NOT NULL"
+    field_map = f"map_filter(map({', '.join(fields)}), (_, f) -> {live})"
+    return f"cast(named_struct('measurement', '{spec.name}', 'tags', {tag_map}, 'fields', {field_map}) as {POINT})"
 
 
 def _plain_points(collections: DataFrame, specs: Iterable[Measurement], none_text: bool) -> DataFrame:
     """Points of all measurements read from one place: one scan, one explode."""
     specs = list(specs)
     rows = _entry_rows(_of(collections, specs[0]), specs[0].shape, specs[0].path)
-    exploded = rows.select(
-        *CONTEXT, "module", F.explode(F.array(*[_point(s, none_text) for s in specs])).alias("point")
-    )
-    return exploded.select(*CONTEXT, "module", "point.*")
+    listed = ", ".join(_point(s, none_text) for s in specs)
+    return rows.selectExpr(*CONTEXT, "module", f"inline(array({listed}))")
 
 
 def route_list(collections: DataFrame, collection: str) -> DataFrame:
@@ -176,28 +156,32 @@ def route_list(collections: DataFrame, collection: str) -> DataFrame:
     rows = collections.filter(
         (F.col("module") == "routing") & (F.col("collection") == collection) & ~F.col("superseded")
     )
-    listed = casts.leaf("body", "entry").isNotNull()
+    listed = F.expr(f"{casts.leaf('body', 'entry')} IS NOT NULL")
     older, newer = nested.by_routing_mode(rows, F.col("routing_mode"), listed)
-    flat_older = nested.route_rows(older, F.col("body"), CONTEXT).select(
+    flat_older = nested.route_rows(older, "body", CONTEXT).select(
         *CONTEXT,
         "vrf",
         "destination",
         F.try_variant_get(F.col("route")["protocol"], "$", "string").alias("protocol"),
         F.try_variant_get(F.col("route")["flags"], "$", "string").alias("flags"),
     )
-    by_vrf = nested.explode_map(newer, F.col("body"), "vrf", "_prefixes")
-    by_prefix = nested.explode_map(by_vrf, F.col("_prefixes"), "destination", "_routes")
-    flat_newer = by_prefix.select(
-        *CONTEXT, "vrf", "destination", F.explode(F.try_variant_get("_routes", "$", "array<variant>")).alias("_route")
-    ).select(
-        *CONTEXT, "vrf", "destination", casts.leaf_text("_route", "protocol").alias("protocol"),
-        casts.leaf_text("_route", "flags").alias("flags"),
+    by_vrf = nested.explode_map(newer, "body", "vrf", "_prefixes")
+    by_prefix = nested.explode_map(by_vrf, "_prefixes", "destination", "_routes")
+    flat_newer = by_prefix.selectExpr(
+        *CONTEXT, "vrf", "destination", f"explode({casts.as_list('_routes')}) as _route"
+    ).selectExpr(
+        *CONTEXT, "vrf", "destination", f"{casts.leaf_text('_route', 'protocol')} as protocol",
+        f"{casts.leaf_text('_route', 'flags')} as flags",
     )
     return flat_older.unionByName(flat_newer)
 
 
 def _int_map(entries: Column) -> Column:
-    return F.transform_values(entries, lambda _, v: _slot("bigint", v)).cast(FIELD_MAP)
+    nothing = {kind: F.lit(None).cast(kind) for kind in VALUE_TYPES}
+    return F.transform_values(
+        entries,
+        lambda _, v: F.struct(*[(v if kind == "bigint" else nothing[kind]).alias(s) for kind, s in VALUE_TYPES.items()]),
+    ).cast(FIELD_MAP)
 
 
 def route_points(collections: DataFrame) -> DataFrame:
@@ -231,14 +215,14 @@ def route_points(collections: DataFrame) -> DataFrame:
 def counter_entries(collections: DataFrame) -> DataFrame:
     rows = collections.filter((F.col("module") == "counters") & (F.col("collection") == "global_counters"))
     entries = nested.explode_entries(rows, casts.leaf("body", "global", "counters", "entry"))
-    return entries.select(
+    return entries.selectExpr(
         *CONTEXT,
         "pos",
-        casts.leaf_text("entry", "category").alias("category_name"),
-        casts.leaf_text("entry", "name").alias("name"),
-        casts.int_of_leaf(casts.leaf("entry", "value")).alias("value"),
-        casts.int_of_leaf(casts.leaf("entry", "rate")).alias("rate"),
-        casts.leaf_text("entry", "severity").alias("severity"),
+        f"{casts.leaf_text('entry', 'category')} as category_name",
+        f"{casts.leaf_text('entry', 'name')} as name",
+        f"{casts.int_of_leaf(casts.leaf('entry', 'value'))} as value",
+        f"{casts.int_of_leaf(casts.leaf('entry', 'rate'))} as rate",
+        f"{casts.leaf_text('entry', 'severity')} as severity",
     )
 
 
@@ -266,15 +250,27 @@ def category_points(collections: DataFrame, min_entries: int = rollup.MIN_CATEGO
     )
 
 
-def points(collections: DataFrame, none_text: bool = False) -> DataFrame:
+def points(collections: DataFrame, none_text: bool = False, present: set[str] | None = None) -> DataFrame:
     """Every point of the given collections (see ``sources.snapshots.collections``).
 
+    ``present`` names the collections that occur, when that is known (a micro-batch, the folders of
+    the collection table); passes over other collections are then left out of the plan.
+
     Measurements that read the same entries share a pass, and each pass filters on (module,
     collection), so on the partitioned collection table every file is read by few passes.
     """
     specs = sorted(MEASUREMENTS.values(), key=lambda s: s.reading())
-    parts = [_plain_points(collections, group, none_text) for _, group in groupby(specs, key=lambda s: s.reading())]
-    parts += [route_points(collections), category_points(collections)]
+    parts = [
+        _plain_points(collections, group, none_text)
+        for (_, name, _, _), group in groupby(specs, key=lambda s: s.reading())
+        if present is None or present & {name, *(f for f, first in FALLBACKS.items() if first == name), FALLBACKS.get(name, name)}
+    ]
+    if present is None or present & {"routing_table", "static_routes", "bgp_routes"}:
+        parts.append(route_points(collections))
+    if present is None or "global_counters" in present:
+        parts.append(category_points(collections))
+    if not parts:
+        parts = [route_points(collections.limit(0))]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -12,20 +12,17 @@ A definition is data. ``shape`` says how entries are found inside the collection
 
 Field kinds: ``int``, ``float`` (two digits, ``float1``/``float4`` for others), ``raw:<type>`` (value
 as it came; the type is used in wide tables), ``yesno``, ``truthy``, ``size``, ``percent``,
-``mean`` (of packed samples). Anything else is a function of the entry in ``computed``.
+``mean`` (of packed samples). Anything else is SQL text over ``entry`` in ``computed``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from fleetlens.functions import casts
 from fleetlens.functions.netaddr import identity_ip
-from fleetlens.operators.nested import MONITOR_SLOTS, objects_of, one_or_many, present
+
+MONITOR_SLOTS = 10
 
 
 @dataclass(frozen=True)
@@ -38,8 +35,8 @@ class Measurement:
     key_tag: str | None = None
     tags: tuple[tuple[str, str], ...] = ()
     fields: tuple[tuple, ...] = ()
-    computed: dict[str, tuple[str, Callable[[Column], Column]]] = field(default_factory=dict, hash=False)
-    computed_tags: dict[str, Callable[[Column], Column]] = field(default_factory=dict, hash=False)
+    computed: dict[str, tuple[str, str]] = field(default_factory=dict, hash=False)
+    computed_tags: dict[str, str] = field(default_factory=dict, hash=False)
     filled_tags: tuple[str, ...] = ()
 
     def reading(self) -> tuple[str, str, str, tuple[str, ...]]:
@@ -47,143 +44,102 @@ class Measurement:
         return self.module, self.collection, self.shape, self.path
 
 
-def _text(entry: Column, *keys: str) -> Column:
-    return casts.leaf_text(entry, *keys)
-
-
-def _int(entry: Column, *keys: str) -> Column:
-    return casts.int_of_leaf(casts.leaf(entry, *keys))
-
-
-def _float(entry: Column, *keys: str, digits: int = 2) -> Column:
-    return casts.exact_round(casts.double_of_leaf(casts.leaf(entry, *keys)), digits)
-
-
-def _flag(condition: Column) -> Column:
-    return F.when(condition, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-
-
-# ---- computed values ------------------------------------------------------------------------
-
-
-def _vm_mem_mb(e: Column) -> Column:
-    kib = casts.double_of_leaf(casts.leaf(e, "vm-mem"))
-    return F.when(kib != 0, casts.exact_round(kib / 1024, 2))
-
-
-def _uptime_days(e: Column) -> Column:
-    seconds = _int(e, "_uptime_seconds")
-    return F.when(seconds != 0, casts.exact_round(seconds / F.lit(86400.0), 2))
-
-
-def _mac_count(e: Column) -> Column:
-    vm = casts.leaf(e, "vm-mac-count")
-    return casts.int_of_leaf(F.when(casts.truthy_leaf(vm) == 1, vm).otherwise(casts.leaf(e, "mac_count")))
-
-
-def _cpu_idle(e: Column) -> Column:
-    idle = casts.leaf(e, "cpu_idle")
-    return F.when(idle.isNull(), F.lit(0.0)).otherwise(casts.exact_round(casts.double_of_leaf(idle), 2))
-
+def _text(*keys: str) -> str:
+    return casts.leaf_text("entry", *keys)
 
-def _defaulted_percent(key: str) -> Callable[[Column], Column]:
-    def build(e: Column) -> Column:
-        found = casts.leaf(e, key)
-        return F.when(found.isNull(), F.lit(0.0)).otherwise(casts.exact_round(casts.double_of_leaf(found), 2))
 
-    return build
+def _int(*keys: str) -> str:
+    return casts.int_of_leaf(casts.leaf("entry", *keys))
 
 
-def _defaulted_count(key: str) -> Callable[[Column], Column]:
-    def build(e: Column) -> Column:
-        found = casts.leaf(e, key)
-        return F.when(found.isNull(), F.lit(0).cast("bigint")).otherwise(casts.int_of_leaf(found))
+def _flag(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN 1L ELSE 0L END"
 
-    return build
 
+# ---- computed values (SQL text over ``entry``) ----------------------------------------------
 
-def _when_ha(read: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda e: F.when(_text(e, "enabled") == "yes", read(e))
 
+def _rounded(key: str, divisor: str) -> str:
+    """A number divided and rounded, nothing for a missing one or zero."""
+    return casts.bound(
+        casts.double_of_leaf(casts.leaf("entry", key)),
+        f"CASE WHEN q <> 0 THEN {casts.exact_round(f'q / {divisor}', 2)} END",
+        "q",
+    )
 
-def _ha_text(*keys: str):
-    return "string", _when_ha(lambda e: _text(e, "group", *keys))
 
+def _first_set(first: str, second: str) -> str:
+    """The first leaf when it is set to something, else the second."""
+    one = casts.leaf("entry", first)
+    return f"CASE WHEN {casts.truthy_leaf(one)} = 1 THEN {_int(first)} ELSE {_int(second)} END"
 
-def _ha_int(*keys: str):
-    return "bigint", _when_ha(lambda e: _int(e, "group", *keys))
 
+def _defaulted_float(key: str) -> str:
+    found = casts.leaf("entry", key)
+    return f"CASE WHEN {found} IS NULL THEN 0D ELSE {casts.double_of_leaf(found, 2)} END"
 
-def _task(name: str):
-    return "double", lambda e: casts.percent_of_text(_text(e, "task", name))
 
+def _defaulted_count(key: str) -> str:
+    return f"CASE WHEN {casts.leaf('entry', key)} IS NULL THEN 0L ELSE {_int(key)} END"
 
-def _resource(name: str):
-    def build(e: Column) -> Column:
-        named = F.filter(
-            objects_of(casts.leaf(e, "resource-utilization", "entry")),
-            lambda item: F.lower(F.try_variant_get(item, "$.name", "string")) == name,
-        )
-        means = F.filter(
-            F.transform(named, lambda item: casts.mean_of_csv(F.try_variant_get(item, "$.value", "string"))),
-            lambda mean: mean.isNotNull(),
-        )
-        return F.try_element_at(means, F.lit(-1))
 
-    return "double", build
+def _ha_text(*keys: str) -> tuple[str, str]:
+    return "string", f"CASE WHEN {_text('enabled')} = 'yes' THEN {_text('group', *keys)} END"
 
 
-def _core_count(e: Column) -> Column:
-    return F.size(one_or_many(casts.leaf(e, "cpu-load-average", "entry"))).cast("bigint")
+def _ha_int(*keys: str) -> tuple[str, str]:
+    return "bigint", f"CASE WHEN {_text('enabled')} = 'yes' THEN {_int('group', *keys)} END"
 
 
-def _peer_state(e: Column) -> Column:
-    return F.coalesce(_text(e, "state"), F.lit("Unknown"))
+def _task(name: str) -> tuple[str, str]:
+    return "double", casts.percent_of_text(_text("task", name))
 
 
-def _message(newer: str, older: str | None):
-    def build(e: Column) -> Column:
-        stats = casts.leaf(e, "detail", "messageStats")
-        old = F.lit(None).cast("bigint") if older is None else _int(e, older)
-        return F.when(stats.isNotNull(), _int(e, "detail", "messageStats", newer)).otherwise(old)
+def _resource(name: str) -> tuple[str, str]:
+    entries = casts.objects_of(casts.leaf("entry", "resource-utilization", "entry"))
+    named = f"filter({entries}, r -> lower({casts.leaf_text('r', 'name')}) = '{name}')"
+    means = f"transform({named}, r -> {casts.mean_of_csv(casts.leaf_text('r', 'value'))})"
+    return "double", f"try_element_at(filter({means}, m -> m IS NOT NULL), -1)"
 
-    return "bigint", build
 
+def _message(newer: str, older: str | None) -> tuple[str, str]:
+    old = "cast(null as bigint)" if older is None else _int(older)
+    stats = casts.leaf("entry", "detail", "messageStats")
+    return "bigint", f"CASE WHEN {stats} IS NOT NULL THEN {_int('detail', 'messageStats', newer)} ELSE {old} END"
 
-def _path_state(e: Column) -> Column:
-    return F.coalesce(_text(e, "pathmonitor-status"), F.lit("Unknown"))
 
+PEER_STATE = f"coalesce({casts.leaf_text('entry', 'state')}, 'Unknown')"
+PATH_STATE = f"coalesce({casts.leaf_text('entry', 'pathmonitor-status')}, 'Unknown')"
+IKE = f"CASE WHEN {casts.present(casts.leaf('entry', 'v2'))} THEN {casts.leaf('entry', 'v2')} ELSE {casts.leaf('entry', 'v1')} END"
 
-def _monitor(index: int, source: str) -> Callable[[Column], Column]:
-    def build(e: Column) -> Column:
-        reached = F.lit(True)
-        for earlier in range(index + 1):
-            reached = reached & casts.leaf(e, f"monitordst-{earlier}").isNotNull()
-        return F.when(reached, _text(e, f"{source}-{index}"))
 
-    return build
+def _monitor(index: int, source: str) -> tuple[str, str]:
+    reached = " AND ".join(f"{casts.leaf('entry', f'monitordst-{i}')} IS NOT NULL" for i in range(index + 1))
+    return "string", f"CASE WHEN {reached} THEN {_text(f'{source}-{index}')} END"
 
 
 def _monitors() -> dict:
     out = {}
     for i in range(MONITOR_SLOTS):
-        out[f"monitor_{i}_destination"] = ("string", _monitor(i, "monitordst"))
-        out[f"monitor_{i}_status"] = ("string", _monitor(i, "monitorstatus"))
-        out[f"monitor_{i}_interval_count"] = ("string", _monitor(i, "interval-count"))
+        out[f"monitor_{i}_destination"] = _monitor(i, "monitordst")
+        out[f"monitor_{i}_status"] = _monitor(i, "monitorstatus")
+        out[f"monitor_{i}_interval_count"] = _monitor(i, "interval-count")
     return out
 
 
-def _ike(e: Column) -> Column:
-    newer = casts.leaf(e, "v2")
-    return F.when(present(newer), newer).otherwise(casts.leaf(e, "v1"))
+def _ike_text(key: str) -> tuple[str, str]:
+    return "string", casts.leaf_text(f"({IKE})", key)
 
 
-def _ike_text(key: str):
-    return "string", lambda e: _text(_ike(e), key)
+def _ike_ip(key: str) -> tuple[str, str]:
+    return "string", casts.bound(_ike_text(key)[1], f"coalesce({identity_ip('i')}, '')", "i")
 
 
-def _ike_ip(key: str):
-    return "string", lambda e: F.coalesce(identity_ip(_text(_ike(e), key)), F.lit(""))
+def _prefixes(older: str, newer: str) -> tuple[str, str]:
+    return "bigint", (
+        f"coalesce({_int('prefix-counter', 'entry', older)}, "
+        f"{_int('detail', 'addressFamilyInfo', 'ipv4Unicast', newer)}, 0L)"
+    )
 
 
 # ---- fixed values: modules in output order, measurements, tag and field names, source keys ----
@@ -206,12 +162,12 @@ SYSTEM = (
             ("is_dhcp", "is-dhcp", "yesno"),
             ("is_dhcp6", "is-dhcp6", "yesno"),
         ),
-        computed={"vm_mem_mb": ("double", _vm_mem_mb)},
+        computed={"vm_mem_mb": ("double", _rounded("vm-mem", "1024"))},
     ),
     Measurement(
         "system_uptime", "system", "system_info", "one", ("system",),
         fields=(("uptime_seconds", "_uptime_seconds", "raw:bigint"),),
-        computed={"uptime_days": ("double", _uptime_days)},
+        computed={"uptime_days": ("double", _rounded("_uptime_seconds", "86400D"))},
     ),
     Measurement(
         "content_versions", "system", "system_info", "one", ("system",),
@@ -232,7 +188,7 @@ SYSTEM = (
     Measurement(
         "mac_count", "system", "system_info", "one", ("system",),
         tags=(("model", "model"), ("family", "family")),
-        computed={"mac_count": ("bigint", _mac_count)},
+        computed={"mac_count": ("bigint", _first_set("vm-mac-count", "mac_count"))},
     ),
     Measurement(
         "cpu_usage", "system", "resource_usage", "one",
@@ -246,8 +202,8 @@ SYSTEM = (
             ("cpu_steal", "cpu_steal", "float"),
         ),
         computed={
-            "cpu_idle": ("double", _cpu_idle),
-            "cpu_total_used": ("double", lambda e: casts.exact_round(F.lit(100.0) - _cpu_idle(e), 2)),
+            "cpu_idle": ("double", _defaulted_float("cpu_idle")),
+            "cpu_total_used": ("double", casts.exact_round(f"100D - {_defaulted_float('cpu_idle')}", 2)),
         },
     ),
     Measurement(
@@ -259,7 +215,7 @@ SYSTEM = (
             ("memory_buff_cache_mib", "memory_buff_cache_mib", "raw:double"),
             ("memory_available_mib", "memory_available_mib", "raw:double"),
         ),
-        computed={"memory_usage_percent": ("double", _defaulted_percent("memory_usage_percent"))},
+        computed={"memory_usage_percent": ("double", _defaulted_float("memory_usage_percent"))},
     ),
     Measurement(
         "swap_usage", "system", "resource_usage", "one",
@@ -268,7 +224,7 @@ SYSTEM = (
             ("swap_free_mib", "swap_free_mib", "raw:double"),
             ("swap_used_mib", "swap_used_mib", "raw:double"),
         ),
-        computed={"swap_usage_percent": ("double", _defaulted_percent("swap_usage_percent"))},
+        computed={"swap_usage_percent": ("double", _defaulted_float("swap_usage_percent"))},
     ),
     Measurement(
         "load_average", "system", "resource_usage", "one",
@@ -356,7 +312,7 @@ SYSTEM = (
             "resource_packet_buffer_avg": _resource("packet buffer"),
             "resource_packet_descriptor_avg": _resource("packet descriptor"),
             "resource_sw_tags_descriptor_avg": _resource("sw tags descriptor"),
-            "cpu_cores": ("bigint", _core_count),
+            "cpu_cores": ("bigint", f"cast(size({casts.one_or_many(casts.leaf('entry', 'cpu-load-average', 'entry'))}) as bigint)"),
         },
     ),
     Measurement(
@@ -466,7 +422,7 @@ ROUTING = (
     Measurement(
         "bgp_summary", "routing", "bgp_summary", "summary", key_tag="vrf",
         tags=(("router_id", "router_id"),),
-        computed_tags={"local_as": lambda e: F.when(casts.truthy_leaf(casts.leaf(e, "local_as")) == 1, _text(e, "local_as"))},
+        computed_tags={"local_as": f"CASE WHEN {casts.truthy_leaf(casts.leaf('entry', 'local_as'))} = 1 THEN {_text('local_as')} END"},
         fields=(
             ("total_peers", "total_peers", "raw:bigint"),
             ("peers_established", "peers_established", "raw:bigint"),
@@ -477,14 +433,14 @@ ROUTING = (
     Measurement(
         "bgp_peer", "routing", "bgp_peer_status", "map", key_tag="peer_name",
         tags=(("peer_ip", "peer-ip"), ("peer_group", "peer-group-name")),
-        computed_tags={"state": _peer_state},
+        computed_tags={"state": PEER_STATE},
         fields=(
             ("remote_as", "remote-as", "raw:bigint"),
             ("local_as", "local-as", "raw:bigint"),
             ("status_time", "status-time", "float1"),
         ),
         computed={
-            "state_up": ("bigint", lambda e: _flag(_peer_state(e) == "Established")),
+            "state_up": ("bigint", _flag(f"{PEER_STATE} = 'Established'")),
             "messages_sent": _message("totalSent", "msg-total-out"),
             "messages_received": _message("totalRecv", "msg-total-in"),
             "updates_sent": _message("updatesSent", "msg-update-out"),
@@ -498,12 +454,12 @@ ROUTING = (
     Measurement(
         "bgp_path_monitor", "routing", "bgp_path_monitor", "many", ("entry",),
         tags=(("destination", "destination"), ("nexthop", "nexthop"), ("interface", "interface")),
-        computed_tags={"pathmonitor_status": _path_state},
+        computed_tags={"pathmonitor_status": PATH_STATE},
         fields=(
             ("metric", "metric", "raw:bigint"),
             ("pathmonitor_condition", "pathmonitor-cond", "raw:string"),
         ),
-        computed={"path_up": ("bigint", lambda e: _flag(_path_state(e) == "Up")), **_monitors()},
+        computed={"path_up": ("bigint", _flag(f"{PATH_STATE} = 'Up'")), **_monitors()},
     ),
 )
 
@@ -552,7 +508,7 @@ VPN = (
             ("monitoring", "mon", "raw:string"),
             ("owner", "owner", "int"),
         ),
-        computed={"state_up": ("bigint", lambda e: _flag(F.coalesce(_text(e, "state"), F.lit("")) == "active"))},
+        computed={"state_up": ("bigint", _flag(f"{_text('state')} = 'active'"))},
     ),
     Measurement(
         "vpn_tunnel", "vpn", "vpn_tunnels", "many", ("entries", "entry"),
@@ -575,13 +531,13 @@ VPN = (
         computed={
             "peer_ip": _ike_ip("peer-id"),
             "local_ip": _ike_ip("local-id"),
-            "ike_version": ("bigint", lambda e: F.when(present(casts.leaf(e, "v2")), F.lit(2)).otherwise(F.lit(1)).cast("bigint")),
+            "ike_version": ("bigint", f"CASE WHEN {casts.present(casts.leaf('entry', 'v2'))} THEN 2L ELSE 1L END"),
             "authentication": _ike_text("auth"),
             "dh_group": _ike_text("dh"),
             "encryption": _ike_text("enc"),
             "hash": _ike_text("hash"),
             "prf": _ike_text("prf"),
-            "lifetime": ("bigint", lambda e: _int(_ike(e), "life")),
+            "lifetime": ("bigint", casts.int_of_leaf(casts.leaf(f"({IKE})", "life"))),
         },
     ),
     Measurement(
@@ -599,7 +555,7 @@ VPN = (
             ("lifetime_seconds", "life", "int"),
             ("remaining_seconds", "remain", "int"),
         ),
-        computed={"remaining_percent": ("double", lambda e: casts.share_left(_int(e, "remain"), _int(e, "life")))},
+        computed={"remaining_percent": ("double", casts.share_left(_int("remain"), _int("life")))},
     ),
 )
 
@@ -624,7 +580,7 @@ REPORTS = (
     ),
     Measurement(
         "management_counters", "counters", "management_server_counters", "map", key_tag="counter",
-        computed={"value": ("bigint", lambda e: casts.int_of_leaf(e))},
+        computed={"value": ("bigint", casts.int_of_leaf("entry"))},
     ),
     Measurement(
         "portal_messages", "global_protect", "portal_statistics", "one",
@@ -645,31 +601,17 @@ REPORTS = (
     Measurement(
         "bgp_config", "routing", "bgp_summary", "map", key_tag="vrf",
         computed={
-            "router_id": ("string", lambda e: F.coalesce(_text(e, "router-id"), F.lit("N/A"))),
-            "local_as": ("string", lambda e: F.coalesce(_text(e, "local-as"), F.lit("N/A"))),
-            "graceful_restart": ("string", lambda e: F.coalesce(_text(e, "graceful-restart"), F.lit("N/A"))),
-            "status": ("string", lambda e: F.upper(F.coalesce(_text(e, "enabled"), F.lit("no")))),
+            "router_id": ("string", f"coalesce({_text('router-id')}, 'N/A')"),
+            "local_as": ("string", f"coalesce({_text('local-as')}, 'N/A')"),
+            "graceful_restart": ("string", f"coalesce({_text('graceful-restart')}, 'N/A')"),
+            "status": ("string", f"upper(coalesce({_text('enabled')}, 'no'))"),
         },
     ),
     Measurement(
         "bgp_prefixes", "routing", "bgp_peer_status", "map", key_tag="peer_name",
         computed={
-            "prefixes_in": (
-                "bigint",
-                lambda e: F.coalesce(
-                    _int(e, "prefix-counter", "entry", "incoming-accepted"),
-                    _int(e, "detail", "addressFamilyInfo", "ipv4Unicast", "acceptedPrefixCounter"),
-                    F.lit(0),
-                ),
-            ),
-            "prefixes_out": (
-                "bigint",
-                lambda e: F.coalesce(
-                    _int(e, "prefix-counter", "entry", "outgoing-advertised"),
-                    _int(e, "detail", "addressFamilyInfo", "ipv4Unicast", "sentPrefixCounter"),
-                    F.lit(0),
-                ),
-            ),
+            "prefixes_in": _prefixes("incoming-accepted", "acceptedPrefixCounter"),
+            "prefixes_out": _prefixes("outgoing-advertised", "sentPrefixCounter"),
         },
     ),
 )

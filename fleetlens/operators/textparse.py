@@ -121,8 +121,8 @@ def disk_entries(entries: DataFrame, entry: str, keys: Sequence[str], position:
     rows = entries.select(
         *keys,
         position,
-        F.coalesce(casts.leaf_text(entry, "mount-point"), F.lit("unknown")).alias("mount_point"),
-        *[F.coalesce(casts.leaf_text(entry, source), F.lit("N/A")).alias(name) for name, source in names],
+        F.expr(f"coalesce({casts.leaf_text(entry, 'mount-point')}, 'unknown')").alias("mount_point"),
+        *[F.expr(f"coalesce({casts.leaf_text(entry, source)}, 'N/A')").alias(name) for name, source in names],
     )
     return rows.groupBy(*keys, "mount_point").agg(
         F.max_by(F.struct(*[n for n, _ in names]), position).alias("_r")
@@ -168,7 +168,7 @@ def portal_messages(df: DataFrame, text: Column, keys: Sequence[str]) -> DataFra
         *[
             F.coalesce(
                 F.max_by(
-                    casts.int_of_text("text"), F.when(F.contains(F.col("name"), F.lit(title)), F.col("line_no"))
+                    F.expr(casts.int_of_text("text")), F.when(F.contains(F.col("name"), F.lit(title)), F.col("line_no"))
                 ),
                 F.lit(0),
             ).alias(name)
@@ -180,7 +180,7 @@ def portal_messages(df: DataFrame, text: Column, keys: Sequence[str]) -> DataFra
 def portal_summary(df: DataFrame, text: Column, keys: Sequence[str]) -> DataFrame:
     """``name : value`` rows after the header line, values converted where they are numbers."""
     rows = _name_and_value(lines(df, text, keys).filter(F.col("line_no") > 0))
-    return rows.select(*keys, "line_no", "name", casts.converted_text("text").alias("value"))
+    return rows.select(*keys, "line_no", "name", F.expr(casts.converted_text("text")).alias("value"))
 
 
 def _statistics(section: Column) -> dict[str, Column]:
@@ -228,12 +228,11 @@ def gateway_summary_entries(df: DataFrame, gateways: Column, text: Column, keys:
     from fleetlens.operators.joins import zip_by_position
 
     pairs = df.select(*keys, F.explode(zip_by_position(gateways, gateway_sections(text))).alias("_pair"))
-    entry = F.col("_pair.entry")
     return pairs.select(
         *keys,
         F.col("_pair.pos").alias("gateway_no"),
-        F.coalesce(casts.leaf_text(entry, "name"), F.lit("")).alias("name"),
-        F.coalesce(casts.leaf_text(entry, "CurrentUsers"), F.lit("0")).alias("current_users"),
-        F.coalesce(casts.leaf_text(entry, "PreviousUsers"), F.lit("0")).alias("previous_users"),
+        F.expr(f"coalesce({casts.leaf_text('_pair.entry', 'name')}, '')").alias("name"),
+        F.expr(f"coalesce({casts.leaf_text('_pair.entry', 'CurrentUsers')}, '0')").alias("current_users"),
+        F.expr(f"coalesce({casts.leaf_text('_pair.entry', 'PreviousUsers')}, '0')").alias("previous_users"),
         *[v.alias(n) for n, v in _statistics(F.col("_pair.section")).items()],
     )

@@ -59,7 +59,7 @@ def s1_envelope_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "module",
         "success",
         F.try_variant_get("data", "$.value", "double").alias("value"),
-        F.try_variant_get(F.try_parse_json(casts.leaf_text("data", "props")), "$.k", "bigint").alias("k"),
+        F.expr(f"try_variant_get(try_parse_json({casts.leaf_text('data', 'props')}), '$.k', 'bigint')").alias("k"),
     )
 
 
@@ -199,7 +199,7 @@ def n01_one_or_many(spark: SparkSession, sf_dir: str) -> DataFrame:
            concat('{"entry":[{"name":"', c_name, '"},{"name":"', c_mktsegment, '"},"skipped",7]}'))""",
     )
     return nested.explode_entries(docs, casts.leaf("doc", "entry")).select(
-        "c_custkey", F.col("pos").cast("bigint").alias("pos"), casts.leaf_text("entry", "name").alias("name")
+        "c_custkey", F.col("pos").cast("bigint").alias("pos"), F.expr(casts.leaf_text("entry", "name")).alias("name")
     )
 
 
@@ -213,10 +213,8 @@ def n02_alternate_path(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark, sf_dir, "concat('{\"', element_at(array('dp0', 's1dp0', 'dp7'), cast(c_custkey % 3 + 1 as int)), '\":{\"load\":', c_acctbal, '}}')"
     )
     keys = ["dp0", "s1dp0"]
-    load = nested.first_path(F.col("doc"), [(k, "load") for k in keys])
-    return docs.select(
-        "c_custkey", nested.first_key(F.col("doc"), keys).alias("found"), F.try_variant_get(load, "$", "double").alias("load")
-    )
+    load = casts.first_path("doc", [(k, "load") for k in keys])
+    return docs.selectExpr("c_custkey", f"{casts.first_key('doc', keys)} as found", f"{casts.get_as(load, 'double')} as load")
 
 
 @query(
@@ -231,7 +229,7 @@ def n03_map_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
             """parse_json(concat('{"k', o_custkey, '":{"price":', o_totalprice, '},"', o_orderpriority, '":{}}'))"""
         ).alias("doc"),
     )
-    rows = nested.explode_map(docs, F.col("doc"))
+    rows = nested.explode_map(docs, "doc")
     return rows.select("o_orderkey", "entry_key", F.try_variant_get("entry", "$.price", "double").alias("price"))
 
 
@@ -286,7 +284,7 @@ MIXED = """case o_orderkey % 8 when 0 then cast(o_custkey as string) when 1 then
               case m when 3 then true when 4 then false end as v_bool, case when m = 5 then p end as v_str from t""",
 )
 def n06_type_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = table(spark, sf_dir, "orders").select("o_orderkey", casts.typed_text(F.expr(MIXED)).alias("t"))
+    typed = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(casts.typed_text(f"({MIXED})")).alias("t"))
     return typed.select("o_orderkey", "t.*")
 
 
@@ -299,7 +297,7 @@ def n06_type_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
               case m when 3 then 'True' when 4 then 'false' when 5 then p end as v_str from t""",
 )
 def p16_convert_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    typed = table(spark, sf_dir, "orders").select("o_orderkey", casts.converted_text(F.expr(MIXED)).alias("t"))
+    typed = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(casts.converted_text(f"({MIXED})")).alias("t"))
     return typed.select("o_orderkey", "t.*")
 
 
@@ -326,7 +324,7 @@ def _older_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
        select c_custkey, peer_name, state, status_time, peer_group_name, peer_ip, cast(fields as bigint) as fields from p""",
 )
 def n07_peer_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    peers = nested.peer_rows(_older_peers(spark, sf_dir), F.col("doc"), ["c_custkey"])
+    peers = nested.peer_rows(_older_peers(spark, sf_dir), "doc", ["c_custkey"])
 
     def text(name: str) -> F.Column:
         return F.try_variant_get(F.col("fields")[name], "$", "string")
@@ -417,7 +415,7 @@ def n09_summary_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
         """concat('{"entry":{', if(c_custkey % 2 = 0, concat('"@virtual-router":"vr-', c_nationkey, '",'), '"@id":"1",'),
            '"balance":', c_acctbal, '}}')""",
     )
-    return nested.summary_rows(docs, F.col("doc"), ["c_custkey"]).select(
+    return nested.summary_rows(docs, "doc", ["c_custkey"]).select(
         "c_custkey", "vrf", F.try_variant_get(F.col("fields")["balance"], "$", "double").alias("balance"),
         F.size("fields").cast("bigint").alias("fields"),
     )
@@ -459,7 +457,7 @@ def n12_unwrap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
            when 2 then concat('{"result":"', o_custkey, '"}') else '[1]' end)"""
     )
     docs = table(spark, sf_dir, "orders").select("o_orderkey", doc.alias("doc"))
-    return docs.select("o_orderkey", nested.unwrapped_text(F.col("doc")).alias("text"))
+    return docs.select("o_orderkey", F.expr(casts.unwrapped_text("doc")).alias("text"))
 
 
 # ---- points and long form -------------------------------------------------------------------

@@ -137,7 +137,7 @@ def c1_type_label(spark: SparkSession, sf_dir: str) -> DataFrame:
         "parse_json(element_at(array('true', cast(event_id as string), concat(event_id, '.5'), concat('\"', event_type, '\"'), props), cast(event_id % 5 + 1 as int)))"
     )
     docs = table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
-    return docs.select("event_id", casts.leaf_label(F.col("doc")).alias("label"))
+    return docs.select("event_id", F.expr(casts.leaf_label("doc")).alias("label"))
 
 
 @query(
@@ -147,7 +147,7 @@ def c1_type_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def c2_value_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = _order_long(spark, sf_dir)
-    profile = catalog.value_profile(long, ["field"], "text", casts.text_kind(F.col("text")), "o_orderkey")
+    profile = catalog.value_profile(long, ["field"], "text", F.expr(casts.text_kind("text")), "o_orderkey")
     return profile.withColumn("types", F.array_join("types", ","))
 
 
@@ -219,7 +219,7 @@ def c4_type_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
                when field = 'o_orderpriority' and o_orderkey % 9 = 1 then substr(text, 1, 1) else text end"""
         ),
     )
-    return catalog.type_conflicts(long, ["field"], casts.text_kind(F.col("text")))
+    return catalog.type_conflicts(long, ["field"], F.expr(casts.text_kind("text")))
 
 
 @query("c5_catalog_export")
@@ -580,14 +580,12 @@ def p15_gateway_text(spark: SparkSession, sf_dir: str) -> DataFrame:
        union all select c_custkey, 1, 'b', '0', case when c_custkey % 2 = 0 then '8' end, null from customer""",
 )
 def p15_gateway_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fleetlens.operators.nested import objects_of
-
     rows = table(spark, sf_dir, "customer").select(
         "c_custkey",
         F.expr("parse_json(concat('[{\"name\":\"a', c_custkey, '\",\"CurrentUsers\":3},{\"name\":\"b\"}]'))").alias("doc"),
         F.expr(r"concat('\n current-user: ', c_nationkey, '\n  gateway-max-tunnel-setup-rate: 10/s\n', if(c_custkey % 2 = 0, '\n \t\ncurrent-user:8\n', ''))").alias("text"),
     )
-    out = textparse.gateway_summary_entries(rows, objects_of(F.col("doc")), F.col("text"), ["c_custkey"])
+    out = textparse.gateway_summary_entries(rows, F.expr(casts.objects_of("doc")), F.col("text"), ["c_custkey"])
     return out.select(
         "c_custkey", F.col("gateway_no").cast("bigint").alias("gateway_no"), "name", "current_users", "current_user", "gateway_max_tunnel_setup_rate"
     )
@@ -605,7 +603,7 @@ def p15b_gateway_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     docs = table(spark, sf_dir, "customer").select("c_custkey", doc.alias("doc"))
     entries = explode_entries(docs, casts.leaf("doc", "Gateway"))
-    return entries.groupBy("c_custkey").agg(F.sum(casts.int_of_leaf(casts.leaf("entry", "CurrentUsers"))).alias("total_current_users"))
+    return entries.groupBy("c_custkey").agg(F.sum(F.expr(casts.int_of_leaf(casts.leaf("entry", "CurrentUsers")))).alias("total_current_users"))
 
 
 # ---- user hooks -----------------------------------------------------------------------------

@@ -309,4 +309,4 @@ def a12_fleet_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h4_rate_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = series.counter_rates(ticks(spark, sf_dir), **TICK)
     scaled = rates.withColumn("r", F.col("delta_c_octets").cast("double") * 20000)
-    return scaled.select("device", "iface", "event_id", rate_band(F.col("r")).alias("band"), bit_rate(F.col("r")).alias("rate"))
+    return scaled.select("device", "iface", "event_id", rate_band(F.col("r")).alias("band"), bit_rate("r").alias("rate"))

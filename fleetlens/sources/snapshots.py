@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import casts
-from fleetlens.operators.nested import present
 from fleetlens.operators.specs import FALLBACKS
 
 SNAPSHOT = "map<string,map<string,struct<success:boolean,hostname:string,error:string,data:variant>>>"
@@ -75,19 +74,19 @@ def collections(envelope_rows: DataFrame) -> DataFrame:
     ``superseded`` marks parts that count only while the device's first choice is absent or empty,
     decided here where both are at hand, so no join is needed later.
     """
-    data = F.col("data")
     superseded = F.lit(False)
     for fallback, first in FALLBACKS.items():
-        superseded = superseded | ((F.col("collection") == fallback) & present(casts.leaf(data, first)))
+        first_choice = F.expr(casts.present(casts.leaf("data", first)))
+        superseded = superseded | ((F.col("collection") == fallback) & first_choice)
     return succeeded(envelope_rows).select(
         "collected_at",
         "module",
         "device",
         "hostname",
-        casts.leaf_text(data, "_hostname").alias("data_hostname"),
-        casts.leaf_text(data, "routing_mode").alias("routing_mode"),
+        F.expr(casts.leaf_text("data", "_hostname")).alias("data_hostname"),
+        F.expr(casts.leaf_text("data", "routing_mode")).alias("routing_mode"),
         "data",
-        F.explode(F.try_variant_get(data, "$", "map<string,variant>")).alias("collection", "body"),
+        F.expr(f"explode({casts.as_object('data')}) as (collection, body)"),
     ).select(
         "collected_at", "module", "device", "hostname", "data_hostname", "routing_mode", "collection", "body",
         superseded.alias("superseded"),

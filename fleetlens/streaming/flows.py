@@ -45,16 +45,20 @@ def selected_only(stream: DataFrame, selection: DataFrame, keys: Sequence[str])
     return stream.join(selection.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def metrics_of(envelopes: DataFrame) -> DataFrame:
-    """Long metrics of envelope rows: the batch functions, used per micro-batch."""
+def points_of(envelopes: DataFrame) -> DataFrame:
+    """Points of a micro-batch of envelopes, by the batch functions.
+
+    The names of the collections in the batch (a fixed, short list) are looked up first, so the plan
+    holds only passes that have something to read.
+    """
     collections = snapshots.collections(envelopes)
-    points = project.with_hostname(project.points(collections), joins.host_names(collections))
-    return project.long_metrics(points)
+    present = {row[0] for row in collections.select("collection").distinct().collect()}
+    return project.with_hostname(project.points(collections, present=present), joins.host_names(collections))
 
 
-def points_of(envelopes: DataFrame) -> DataFrame:
-    collections = snapshots.collections(envelopes)
-    return project.with_hostname(project.points(collections), joins.host_names(collections))
+def metrics_of(envelopes: DataFrame) -> DataFrame:
+    """Long metrics of a micro-batch of envelopes."""
+    return project.long_metrics(points_of(envelopes))
 
 
 def each_batch(
