@@ -70,31 +70,30 @@ def promote_json(fields: Column, key: str = "json") -> Column:
     )
 
 
-def renamed_peer(fields: Column) -> Column:
-    """Peer map in the newer layout: attributes dropped, older names replaced."""
+def peer_map(value: str) -> str:
+    """SQL text: peers of an older-layout document as name → fields in the newer layout.
+
+    Attributes are dropped and older field names replaced. Of equal peer names the last one stays,
+    which is the map duplicate rule ``session.prepare`` sets.
+    """
+    renames = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in PEER_RENAMES.items())
+    kept = f"map_filter({casts.as_object('e')}, (k, _) -> NOT startswith(k, '@'))"
+    fields = f"transform_keys({kept}, (k, _) -> CASE k {renames} ELSE k END)"
+    name = f"coalesce({casts.leaf_text('e', '@peer')}, {casts.leaf_text('e', 'peer-name')}, 'unknown')"
+    entries = casts.objects_of(casts.leaf(value, "entry"))
+    return f"map_from_entries(transform({entries}, e -> named_struct('k', {name}, 'v', {fields})))"
 
-    def rename(name: Column) -> Column:
-        out = name
-        for old, new in PEER_RENAMES.items():
-            out = F.when(name == old, F.lit(new)).otherwise(out)
-        return out
 
-    kept = F.map_filter(fields, lambda name, _: ~name.startswith("@"))
-    return F.transform_keys(kept, lambda name, _: rename(name))
+def summary_map(value: str) -> str:
+    """SQL text: an older-layout routing summary as virtual router → fields."""
+    fields = f"map_filter({casts.as_object(value, 'entry')}, (k, _) -> NOT startswith(k, '@'))"
+    router = f"coalesce({casts.leaf_text(value, 'entry', '@virtual-router')}, 'default')"
+    return f"CASE WHEN {casts.as_object(value, 'entry')} IS NOT NULL THEN map({router}, {fields}) END"
 
 
 def peer_rows(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """Peers of an older-layout document, keyed by name; of equal names the last one stays."""
-    entries = explode_entries(df, casts.leaf(value, "entry"))
-    name = f"coalesce({casts.leaf_text('entry', '@peer')}, {casts.leaf_text('entry', 'peer-name')}, 'unknown')"
-    named = entries.select(
-        *keys, F.expr(name).alias("peer_name"), "pos", F.expr(casts.as_object("entry")).alias("fields")
-    )
-    return (
-        named.withColumn("fields", renamed_peer(F.col("fields")))
-        .groupBy(*keys, "peer_name")
-        .agg(F.max_by("fields", "pos").alias("fields"))
-    )
+    """Peers of an older-layout document, one row each."""
+    return df.select(*keys, F.expr(f"explode({peer_map(value)}) as (peer_name, fields)"))
 
 
 def route_rows(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
@@ -111,11 +110,16 @@ def route_rows(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
 
 def summary_rows(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Older-layout routing summary, one row per virtual router."""
-    fields = casts.as_object(value, "entry")
-    return df.filter(F.expr(f"{fields} IS NOT NULL")).select(
-        *keys,
-        F.expr(f"coalesce({casts.leaf_text(value, 'entry', '@virtual-router')}, 'default')").alias("vrf"),
-        F.expr(f"map_filter({fields}, (name, _) -> NOT startswith(name, '@'))").alias("fields"),
+    return df.select(*keys, F.expr(f"explode({summary_map(value)}) as (vrf, fields)"))
+
+
+def newer_layout(collection: str, mode: str, body: str) -> str:
+    """SQL text: the body with older-layout peers and summaries rewritten, all others as they are.
+    (Route lists stay flat; ``project.route_list`` reads both layouts.)"""
+    older = f"{mode} = 'legacy' AND {casts.leaf(body, 'entry')} IS NOT NULL"
+    return (
+        f"CASE WHEN {collection} = 'bgp_peer_status' AND {older} THEN to_variant_object({peer_map(body)}) "
+        f"WHEN {collection} = 'bgp_summary' AND {older} THEN to_variant_object({summary_map(body)}) ELSE {body} END"
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import casts
+from fleetlens.operators.nested import newer_layout
 from fleetlens.operators.specs import FALLBACKS
 
 SNAPSHOT = "map<string,map<string,struct<success:boolean,hostname:string,error:string,data:variant>>>"
@@ -88,7 +89,8 @@ def collections(envelope_rows: DataFrame) -> DataFrame:
         "data",
         F.expr(f"explode({casts.as_object('data')}) as (collection, body)"),
     ).select(
-        "collected_at", "module", "device", "hostname", "data_hostname", "routing_mode", "collection", "body",
+        "collected_at", "module", "device", "hostname", "data_hostname", "routing_mode", "collection",
+        F.expr(newer_layout("collection", "routing_mode", "body")).alias("body"),
         superseded.alias("superseded"),
     )
 
