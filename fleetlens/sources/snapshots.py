@@ -33,7 +33,7 @@ def read_output(spark: SparkSession, path: str) -> DataFrame:
     """Raw command output, one row per file; device and command come from the file path
     ``…/<device>/<command>.<ext>``."""
     parts = F.split(F.col("_metadata.file_path"), "/")
-    return spark.read.option("wholetext", True).text(path).select(
+    return spark.read.text(path, wholetext=True).select(
         F.col("value").alias("text"),
         F.col("_metadata.file_modification_time").alias("collected_at"),
         F.element_at(parts, -2).alias("device"),

@@ -244,7 +244,7 @@ def test_malformed_snapshot_goes_to_quarantine(spark):
 def test_known_collections_give_the_same_points(collections_of):
     from fleetlens.operators import project
 
-    rows, _ = collections_of({"system": {"fw1": envelope(SYSTEM)}, "routing": {"fw1": envelope({"routing_table": ROUTES})}})
+    rows, _ = collections_of({"counters": {"fw1": envelope({})}, "routing": {"fw1": envelope({"routing_table": ROUTES})}})
     present = {r[0] for r in rows.select("collection").distinct().collect()}
     as_json = lambda df: sorted(df.select("measurement", "tags", "fields").toJSON().collect())
     assert as_json(project.points(rows, present=present)) == as_json(project.points(rows))
