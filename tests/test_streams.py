@@ -1,6 +1,7 @@
 """Streams over several micro-batches equal their batch twins."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -69,10 +70,26 @@ def test_late_and_repeated_samples_change_nothing(spark, tmp_path):
     for rows in ([("a", "e", 10, 1, 100), ("a", "e", 20, 2, 200)], [("a", "e", 15, 9, 1), ("a", "e", 20, 2, 200), ("a", "e", 30, 3, 300)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    got = drained(spark, state.stream_rates(stream, ttl_ms=3_600_000), tmp_path)
+    got = drained(spark, state.stream_rates(stream), tmp_path)
     assert bag(got, "ts_us", "delta_octets") == Counter({(10, 0): 1, (20, 100): 1, (30, 100): 1})
 
 
+def test_state_with_time_to_live(spark, tmp_path):
+    state.use_state_store(spark)
+    schema = "device string, iface string, ts_us bigint, tie bigint, counter bigint"
+    spark.createDataFrame([("a", "e", 10, 1, 100), ("a", "e", 20, 2, 200)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    rows = []
+    running = flows.each_batch(
+        state.stream_rates(stream, ttl_ms=3_600_000), lambda batch, _: rows.extend(batch.collect()), str(tmp_path / "c"), once=False
+    )
+    deadline = time.time() + 60
+    while len(rows) < 2 and time.time() < deadline:
+        time.sleep(0.5)
+    running.stop()
+    assert sorted((r.ts_us, r.delta_octets) for r in rows) == [(10, 0), (20, 100)]
+
+
 def test_restart_reads_only_new_files(spark, tmp_path):
     from fleetlens.sources import snapshots
 
