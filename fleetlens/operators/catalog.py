@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Most points per device and collection that still count as low and medium.
 LOW_POINTS = 1
 MEDIUM_POINTS = 100
+LABELS = ("boolean", "float", "integer", "string")
 
 
 def value_profile(
@@ -18,17 +19,21 @@ def value_profile(
     """Per group: rows, distinct values, types seen, first example.
 
     Aggregated in two steps, first per (group, value), so a group of any size spreads over all
-    tasks by its values.
+    tasks by its values. Types travel as bits, which keeps the first step a plain hash aggregate.
     """
+    bit = F.lit(0)
+    for place, label in enumerate(LABELS):
+        bit = F.when(kind == label, 1 << place).otherwise(bit)
     per_value = long.groupBy(*groups, F.col(value).alias("_value")).agg(
-        F.count("*").alias("_rows"),
-        F.min(position).alias("_first"),
-        F.array_sort(F.collect_set(kind)).alias("_kinds"),
+        F.count("*").alias("_rows"), F.min(position).alias("_first"), F.bit_or(bit).alias("_kinds")
+    )
+    seen = F.array_compact(
+        F.array(*[F.when(F.bit_or("_kinds").bitwiseAND(1 << p) > 0, label) for p, label in enumerate(LABELS)])
     )
     return per_value.groupBy(*groups).agg(
         F.sum("_rows").alias("rows"),
         F.count("_value").alias("distinct_values"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_kinds")))).alias("types"),
+        seen.alias("types"),
         F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col("_first"))).alias("example"),
     )
 

@@ -11,7 +11,8 @@ ones travels as a small summary:
 * ``running_sum``   adds the totals of earlier slices to a sum inside the slice,
 * ``last_known``    carries the last non-null value of earlier slices into the slice.
 
-Summaries hold at most ``depth`` rows per slice of a hot key; nothing is dropped or sampled.
+Summaries hold at most ``depth`` rows per slice of a hot key; nothing is dropped or sampled. When no
+key is hot, every summary is empty and the plan is the plain window behind one counting pass.
 """
 
 from __future__ import annotations
@@ -24,39 +25,40 @@ from pyspark.sql import functions as F
 SLICE = "_slice"
 HALO = "_halo"
 MAX_ROWS = 2_000_000
+MAX_HOT = 100_000
 
 
 def slice_hot(
     df: DataFrame, keys: Sequence[str], order: str, max_rows: int = MAX_ROWS
 ) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary keys, a time slice number for keys above ``max_rows`` rows.
+    """Add ``_slice``: 0 for ordinary keys, a time slice number for hot ones.
 
-    ``order`` is a BIGINT column (microseconds, sequence number). The list of hot keys has at most
-    ``rows / max_rows`` entries; the planner broadcasts it when its size allows and otherwise joins
-    by shuffle. Rows that already carry ``_slice`` (cut on the same keys) are returned as they are.
+    ``order`` is a BIGINT column (microseconds, sequence number). A key is hot above ``max_rows``
+    rows and above a ``1 / MAX_HOT`` share of the table, so there are fewer than ``MAX_HOT`` hot
+    keys and about as many slices whatever the table holds. That bound is why the lists may be
+    broadcast, and they must be: a shuffle join would leave all slices of a key in one partition.
+    Rows that already carry ``_slice`` (cut on the same keys) are returned as they are.
     """
     if SLICE in df.columns:
         return df
-    stats = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-        .filter(F.col("_n") > max_rows)
-        .select(
-            *[F.col(k).alias(f"_hot_{k}") for k in keys],
-            "_lo",
-            F.greatest(
-                F.lit(1).cast("bigint"),
-                ((F.col("_hi") - F.col("_lo") + 1).cast("double") * max_rows / F.col("_n")).cast("bigint"),
-            ).alias("_width"),
-        )
+    counted = df.groupBy(*keys).agg(
+        F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")
     )
-    same_key = [df[k].eqNullSafe(stats[f"_hot_{k}"]) for k in keys]
-    condition = same_key[0]
-    for part in same_key[1:]:
-        condition = condition & part
+    share = counted.agg((F.sum("_n") / MAX_HOT).alias("share")).scalar()
+    limit = F.greatest(F.lit(float(max_rows)), share)
+    hot = counted.filter(F.col("_n") > limit).select(
+        *[F.col(k).alias(f"_hot_{k}") for k in keys],
+        "_lo",
+        F.greatest(
+            F.lit(1).cast("bigint"), ((F.col("_hi") - F.col("_lo") + 1) * limit / F.col("_n")).cast("bigint")
+        ).alias("_width"),
+    )
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & df[k].eqNullSafe(hot[f"_hot_{k}"])
     slice_no = F.expr(f"(({order} - _lo) div _width) + 1")
     return (
-        df.join(stats, condition, "left")
+        df.join(F.broadcast(hot), condition, "left")
         .withColumn(SLICE, F.coalesce(slice_no, F.lit(0).cast("bigint")))
         .drop("_lo", "_width", *[f"_hot_{k}" for k in keys])
     )
@@ -99,7 +101,7 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], depth: i
     for k in keys:
         match = match & tails[k].eqNullSafe(ends[f"_e_{k}"])
     halo = (
-        tails.join(ends, match)
+        tails.join(F.broadcast(ends), match)
         .withColumn("_target", F.explode("_ahead"))
         .filter(F.col("_back") + F.col("_target.start") - F.col("_end") <= depth)
         .withColumn(SLICE, F.col("_target.to"))
@@ -113,13 +115,14 @@ def without_halo(df: DataFrame) -> DataFrame:
 
 
 def _slice_join(df: DataFrame, carried: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Bring one summary row per slice to the rows; their number is bounded (see ``slice_hot``)."""
     renamed = carried.select(
         *[F.col(k).alias(f"_c_{k}") for k in keys], F.col(SLICE).alias("_c_slice"), *columns
     )
     match = df[SLICE] == renamed["_c_slice"]
     for k in keys:
         match = match & df[k].eqNullSafe(renamed[f"_c_{k}"])
-    return df.join(renamed, match, "left").drop("_c_slice", *[f"_c_{k}" for k in keys])
+    return df.join(F.broadcast(renamed), match, "left").drop("_c_slice", *[f"_c_{k}" for k in keys])
 
 
 def running_sum(
