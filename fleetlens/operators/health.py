@@ -116,20 +116,30 @@ def breached(number: Column, text: Column) -> Column:
 
 
 def alerts(metrics: DataFrame, rules: DataFrame, number: Column, text: Column) -> DataFrame:
-    """Metric rows that break a rule. Field patterns (``task_*``, ``*_compat``) match by LIKE after
-    the equi-join on the measurement, so no cross join is planned."""
-    patterns = rules.select(
+    """Metric rows that break a rule.
+
+    A rule's field may hold one ``*`` (``task_*``, ``*_compat``); it is split into the text before
+    and after the star, so matching is two plain comparisons after the equi-join on the measurement.
+    """
+    starred = F.contains(F.col("field"), F.lit("*"))
+    parts = rules.select(
         "measurement",
-        F.replace(F.replace(F.col("field"), F.lit("_"), F.lit("\\_")), F.lit("*"), F.lit("%")).alias("_pattern"),
+        F.when(starred, F.substring_index("field", "*", 1)).otherwise(F.col("field")).alias("_start"),
+        F.when(starred, F.substring_index("field", "*", -1)).alias("_end"),
         "op",
         "threshold",
         "severity",
     )
-    joined = metrics.withColumns({"_number": number, "_text": text}).join(patterns, "measurement")
+    matches = F.when(F.col("_end").isNull(), F.col("field") == F.col("_start")).otherwise(
+        F.col("field").startswith(F.col("_start"))
+        & F.col("field").endswith(F.col("_end"))
+        & (F.length("field") >= F.length("_start") + F.length("_end"))
+    )
+    joined = metrics.withColumns({"_number": number, "_text": text}).join(parts, "measurement")
     return (
-        joined.filter(F.expr("field LIKE _pattern"))
+        joined.filter(matches)
         .filter(breached(F.col("_number"), F.col("_text")))
-        .drop("_number", "_text", "_pattern")
+        .drop("_number", "_text", "_start", "_end")
     )
 
 

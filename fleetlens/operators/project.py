@@ -52,15 +52,16 @@ def _entry_rows(df: DataFrame, shape: str, path: tuple[str, ...]) -> DataFrame:
     raise ValueError(f"unknown shape {shape}")
 
 
-def _typed(kind: str, value: str) -> tuple[str, str]:
-    """Wide type and typed SQL text of a plain field."""
-    text = casts.leaf_text(value)
+def _typed(kind: str, source: str) -> tuple[str, str]:
+    """Wide type and typed SQL text of a plain field read from ``source`` of the entry."""
+    keys = source.split("/")
+    text, value = casts.leaf_text("entry", *keys), casts.leaf("entry", *keys)
     if kind.startswith("raw:"):
-        return kind[4:], casts.get_as(value, kind[4:])
+        return kind[4:], casts.get_as("entry", kind[4:], *keys)
     if kind == "int":
         return "bigint", casts.int_of_leaf(value)
     if kind.startswith("float"):
-        return "double", casts.double_of_leaf(value, int(kind[5:] or 2))
+        return "double", casts.bound(text, casts.float_of_text("n", int(kind[5:] or 2)), "n")
     if kind == "yesno":
         return "boolean", casts.yes_no(text)
     if kind == "truthy":
@@ -105,7 +106,7 @@ def _tags(spec: Measurement, none_text: bool) -> dict[str, str]:
 
 def _values(spec: Measurement) -> dict[str, tuple[str, str]]:
     """Wide type and SQL text of every field."""
-    plain = {n: _typed(kind, casts.leaf("entry", *source.split("/"))) for n, source, kind in spec.fields}
+    plain = {n: _typed(kind, source) for n, source, kind in spec.fields}
     return plain | spec.computed
 
 
@@ -113,10 +114,11 @@ def wide(collections: DataFrame, spec: Measurement, none_text: bool = False) ->
     """Typed table of one measurement; a row without any field value is left out."""
     rows = _entry_rows(_of(collections, spec), spec.shape, spec.path)
     values = _values(spec)
-    # A tag and a field may share a name (local_as); the tag then gets a suffix. The row travels as
-    # one generated struct: a filter on plain columns would be pushed below the projection and
+    # A tag may share its name with a field (local_as) or a context column (device of a disk); it then
+    # gets a suffix. The row travels as one generated struct: a filter on plain columns would be pushed below the projection and
     # evaluate every expression twice.
-    parts = [f"'{n}_tag' , nullif({c}, '')" if n in values else f"'{n}', nullif({c}, '')" for n, c in _tags(spec, none_text).items()]
+    taken = {*values, *CONTEXT}
+    parts = [f"'{n}_tag' , nullif({c}, '')" if n in taken else f"'{n}', nullif({c}, '')" for n, c in _tags(spec, none_text).items()]
     parts += [f"'{n}', {c}" for n, (_, c) in values.items()]
     any_value = " OR ".join(f"`{n}` IS NOT NULL" for n in values)
     return rows.selectExpr(*CONTEXT, f"inline(array(named_struct({', '.join(parts)})))").filter(any_value)
@@ -134,7 +136,7 @@ def _point(spec: Measurement, none_text: bool) -> str:
     fields = []
     for name, source, kind in spec.fields:
         found = casts.leaf("entry", *source.split("/"))
-        fields.append(f"'{name}', {_as_it_came(found) if kind.startswith('raw:') else _slot(*_typed(kind, found))}")
+        fields.append(f"'{name}', {_as_it_came(found) if kind.startswith('raw:') else _slot(*_typed(kind, source))}")
     fields += [f"'{name}', {_slot(wide_type, value)}" for name, (wide_type, value) in spec.computed.items()]
     tags = [f"'{n}', {c}" for n, c in _tags(spec, none_text).items()]
     tag_map = f"map_filter(map({', '.join(tags)}), (_, t) -> t <> '')" if tags else "cast(map() as map<string,string>)"

@@ -67,7 +67,7 @@ GATEWAY_STATISTICS = {
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+    return F.trim(text, F.lit(" \t\n\r\f\v"))
 
 
 def lines(df: DataFrame, text: Column, keys: Sequence[str]) -> DataFrame:

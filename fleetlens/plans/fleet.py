@@ -13,8 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.operators.project import CONTEXT
 from fleetlens.operators.specs import Measurement
-from fleetlens.plans.ticks import table
+from fleetlens.plans.ticks import spread, table
 
 KEYS = {
     "customer": "c_custkey",
@@ -61,7 +62,7 @@ class Plan:
         for i, (name, _, kind) in enumerate(self.spec.fields):
             out[name] = self._field(i, kind)[1]
         for i, (name, _) in enumerate(self.spec.tags):
-            out[f"{name}_tag" if name in out or name in self.spec.computed else name] = word(50 + i)
+            out[f"{name}_tag" if name in out or name in self.spec.computed or name in CONTEXT else name] = word(50 + i)
         if self.spec.key_tag:
             out[self.spec.key_tag] = "entry_key"
         return out | self.expected
@@ -156,7 +157,7 @@ def body_sql(plan: Plan) -> str:
 
 def collection_rows(spark: SparkSession, sf_dir: str, plan: Plan) -> DataFrame:
     """Collection rows of one measurement, one per row of the source table."""
-    rows = table(spark, sf_dir, plan.table).select(F.col(KEYS[plan.table]).cast("bigint").alias("k"))
+    rows = spread(table(spark, sf_dir, plan.table).select(F.col(KEYS[plan.table]).cast("bigint").alias("k")), "k")
     return rows.select(
         F.lit(None).cast("timestamp").alias("collected_at"),
         F.lit(plan.spec.module).alias("module"),

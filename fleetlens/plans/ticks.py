@@ -16,6 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, for work that is heavy per row.
+
+    Only a table smaller than the cluster is shuffled (a single small file gives one partition); a
+    large one already comes in many splits and is returned as it is.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
+
+
 def micros(column: str):
     return F.unix_micros(F.col(column).cast("timestamp"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import casts, lineproto
 from fleetlens.operators import nested, project, rollup, textparse
-from fleetlens.plans.ticks import micros, table
+from fleetlens.plans.ticks import spread, table
 from fleetlens.queries import query
 from fleetlens.session import run_dir
 from fleetlens.sources import snapshots, store
@@ -24,7 +24,7 @@ def _order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
            if(o_orderstatus = 'F', '"timed out"', 'null'), ',"data":', if(o_orderstatus = 'F', 'null', '{}'), '}}}')"""
     )
     broken = F.expr("o_orderkey % 50 = 0")
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
         "o_orderkey",
         F.lit(None).cast("timestamp").alias("collected_at"),
         F.when(broken, F.substr(payload, F.lit(1), F.lit(40))).otherwise(payload).alias("payload"),
@@ -174,7 +174,7 @@ STRIPPED = r"regexp_replace(text, '^\s+|\s+\z', '', 'g')"
          from l group by doc_id""",
 )
 def s7_raw_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = textparse.lines(table(spark, sf_dir, "documents"), F.col("text"), ["doc_id"])
+    rows = textparse.lines(spread(table(spark, sf_dir, "documents"), "doc_id"), F.col("text"), ["doc_id"])
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars"))
 
 
@@ -338,7 +338,7 @@ def n07_peer_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _older_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One older-layout route list per order: two routes, or one bare object on even keys."""
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select(
         F.lit(None).cast("timestamp").alias("collected_at"),
         F.concat(F.lit("dev-"), F.col("o_orderkey")).alias("device"),
         F.lit(None).cast("string").alias("hostname"),

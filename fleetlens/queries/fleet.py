@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import casts, display, naming, netaddr
 from fleetlens.operators import filters, joins, rank, rollup
-from fleetlens.plans.ticks import micros, polls, table
+from fleetlens.plans.ticks import polls, spread, table
 from fleetlens.queries import query
 from fleetlens.sources import snapshots
 
@@ -173,7 +173,7 @@ SECRET = r"(?i)(password|api[_-]?key|token|secret|auth)\s*[:=]\s*\S+"
 
 @query("f09_sensitive_text", f"select doc_id from documents where not regexp_matches(text, '{SECRET}')")
 def f09_sensitive_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").filter(~naming.is_sensitive(F.col("text"))).select("doc_id")
+    return spread(table(spark, sf_dir, "documents"), "doc_id").filter(~naming.is_sensitive(F.col("text"))).select("doc_id")
 
 
 @query(
@@ -183,7 +183,7 @@ def f09_sensitive_text(spark: SparkSession, sf_dir: str) -> DataFrame:
           '(?i)(token\s*[:=]\s*)(\S{4})(\S+)', '\1\2***', 'g')) as masked_md5 from documents""",
 )
 def p24_mask_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(naming.masked(F.col("text"))).alias("masked_md5"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.md5(naming.masked(F.col("text"))).alias("masked_md5"))
 
 
 # ---- joins ----------------------------------------------------------------------------------
@@ -676,7 +676,7 @@ def p08_remaining_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p17_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fleetlens.functions.lineproto import escaped
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(escaped(F.col("text"))).alias("escaped_md5"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.md5(escaped(F.col("text"))).alias("escaped_md5"))
 
 
 @query(
@@ -756,7 +756,7 @@ def p23_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p25_safe_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = F.transform_keys(F.create_map(F.col("text"), F.lit(1)), lambda k, _: naming.safe_key(k))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.map_keys(keyed)[0]).alias("safe_md5"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.md5(F.map_keys(keyed)[0]).alias("safe_md5"))
 
 
 @query(

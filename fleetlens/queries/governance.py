@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetlens.functions import casts, netaddr
 from fleetlens.functions.naming import natural_key
 from fleetlens.operators import catalog, health, hooks, joins, project, pseudonyms, rollup, textparse
-from fleetlens.plans.ticks import polls, table
+from fleetlens.plans.ticks import spread, table
 from fleetlens.queries import query
 from fleetlens.session import run_dir
 
@@ -369,7 +369,7 @@ def x9_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("doc_id").alias("position"), F.lit(0).cast("bigint").alias("place"), F.lit("text").alias("role"),
         F.lit("note").alias("key"), F.lit("a").alias("parent"), F.lit("").alias("context"), F.lit(1).alias("depth"),
         F.col("text").alias("value"),
@@ -453,7 +453,7 @@ def x8_mapping_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_text(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.expr(expression).alias("text"))
+    return spread(table(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", F.expr(expression).alias("text"))
 
 
 @query(
@@ -526,7 +526,7 @@ def p12_named_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
         select doc_id, arg_max(len, n) as value from w group by doc_id""",
 )
 def p12_document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").withColumn(
+    rows = spread(table(spark, sf_dir, "documents"), "doc_id").withColumn(
         "text",
         F.array_join(
             F.transform(F.split(F.regexp_replace("text", r"^\s+|\s+\z", ""), "\n"), lambda line: F.concat(F.lit("length : "), F.length(line).cast("string"))),
