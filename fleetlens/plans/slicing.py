@@ -44,7 +44,7 @@ def slice_hot(
     counted = df.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")
     )
-    share = counted.agg((F.sum("_n") / MAX_HOT).alias("share")).scalar()
+    share = df.agg((F.count("*") / F.lit(float(MAX_HOT))).alias("share")).scalar()
     limit = F.greatest(F.lit(float(max_rows)), share)
     hot = counted.filter(F.col("_n") > limit).select(
         *[F.col(k).alias(f"_hot_{k}") for k in keys],

@@ -208,8 +208,11 @@ def c3_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "c4_type_conflicts",
-    """select 'o_totalprice' as field, cast(2 as bigint) as types, 'float,integer' as seen where (select count(*) from orders) > 0
-       union all select 'o_orderpriority', 2, 'integer,string' where (select count(*) from orders) > 0""",
+    rf"""with {ORDER_LONG}, w as (select field, case when field = 'o_totalprice' and o_orderkey % 9 = 0 then cast(o_orderkey as varchar)
+             when field = 'o_orderpriority' and o_orderkey % 9 = 1 then substr(text, 1, 1) else text end as text from v),
+        k as (select distinct field, case when regexp_matches(text, '^-?[0-9]+$') then 'integer'
+             when regexp_matches(text, '^[0-9]+\.[0-9]+$') then 'float' else 'string' end as kind from w)
+        select field, count(*) as types, string_agg(kind, ',' order by kind) as seen from k group by field having count(*) > 1""",
 )
 def c4_type_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = _order_long(spark, sf_dir).withColumn(
