@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import casts, netaddr
-from fleetlens.functions.naming import natural_key
-from fleetlens.operators import catalog, health, hooks, joins, project, pseudonyms, rollup, textparse
+from fleetlens.operators import catalog, health, hooks, joins, project, pseudonyms, textparse
 from fleetlens.plans.ticks import spread, table
 from fleetlens.queries import query
 from fleetlens.session import run_dir

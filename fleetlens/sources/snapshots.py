@@ -23,9 +23,12 @@ def read_snapshots(spark: SparkSession, path: str, streaming: bool = False) -> D
     )
 
 
-def read_envelopes(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Line-delimited envelopes, one device and module per line: the splittable landing format."""
-    reader = spark.readStream if streaming else spark.read
+def read_envelopes(
+    spark: SparkSession, path: str, streaming: bool = False, files_per_trigger: int = 1000
+) -> DataFrame:
+    """Line-delimited envelopes, one device and module per line: the splittable landing format.
+    A stream takes ``files_per_trigger`` files at a time, which bounds its micro-batches."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if streaming else spark.read
     return reader.schema(ENVELOPE).json(path)
 
 

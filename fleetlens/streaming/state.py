@@ -2,7 +2,8 @@
 
 State is small and bounded per key (the previous sample, the last 70 rates, a streak) and carries a
 time-to-live, so interfaces that vanish are forgotten. Samples not newer than the state are dropped:
-a late or repeated sample never changes a rate that was already emitted. A time-to-live needs a
+a late or repeated sample never changes a rate that was already emitted. The rows of one key are
+sorted within a micro-batch, so bound micro-batches at the source (``maxFilesPerTrigger``). A time-to-live needs a
 continuously running query: under the ``availableNow`` trigger such a query does not end.
 """
 
