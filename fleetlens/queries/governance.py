@@ -224,7 +224,12 @@ def c4_type_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.type_conflicts(long, ["field"], F.expr(casts.text_kind("text")))
 
 
-@query("c5_catalog_export")
+@query(
+    "c5_catalog_export",
+    """with n as (select p_partkey, count(*) as n from part group by 1)
+       select 'stock item' as measurement, 'stock' as category, case when max(n) <= 1 then 'low' else 'medium' end as cardinality,
+              max(n) as points_per_collection from n""",
+)
 def c5_catalog_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "catalog")
     catalog.written(_part_catalog(spark, sf_dir), path)
@@ -444,7 +449,7 @@ def x_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("x8_mapping_export")
+@query("x8_mapping_export", f"with {DICTIONARY} select category, original, surrogate from s")
 def x8_mapping_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "mapping")
     pseudonyms.mapping_export(pseudonyms.dictionary(_names(spark, sf_dir)), path)

@@ -248,3 +248,15 @@ def test_known_collections_give_the_same_points(collections_of):
     present = {r[0] for r in rows.select("collection").distinct().collect()}
     as_json = lambda df: sorted(df.select("measurement", "tags", "fields").toJSON().collect())
     assert as_json(project.points(rows, present=present)) == as_json(project.points(rows))
+
+
+def test_landed_collections_give_the_same_points(spark, collections_of, tmp_path):
+    from fleetlens.operators import project
+    from fleetlens.sources import store
+
+    rows, _ = collections_of({"routing": {"fw1": envelope({"routing_table": ROUTES, "bgp_routes": ROUTES})}})
+    store.write_collections(rows, str(tmp_path / "bronze"))
+    landed = store.read_collections(spark, str(tmp_path / "bronze"))
+    as_json = lambda df: sorted(df.select("measurement", "tags", "fields").toJSON().collect())
+    expected = as_json(project.points(rows, present={"routing_table"}))
+    assert expected and as_json(project.points(landed, present={"routing_table"})) == expected
