@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, exactdedup, licenses, mixing, urlfilter
+from fleetlens.llm import bpe, exactdedup, htmltext, licenses, mixing, nbsvm, nearcopies, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+@query("op2_main_text")
+def main_text(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op3_quality")
+def quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return nbsvm.scores(docs, nbsvm.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op4_license_scan")
 def license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents")).select(
@@ -109,6 +120,12 @@ def url_filter(spark, sf_dir):
     return urlfilter.judge(pages, listed).withColumnRenamed("hit", "listed")
 
 
+@query("op8_near_copies")
+def near_copies(spark, sf_dir):
+    found = nearcopies.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "kept")
+
+
 @query("op9_byte_bpe")
 def byte_bpe(spark, sf_dir):
     import public_tokenizers
