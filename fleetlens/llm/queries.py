@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, exactdedup, htmltext, licenses, mixing, nbsvm, nearcopies, urlfilter
+from fleetlens.llm import bpe, exactdedup, htmltext, licenses, mixing, nbsvm, nearcopies, neighbours, pii, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+@query("op1_nearest")
+def nearest(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_main_text")
 def main_text(spark, sf_dir):
     return htmltext.extract(table(spark, sf_dir, "pages"))
@@ -120,6 +125,13 @@ def url_filter(spark, sf_dir):
     return urlfilter.judge(pages, listed).withColumnRenamed("hit", "listed")
 
 
+@query("op7_personal_data")
+def personal_data(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model, least = pii.train(docs)
+    return pii.find(docs, model, least).drop("found")
+
+
 @query("op8_near_copies")
 def near_copies(spark, sf_dir):
     found = nearcopies.classes(table(spark, sf_dir, "documents"))
