@@ -31,6 +31,8 @@ from fleetlens.llm.shared import written
 TOP, EVERY = 20, 20
 SAMPLE, TREES, LEAF = 8192, 4, 64
 RECALL, CALIBRATION = 0.96, 64
+#: Times the length of an answer.
+BEHIND = 3
 #: Vectors, and queries, of a leaf that meet at a time.
 ROW_BLOCK, QUERY_BLOCK = 4096, 2048
 
@@ -233,10 +235,10 @@ def search(
                 part = batch.slice(at, 256)
                 points = _matrix(part["vec"], width)
                 scores = points @ bound.T
-                # the query itself may be among them, so one place more
-                least = np.full(len(points), -np.inf)
-                if scores.shape[1] > top:
-                    least = -np.partition(-scores, top, axis=1)[:, top]
+                # what falls behind so many rows of the sample is in no answer, even if some of those are not found
+                least, behind = np.full(len(points), -np.inf), BEHIND * (top + 1)
+                if scores.shape[1] > behind:
+                    least = -np.partition(-scores, behind, axis=1)[:, behind]
                 found = list(forest.visited(_flat(points), leaves))
                 repeated = pa.array(np.repeat(np.arange(len(points)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays(
