@@ -190,8 +190,6 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Remembers ids as decimal text, and the bytes they decode to, of pieces not met before."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
         data = {p: p.encode("utf-8", "surrogatepass") for p in pieces}
         ids = {p: [r] if (r := self.ranks.get(d)) is not None else None for p, d in data.items()}
         for shortest, longest in ((2, 8), (9, 16), (17, 32)):
@@ -215,10 +213,13 @@ class Codec:
         """For each text its ids as decimal text joined by commas, and the bytes they decode to."""
         for i in range(0, len(texts), TEXTS):
             cut = [self.cuts(text) for text in texts[i : i + TEXTS]]
-            if new := set().union(*cut).difference(self.known):
+            needed = set().union(*cut)
+            new = needed.difference(self.known)
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+                new = needed
+            if new:
                 self.learn(new)
-                if len(self.known) == len(new):  # it began again: what is still needed goes in once more
-                    self.learn(set().union(*cut).difference(new))
             for pieces in cut:
                 found = [self.known[p] for p in pieces]
                 yield ",".join([f[0] for f in found]), b"".join([f[1] for f in found])

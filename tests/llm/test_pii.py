@@ -1,0 +1,97 @@
+import hashlib
+import random
+import re
+
+from fleetlens.llm import boosting, pii
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        value = int(c) * (1 + i % 2)
+        total += value - 9 * (value > 9)
+    return total % 10 == 0
+
+
+def passes(kind, match):
+    digits = re.sub("[^0-9]", "", match)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in match.split("."))
+    if kind == "card":
+        return 12 <= len(digits) <= 19 and luhn(digits)
+    return kind == "email" or 9 <= len(digits) <= 15
+
+
+def brute(text):
+    found = [
+        (m.start(), k, m.end(), kind)
+        for k, (kind, pattern) in enumerate(BASE.items())
+        for m in re.finditer(pattern, text or "")
+        if passes(kind, m[0])
+    ]
+    return [f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found)]
+
+
+def texts():
+    r = random.Random(11)
+    yield from (
+        None, "", "a@b.c", "🙂 é x@y@z.com a@b.c_d@e.f, 1.2.3.4.5.6.7.8 0001.02.255.255 256.1.1.1", "4111 1111 1111 1111 and +1 (017) 555-7713.",
+        "4" * 50000, "1 " * 20000, "a" * 100000, "a@" * 5000, "a.b@c." * 3000, "1." * 20000 + "4", "+" * 3000 + "12", "x" * 10 + "@" + "y.z" * 2000,
+    )
+    for _ in range(150):
+        signs = r.choice(["a@.b-_", "0123456789. ", "+1 ()-.2", "4111 -", "ab@c.de 12.3+"])
+        yield "".join(r.choice(signs) for _ in range(r.randint(1, 80)))
+
+
+def test_base_against_brute_force(documents):
+    rows = [*enumerate(texts()), (4, list(texts())[4])]
+    df = documents(rows)
+    got = pii.find(df, *pii.train(df)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = rows[r["doc_id"]][1]
+        want = brute(text)
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), text
+        assert [r[f"n_{k}"] for k in BASE] == [sum(w.startswith(k) for w in want) for k in BASE]
+        assert set(want) <= set(filter(None, r["spans"].split(",")))
+        assert all(text[f["start"] : f["end"]] == f["text"] for f in r["found"])
+
+
+def test_trees_learn_secrets_from_context(documents):
+    """Tokens that are assigned to a name teach what other tokens of the same format are."""
+    r = random.Random(5)
+    rows = []
+    for i in range(80):
+        secret = "".join(r.choice("0123456789abcdef") for _ in range(40))
+        word = "part-" + "-".join(r.choice(["north", "south", "room2", "hall7"]) for _ in range(6))
+        rows.append((i, f'say token = "{secret}" here {word} there'))
+    rows.append((80, 'value "' + "".join(r.choice("0123456789abcdef") for _ in range(40)) + '" here'))
+    df = documents(rows)
+    got = {x["doc_id"]: x["found"] for x in pii.find(df, *pii.train(df)).collect()}
+    assert all([f["kind"] for f in got[i]] == ["secret"] for i in range(81))
+
+
+def test_clean_texts_have_no_spans(documents):
+    df = documents([(i, f"in {1900 + i} we saw 12 birds, 3.5 m away; see 4.2.1 and page 77-{i}.") for i in range(50)])
+    assert all(r["spans"] == "" for r in pii.find(df, *pii.train(df)).collect())
+
+
+def test_awkward_rows(awkward):
+    got = pii.find(awkward, *pii.train(awkward))
+    assert got.count() == awkward.count()
+    assert pii.find(awkward.limit(0), *pii.train(awkward.limit(0))).count() == 0
+
+
+def test_boosting():
+    cells = [boosting.Cell({"a": a, "b": b}, 10, 10 * (a > 2 and b < 2)) for a in range(5) for b in range(4)]
+    model = boosting.fit(cells)
+    least = boosting.threshold(model, cells, 0.95)
+    assert all((model.margin(c.values) >= least) == (c.positive > 0) for c in cells)
+    assert boosting.threshold(model, [boosting.Cell({"a": 0, "b": 0}, 9, 0)], 0.9) == float("inf")
