@@ -104,7 +104,7 @@ def frequencies(texts: DataFrame) -> Frequencies:
             )
 
     kind = "part int, cells binary, n long"
-    rows = texts.select("text").mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect()
+    rows = texts.select(text_of(texts).alias("text")).mapInArrow(count, kind).repartition("part").mapInArrow(add, kind).collect()
     sketch, n = np.zeros((PARTS, 2 * CELLS // PARTS), "int64"), 0
     for row in rows:  # one row for each part
         sketch[row["part"]] = np.frombuffer(row["cells"], "int64")
