@@ -87,7 +87,7 @@ def counter_rates(
 ) -> DataFrame:
     """Deltas and rates per sample: octet counters in bits per second, packet counters per second,
     event counters (errors, drops) as plain increases. Elapsed time is that of the key itself."""
-    cut = slice_hot(samples, keys, order[0], max_rows)
+    cut = slice_hot(samples, keys, order, max_rows)
     haloed = with_halo(cut, keys, order, 1)
     return without_halo(
         _rates(haloed, keys, order, octets, packets, events, nominal_seconds, zero_is_unknown)
@@ -109,7 +109,7 @@ def poll_records(
 
     One shuffle and one sort serve all of it: both window steps share partitioning and order.
     """
-    cut = slice_hot(samples, keys, order[0], max_rows)
+    cut = slice_hot(samples, keys, order, max_rows)
     haloed = with_halo(cut, keys, order, HISTORY)
     rated = _rates(haloed, keys, order, octets, packets, events, nominal_seconds, zero_is_unknown)
     w = sliced(keys, order)
@@ -183,7 +183,7 @@ def derivative(
 ) -> DataFrame:
     """Non-negative growth per second of any cumulative field; rows without a predecessor or after
     a reset are left out."""
-    cut = slice_hot(points, keys, order[0], max_rows)
+    cut = slice_hot(points, keys, order, max_rows)
     w = sliced(keys, order)
     stepped = without_halo(
         with_halo(cut, keys, order, 1).select(
@@ -207,7 +207,7 @@ def with_previous(
     max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Add ``prev_<column>`` from the row before, per key."""
-    cut = slice_hot(df, keys, order[0], max_rows)
+    cut = slice_hot(df, keys, order, max_rows)
     w = sliced(keys, order)
     return without_halo(
         with_halo(cut, keys, order, 1).select("*", *[F.lag(c).over(w).alias(f"prev_{c}") for c in columns])
@@ -249,7 +249,7 @@ def sustained(
 ) -> DataFrame:
     """Rows at which ``condition`` has held for ``samples`` consecutive samples."""
     flagged = df.withColumn("_hit", F.coalesce(condition, F.lit(False)).cast("int"))
-    cut = slice_hot(flagged, keys, order[0], max_rows)
+    cut = slice_hot(flagged, keys, order, max_rows)
     frame = sliced(keys, order).rowsBetween(-(samples - 1), 0)
     held = with_halo(cut, keys, order, samples - 1) if samples > 1 else cut.withColumn("_halo", F.lit(False))
     return (
@@ -269,7 +269,7 @@ def pauses(
 ) -> DataFrame:
     """Polls at which a run of failures reaches exactly ``after``: the moment polling is paused."""
     flagged = polls.withColumn("_bad", F.coalesce(failed, F.lit(False)).cast("int"))
-    cut = slice_hot(flagged, keys, order[0], max_rows)
+    cut = slice_hot(flagged, keys, order, max_rows)
     w = sliced(keys, order)
     run = F.sum("_bad").over(w.rowsBetween(-(after - 1), 0))
     before = F.coalesce(F.lag("_bad", after).over(w), F.lit(0))
@@ -294,7 +294,7 @@ def failure_streaks(
     so a run of any length is one partially aggregated group.
     """
     flagged = polls.withColumn("_bad", F.coalesce(failed, F.lit(False)))
-    cut = slice_hot(flagged, keys, order[0], max_rows)
+    cut = slice_hot(flagged, keys, order, max_rows)
     counted = running_sum(cut, keys, order, (~F.col("_bad")).cast("bigint"), "_run")
     return (
         counted.filter("_bad")
@@ -314,10 +314,12 @@ def with_epochs(
     order: Sequence[str] = ORDER,
     max_rows: int = MAX_ROWS,
 ) -> DataFrame:
-    """Number the stretches between user resets; with ``epoch`` among the keys, rates restart."""
-    cut = slice_hot(samples, keys, order[0], max_rows)
+    """Number the stretches between user resets; with ``epoch`` among the keys, rates restart.
+
+    ``_slice`` stays, so that what follows on finer keys need not cut again."""
+    cut = slice_hot(samples, keys, order, max_rows)
     flag = F.coalesce(reset, F.lit(False)).cast("bigint")
-    return running_sum(cut, keys, order, flag, "epoch").drop(SLICE)
+    return running_sum(cut, keys, order, flag, "epoch")
 
 
 def with_latest(
@@ -329,5 +331,5 @@ def with_latest(
     max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Add the latest non-null ``value`` at or before each row."""
-    cut = slice_hot(df, keys, order[0], max_rows)
+    cut = slice_hot(df, keys, order, max_rows)
     return last_known(cut, keys, order, value, name).drop(SLICE)

@@ -2,8 +2,8 @@
 
 A window partitioned by a device or interface sorts all rows of that key in one task, which does
 not hold once one key carries a large share of the table. Here a key above ``max_rows`` is cut
-into consecutive time slices, each its own window partition, and what a slice needs from earlier
-ones travels as a small summary:
+into consecutive slices of about as many rows, each its own window partition, and what a slice needs
+from earlier ones travels as a small summary:
 
 * ``slice_hot``     marks the slices (every other key keeps the single slice 0),
 * ``with_halo``     copies the last ``depth`` rows before a slice into it, so any window function
@@ -11,59 +11,96 @@ ones travels as a small summary:
 * ``running_sum``   adds the totals of earlier slices to a sum inside the slice,
 * ``last_known``    carries the last non-null value of earlier slices into the slice.
 
-Summaries hold at most ``depth`` rows per slice of a hot key; nothing is dropped or sampled. When no
-key is hot, every summary is empty and the plan is the plain window behind one counting pass.
+Slices are cut by numbers of rows, at places in the full order, so neither a clock that is years off nor
+many rows of one instant makes a slice larger. Summaries hold at most ``depth`` rows per slice of a
+hot key; nothing is dropped. Without hot keys the plan is the plain window after one counting pass: the
+source is read twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SLICE = "_slice"
 HALO = "_halo"
 MAX_ROWS = 2_000_000
 MAX_HOT = 100_000
+#: Rows of a slice that are looked at to find where it ends.
+PROBES = 256
 
 
-def slice_hot(
-    df: DataFrame, keys: Sequence[str], order: str, max_rows: int = MAX_ROWS
-) -> DataFrame:
-    """Add ``_slice``: 0 for ordinary keys, a time slice number for hot ones.
+def _hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> tuple[int, list]:
+    """The limit and the keys above it with their rows: fewer than ``MAX_HOT``, whatever the table holds.
 
-    ``order`` is a BIGINT column (microseconds, sequence number). A key is hot above ``max_rows``
-    rows and above a ``1 / MAX_HOT`` share of the table, so there are fewer than ``MAX_HOT`` hot
-    keys and about as many slices whatever the table holds. That bound is why the lists may be
-    broadcast, and they must be: a shuffle join would leave all slices of a key in one partition.
-    Rows that already carry ``_slice`` (cut on the same keys) are returned as they are.
+    A hot key has more than ``max_rows`` rows and more than a ``1 / MAX_HOT`` share of the table. One job counts; the
+    total is observed on its way.
     """
-    if SLICE in df.columns:
-        return df
-    counted = df.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min(order).alias("_lo"), F.max(order).alias("_hi")
-    )
-    share = df.agg((F.count("*") / F.lit(float(MAX_HOT))).alias("share")).scalar()
-    limit = F.greatest(F.lit(float(max_rows)), share)
-    hot = counted.filter(F.col("_n") > limit).select(
-        *[F.col(k).alias(f"_hot_{k}") for k in keys],
-        "_lo",
-        F.greatest(
-            F.lit(1).cast("bigint"), ((F.col("_hi") - F.col("_lo") + 1) * limit / F.col("_n")).cast("bigint")
-        ).alias("_width"),
-    )
-    condition = F.lit(True)
+    total = Observation()
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_n")).observe(total, F.sum("_n").alias("rows"))
+    largest = counted.filter(F.col("_n") > max_rows).orderBy(F.desc("_n")).limit(MAX_HOT).collect()
+    limit = max(max_rows, (total.get["rows"] or 0) // MAX_HOT)
+    return limit, [r for r in largest if r["_n"] > limit]
+
+
+def _beside(df: DataFrame, few: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``df`` joined with a row for each of some hot keys, whose number is bounded (see ``_hot_keys``)."""
+    named = few.withColumnsRenamed({k: f"_hot_{k}" for k in keys})
+    match = F.lit(True)
     for k in keys:
-        condition = condition & df[k].eqNullSafe(hot[f"_hot_{k}"])
-    slice_no = F.expr(f"(({order} - _lo) div _width) + 1")
-    return (
-        df.join(F.broadcast(hot), condition, "left")
-        .withColumn(SLICE, F.coalesce(slice_no, F.lit(0).cast("bigint")))
-        .drop("_lo", "_width", *[f"_hot_{k}" for k in keys])
+        match = match & df[k].eqNullSafe(named[f"_hot_{k}"])
+    return df.join(F.broadcast(named), match, how).drop(*[f"_hot_{k}" for k in keys])
+
+
+def _slice_ends(df: DataFrame, keys: Sequence[str], place: Column, seed: Column, limit: int, hot: list) -> DataFrame:
+    """For each hot key the places at which its slices 2, 3 .. begin: rows chosen by hash, every so many of them."""
+    step = max(1, limit // PROBES)
+    schema = T.StructType([df.schema[k] for k in keys])
+    few = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot], schema)
+    chosen = _beside(df, few, keys, "inner").filter(F.pmod(seed, F.lit(step)) == 0).select(*keys, place.alias("_place"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("_place"))
+    ends = chosen.withColumn("_nth", nth).filter(F.col("_nth") % (limit // step) == 0)
+    found = ends.groupBy(*keys).agg(F.sort_array(F.collect_list("_place")).alias("_ends"))
+    # a place for each ``limit`` rows of the table at most: no more than MAX_HOT, kept so that all passes see the same
+    return df.sparkSession.createDataFrame(found.collect(), found.schema)
+
+
+def _places_before(ends: str, place: str) -> Column:
+    """How many of the sorted places are not after ``place``, by halving."""
+    halve = f"""case when s.low >= s.high then s
+        when get({ends}, (s.low + s.high) div 2) <= {place}
+        then named_struct('low', (s.low + s.high) div 2 + 1, 'high', s.high)
+        else named_struct('low', s.low, 'high', (s.low + s.high) div 2) end"""
+    return F.expr(
+        f"aggregate(sequence(1, 2 + cast(log2(size({ends}) + 1) as int)), "
+        f"named_struct('low', 0L, 'high', cast(size({ends}) as bigint)), (s, i) -> {halve}).low"
     )
 
 
+def slice_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int = MAX_ROWS) -> DataFrame:
+    """Add ``_slice``: 0 for ordinary keys, a slice number from 1 for hot ones.
+
+    Slices follow ``order``; among rows equal in it, a hash of all columns decides, so many rows of one instant are
+    cut too. Rows that already carry ``_slice``, cut on the same keys or some of them, are returned as they are. The
+    counting runs at once: what it finds decides whether there is anything to cut.
+    """
+    if SLICE in df.columns:
+        return df
+    limit, hot = _hot_keys(df, keys, max_rows)
+    if not hot:
+        return df.withColumn(SLICE, F.lit(0).cast("bigint"))
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    place = F.struct(*order, F.xxhash64(*hashed).alias("_tie"))
+    seed = F.xxhash64(F.lit("ends"), *hashed)
+    ends = _slice_ends(df, keys, place, seed, limit, hot)
+    placed = _beside(df.withColumn("_place", place), ends, keys, "left")
+    number = F.when(F.col("_ends").isNotNull(), _places_before("_ends", "_place") + 1).otherwise(0)
+    return placed.withColumn(SLICE, number.cast("bigint")).drop("_place", "_ends")
+
+
 def sliced(keys: Sequence[str], order: Sequence[str | Column]) -> WindowSpec:
     return Window.partitionBy(*keys, SLICE).orderBy(*order)
 
@@ -101,7 +138,7 @@ def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], depth: i
     for k in keys:
         match = match & tails[k].eqNullSafe(ends[f"_e_{k}"])
     halo = (
-        tails.join(F.broadcast(ends), match)
+        tails.join(ends, match)
         .withColumn("_target", F.explode("_ahead"))
         .filter(F.col("_back") + F.col("_target.start") - F.col("_end") <= depth)
         .withColumn(SLICE, F.col("_target.to"))

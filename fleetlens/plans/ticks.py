@@ -44,7 +44,7 @@ def polls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative octet counter per (device, iface) that wraps at 50,000; hot keys already sliced."""
     keys, order = ("device", "iface"), ("ts_us", "event_id")
-    cut = slice_hot(polls(spark, sf_dir), keys, order[0])
+    cut = slice_hot(polls(spark, sf_dir), keys, order)
     return (
         running_sum(cut, keys, order, F.col("octets"), "_total")
         .withColumn("c_octets", F.col("_total") % WRAP)
