@@ -9,47 +9,39 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import casts
 
-# Header lines of the process summary, and the metrics their numbers stand for.
-PROCESS_PATTERNS = (
-    (0, r"up\s+([0-9]+)\s+days?,\s*([0-9]+):([0-9]+)", "bigint", ("uptime_days", "uptime_hours", "uptime_minutes")),
-    (
-        0,
-        r"load average:\s*([0-9.]+),\s*([0-9.]+),\s*([0-9.]+)",
-        "double",
-        ("load_average_1min", "load_average_5min", "load_average_15min"),
-    ),
+# What the lines of a process summary begin with, and the metric of each label that follows a number.
+PROCESS_LABELS = (
     (
         1,
-        r"Tasks:\s*([0-9]+)\s+total,\s*([0-9]+)\s+running,\s*([0-9]+)\s+sleeping,\s*([0-9]+)\s+stopped,\s*([0-9]+)\s+zombie",
+        "Tasks",
         "bigint",
-        ("tasks_total", "tasks_running", "tasks_sleeping", "tasks_stopped", "tasks_zombie"),
+        {"total": "tasks_total", "running": "tasks_running", "sleeping": "tasks_sleeping", "stopped": "tasks_stopped", "zombie": "tasks_zombie"},
     ),
     (
         2,
-        r"%Cpu\(s\):\s*([0-9.]+)\s+us,\s*([0-9.]+)\s+sy,\s*([0-9.]+)\s+ni,\s*([0-9.]+)\s+id,\s*([0-9.]+)\s+wa,"
-        r"\s*([0-9.]+)\s+hi,\s*([0-9.]+)\s+si,\s*([0-9.]+)\s+st",
+        "%Cpu(s)",
         "double",
-        (
-            "cpu_user", "cpu_system", "cpu_nice", "cpu_idle", "cpu_iowait", "cpu_hardware_interrupt",
-            "cpu_software_interrupt", "cpu_steal",
-        ),
+        {
+            "us": "cpu_user", "sy": "cpu_system", "ni": "cpu_nice", "id": "cpu_idle", "wa": "cpu_iowait",
+            "hi": "cpu_hardware_interrupt", "si": "cpu_software_interrupt", "st": "cpu_steal",
+        },
     ),
     (
         3,
-        r"MiB Mem\s*:\s*([0-9.]+)\s+total,\s*([0-9.]+)\s+free,\s*([0-9.]+)\s+used,\s*([0-9.]+)\s+buff/cache",
+        "MiB Mem",
         "double",
-        ("memory_total_mib", "memory_free_mib", "memory_used_mib", "memory_buff_cache_mib"),
+        {"total": "memory_total_mib", "free": "memory_free_mib", "used": "memory_used_mib", "buff/cache": "memory_buff_cache_mib"},
     ),
     (
         4,
-        r"MiB Swap:\s*([0-9.]+)\s+total,\s*([0-9.]+)\s+free,\s*([0-9.]+)\s+used\.\s*([0-9.]+)\s+avail Mem",
+        "MiB Swap",
         "double",
-        ("swap_total_mib", "swap_free_mib", "swap_used_mib", "memory_available_mib"),
+        {"total": "swap_total_mib", "free": "swap_free_mib", "used": "swap_used_mib", "avail Mem": "memory_available_mib"},
     ),
-)
+)
+UPTIME = ("uptime_days", "uptime_hours", "uptime_minutes")
+LOADS = ("load_average_1min", "load_average_5min", "load_average_15min")
 NAMED_NUMBER = r"^(.+?)\s*:\s*([0-9]+)$"
-DAYS = r"^([0-9]+)\s+days?, "
-CLOCK = r"^([0-9]+):([0-9]+):([0-9]+)"
 PORTAL_MESSAGES = {
     "total_messages_dp_to_mp": "Total messages DP => MP",
     "total_invalid_messages_dp_to_mp": "Total Invalid messages DP => MP",
@@ -77,15 +69,43 @@ def lines(df: DataFrame, text: Column, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _all_or_none(values: dict[str, Column]) -> dict[str, Column]:
+    """The values if every one of them is there, else nulls."""
+    whole = F.lit(True)
+    for value in values.values():
+        whole = whole & value.isNotNull()
+    return {name: F.when(whole, value) for name, value in values.items()}
+
+
+def _labelled(line: Column, heading: str, kind: str, labels: dict[str, str]) -> dict[str, Column]:
+    """Numbers of a line by the label after each; the line counts only if it has its heading and all labels."""
+    rest = F.when(F.startswith(line, F.lit(heading)), F.substring_index(line, ":", -1))
+    padded = F.regexp_replace(F.concat(F.lit(" "), rest, F.lit(" ")), "[,.] ", " ")
+    values = {}
+    for label, metric in labels.items():
+        before = F.when(F.contains(padded, F.lit(f" {label} ")), F.trim(F.substring_index(padded, f" {label} ", 1)))
+        values[metric] = F.substring_index(before, " ", -1).try_cast(kind)
+    return _all_or_none(values)
+
+
+def _first_line(line: Column) -> dict[str, Column]:
+    """Days, hours and minutes after ``up``, and the three averages at the end."""
+    since = F.split(F.trim(F.substring_index(line, " up ", -1)), ", *")
+    days = F.when(F.contains(since[0], F.lit(" day")), F.substring_index(since[0], " ", 1))
+    clock = F.split(F.get(since, F.lit(1)), ":")
+    times = (days, F.get(clock, F.lit(0)), F.get(clock, F.lit(1)))
+    loads = F.split(F.when(F.contains(line, F.lit("load average:")), F.substring_index(line, "load average:", -1)), ",")
+    return _all_or_none({n: F.trim(v).try_cast("bigint") for n, v in zip(UPTIME, times)}) | _all_or_none(
+        {n: F.trim(F.get(loads, F.lit(i))).try_cast("double") for i, n in enumerate(LOADS)}
+    )
+
+
 def process_summary(df: DataFrame, text: Column, keys: Sequence[str]) -> DataFrame:
     """Metrics of the five header lines of a process summary; shorter texts give no row."""
     split = df.select(*keys, F.split(_stripped(text), "\n").alias("_lines")).filter(F.size("_lines") >= 5)
-    values = {}
-    for number, pattern, kind, names in PROCESS_PATTERNS:
-        line = F.col("_lines")[number]
-        for group, name in enumerate(names, start=1):
-            found = F.regexp_extract(line, pattern, group)
-            values[name] = F.when(line.rlike(pattern), found.try_cast(kind))
+    values = _first_line(F.col("_lines")[0])
+    for number, heading, kind, labels in PROCESS_LABELS:
+        values |= _labelled(F.col("_lines")[number], heading, kind, labels)
     parsed = split.select(*keys, *[v.alias(n) for n, v in values.items()])
     memory = F.when(
         F.col("memory_total_mib") > 0, F.col("memory_used_mib") / F.col("memory_total_mib") * 100
@@ -130,13 +150,14 @@ def disk_entries(entries: DataFrame, entry: str, keys: Sequence[str], position:
 
 
 def uptime_seconds(text: Column) -> Column:
-    """Seconds of ``18 days, 22:03:09``; anything else is 0."""
-    clock = F.regexp_replace(text, DAYS, "")
-    days = F.coalesce(F.regexp_extract(text, DAYS, 1).try_cast("bigint"), F.lit(0))
-    parts = [F.regexp_extract(clock, CLOCK, g).try_cast("bigint") for g in (1, 2, 3)]
-    usable = clock.rlike(CLOCK) & (F.size(F.split(text, ", ")) <= 2)
-    total = days * 86400 + parts[0] * 3600 + parts[1] * 60 + parts[2]
-    return F.coalesce(F.when(usable, total), F.lit(0))
+    """Seconds of days and a clock (``3 days, 04:05:06``) or of a clock alone; anything else is 0."""
+    parts = F.split(text, ", ")
+    words = F.split(parts[0], r"\s+")
+    dated = (F.size(parts) == 2) & (F.size(words) == 2) & words[1].isin("day", "days")
+    days = F.when(dated, words[0].try_cast("bigint")).when(F.size(parts) == 1, F.lit(0))
+    clock = F.split(parts[F.size(parts) - 1], ":")
+    time = [F.regexp_extract(F.get(clock, F.lit(i)), "^[0-9]+", 0).try_cast("bigint") for i in range(3)]
+    return F.coalesce(days * 86400 + time[0] * 3600 + time[1] * 60 + time[2], F.lit(0))
 
 
 def named_numbers(df: DataFrame, text: Column, keys: Sequence[str]) -> DataFrame:

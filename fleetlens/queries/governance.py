@@ -465,18 +465,19 @@ def _order_text(spark: SparkSession, sf_dir: str, expression: str) -> DataFrame:
 
 @query(
     "p09_process_summary",
-    """with o as (select *, cast(o_custkey % 100 as double) as c from orders where o_orderkey % 11 <> 0)
-       select o_orderkey, o_custkey % 30 as uptime_days, cast(1 as bigint) as uptime_hours, cast(15 as bigint) as uptime_minutes, c / 4 as load_average_1min, 0.91::double as load_average_5min, 0.79::double as load_average_15min,
-         o_custkey as tasks_total, cast(2 as bigint) as tasks_running, o_custkey as tasks_sleeping, cast(0 as bigint) as tasks_stopped, cast(1 as bigint) as tasks_zombie,
-         c as cpu_user, 16.5::double as cpu_system, 9.0::double as cpu_nice, 100.0::double - c as cpu_idle, 0.0::double as cpu_iowait, 1.5::double as cpu_hardware_interrupt, 1.5::double as cpu_software_interrupt, 0.0::double as cpu_steal,
-         16000.0::double as memory_total_mib, 919.5::double as memory_free_mib, c * 100 as memory_used_mib, 100.5::double as memory_buff_cache_mib,
-         cast(o_custkey % 3 * 1000 as double) as swap_total_mib, 1.5::double as swap_free_mib, c as swap_used_mib, 5575.5::double as memory_available_mib,
-         c * 100 / 16000.0::double * 100 as memory_usage_percent, case when o_custkey % 3 = 0 then 0.0::double else c / cast(o_custkey % 3 * 1000 as double) * 100 end as swap_usage_percent from o""",
+    """with o as (select *, cast(o_custkey % 100 as double) as c, cast(o_orderkey % 24 as double) as h from orders where o_orderkey % 11 <> 0)
+       select o_orderkey, o_custkey % 30 as uptime_days, o_orderkey % 24 as uptime_hours, o_custkey % 50 + 10 as uptime_minutes, c / 4 as load_average_1min, h / 2 as load_average_5min, h as load_average_15min,
+         o_custkey as tasks_total, o_orderkey % 24 as tasks_running, o_custkey as tasks_sleeping, cast(3 as bigint) as tasks_stopped, cast(5 as bigint) as tasks_zombie,
+         c as cpu_user, h as cpu_system, 0.25::double as cpu_nice, 100.0::double - c as cpu_idle, h / 4 as cpu_iowait, 0.75::double as cpu_hardware_interrupt, 2.5::double as cpu_software_interrupt, 0.5::double as cpu_steal,
+         32000.0::double as memory_total_mib, h * 10 as memory_free_mib, c * 100 as memory_used_mib, 250.5::double as memory_buff_cache_mib,
+         cast(o_custkey % 3 * 1000 as double) as swap_total_mib, h / 8 as swap_free_mib, c as swap_used_mib, h * 100 as memory_available_mib,
+         c * 100 / 32000.0::double * 100 as memory_usage_percent, case when o_custkey % 3 = 0 then 0.0::double else c / cast(o_custkey % 3 * 1000 as double) * 100 end as swap_usage_percent from o""",
 )
 def p09_process_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = r"""if(o_orderkey % 11 = 0, 'top - too short', concat('\ntop - 12:26:55 up ', o_custkey % 30, ' days,  1:15,  0 users,  load average: ', cast(o_custkey % 100 as double) / 4, ', 0.91, 0.79\nTasks: ',
-        o_custkey, ' total,   2 running, ', o_custkey, ' sleeping,   0 stopped,   1 zombie\n%Cpu(s):  ', cast(o_custkey % 100 as double), ' us, 16.5 sy,  9.0 ni, ', 100 - cast(o_custkey % 100 as double), ' id,  0.0 wa,  1.5 hi,  1.5 si,  0.0 st\n',
-        'MiB Mem :  16000.0 total,    919.5 free,   ', cast(o_custkey % 100 as double) * 100, ' used,  100.5 buff/cache\nMiB Swap:   ', cast(o_custkey % 3 * 1000 as double), ' total,   1.5 free,      ', cast(o_custkey % 100 as double), ' used.   5575.5 avail Mem\n'))"""
+    c, h = "cast(o_custkey % 100 as double)", "cast(o_orderkey % 24 as double)"
+    text = rf"""if(o_orderkey % 11 = 0, 'top\nnothing more', concat('\ntop - 08:00:01 up ', o_custkey % 30, ' days,  ', o_orderkey % 24, ':', o_custkey % 50 + 10, ',  12 users,  load average: ', {c} / 4, ', ', {h} / 2, ', ', {h}, '\nTasks: ',
+        o_custkey, ' total,   ', o_orderkey % 24, ' running, ', o_custkey, ' sleeping,   3 stopped,   5 zombie\n%Cpu(s):  ', {c}, ' us, ', {h}, ' sy,  0.25 ni, ', 100 - {c}, ' id,  ', {h} / 4, ' wa,  0.75 hi,  2.5 si,  0.5 st\n',
+        'MiB Mem :  32000.0 total,    ', {h} * 10, ' free,   ', {c} * 100, ' used,  250.5 buff/cache\nMiB Swap:   ', cast(o_custkey % 3 * 1000 as double), ' total,   ', {h} / 8, ' free,      ', {c}, ' used.   ', {h} * 100, ' avail Mem\n'))"""
     return textparse.process_summary(_order_text(spark, sf_dir, text), F.col("text"), ["o_orderkey"])
 
 
