@@ -6,7 +6,8 @@ branch with the largest margin comes next, whichever tree it belongs to, until t
 What those leaves hold is ranked by the exact product in double precision.
 
 Inner products become distances by one more coordinate, which brings all vectors to the same length. The trees are fitted
-to ``SAMPLE`` rows with the smallest hashes of their ids; every row is indexed. How many leaves a query sees follows
+to ``SAMPLE`` rows with the smallest hashes of their ids; every row is indexed. What falls far behind the best of
+``BOUND`` such rows can be in no answer and is left out where a leaf is ranked. How many leaves a query sees follows
 from ``RECALL``: a bounded set of queries is answered exactly over all rows, and the leaves are as many as their true
 neighbours ask for. Vectors without structure need many leaves, whatever the trees; more of the sample and smaller
 leaves pay off where there is some.
@@ -31,8 +32,8 @@ from fleetlens.llm.shared import written
 TOP, EVERY = 20, 20
 SAMPLE, TREES, LEAF = 8192, 4, 64
 RECALL, CALIBRATION = 0.96, 64
-#: Times the length of an answer.
-BEHIND = 3
+#: Rows that give each query a first bound, and how far behind the length of an answer the bound lies among them.
+BOUND, BEHIND = 32768, 12
 #: Vectors, and queries, of a leaf that meet at a time.
 ROW_BLOCK, QUERY_BLOCK = 4096, 2048
 
@@ -213,9 +214,9 @@ def search(
     index = written(distinct_vectors(rows, top), "vectors")
     norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
     longest = float(np.sqrt(index.agg(F.max(norm)).first()[0])) * (1 + 1e-9)
-    fitted = index.orderBy(F.xxhash64("node"), "node").limit(sample).select("vec").toArrow()
-    forest = Forest(_lifted(_matrix(fitted["vec"], width), longest), trees, leaf)
-    bound = _matrix(fitted["vec"], width)
+    drawn = index.orderBy(F.xxhash64("node"), "node").limit(max(sample, BOUND)).select("vec").toArrow()
+    bound = _matrix(drawn["vec"], width)[:BOUND]
+    forest = Forest(_lifted(_matrix(drawn["vec"], width)[:sample], longest), trees, leaf)
     asked = rows.filter(F.col("id") % every == 0).groupBy("vec").agg(F.collect_set("id").alias("askers"), F.min("id").alias("node"))
     asked = written(asked, "queries")
     leaves = _calibrated(index, asked, forest, longest, width, top)
@@ -236,7 +237,7 @@ def search(
                 points = _matrix(part["vec"], width)
                 scores = points @ bound.T
                 # what falls behind so many rows of the sample is in no answer, even if some of those are not found
-                least, behind = np.full(len(points), -np.inf), BEHIND * (top + 1)
+                least, behind = np.full(len(points), -np.inf), top + BEHIND
                 if scores.shape[1] > behind:
                     least = -np.partition(-scores, behind, axis=1)[:, behind]
                 found = list(forest.visited(_flat(points), leaves))
