@@ -14,7 +14,7 @@ FLOAT_TEXT = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infin
 SIZE_TEXT = r"(?i)^([0-9.]+)([KMGT]?)$"
 TRUE_WORDS = ("true", "1", "yes", "on")
 SIZE_FACTORS = {
-    "reference": {"K": "1D / 1073741824", "M": "1D / 1048576", "G": "1D", "T": "1024D"},
+    "established": {"K": "1D / 1073741824", "M": "1D / 1048576", "G": "1D", "T": "1024D"},
     "binary": {"K": "1D / 1048576", "M": "1D / 1024", "G": "1D", "T": "1024D"},
 }
 
@@ -69,10 +69,10 @@ def percent_of_text(value: str) -> str:
     return bound(f"trim(TRAILING '%' FROM {value})", float_of_text("p"), "p")
 
 
-def gigabytes_of_text(value: str, units: str = "reference") -> str:
+def gigabytes_of_text(value: str, units: str = "established") -> str:
     """Size text in GB; empty or missing is 0, anything that is not a size is null.
 
-    ``units='reference'`` keeps the established K and M factors, ``'binary'`` the usual ones.
+    ``units='established'`` keeps the established K and M factors, ``'binary'`` the usual ones.
     """
     number = f"try_cast(regexp_extract(s, r'{SIZE_TEXT}', 1) AS DOUBLE)"
     unit = f"upper(regexp_extract(s, r'{SIZE_TEXT}', 2))"

@@ -14,16 +14,16 @@ MASKS = (
 )
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """Sort key in which digit runs compare as numbers: each is stripped of zeros and padded."""
+def natural_key(name: Column) -> Column:
+    """Sort key in which digit runs of any length compare as numbers: how many digits come first, leading zeros do not
+    count."""
     runs = F.regexp_extract_all(name, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    padded = F.transform(
-        runs,
-        lambda run: F.when(
-            run.rlike("^[0-9]"), F.lpad(F.regexp_replace(run, "^0+(?=[0-9])", ""), width, "0")
-        ).otherwise(run),
-    )
-    return F.array_join(padded, "")
+
+    def comparable(run: Column) -> Column:
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.when(run.rlike("^[0-9]"), F.concat(F.format_string("%010d", F.length(digits)), digits)).otherwise(run)
+
+    return F.array_join(F.transform(runs, comparable), "")
 
 
 def safe_key(name: Column) -> Column:

@@ -172,6 +172,8 @@ def surrogate(kind: Column, number: Column) -> Column:
     mac = F.concat(F.lit("00:00:"), F.concat_ws(":", *[_byte(F.lit(MAC_BASE) + number, p) for p in (3, 2, 1, 0)]))
     last = F.pmod(number * 7 + F.floor(number / 65536), F.lit(256)).cast("string")
     private = F.concat_ws(".", F.lit("10"), _octet(number, 1), _octet(number, 0), last)
+    turn = F.floor(number / 2**24)  # from here on the addresses begin again
+    private = F.when(turn > 0, F.concat(private, F.lit("-"), turn.cast("string"))).otherwise(private)
     return (
         F.when(kind == "public_ip", documentation_ip(number))
         .when(kind == "private_ip", private)

@@ -38,8 +38,8 @@ def bucket_stats(df: DataFrame, value: str, keys: Sequence[str], seconds: int, t
         F.max(value).alias("max_value"),
         F.sum(value).alias("sum_value"),
         F.count(value).alias("samples"),
-        F.min_by(value, ts_us).alias("first_value"),
-        F.max_by(value, ts_us).alias("last_value"),
+        F.min_by(value, F.struct(ts_us, value)).alias("first_value"),
+        F.max_by(value, F.struct(ts_us, value)).alias("last_value"),
     )
 
 

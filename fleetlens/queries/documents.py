@@ -39,6 +39,43 @@ def s1_snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "s1_snapshot_file",
+    """select s_suppkey as id, 'system' as module, 'fw-' || cast(s_suppkey as varchar) as device, s_suppkey % 3 <> 0 as success, s_name as hostname, case when s_suppkey % 3 = 0 then 'off' end as error, s_acctbal as balance, s_suppkey as at from supplier where s_suppkey % 7 <> 0
+       union all
+       select s_suppkey, 'vpn', 'fw-' || cast(s_suppkey as varchar), false, null, 'Malformed envelope', null, s_suppkey from supplier where s_suppkey % 7 <> 0 and s_suppkey % 2 = 0
+       union all
+       select s_suppkey, 'vpn', 'fw-' || cast(s_suppkey as varchar), true, s_name, null, cast(s_nationkey as double), s_suppkey from supplier where s_suppkey % 7 <> 0 and s_suppkey % 2 = 1
+       union all
+       select s_suppkey, null, null, false, null, 'no document', null, null from supplier where s_suppkey % 7 = 0""",
+)
+def s1_snapshot_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file for each supplier: extra top-level values, broken envelopes beside good ones, some files cut off."""
+    payload = F.expr(
+        """concat('{"timestamp":"', date_format(timestamp_seconds(s_suppkey), "yyyy-MM-dd'T'HH:mm:ss'Z'"), '","version":3,"notes":{"by":{"success":true}},"system":{"fw-', s_suppkey, '":{"success":',
+           if(s_suppkey % 3 = 0, '0,"error":"off"', if(s_suppkey % 3 = 1, '"yes"', 'true')), ',"hostname":"', s_name, '","data":{"v":', s_acctbal, '}}},"vpn":{"fw-', s_suppkey, '":',
+           if(s_suppkey % 2 = 0, '"broken"', concat('{"success":1,"hostname":"', s_name, '","data":{"v":', s_nationkey, '}}')), '}}')"""
+    )
+    path = run_dir(spark, "snapshots")
+    rows = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, F.substr(payload, F.lit(1), F.lit(60))).otherwise(payload).alias("value")
+    )
+    rows.repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    raw = snapshots.read_snapshots(spark, path).withColumn(
+        "id", F.regexp_extract("source", "s_suppkey=([0-9]+)", 1).cast("bigint")
+    )
+    good, bad = snapshots.parsed(raw)
+    found = snapshots.envelopes(good).select(
+        "id", "module", "device", "success", "hostname", "error",
+        F.try_variant_get("data", F.lit("$.v"), "double").alias("balance"), F.unix_seconds("collected_at").alias("at"),
+    )
+    lost = bad.selectExpr(
+        "id", "cast(null as string) as module", "cast(null as string) as device", "false as success",
+        "cast(null as string) as hostname", "'no document' as error", "cast(null as double) as balance", "cast(null as bigint) as at",
+    )
+    return found.unionByName(lost)
+
+
 @query(
     "s1_envelope_scan",
     """select event_id, 'dev-' || cast(user_id as varchar) as device, event_type as module,
@@ -160,7 +197,10 @@ def s6_measurement_store(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", F.col("user_id").alias("device"), "value", F.col("event_type").alias("measurement"),
         F.to_date("ts").alias("dt"),
     )
-    store.write_points(rows, path)
+    # two writes: the second one brings other days and leaves the first ones
+    early = F.col("dt") < F.lit("2024-01-15").cast("date")
+    store.write_points(rows.filter(~early), path)
+    store.write_points(rows.filter(early), path)
     return store.read_points(spark, path, ["click", "error"], "2024-01-10").select("event_id", "device", "value")
 
 

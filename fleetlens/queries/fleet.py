@@ -481,11 +481,11 @@ def a14_error_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "k1_natural_order",
-    """select 'if' || cast(p_partkey as varchar) || '/' || cast(p_size as varchar) as name,
-       'if' || lpad(cast(p_partkey as varchar), 20, '0') || '/' || lpad(cast(p_size as varchar), 20, '0') as sort_key from part""",
+    """select 'if' || rpad(cast(p_partkey + 1 as varchar), 30, '7') || '/' || cast(p_size as varchar) as name,
+       'if0000000030' || rpad(cast(p_partkey + 1 as varchar), 30, '7') || '/' || lpad(cast(length(cast(p_size as varchar)) as varchar), 10, '0') || cast(p_size as varchar) as sort_key from part""",
 )
 def k1_natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select(F.expr("concat('if', p_partkey, '/', p_size)").alias("name"))
+    names = table(spark, sf_dir, "part").select(F.expr("concat('if', rpad(p_partkey + 1, 30, '7'), '/', p_size)").alias("name"))
     return rank.in_natural_order(names, "name").select("name", naming.natural_key(F.col("name")).alias("sort_key"))
 
 

@@ -636,12 +636,24 @@ def e1_per_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "e2_sql_functions",
     r"""select p_partkey, case when p_partkey % 2 = 0 then p_partkey end as n, p_type = 'ECONOMY' as flag, replace(p_name, ' ', '\ ') as escaped, replace(replace(p_brand, '#', '_'), ' ', '_') as safe,
-        'e' || lpad(cast(p_size as varchar), 20, '0') as sort_key from part""",
+        'e' || lpad(cast(length(cast(p_size as varchar)) as varchar), 10, '0') || cast(p_size as varchar) as sort_key,
+        cast(cast(p_size as varchar) || '.62' as double) as two_places, cast(p_size as double) as gb, cast(p_size as double) / 2 as share, case when p_size % 2 = 0 then 'bgp' else 'ospf_inter' end as protocol,
+        '10.0.0.' || cast(p_size as varchar) as address, round(cast(p_size as double) / 50 * 100, 2) as remaining,
+        case when p_size <= 254 then '192.0.2.' || cast(p_size as varchar) end as surrogate, '"' || p_brand || '"' as literal,
+        'm,brand=' || replace(p_brand, ' ', '\ ') || ' half=' || cast(cast(p_size as double) / 2 as varchar) || ',size=' || cast(p_size as varchar) || 'i ' || cast(p_partkey as varchar) as line from part""",
 )
 def e2_sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     hooks.register_sql_functions(spark)
     table(spark, sf_dir, "part").createOrReplaceTempView("fleet_part")
+    field = "named_struct('v_bool', cast(null as boolean), 'v_int', {}, 'v_dbl', {}, 'v_str', {})"
+    size = field.format("cast(p_size as bigint)", "cast(null as double)", "cast(null as string)")
+    half = field.format("cast(null as bigint)", "p_size / 2", "cast(null as string)")
+    brand = field.format("cast(null as bigint)", "cast(null as double)", "p_brand")
     return spark.sql(
-        """select p_partkey, fleet_safe_int(if(p_partkey % 2 = 0, concat(' ', p_partkey), concat(p_partkey, 'd'))) as n, coalesce(fleet_yes_no(if(p_type = 'ECONOMY', 'yes', 'no')), false) as flag,
-                  fleet_escape_key(p_name) as escaped, fleet_safe_key(p_brand) as safe, fleet_natural_key(concat('e00', p_size)) as sort_key from fleet_part"""
+        f"""select p_partkey, fleet_safe_int(if(p_partkey % 2 = 0, concat(' ', p_partkey), concat(p_partkey, 'd'))) as n, coalesce(fleet_yes_no(if(p_type = 'ECONOMY', 'yes', 'no')), false) as flag,
+                  fleet_escape_key(p_name) as escaped, fleet_safe_key(p_brand) as safe, fleet_natural_key(concat('e00', p_size)) as sort_key,
+                  fleet_safe_float(concat(p_size, '.625')) as two_places, fleet_size_gb(concat(p_size, 'G')) as gb, fleet_percent(concat(p_size / 2, '%')) as share,
+                  fleet_route_protocol(if(p_size % 2 = 0, '', ' OSPF inter'), 'AB') as protocol, fleet_identity_ip(concat('gw(ipaddr:10.0.0.', p_size, ')')) as address,
+                  fleet_remaining_percent(p_size, 50) as remaining, fleet_documentation_ip(p_size) as surrogate, fleet_field_literal({brand}) as literal,
+                  fleet_line('m', map('brand', p_brand), map('size', {size}, 'half', {half}), p_partkey) as line from fleet_part"""
     )

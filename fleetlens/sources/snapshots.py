@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import casts
 from fleetlens.operators.nested import newer_layout
-from fleetlens.operators.specs import FALLBACKS
+from fleetlens.operators.specs import FALLBACKS, MODULES
 
-SNAPSHOT = "map<string,map<string,struct<success:boolean,hostname:string,error:string,data:variant>>>"
+MALFORMED = "Malformed envelope"
 ENVELOPE = "collected_at timestamp, module string, device string, success boolean, hostname string, error string, data variant"
 
 
-def read_snapshots(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Whole snapshot documents, one row per file: ``payload``, ``collected_at``, ``source``."""
-    reader = spark.readStream.schema("value string") if streaming else spark.read
+def read_snapshots(spark: SparkSession, path: str, streaming: bool = False, files_per_trigger: int = 1000) -> DataFrame:
+    """Whole snapshot documents, one row per file: ``payload``, ``collected_at``, ``source``.
+    A stream takes ``files_per_trigger`` files at a time, which bounds its micro-batches."""
+    reader = spark.read
+    if streaming:
+        reader = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_per_trigger)
     return reader.option("wholetext", True).format("text").load(path).select(
         F.col("value").alias("payload"),
         F.col("_metadata.file_modification_time").alias("collected_at"),
@@ -45,20 +50,42 @@ def read_output(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parsed(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Snapshots as ``document`` and the malformed rows; ``strict`` makes malformed input an error."""
-    options = {"mode": "FAILFAST" if strict else "PERMISSIVE"}
-    documents = raw.withColumn("document", F.from_json("payload", SNAPSHOT, options))
-    broken = F.col("document").isNull()
+    """Snapshots as ``document`` (VARIANT) and the rows that are no JSON object; ``strict`` makes those an error.
+
+    A document's own ``timestamp`` is its collection time; the file's is used where it has none.
+    """
+    parse = "parse_json" if strict else "try_parse_json"
+    documents = raw.withColumn("document", F.expr(f"{parse}(payload)"))
+    broken = F.expr(f"{casts.as_object('document')} is null")
+    if "collected_at" in raw.columns:
+        own = F.expr("try_variant_get(document, '$.timestamp', 'timestamp')")
+        documents = documents.withColumn("collected_at", F.coalesce(own, F.col("collected_at")))
     return documents.filter(~broken).drop("payload"), documents.filter(broken).drop("document")
 
 
-def envelopes(documents: DataFrame) -> DataFrame:
-    """One row per module and device."""
+def envelopes(documents: DataFrame, modules: Sequence[str] = MODULES) -> DataFrame:
+    """One row per module and device.
+
+    Only the known modules are looked at; whatever else a document holds is left alone. An envelope that is no object
+    becomes a failed row with an error, its siblings stay as they are. Any set value of ``success`` counts as true.
+    """
     kept = [c for c in documents.columns if c != "document"]
     return (
-        documents.select(*kept, F.explode("document").alias("module", "_devices"))
-        .select(*kept, "module", F.explode("_devices").alias("device", "_envelope"))
-        .select(*kept, "module", "device", "_envelope.*")
+        documents.select(*kept, F.expr(f"explode({casts.as_object('document')}) as (module, _devices)"))
+        .filter(F.col("module").isin(*modules))
+        .select(*kept, "module", F.expr(f"explode({casts.as_object('_devices')}) as (device, _envelope)"))
+        .select(
+            *kept,
+            "module",
+            "device",
+            F.expr(f"coalesce({casts.truthy_leaf(casts.leaf('_envelope', 'success'))} = 1, false)").alias("success"),
+            F.expr(casts.leaf_text("_envelope", "hostname")).alias("hostname"),
+            F.expr(
+                f"CASE WHEN {casts.as_object('_envelope')} IS NULL THEN '{MALFORMED}' "
+                f"ELSE {casts.leaf_text('_envelope', 'error')} END"
+            ).alias("error"),
+            F.expr(casts.leaf("_envelope", "data")).alias("data"),
+        )
     )
 
 

@@ -30,11 +30,13 @@ def write_points(
 ) -> None:
     """Points or long metrics as Parquet by measurement and day.
 
+    ``overwrite`` replaces the folders that ``df`` has rows for and leaves all others.
     The rebalance hint gathers each folder's rows into few files and lets AQE split the folder of a
     measurement that holds most of the rows over many tasks.
     """
     with_day = df if "dt" in df.columns else df.withColumn("dt", F.to_date("collected_at"))
-    with_day.hint("rebalance", *partitions).write.mode(mode).partitionBy(*partitions).parquet(path)
+    writer = with_day.hint("rebalance", *partitions).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partitions).parquet(path)
 
 
 def read_points(
@@ -51,7 +53,8 @@ def read_points(
 
 def write_collections(df: DataFrame, path: str, mode: str = "append") -> None:
     """Collection rows by module and collection, so a measurement reads only its own folder."""
-    df.write.mode(mode).partitionBy("module", "collection").parquet(path)
+    keys = ("module", "collection")
+    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
 
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:
