@@ -142,6 +142,10 @@ def _leaves(path: str, value: object) -> Iterator[tuple[str, str]]:
         yield from _leaves(f"{path}.{key}" if path else key, inner)
 
 
+#: Rows of a frame of leaves.
+FRAME = 20_000
+
+
 def leaf_profile(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Path and type of every leaf of a JSON document of any depth, envelopes marked.
 
@@ -165,6 +169,9 @@ def leaf_profile(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
                     rows.append((*ids, "", "not json"))
                     continue
                 rows.extend((*ids, *found) for found in _leaves("", parsed))
+                if len(rows) >= FRAME:
+                    yield pd.DataFrame(rows, columns=[*names, "path", "kind"])
+                    rows = []
             yield pd.DataFrame(rows, columns=[*names, "path", "kind"])
 
     selected = df.select(*names, text)

@@ -224,7 +224,11 @@ def mapping_counts(mapping: DataFrame) -> DataFrame:
 
 def replaced_texts(pieces: DataFrame, mapping: DataFrame) -> DataFrame:
     """New text of every occurrence that has a replaced piece: (position, place, role, text, is_number)."""
-    joined = pieces.join(mapping.select("category", "original", "surrogate"), ["category", "original"], "left")
+    # pieces without a category have no surrogate and would all meet under one null key
+    known = mapping.select("category", "original", "surrogate")
+    joined = pieces.filter("category is not null").join(known, ["category", "original"], "left").unionByName(
+        pieces.filter("category is null").withColumn("surrogate", F.lit(None).cast("string")), allowMissingColumns=True
+    )
     changed = F.concat(F.col("before"), F.coalesce("surrogate", "original", F.lit("")))
     return (
         joined.groupBy("position", "place", "role")
@@ -246,6 +250,9 @@ def replaced_texts(pieces: DataFrame, mapping: DataFrame) -> DataFrame:
 
 # ---- documents ------------------------------------------------------------------------------
 
+#: Rows of a frame of occurrences, and documents rewritten at a time.
+FRAME, DOCUMENTS = 20_000, 500
+
 
 def _visit(value, parents: tuple[str, ...], context: str, key: str | None, counter: list[int]) -> Iterator[tuple]:
     """Keys and leaves in document order, numbered by ``counter``."""
@@ -285,19 +292,29 @@ def _rebuild(value, changes: dict[int, dict], counter: list[int]):
     return value
 
 
+def _loaded(document) -> tuple[object, bool]:
+    try:
+        return json.loads(document), True
+    except (TypeError, ValueError, RecursionError):
+        return None, False
+
+
 def occurrences(documents: DataFrame, text: str, position: str = "position") -> DataFrame:
-    """Keys and leaves of JSON documents of any depth, one Arrow batch at a time."""
+    """Keys and leaves of JSON documents of any depth, in frames of about ``FRAME`` rows; a document that is no JSON has
+    none."""
 
     def walk(batches):
         import pandas as pd
 
         names = ["position", "place", "role", "key", "parent", "context", "depth", "value"]
         for batch in batches:
-            rows = [
-                (number, *found)
-                for number, document in zip(batch["position"], batch["text"])
-                for found in _visit(json.loads(document), (), "", None, [0])
-            ]
+            rows = []
+            for number, document in zip(batch["position"], batch["text"]):
+                parsed, good = _loaded(document)
+                rows.extend((number, *found) for found in (_visit(parsed, (), "", None, [0]) if good else ()))
+                if len(rows) >= FRAME:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
             yield pd.DataFrame(rows, columns=names)
 
     return documents.select(F.col(position).alias("position"), F.col(text).alias("text")).mapInPandas(walk, OCCURRENCE)
@@ -305,15 +322,20 @@ def occurrences(documents: DataFrame, text: str, position: str = "position") ->
 
 def rewritten(documents: DataFrame, text: str, replacements: DataFrame, position: str = "position") -> DataFrame:
     """Documents with their replacements applied. The replacements of one document are gathered
-    (bounded by the document itself) and joined to it."""
+    (bounded by the document itself) and joined to it. A document that is no JSON is held back: its text is null."""
+
+    def one(document, changes):
+        parsed, good = _loaded(document)
+        if good:
+            return json.dumps(_rebuild(parsed, dict(changes) if changes is not None else {}, [0]), ensure_ascii=False)
+        return None
 
     def apply(batches):
         for batch in batches:
-            batch["text"] = [
-                json.dumps(_rebuild(json.loads(d), dict(c) if c is not None else {}, [0]), ensure_ascii=False)
-                for d, c in zip(batch["text"], batch["changes"])
-            ]
-            yield batch[["position", "text"]]
+            for at in range(0, len(batch), DOCUMENTS):
+                part = batch.iloc[at : at + DOCUMENTS][["position", "text", "changes"]].copy()
+                part["text"] = [one(d, c) for d, c in zip(part["text"], part["changes"])]
+                yield part[["position", "text"]]
 
     gathered = replacements.groupBy("position").agg(
         F.map_from_entries(F.collect_list(F.struct("place", F.struct("text", "is_number")))).alias("changes")

@@ -620,3 +620,5 @@ MEASUREMENTS = {m.name: m for m in (*SYSTEM, *ENVIRONMENT, *INTERFACES, *ROUTING
 REPORT_VIEWS = {m.name: m for m in REPORTS}
 # Collections used only when the first choice of the same device is absent or empty.
 FALLBACKS = {"static_routes": "routing_table", "bgp_routes": "routing_table", "vpn_tunnels": "active_tunnels"}
+# Every collection that some measurement or summary reads.
+KNOWN_COLLECTIONS = frozenset(m.collection for m in MEASUREMENTS.values()) | {*FALLBACKS, *FALLBACKS.values(), "global_counters"}

@@ -84,6 +84,24 @@ def ts3_bucket_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, flows.bucket_means(events, "octets", ["device"]), "means")
 
 
+@query(
+    "ts3_bucket_mean_complete",
+    f"""with {POLLS} select device, ts_us - ts_us % 300000000 as bucket_us, count(*) as samples, cast(sum(octets) as bigint) as total,
+               cast(sum(octets) as double) / count(*) as mean_value from polls group by 1, 2""",
+)
+def ts3_bucket_mean_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows, open ones too: what append mode leaves out until the watermark passes."""
+    events = _event_stream(spark, sf_dir).select(
+        F.col("user_id").alias("device"), "ts", F.round(F.col("value") * 100).cast("bigint").alias("octets")
+    )
+    work = run_dir(spark, "all-means")
+    means = flows.bucket_means(events, "octets", ["device"])
+    flows.each_batch(means, flows.to_folder_per_batch(f"{work}/out"), f"{work}/checkpoint", "complete").awaitTermination()
+    every = spark.read.parquet(f"{work}/out")
+    latest = every.agg(F.max("batch_id").alias("batch_id"))
+    return every.join(latest, "batch_id", "left_semi").drop("batch_id")
+
+
 @query(
     "ts4_state_changes",
     f"""with {POLLS}, l as (select *, lag(iface) over (partition by device order by ts_us, event_id) as old from polls)
@@ -113,9 +131,14 @@ def ts4_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
        where user_id in (select user_id from events where event_type = 'signup' and value > 50)""",
 )
 def ts5_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = table(spark, sf_dir, "events").filter("event_type = 'signup' and value > 50").select("user_id")
+    def chosen(session: SparkSession) -> DataFrame:
+        return table(session, sf_dir, "events").filter("event_type = 'signup' and value > 50").select("user_id")
+
     stream = _event_stream(spark, sf_dir).select("event_id", "user_id", "event_type")
-    return _drained(spark, flows.selected_only(stream, chosen, ["user_id"]), "selected")
+    work = run_dir(spark, "selected")
+    write = flows.selecting(chosen, ["user_id"], flows.to_folder_per_batch(f"{work}/out"))
+    flows.each_batch(stream, write, f"{work}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work}/out").drop("batch_id")
 
 
 @query("ts6_without_repeats", "select user_id, event_type, epoch_us(ts) as ts_us, value from events")

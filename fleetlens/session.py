@@ -42,6 +42,26 @@ def run_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context.
+
+    Functions that run in Python workers are pickled by name, so a worker must be able to import the package. Clusters
+    with the package installed, or given it by ``--py-files``, need no call.
+    """
+    import shutil
+
+    context = spark.sparkContext
+    if getattr(context, "_fleetlens_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="fleetlens-")
+    archive = shutil.make_archive(
+        os.path.join(folder, "fleetlens"), "zip", os.path.dirname(package), os.path.basename(package)
+    )
+    context.addPyFile(archive)
+    context._fleetlens_shipped = True
+
+
 def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """Single-machine session for tests and the benchmark."""
     spark = (

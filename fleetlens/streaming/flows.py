@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fleetlens.operators import joins, project
+from fleetlens.operators.specs import KNOWN_COLLECTIONS
 from fleetlens.sources import snapshots, store
 
 
@@ -39,26 +40,47 @@ def without_repeats(stream: DataFrame, keys: Sequence[str], delay: str, ts: str
     return stamped.dropDuplicatesWithinWatermark([*keys, ts])
 
 
-def selected_only(stream: DataFrame, selection: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stream rows of currently selected keys. The selection is read again for every micro-batch,
-    so a changed selection takes effect; state of dropped keys ends by its time-to-live."""
-    return stream.join(selection.select(*keys).distinct(), list(keys), "left_semi")
+def selected_only(batch: DataFrame, selection: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of selected keys."""
+    return batch.join(selection.select(*keys).distinct(), list(keys), "left_semi")
 
 
-def points_of(envelopes: DataFrame) -> DataFrame:
-    """Points of a micro-batch of envelopes, by the batch functions.
+def selecting(
+    read_selection: Callable[[SparkSession], DataFrame], keys: Sequence[str], write: Callable[[DataFrame, int], None]
+):
+    """Writer that passes on the rows of keys selected now: the selection is read anew for every micro-batch."""
 
-    The names of the collections in the batch (a fixed, short list) are looked up first, so the plan
-    holds only passes that have something to read.
+    def pick(batch: DataFrame, batch_id: int) -> None:
+        write(selected_only(batch, read_selection(batch.sparkSession), keys), batch_id)
+
+    return pick
+
+
+def points_of(collections: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Points of the collection rows of a micro-batch, by the batch functions.
+
+    Which known collections occur is looked up first, so the plan holds only passes that have something to read. A
+    host name is the envelope's own, that kept in its data, one of the stored table ``hosts`` (collected_at,
+    device, reported), or the device's: never one that happens to be in the same micro-batch, so the points are the
+    same however files are grouped.
     """
-    collections = snapshots.collections(envelopes)
-    present = {row[0] for row in collections.select("collection").distinct().collect()}
-    return project.with_hostname(project.points(collections, present=present), joins.host_names(collections))
+    known = sorted(KNOWN_COLLECTIONS)
+    present = {row[0] for row in collections.select("collection").filter(F.col("collection").isin(known)).distinct().collect()}
+    reported = hosts if hosts is not None else joins.host_names(collections.limit(0))
+    return project.with_hostname(project.points(collections, present=present), reported)
 
 
-def metrics_of(envelopes: DataFrame) -> DataFrame:
-    """Long metrics of a micro-batch of envelopes."""
-    return project.long_metrics(points_of(envelopes))
+def with_points(envelopes: DataFrame, use: Callable[[DataFrame], None], hosts: DataFrame | None = None) -> None:
+    """``use`` the points of a micro-batch of envelopes, which is parsed once."""
+    collections = snapshots.collections(envelopes).persist()
+    try:
+        points = points_of(collections, hosts).persist()
+        try:
+            use(points)
+        finally:
+            points.unpersist()
+    finally:
+        collections.unpersist()
 
 
 def each_batch(
@@ -79,22 +101,33 @@ def to_folder_per_batch(path: str, transform: Callable[[DataFrame], DataFrame] |
     return write
 
 
-def to_lines_and_metrics(line_path: str, metric_path: str, prefix: str = ""):
-    """Line text and Parquet metrics of the same envelopes, each in a folder per batch."""
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Points or metrics by measurement, day and batch; a repeated batch replaces its own folders only."""
+    dated = df.withColumn("dt", F.to_date("collected_at")).withColumn("batch_id", F.lit(batch_id))
+    store.write_points(dated, path, partitions=("measurement", "dt", "batch_id"))
+
+
+def to_lines_and_metrics(line_path: str, metric_path: str, prefix: str = "", hosts: DataFrame | None = None):
+    """Line text and Parquet metrics of the same envelopes: lines by batch, metrics by measurement, day and batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        points = points_of(batch).persist()
-        try:
+        def both(points: DataFrame) -> None:
             store.write_lines(points, f"{line_path}/batch_id={batch_id}", prefix=prefix)
-            project.long_metrics(points).write.mode("overwrite").parquet(f"{metric_path}/batch_id={batch_id}")
-        finally:
-            points.unpersist()
+            write_batch(project.long_metrics(points), metric_path, batch_id)
+
+        with_points(batch, both, hosts)
 
     return write
 
 
-def ingest(spark: SparkSession, landing: str, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def ingest(
+    spark: SparkSession, landing: str, target: str, checkpoint: str, once: bool = True, files_per_trigger: int = 1000,
+    hosts: DataFrame | None = None,
+) -> StreamingQuery:
     """Landed envelope files to long metrics, exactly once per file."""
-    return each_batch(
-        snapshots.read_envelopes(spark, landing, streaming=True), to_folder_per_batch(target, metrics_of), checkpoint, once=once
-    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        with_points(batch, lambda points: write_batch(project.long_metrics(points), target, batch_id), hosts)
+
+    stream = snapshots.read_envelopes(spark, landing, streaming=True, files_per_trigger=files_per_trigger)
+    return each_batch(stream, write, checkpoint, once=once)

@@ -9,10 +9,12 @@ continuously running query: under the ``availableNow`` trigger such a query does
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
@@ -27,6 +29,10 @@ CHANGE_OUTPUT = "device {device}, ts_us bigint, tie bigint, prev_state string, s
 PAUSE_OUTPUT = "device {device}, ts_us bigint, tie bigint, length bigint"
 
 
+# The worker that prepares a stateful operator gets no files sent to the executors, so processors go by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 

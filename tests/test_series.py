@@ -113,10 +113,12 @@ def test_errors_clamp_on_their_own(spark):
 
 def test_numbering_across_blocks(spark):
     df = spark.range(1000).selectExpr("id % 3 as g", "id * 7 % 1000 as pos", "cast(id as string) as v")
-    got = number_within(df, ["g"], ["pos", "v"], block=64).collect()
-    for g in range(3):
-        ordered = sorted((r for r in got if r.g == g), key=lambda r: (r.pos, r.v))
-        assert [r.number for r in ordered] == list(range(1, len(ordered) + 1))
+    sparse = df.withColumn("pos", F.col("pos") * 86_400_000_000 + 7)
+    for got in (number_within(df, ["g"], ["pos", "v"], block=64, stretch=3), number_within(sparse, ["g"], ["pos", "v"])):
+        rows = got.collect()
+        for g in range(3):
+            ordered = sorted((r for r in rows if r.g == g), key=lambda r: (r.pos, r.v))
+            assert [r.number for r in ordered] == list(range(1, len(ordered) + 1))
 
 
 def test_slices_are_cut_by_rows_not_by_time(spark):

@@ -111,10 +111,39 @@ def test_restart_reads_only_new_files(spark, tmp_path):
 
 
 def test_selection_is_read_again(spark, tmp_path):
+    """The selection changes between two micro-batches of one running query."""
     schema = "device string, v bigint"
-    folder, chosen = str(tmp_path / "in"), str(tmp_path / "chosen")
-    spark.createDataFrame([("a", 1), ("b", 2)], schema).coalesce(1).write.parquet(folder)
+    folder, chosen, out = (str(tmp_path / n) for n in ("in", "chosen", "out"))
+    for v in (1, 2, 3):
+        spark.createDataFrame([("a", v), ("b", v)], schema).coalesce(1).write.mode("append").parquet(folder)
     spark.createDataFrame([("b",)], "device string").write.parquet(chosen)
-    stream = spark.readStream.schema(schema).parquet(folder)
-    got = drained(spark, flows.selected_only(stream, spark.read.parquet(chosen), ["device"]), tmp_path)
-    assert [(r.device, r.v) for r in got.collect()] == [("b", 2)]
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    to_folder = flows.to_folder_per_batch(out)
+
+    def write(batch, batch_id):
+        to_folder(batch, batch_id)
+        if batch_id == 0:
+            spark.createDataFrame([("a",)], "device string").write.mode("overwrite").parquet(chosen)
+
+    picked = flows.selecting(lambda session: session.read.parquet(chosen), ["device"], write)
+    flows.each_batch(stream, picked, str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.parquet(out).collect()
+    assert sorted((r.batch_id, r.device) for r in got) == [(0, "b"), (1, "a"), (2, "a")]
+
+
+@pytest.mark.parametrize("files", [1, 1000])
+def test_host_names_do_not_depend_on_the_grouping_of_files(spark, tmp_path, files):
+    landing, out, checkpoint = (str(tmp_path / n) for n in ("landing", "out", "checkpoint"))
+    for module, data in (
+        ("system", "named_struct('system_info', named_struct('system', named_struct('hostname', 'core-1')))"),
+        ("vpn", "named_struct('vpn_flows', named_struct('num_ipsec', 1, 'total', 2))"),
+    ):
+        spark.sql(
+            f"select timestamp'2024-01-01 00:00:00' as collected_at, '{module}' as module, 'fw1' as device, true as success, {data} as data"
+        ).coalesce(1).write.mode("append").json(landing)
+    stored = spark.sql("select timestamp'2024-01-01 00:00:00' as collected_at, 'fw1' as device, 'core-1' as reported")
+    for hosts, name in ((None, "fw1"), (stored, "core-1")):
+        target = f"{out}-{name}"
+        flows.ingest(spark, landing, target, f"{checkpoint}-{name}", files_per_trigger=files, hosts=hosts).awaitTermination()
+        rows = spark.read.parquet(target).filter("measurement = 'vpn_flows'").collect()
+        assert rows and {r.tags["hostname"] for r in rows} == {name}
