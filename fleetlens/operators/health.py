@@ -11,6 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.operators import series
+from fleetlens.operators.rollup import core_balance
+
 # Two cut-points per field (below the first ok, below the second warn).
 CLASSES = (
     ("cpu_usage", "cpu_total_used", 70.0, 90.0, True),
@@ -49,6 +52,17 @@ ALERTS = (
     ("ipsec_flow", "state_up", "=", "0", "critical"),
     ("ipsec_sa", "remaining_seconds", "<", "300", "warn"),
 )
+# Measurement, field, operator, the field it is held against and how much of it, severity.
+PAIRS = (
+    ("env_thermal", "temperature_c", ">", "max_temp_c", 0.9, "warn"),
+    ("env_fan", "rpm", "<", "min_rpm", 1.0, "critical"),
+    ("env_power", "volts", "<", "min_volts", 1.0, "critical"),
+    ("env_power", "volts", ">", "max_volts", 1.0, "critical"),
+)
+# Measurement, field, threshold and samples in a row; fields whose change, or whose fall, is an alert.
+SUSTAINED = (("cpu_usage", "cpu_total_used", 80.0, 3, "critical"),)
+CHANGES = (("ha_status", "local_state", "critical"),)
+FALLS = (("system_uptime", "uptime_seconds", "warn"),)
 CORE_IMBALANCE = 50.0
 HOT_SHARE = 0.9
 CONTENT_DAYS = 7
@@ -143,6 +157,99 @@ def alerts(metrics: DataFrame, rules: DataFrame, number: Column, text: Column) -
     )
 
 
+ALERT_COLUMNS = ("collected_at", "device", "measurement", "field", "op", "threshold", "severity")
+
+
+def _number(fields: str, name: Column | str) -> Column:
+    value = F.try_element_at(F.col(fields), F.lit(name) if isinstance(name, str) else name)
+    return F.coalesce(value["v_dbl"], value["v_int"].cast("double"))
+
+
+def with_error_totals(points: DataFrame) -> DataFrame:
+    """Points with ``errors_total``, the receive and send errors of an interface together."""
+    total = _number("fields", "rx_error") + _number("fields", "tx_error")
+    kind = points.schema["fields"].dataType
+    added = F.create_map(
+        F.lit("errors_total"),
+        F.struct(*[(total if f.name == "v_dbl" else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.valueType.fields]),
+    )
+    applies = (F.col("measurement") == "interface_counters_hw") & total.isNotNull()
+    return points.withColumn("fields", F.when(applies, F.map_concat("fields", added)).otherwise(F.col("fields")))
+
+
+def pair_alerts(points: DataFrame, pairs: Sequence[tuple] = PAIRS) -> DataFrame:
+    """Points in which one field breaks a limit that another field of the same point gives."""
+    rules = []
+    for measurement, name, op, other, share, severity in pairs:
+        limit = _number("fields", other) * share
+        broken = _number("fields", name) > limit if op == ">" else _number("fields", name) < limit
+        rules.append(
+            F.when(
+                (F.col("measurement") == measurement) & broken,
+                F.struct(F.lit(name).alias("field"), F.lit(op).alias("op"), limit.cast("string").alias("threshold"), F.lit(severity).alias("severity")),
+            )
+        )
+    found = points.filter(F.col("measurement").isin(*{p[0] for p in pairs})).select(
+        "collected_at", "device", "measurement", F.explode(F.array_compact(F.array(*rules))).alias("_r")
+    )
+    return found.select("collected_at", "device", "measurement", "_r.*").select(*ALERT_COLUMNS)
+
+
+def _rule_row(df: DataFrame, measurement: str, field: str, op: str, threshold: str, severity: str) -> DataFrame:
+    return df.select(
+        "collected_at", "device", F.lit(measurement).alias("measurement"), F.lit(field).alias("field"),
+        F.lit(op).alias("op"), F.lit(threshold).alias("threshold"), F.lit(severity).alias("severity"),
+    )
+
+
+def core_alerts(points: DataFrame, imbalance: float = CORE_IMBALANCE) -> DataFrame:
+    """Planes whose cores are unevenly loaded, and devices whose load average is above their number of cores."""
+    cores = points.filter("measurement = 'cpu_dataplane_cores'").select(
+        "collected_at", "device", F.col("tags")["dp_id"].alias("dp_id"), F.col("tags")["core_id"].cast("int").alias("core"),
+        _number("fields", "cpu_utilization_avg").alias("load"),
+    )
+    uneven = core_balance(cores, ["collected_at", "device", "dp_id"], "core", "load").filter(F.col("imbalance") > imbalance)
+    counted = cores.groupBy("collected_at", "device").agg(F.count("*").alias("n"))
+    loads = points.filter("measurement = 'load_average'").select("collected_at", "device", _number("fields", "load_15min").alias("load"))
+    above = loads.join(counted, ["collected_at", "device"]).filter("load > n")
+    return _rule_row(uneven, "cpu_dataplane_cores", "imbalance", ">", str(imbalance), "warn").unionByName(
+        _rule_row(above, "load_average", "load_15min", ">", "cores", "warn")
+    )
+
+
+def lookback_alerts(points: DataFrame, max_rows: int = series.MAX_ROWS) -> DataFrame:
+    """Alerts that need earlier samples of the device: a limit broken for some samples in a row, a changed state, a
+    fallen counter."""
+    out = None
+    for rules, kind in ((SUSTAINED, "sustained"), (CHANGES, "changed"), (FALLS, "fell")):
+        for measurement, name, *more in rules:
+            value = F.try_element_at("fields", F.lit(name))
+            samples = points.filter(F.col("measurement") == measurement).select(
+                "collected_at", "device", F.unix_micros("collected_at").alias("ts_us"),
+                _number("fields", name).alias("number"), value["v_str"].alias("text"),
+            )
+            keys, order = ("device",), ("ts_us",)
+            if kind == "sustained":
+                limit, run, severity = more
+                hits = series.sustained(samples, F.col("number") > limit, run, keys, order, max_rows)
+                found = _rule_row(hits, measurement, name, f"> for {run}", str(limit), severity)
+            elif kind == "changed":
+                hits = series.state_changes(samples, "text", keys, order, max_rows)
+                found = _rule_row(hits, measurement, name, "changed", "", more[0])
+            else:
+                hits = series.reboots(samples, "number", keys, order, max_rows)
+                found = _rule_row(hits, measurement, name, "fell", "", more[0])
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
+def catalog_alerts(points: DataFrame, metrics: DataFrame) -> DataFrame:
+    """All alerts of the catalog over points and their long metrics: single values, pairs, cores, look-back."""
+    number, text = metric_columns(metrics)
+    single = alerts(metrics, alert_rules(points.sparkSession), number, text).select(*ALERT_COLUMNS)
+    return single.unionByName(pair_alerts(points)).unionByName(core_alerts(points)).unionByName(lookback_alerts(points))
+
+
 def sensor_alarm(value: Column, low: Column, high: Column) -> Column:
     """A sensor outside its own limits."""
     return F.coalesce((value < low) | (value > high), F.lit(False))
@@ -180,8 +287,3 @@ def metric_columns(metrics: DataFrame) -> tuple[Column, Column]:
     """Number and text of a long metric row."""
     number = F.coalesce(F.col("v_dbl"), F.col("v_int").cast("double"), F.col("v_bool").cast("int").cast("double"))
     return number, F.coalesce(F.col("v_str"), F.col("v_bool").cast("string"))
-
-
-def fields_with_rules(rules: DataFrame) -> Sequence[str]:
-    """Measurements that have rules (for partition pruning); bounded by the rule set."""
-    return [r[0] for r in rules.select("measurement").distinct().collect()]
