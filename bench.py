@@ -39,6 +39,10 @@ HEADLINE = (
     "c2_value_profile",
     "x1_dictionary",
     "x6_compound_text",
+    "x_documents",
+    "s2_envelope_explode",
+    "w13_epoch_reset",
+    "ts2_stream_rate",
 )
 
 

@@ -4,13 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.operators.specs import MEASUREMENTS
+
 # Most points per device and collection that still count as low and medium.
 LOW_POINTS = 1
 MEDIUM_POINTS = 100
 LABELS = ("boolean", "float", "integer", "string")
+# How a field's name ends, and the unit that stands for.
+UNITS = (
+    ("_mib", "MiB"), ("_gb", "GB"), ("_bytes", "bytes"), ("ibytes", "bytes"), ("obytes", "bytes"), ("_percent", "percent"),
+    ("_used", "percent"), ("_seconds", "seconds"), ("_days", "days"), ("_temp_c", "degrees Celsius"),
+    ("temperature_c", "degrees Celsius"), ("rpm", "revolutions per minute"), ("volts", "volts"), ("_bps", "bits per second"),
+    ("_pps", "packets per second"),
+)
+
+
+def unit(key: Column) -> Column:
+    """Unit of a field by the end of its name; null where none is known."""
+    out = F.lit(None).cast("string")
+    for end, name in reversed(UNITS):
+        out = F.when(key.endswith(end), name).otherwise(out)
+    return out
+
+
+def words(key: Column) -> Column:
+    """A name as words, which is what a field or measurement without a text of its own is described by."""
+    return F.trim(F.regexp_replace(key, "[_-]+", " "))
+
+
+def descriptions(spark: SparkSession) -> DataFrame:
+    """The static table of all measurements of this library: words of the name, module, how often, notes."""
+    rows = [
+        (m.name, m.name.replace("_", " "), m.module, "each collection", f"{len(m.fields) + len(m.computed)} fields of {m.collection}")
+        for m in sorted(MEASUREMENTS.values(), key=lambda m: m.name)
+    ]
+    return spark.createDataFrame(
+        rows, "measurement string, description string, category string, update_frequency string, notes string"
+    )
 
 
 def value_profile(
@@ -34,7 +67,7 @@ def value_profile(
         F.sum("_rows").alias("rows"),
         F.count("_value").alias("distinct_values"),
         seen.alias("types"),
-        F.min_by("_value", F.when(F.col("_value").isNotNull(), F.col("_first"))).alias("example"),
+        F.min_by("_value", F.when(F.col("_value").isNotNull(), F.struct("_first", "_value"))).alias("example"),
     )
 
 
@@ -61,12 +94,13 @@ def cardinality(points: DataFrame, name: str = "measurement", per: Sequence[str]
 
 
 def catalog(points: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """One row per measurement: category, tags and fields with type and example, cardinality, notes.
+    """One row per measurement: category, tags and fields with type, first example, unit and words, cardinality, notes.
 
+    The first example is that of the earliest collection, of equal ones the first device, then the smallest text.
     ``points`` are point rows (``project.points``); ``descriptions`` is the static table
     ``(measurement, description, category, update_frequency, notes)``.
     """
-    stamped = points.withColumn("_pos", F.xxhash64("device", "collected_at"))
+    stamped = points.withColumn("_pos", F.struct("collected_at", "device"))
     tag_rows = stamped.select(
         "measurement", "_pos", F.explode("tags").alias("key", "text")
     ).select("*", F.lit("tag").alias("role"), F.lit("string").alias("kind"))
@@ -88,8 +122,9 @@ def catalog(points: DataFrame, descriptions: DataFrame) -> DataFrame:
         tag_rows.unionByName(field_rows), ("measurement", "role", "key"), "text", F.col("kind"), "_pos"
     )
     described = F.struct(
-        F.col("key"), F.array_join("types", "|").alias("type"), F.col("example"), F.col("distinct_values")
-    )
+        F.col("key"), F.array_join("types", "|").alias("type"), F.col("example"), F.col("distinct_values"),
+        F.when(F.col("role") == "field", unit(F.col("key"))).alias("unit"), words(F.col("key")).alias("description"),
+    )
     gathered = keys.groupBy("measurement").agg(
         F.array_sort(F.collect_list(F.when(F.col("role") == "tag", described))).alias("tags"),
         F.array_sort(F.collect_list(F.when(F.col("role") == "field", described))).alias("fields"),

@@ -228,21 +228,25 @@ def _part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         "measurement string, description string, category string, update_frequency string, notes string",
     )
     points = part_points(spark, sf_dir).withColumn("tags", F.map_filter("tags", lambda _, v: v.isNotNull() & (v != "")))
+    named = F.transform_keys("fields", lambda k, _: F.when(k == "size", "size_mib").otherwise(k))
     return catalog.catalog(
-        points.withColumn("fields", F.map_filter("fields", lambda k, _: k != "absent")), descriptions
+        points.withColumn("fields", F.map_filter(named, lambda k, _: k != "absent")), descriptions
     )
 
 
+CATALOG = """k as (
+         select 'tag' as role, 'name' as key, 'string' as type, count(distinct p_name) as distinct_values, arg_min(p_name, 'dev-' || cast(p_partkey as varchar)) as example, null as unit, 'name' as description from part
+         union all select 'tag', 'brand', 'string', count(distinct p_brand) filter (where p_partkey % 3 > 0), arg_min(p_brand, 'dev-' || cast(p_partkey as varchar)) filter (where p_partkey % 3 > 0), null, 'brand' from part
+         union all select 'field', 'size_mib', 'integer', count(distinct p_size), cast(arg_min(p_size, 'dev-' || cast(p_partkey as varchar)) as varchar), 'MiB', 'size mib' from part
+         union all select 'field', 'retail price', 'float', count(distinct p_retailprice), cast(arg_min(p_retailprice, 'dev-' || cast(p_partkey as varchar)) as varchar), null, 'retail price' from part
+         union all select 'field', 'kind', 'string', count(distinct p_type), 'say "' || arg_min(p_type, 'dev-' || cast(p_partkey as varchar)) || '"', null, 'kind' from part
+         union all select 'field', 'large', 'boolean', count(distinct p_size > 25), case when arg_min(p_size, 'dev-' || cast(p_partkey as varchar)) > 25 then 'true' else 'false' end, null, 'large' from part)"""
+
+
 @query(
     "c2_catalog",
-    """with k as (
-         select 'tag' as role, 'name' as key, 'string' as type, count(distinct p_name) as distinct_values from part
-         union all select 'tag', 'brand', 'string', count(distinct p_brand) filter (where p_partkey % 3 > 0) from part
-         union all select 'field', 'size', 'integer', count(distinct p_size) from part
-         union all select 'field', 'retail price', 'float', count(distinct p_retailprice) from part
-         union all select 'field', 'kind', 'string', count(distinct p_type) from part
-         union all select 'field', 'large', 'boolean', count(distinct p_size > 25) from part)
-       select 'stock item' as measurement, 'stock' as category, 'low' as cardinality, cast(1 as bigint) as points_per_collection, role, key, type, distinct_values from k""",
+    f"""with {CATALOG}
+       select 'stock item' as measurement, 'stock' as category, 'low' as cardinality, cast(1 as bigint) as points_per_collection, role, key, type, example, distinct_values, unit, description from k""",
 )
 def c2_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _part_catalog(spark, sf_dir)
@@ -251,7 +255,7 @@ def c2_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("field").alias("role"), F.col("fields").alias("keys")),
     )
     listed = rows.select("measurement", "category", "cardinality", "points_per_collection", F.inline(both))
-    return listed.select("measurement", "category", "cardinality", "points_per_collection", "role", F.inline("keys")).drop("example")
+    return listed.select("measurement", "category", "cardinality", "points_per_collection", "role", F.inline("keys"))
 
 
 @query(
@@ -296,14 +300,21 @@ def c4_type_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "c5_catalog_export",
-    """with n as (select p_partkey, count(*) as n from part group by 1)
-       select 'stock item' as measurement, 'stock' as category, case when max(n) <= 1 then 'low' else 'medium' end as cardinality,
-              max(n) as points_per_collection from n""",
+    f"""with {CATALOG}, n as (select p_partkey, count(*) as n from part group by 1), m as (select max(n) as n from n)
+       select 'stock item' as measurement, 'stock' as category, case when n <= 1 then 'low' else 'medium' end as cardinality, n as points_per_collection,
+              role, key, type, example, distinct_values, unit, description from k, m""",
 )
 def c5_catalog_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "catalog")
-    catalog.written(_part_catalog(spark, sf_dir), path)
-    return spark.read.schema("measurement string, category string, cardinality string, points_per_collection bigint").json(path)
+    rows = _part_catalog(spark, sf_dir)
+    catalog.written(rows, path)
+    stored = spark.read.schema(rows.schema).json(path)
+    both = F.array(
+        F.struct(F.lit("tag").alias("role"), F.col("tags").alias("keys")),
+        F.struct(F.lit("field").alias("role"), F.col("fields").alias("keys")),
+    )
+    listed = stored.select("measurement", "category", "cardinality", "points_per_collection", F.inline(both))
+    return listed.select("measurement", "category", "cardinality", "points_per_collection", "role", F.inline("keys"))
 
 
 # ---- pseudonyms -----------------------------------------------------------------------------
