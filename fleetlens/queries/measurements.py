@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetlens.operators import project
 from fleetlens.operators.specs import MEASUREMENTS, REPORT_VIEWS
 from fleetlens.plans.fleet import Plan, collection_rows, expected_sql, real, text, whole, word
+from fleetlens.plans.ticks import table
 from fleetlens.queries import query
+from fleetlens.sources import snapshots
 
 M = MEASUREMENTS | REPORT_VIEWS
 
@@ -245,3 +248,74 @@ def _register(name: str, plan: Plan) -> None:
 
 for _name, _plan in _plans().items():
     _register(_name, _plan)
+
+
+# ---- measurements against SQL written by hand, with documents written out ---------------------
+
+
+def _written_out() -> str:
+    """A document for each supplier, in the layouts that devices send; values are columns of the table."""
+    return """concat('{"system":{"', s_name, '":{"success":true,"hostname":"h","data":{
+        "extended_cpu":{"resource-monitor":{"dp0":{"second":{"task":{"flow_lookup":"', s_nationkey, '%","send_out":"7%"},
+            "resource-utilization":{"entry":[{"name":"session","value":"', s_nationkey, ',', s_nationkey + 2, '"},{"name":"Packet Buffer","value":"4"}]},
+            "cpu-load-average":{"entry":{"coreid":0,"value":"', s_nationkey, '"}}}}}},
+        "ha_status":{"enabled":"yes","group":{"mode":"Active-Passive","local-info":{"state":"s', s_nationkey, '","priority":', s_suppkey, ',"preempt-flap-cnt":2}}}}}},
+      "interfaces":{"', s_name, '":{"success":true,"data":{"interface_counters":{
+        "hw":{"entry":[{"name":"eth1","port":{"rx-bytes":', s_suppkey * 10, ',"tx-error":', s_nationkey, ',"link-down":3},"ibytes":', s_suppkey, '}]},
+        "ifnet":{"ifnet":{"entry":{"name":"eth1.1","obytes":', s_suppkey * 7, ',"icmp_frag":', s_nationkey, ',"neighpend":1}}}}}}},
+      "routing":{"', s_name, '":{"success":true,"data":{"routing_mode":"advanced",
+        "bgp_summary":{"r1":{"router_id":"1.1.1.1","local_as":65000,"total_peers":', s_nationkey, ',"peers_down":1}},
+        "bgp_peer_status":{"p1":{"state":"Established","peer-ip":"10.0.0.1","remote-as":', s_suppkey, ',"status-time":12.25,"detail":{"messageStats":{"totalSent":', s_nationkey, ',"updatesRecv":5}}}},
+        "bgp_path_monitor":{"entry":[{"destination":"d","nexthop":"n","pathmonitor-status":"Up","metric":', s_nationkey, ',"monitordst-0":"8.8.8.8","monitorstatus-0":"st', s_nationkey, '"}]}}}},
+      "vpn":{"', s_name, '":{"success":true,"data":{
+        "vpn_gateways":{"entries":{"entry":[{"name":"g","id":"', s_nationkey, '","sock":4,"v2":{"peer-id":"x(ipaddr:10.1.0.', s_nationkey, ')","auth":"psk","life":"', s_suppkey, '"}}]}},
+        "ipsec_sa":{"entries":{"entry":{"name":"t","gateway":"g","gwid":', s_nationkey, ',"remote":"192.0.2.', s_nationkey, '","life":"200","remain":"', s_nationkey, '"}}}}}}}')"""
+
+
+INDEPENDENT = (
+    ("cpu_dataplane_tasks", "task_flow_lookup", "s_nationkey"), ("cpu_dataplane_tasks", "task_send_out", "7"),
+    ("cpu_dataplane_tasks", "resource_session_avg", "s_nationkey + 1"), ("cpu_dataplane_tasks", "resource_packet_buffer_avg", "4"),
+    ("cpu_dataplane_tasks", "cpu_cores", "1"), ("cpu_dataplane_cores", "cpu_utilization_avg", "s_nationkey"),
+    ("ha_status", "local_priority", "s_suppkey"), ("ha_status", "preempt_flap_cnt", "2"),
+    ("interface_counters_hw", "rx_bytes", "s_suppkey * 10"), ("interface_counters_hw", "tx_error", "s_nationkey"),
+    ("interface_counters_hw", "link_down_count", "3"), ("interface_counters_hw", "ibytes", "s_suppkey"),
+    ("interface_counters_logical", "obytes", "s_suppkey * 7"), ("interface_counters_logical", "icmp_frag", "s_nationkey"),
+    ("interface_counters_logical", "neighpend", "1"),
+    ("bgp_summary", "total_peers", "s_nationkey"), ("bgp_summary", "peers_down", "1"),
+    ("bgp_peer", "remote_as", "s_suppkey"), ("bgp_peer", "state_up", "1"), ("bgp_peer", "messages_sent", "s_nationkey"),
+    ("bgp_peer", "updates_received", "5"), ("bgp_path_monitor", "metric", "s_nationkey"), ("bgp_path_monitor", "path_up", "1"),
+    ("vpn_gateway", "gateway_id", "s_nationkey"), ("vpn_gateway", "socket", "4"), ("vpn_gateway", "ike_version", "2"),
+    ("vpn_gateway", "lifetime", "s_suppkey"), ("ipsec_sa", "gateway_id", "s_nationkey"), ("ipsec_sa", "lifetime_seconds", "200"),
+    ("ipsec_sa", "remaining_seconds", "s_nationkey"),
+)
+INDEPENDENT_TEXT = (
+    ("ha_status", "local_state", "'s' || cast(s_nationkey as varchar)"), ("ha_status", "ha_mode", "'Active-Passive'"),
+    ("bgp_path_monitor", "monitor_0_destination", "'8.8.8.8'"),
+    ("bgp_path_monitor", "monitor_0_status", "'st' || cast(s_nationkey as varchar)"),
+    ("vpn_gateway", "peer_ip", "'10.1.0.' || cast(s_nationkey as varchar)"), ("vpn_gateway", "authentication", "'psk'"),
+    ("ipsec_sa", "remote_ip", "'192.0.2.' || cast(s_nationkey as varchar)"),
+)
+
+
+@query(
+    "pj_written_out",
+    " union all ".join(
+        [f"select s_name as device, '{m}' as measurement, '{f}' as field, cast({v} as double) as number, cast(null as varchar) as text from supplier" for m, f, v in INDEPENDENT]
+        + [f"select s_name, '{m}', '{f}', null, {v} from supplier" for m, f, v in INDEPENDENT_TEXT]
+        + ["select s_name, 'ipsec_sa', 'remaining_percent', cast(s_nationkey as double) / 2, null from supplier where s_nationkey > 0",
+           "select s_name, 'bgp_peer', 'status_time', 12.2::double, null from supplier"]
+    ),
+)
+def pj_written_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measurements that few other queries reach, from whole documents; of their fields those that the documents set."""
+    raw = table(spark, sf_dir, "supplier").select(
+        F.expr(_written_out()).alias("payload"), F.lit("2024-01-01").cast("timestamp").alias("collected_at")
+    )
+    good, _ = snapshots.parsed(raw)
+    names = {"extended_cpu", "ha_status", "interface_counters", "bgp_summary", "bgp_peer_status", "bgp_path_monitor", "vpn_gateways", "ipsec_sa"}
+    points = project.points(snapshots.collections(snapshots.envelopes(good)), present=names)
+    metrics = project.long_metrics(points).filter(
+        "field not in ('enabled', 'monitor_0_interval_count', 'local_ip', 'pathmonitor_condition')"
+    )
+    number = F.coalesce(F.col("v_dbl"), F.col("v_int").cast("double"))
+    return metrics.select("device", "measurement", "field", number.alias("number"), F.col("v_str").alias("text"))
