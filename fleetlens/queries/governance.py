@@ -260,8 +260,11 @@ def c2_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a8_catalog_summary",
-    """select category, cast(1 as bigint) as measurements, cast(2 as bigint) as tags, cast(4 as bigint) as fields, cast(1 as bigint) as low_cardinality,
-       cast(0 as bigint) as medium_cardinality, cast(0 as bigint) as high_cardinality from (values ('stock'), ('all')) t(category) where (select count(*) from part) > 0""",
+    f"""with {CATALOG}, n as (select max(n) as n from (select count(*) as n from part group by p_partkey)),
+       t as (select count(*) filter (role = 'tag' and distinct_values > 0) as tags, count(*) filter (role = 'field' and distinct_values > 0) as fields from k)
+       select category, cast(1 as bigint) as measurements, tags, fields, cast(n <= 1 as bigint) as low_cardinality,
+         cast(n > 1 and n <= 100 as bigint) as medium_cardinality, cast(n > 100 as bigint) as high_cardinality
+       from t, n, (values ('stock'), ('all')) c(category)""",
 )
 def a8_catalog_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.summary(_part_catalog(spark, sf_dir))
