@@ -6,10 +6,11 @@ texts; its size is fixed and it is what reaches every executor. Consistent weigh
 of each text such that two texts draw the same one with a chance of their weighted Jaccard similarity, and ``ROWS``
 draws make a band. Texts that share a band are candidates:
 
-1. each text with the smallest one of its bucket; pairs whose drawn samples differ too much are left out, the others
-   are verified by the weighted Jaccard similarity of their whole texts;
-2. in buckets that still hold more than one component, each text with the most similar ones (by samples) of every
-   other component, block against block, verified alike. So a text that is no copy of its bucket's smallest one is
+1. each text with one other, the smallest of all its buckets: a row for each text, however large its group; pairs
+   whose drawn samples differ too much are left out, the others are verified by the weighted Jaccard similarity of
+   their whole texts;
+2. in buckets that still hold more than one component, each text of the smaller component with the most similar ones
+   (by samples) of the larger, block against block, verified alike. So a text that is no copy of the smallest one is
    still found through any other.
 
 Linked texts form classes. Equal texts are one node throughout, so a text with millions of copies is sampled by each
@@ -38,7 +39,7 @@ SAMPLES = BANDS * ROWS
 AGREE = SIMILAR - 3 * (SIMILAR * (1 - SIMILAR) / SAMPLES) ** 0.5
 #: Cells of each of the two rows of the sketch, in as many parts.
 CELLS, PARTS = 1 << 18, 64
-#: Texts of a bucket that are compared with as many others at a time; partners of a text in each other component.
+#: Texts of a bucket that are compared with as many others at a time; partners of a text in each larger component.
 BLOCK, PARTNERS = 1500, 2
 
 
@@ -210,7 +211,7 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _partners(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block with another: for each text the most similar ones of every other component."""
+    """Pairs of a block with another: for each text the most similar ones of every component larger than its own."""
     drawn = np.stack(group["samples"].to_numpy())
     node, root = group["node"].to_numpy(), group["root"].to_numpy()
     block, task = group["block"].to_numpy(), int(group["task"].iloc[0])
@@ -219,17 +220,22 @@ def _partners(group: pd.DataFrame) -> pd.DataFrame:
     same = np.zeros((len(a), len(b)), "uint8")
     for k in range(SAMPLES):
         same += drawn[a, k][:, None] == drawn[b, k][None, :]
-    x, y = np.nonzero((same >= int(AGREE * SAMPLES)) & (root[a][:, None] != root[b][None, :]))
+    _, part, size = np.unique(root, return_inverse=True, return_counts=True)
+    place = (size * len(node) + np.arange(len(size)))[part]  # larger components come later
+    near = same >= int(AGREE * SAMPLES)
     pairs = []
-    for own, other, i, j in ((x, y, a, b), (y, x, b, a)):
+    for x, y, own, other, i, j in (
+        (*(z := np.nonzero(near & (place[a][:, None] < place[b][None, :]))), z[0], z[1], a, b),
+        (*(z := np.nonzero(near & (place[a][:, None] > place[b][None, :]))), z[1], z[0], b, a),
+    ):
         order = np.lexsort((-same[x, y].astype("int"), root[j[other]], own))
         key = np.stack((own[order], root[j[other]][order]))
         new = np.ones(len(order), bool)
         new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
-        place = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        best = order[place < PARTNERS]
+        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+        best = order[nth < PARTNERS]
         pairs.append(np.sort(np.stack((node[i[own[best]]], node[j[other[best]]])), axis=0))
-    u, v = np.unique(np.concatenate(pairs, axis=1), axis=1) if len(x) else (np.zeros(0, "int64"),) * 2
+    u, v = np.unique(np.concatenate(pairs, axis=1), axis=1)
     return pd.DataFrame({"u": u, "v": v})
 
 
@@ -264,7 +270,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     texts = rows.join(ids_side(wanted), same).groupBy("node").agg(F.first("text").alias("text"))
     texts = written(texts, "texts")
 
-    star = buckets.filter("node <> lowest").select(F.col("lowest").alias("u"), F.col("node").alias("v")).distinct()
+    star = buckets.filter("node <> lowest").groupBy(F.col("node").alias("v")).agg(F.min("lowest").alias("u"))
     found = written(verified(_agreeing(star, owners), texts, known, similar), "verified")
     roots = written(components(found), "roots")
     more = verified(_across(buckets, owners, roots), texts, known, similar)
@@ -277,12 +283,18 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 
 def _across(buckets: DataFrame, owners: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidates between components that still share a bucket of three texts or more."""
-    rooted = buckets.filter("n > 2").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    """Candidates between components that still share a bucket."""
+    rooted = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     mixed = (
-        rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"))
-        .filter("a <> b").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        rooted.groupBy("bucket").agg(
+            F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"),
+            F.min("node").alias("u"), F.max("node").alias("v"),
+        )
+        .filter("a <> b").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     )
+    mixed = written(mixed, "mixed")
+    two = _agreeing(mixed.filter("n = 2").select("u", "v").distinct(), owners)
+    mixed = mixed.filter("n > 2").select("bucket", "blocks")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     placed = rooted.join(mixed, "bucket").select("bucket", "node", "root", "blocks", block.alias("block"))
     tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -290,7 +302,7 @@ def _across(buckets: DataFrame, owners: DataFrame, roots: DataFrame) -> DataFram
         (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("task"),
     )
     full = tasks.join(owners.select("node", "samples"), "node")
-    return full.groupBy("bucket", "task").applyInPandas(_partners, "u long, v long").distinct()
+    return full.groupBy("bucket", "task").applyInPandas(_partners, "u long, v long").unionByName(two).distinct()
 
 
 def dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
