@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.columns import text_of, unpacked, whole_row
+from fleetlens.llm.shared import ids_side, written
 
 #: Bytes of distinct texts that one task keeps in memory.
 BUDGET = 48 << 20
+#: Texts with copies (about 200 bytes each) that may be sent to every executor.
+BROADCAST_GROUPS = 150_000
 #: Spill files for each level of partitioning: one for each hexadecimal digit.
 DIGITS = "0123456789abcdef"
 
@@ -157,8 +160,9 @@ def copies(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Nulls and ties as in ``dedup``: of rows equal in text and doc_id exactly one is marked as kept. keep_id is null
-    only where all rows of a text have a null doc_id; then one of them is kept. Only digests travel to the second
-    join, in which Spark can split the rows of a large group.
+    only where all rows of a text have a null doc_id; then one of them is kept. The texts that have copies are written
+    as a small table of digests; rows look their digest up there, without a shuffle while that table is small, and else
+    in a join in which Spark can split the rows of a large group.
     """
     text = text_of(docs)
     slim = docs.select(F.sha2(text, 256).alias("digest"), docs["doc_id"].cast("long").alias("id"))
@@ -166,8 +170,8 @@ def copies(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
         F.sha2(text, 256).alias("digest"), text.alias("text"), docs["doc_id"].cast("long").alias("id"),
         F.lit(1).cast("long").alias("n"),
     )
-    groups = _distinct(rows, budget).filter("n > 1").select("digest", F.col("id").alias("keep"), "n")
-    joined = slim.join(groups, "digest", "left").select(
+    groups = written(_distinct(rows, budget).filter("n > 1").select("digest", F.col("id").alias("keep"), "n"), "copied")
+    joined = slim.join(ids_side(groups, BROADCAST_GROUPS), "digest", "left").select(
         "id", "digest", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"),
         F.coalesce("n", F.lit(1).cast("long")).alias("n"),
     )
