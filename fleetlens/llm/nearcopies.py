@@ -1,14 +1,15 @@
 """Near copies by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is a weighted set of its five-word shingles: one plus the logarithm of the count in the text, times an inverse
-document frequency between 1 (in all texts) and 2 (in one). Document frequencies come from a count sketch over all
+document frequency damped to lie between 1 (in all texts) and 1.25 (in one), so that a large family of copies is not
+judged by its edits alone. Document frequencies come from a count sketch over all
 texts; its size is fixed and it is what reaches every executor. Consistent weighted sampling draws ``SAMPLES`` shingles
 of each text such that two texts draw the same one with a chance of their weighted Jaccard similarity, and ``ROWS``
 draws make a band. Texts that share a band are candidates:
 
 1. each text with one other, the smallest of all its buckets: a row for each text, however large its group; pairs
-   whose drawn samples differ too much are left out, the others are verified by the weighted Jaccard similarity of
-   their whole texts;
+   whose drawn samples differ too much are left out, the others are verified by the Jaccard similarity of their whole
+   texts, weighted or of the plain sets, whichever is larger;
 2. in buckets that still hold more than one component, each text of the smaller component with the most similar ones
    (by samples) of the larger, block against block, verified alike. So a text that is no copy of the smallest one is
    still found through any other.
@@ -37,6 +38,8 @@ BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
 #: Candidates of which fewer samples agree are not verified: at 0.8, three standard deviations below.
 AGREE = SIMILAR - 3 * (SIMILAR * (1 - SIMILAR) / SAMPLES) ** 0.5
+#: How far the rarest shingles stand above the commonest.
+DAMPED = 0.25
 #: Cells of each of the two rows of the sketch, in as many parts.
 CELLS, PARTS = 1 << 18, 64
 #: Texts of a bucket that are compared with as many others at a time; partners of a text in each larger component.
@@ -72,7 +75,7 @@ class Frequencies:
     def idf(self, h: np.ndarray) -> np.ndarray:
         a, b = _cells(h)
         df = np.minimum(np.minimum(self.sketch[0, a], self.sketch[1, b]), self.texts)
-        return 1 + np.log((self.texts + 1) / (df + 1)) / np.log(self.texts + 1)
+        return 1 + DAMPED * np.log((self.texts + 1) / (df + 1)) / np.log(self.texts + 1)
 
     def weights(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return (1 + np.log(counts)) * self.idf(h)
@@ -179,14 +182,15 @@ def samples(rows: DataFrame, known: Frequencies) -> DataFrame:
 
 
 def similarity(a: str, b: str, known: Frequencies) -> float:
-    """Weighted Jaccard similarity of two whole texts; 0 if either has no words."""
+    """Jaccard similarity of two whole texts, weighted or plain, whichever is larger; 0 if either has no words."""
     (_, _, h, n, _), (_, _, g, m, _) = (next(weighted([t])) for t in (a, b))
     if not len(h) or not len(g):
         return 0.0
     v, w = known.weights(h, n), known.weights(g, m)
     _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
     both = np.minimum(v[i], w[j]).sum()
-    return float(both / (v.sum() + w.sum() - both))
+    plain = len(i) / (len(h) + len(g) - len(i))
+    return max(plain, float(both / (v.sum() + w.sum() - both)))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, known: Frequencies, similar: float) -> DataFrame:
