@@ -18,6 +18,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ids_side(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """A table of ids for one side of a join; hinted for broadcast if its counted rows are ``most`` at most."""
-    return F.broadcast(ids) if ids.count() <= most else ids
+def ids_side(ids: DataFrame, most: int | None = None) -> DataFrame:
+    """A table of ids for one side of a join; hinted for broadcast if its counted rows are ``most`` at most
+    (BROADCAST_IDS unless given)."""
+    return F.broadcast(ids) if ids.count() <= (BROADCAST_IDS if most is None else most) else ids

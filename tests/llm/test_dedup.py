@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 from hashlib import sha256
 
 import pyarrow as pa
+import pytest
 
 from fleetlens.llm import exactdedup
 
@@ -13,7 +14,9 @@ def expected(rows):
     return {t: (max((i for i in ids if i is not None), default=None), len(ids)) for t, ids in groups.items()}
 
 
-def test_copies_against_brute_force(spark, awkward):
+@pytest.mark.parametrize("groups", [exactdedup.BROADCAST_GROUPS, -1])
+def test_copies_against_brute_force(spark, awkward, monkeypatch, groups):
+    monkeypatch.setattr(exactdedup, "BROADCAST_GROUPS", groups)
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
     want = expected(rows)
     got = exactdedup.copies(awkward).collect()

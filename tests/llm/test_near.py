@@ -4,8 +4,9 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+import pytest
 
-from fleetlens.llm import graph, nearcopies, words
+from fleetlens.llm import graph, nearcopies, shared, words
 
 
 def sentence(r, n):
@@ -71,7 +72,9 @@ def test_classes_against_brute_force(documents):
     assert nearcopies.dedup(df).count() == len(set(want.values())) and nearcopies.dedup(df).columns == df.columns
 
 
-def test_awkward_rows(awkward):
+@pytest.mark.parametrize("ids", [shared.BROADCAST_IDS, -1])
+def test_awkward_rows(awkward, monkeypatch, ids):
+    monkeypatch.setattr(shared, "BROADCAST_IDS", ids)
     got = nearcopies.classes(awkward).collect()
     assert len(got) == awkward.count()
     by = defaultdict(list)
