@@ -6,8 +6,9 @@ branch with the largest margin comes next, whichever tree it belongs to, until t
 What those leaves hold is ranked by the exact product in double precision.
 
 Inner products become distances by one more coordinate, which brings all vectors to the same length. The trees are fitted
-to ``SAMPLE`` rows with the smallest hashes of their ids; every row is indexed. What falls far behind the best of
-``BOUND`` such rows can be in no answer and is left out where a leaf is ranked. How many leaves a query sees follows
+to ``SAMPLE`` rows with the smallest hashes of their ids; every row is indexed. Of ``BOUND``
+such rows, a query ranks those in its own leaves first: what falls behind its best of them can be in no answer and is
+left out where a leaf is ranked. How many leaves a query sees follows
 from ``RECALL``: a bounded set of queries is answered exactly over all rows, and the leaves are as many as their true
 neighbours ask for. Vectors without structure need many leaves, whatever the trees; more of the sample and smaller
 leaves pay off where there is some.
@@ -32,8 +33,10 @@ from fleetlens.llm.shared import written
 TOP, EVERY = 20, 20
 SAMPLE, TREES, LEAF = 8192, 4, 64
 RECALL, CALIBRATION = 0.96, 64
-#: Rows that give each query a first bound, and how far behind the length of an answer the bound lies among them.
-BOUND, BEHIND = 32768, 12
+#: Rows of which those in a query's leaves give it a first bound.
+BOUND = 32768
+#: What two sums of the same products may differ by.
+ROUNDING = 1e-9
 #: Vectors, and queries, of a leaf that meet at a time.
 ROW_BLOCK, QUERY_BLOCK = 4096, 2048
 
@@ -217,6 +220,7 @@ def search(
     drawn = index.orderBy(F.xxhash64("node"), "node").limit(max(sample, BOUND)).select("vec").toArrow()
     bound = _matrix(drawn["vec"], width)[:BOUND]
     forest = Forest(_lifted(_matrix(drawn["vec"], width)[:sample], longest), trees, leaf)
+    bound_cells = forest.cells(_lifted(bound, longest))
     asked = rows.filter(F.col("id") % every == 0).groupBy("vec").agg(F.collect_set("id").alias("askers"), F.min("id").alias("node"))
     asked = written(asked, "queries")
     leaves = _calibrated(index, asked, forest, longest, width, top)
@@ -235,12 +239,15 @@ def search(
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 points = _matrix(part["vec"], width)
-                scores = points @ bound.T
-                # what falls behind so many rows of the sample is in no answer, even if some of those are not found
-                least, behind = np.full(len(points), -np.inf), top + BEHIND
-                if scores.shape[1] > behind:
-                    least = -np.partition(-scores, behind, axis=1)[:, behind]
-                found = list(forest.visited(_flat(points), leaves))
+                scores, found = points @ bound.T, list(forest.visited(_flat(points), leaves))
+                least = np.full(len(points), -np.inf)
+                for i, own in enumerate(found):
+                    seen = np.zeros(int(forest.first[-1]), bool)
+                    seen[own] = True
+                    # these rows are met again in the leaves; one more than an answer, as the query may be among them
+                    met = scores[i][seen[bound_cells].any(1)]
+                    if len(met) > top:
+                        least[i] = -np.partition(-met, top)[top] - ROUNDING
                 repeated = pa.array(np.repeat(np.arange(len(points)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays(
                     [
