@@ -30,7 +30,7 @@ LEAF_CHARS, LEAF_BYTES = 8192, 512
 #: Up to this many bytes, a list of pairs beats a heap.
 SHORT = 64
 #: Distinct pieces a worker remembers; it forgets all and starts again beyond.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 NO_RANK = 1 << 60
 #: Texts that are cut before new pieces are looked up together, and new pieces that are merged together.
 TEXTS, TOGETHER = 64, 4096

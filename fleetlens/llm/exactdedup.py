@@ -24,7 +24,7 @@ from fleetlens.llm.columns import text_of, unpacked, whole_row
 from fleetlens.llm.shared import ids_side, written
 
 #: Bytes of distinct texts that one task keeps in memory.
-BUDGET = 48 << 20
+BUDGET = 12 << 20
 #: Texts with copies (about 200 bytes each) that may be sent to every executor.
 BROADCAST_GROUPS = 150_000
 #: Spill files for each level of partitioning: one for each hexadecimal digit.

@@ -11,7 +11,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 PLACES = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)
 #: Bytes of text that are worked on together; a longer text is worked on alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _powers = {}
 
