@@ -63,7 +63,8 @@ def _merged(batches: list[pa.RecordBatch]) -> pa.Table:
     table = pa.Table.from_batches(batches).combine_chunks()
     rows, total = _winners(table)
     kept = table.take(pa.array(rows))
-    return kept.set_column(kept.column_names.index("n"), "n", pa.array(total))
+    at = kept.column_names.index("n")
+    return kept.set_column(at, kept.schema.field(at), pa.array(total))
 
 
 def _sized(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:

@@ -43,7 +43,8 @@ def test_empty_table(documents):
 
 def test_spills_until_buckets_fit(tmp_path):
     texts = [f"text number {i % 700} " * 20 for i in range(3000)]
-    schema = pa.schema([("digest", pa.string()), ("text", pa.string()), ("id", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("digest", pa.string()), ("text", pa.string()), ("id", pa.int64())])
+    schema = schema.append(pa.field("n", pa.int64(), nullable=False))
     batches = [
         pa.RecordBatch.from_arrays(
             [pa.array([sha256(t.encode()).hexdigest() for t in texts[a : a + 100]]), pa.array(texts[a : a + 100]),
