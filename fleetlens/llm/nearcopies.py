@@ -10,9 +10,9 @@ draws make a band. Texts that share a band are candidates:
 1. each text with one other, the smallest of all its buckets: a row for each text, however large its group; pairs
    whose drawn samples differ too much are left out, the others are verified by the Jaccard similarity of their whole
    texts, weighted or of the plain sets, whichever is larger;
-2. in buckets that still hold more than one component, each text of the smaller component with the most similar ones
-   (by samples) of the larger, block against block, verified alike. So a text that is no copy of the smallest one is
-   still found through any other.
+2. in buckets that still hold more than one component, every pair across components whose samples agree, block
+   against block: a block verifies the most agreeing pairs of a text first and goes on until each pair is verified or
+   its texts are linked through others. So a text that is no copy of the smallest one is still found through any other.
 
 Linked texts form classes. Equal texts are one node throughout, so a text with millions of copies is sampled by each
 task that reads it, and from then on is one row.
@@ -42,8 +42,10 @@ AGREE = SIMILAR - 3 * (SIMILAR * (1 - SIMILAR) / SAMPLES) ** 0.5
 DAMPED = 0.25
 #: Cells of each of the two rows of the sketch, in as many parts.
 CELLS, PARTS = 1 << 18, 64
-#: Texts of a bucket that are compared with as many others at a time; partners of a text in each larger component.
-BLOCK, PARTNERS = 1500, 2
+#: Texts of a bucket that are compared with as many others at a time, and bytes of them.
+BLOCK, BLOCK_BYTES = 1500, 8 << 20
+#: Partners of a text that are verified at first; four times as many in each further step, until none is left.
+FIRST = 4
 
 
 def weighted(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -214,33 +216,66 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").filter(same >= F.lit(int(AGREE * SAMPLES))).select("u", "v")
 
 
-def _partners(group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block with another: for each text the most similar ones of every component larger than its own."""
+def _near(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs i < j of a group's rows, and how many samples agree: of a block with another, of components that are apart,
+    enough samples alike, and no earlier band in common (there they are met as well)."""
     drawn = np.stack(group["samples"].to_numpy())
-    node, root = group["node"].to_numpy(), group["root"].to_numpy()
-    block, task = group["block"].to_numpy(), int(group["task"].iloc[0])
-    low, high = divmod(task, int(group["blocks"].iloc[0]))
+    _, root = np.unique(group["root"].to_numpy(), return_inverse=True)
+    block, band = group["block"].to_numpy(), int(group["band"].iloc[0])
+    low, high = divmod(int(group["task"].iloc[0]), int(group["blocks"].iloc[0]))
     a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
-    same = np.zeros((len(a), len(b)), "uint8")
-    for k in range(SAMPLES):
-        same += drawn[a, k][:, None] == drawn[b, k][None, :]
-    _, part, size = np.unique(root, return_inverse=True, return_counts=True)
-    place = (size * len(node) + np.arange(len(size)))[part]  # larger components come later
-    near = same >= int(AGREE * SAMPLES)
-    pairs = []
-    for x, y, own, other, i, j in (
-        (*(z := np.nonzero(near & (place[a][:, None] < place[b][None, :]))), z[0], z[1], a, b),
-        (*(z := np.nonzero(near & (place[a][:, None] > place[b][None, :]))), z[1], z[0], b, a),
-    ):
-        order = np.lexsort((-same[x, y].astype("int"), root[j[other]], own))
-        key = np.stack((own[order], root[j[other]][order]))
-        new = np.ones(len(order), bool)
-        new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
-        nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-        best = order[nth < PARTNERS]
-        pairs.append(np.sort(np.stack((node[i[own[best]]], node[j[other[best]]])), axis=0))
-    u, v = np.unique(np.concatenate(pairs, axis=1), axis=1)
-    return pd.DataFrame({"u": u, "v": v})
+    same, apart = np.zeros((len(a), len(b)), "uint8"), root[a][:, None] != root[b][None, :]
+    for i in range(BANDS):
+        shared = np.ones((len(a), len(b)), bool)
+        for k in range(i * ROWS, (i + 1) * ROWS):
+            alike = drawn[a, k][:, None] == drawn[b, k][None, :]
+            same += alike
+            shared &= alike
+        if i < band:
+            apart &= ~shared
+    x, y = np.nonzero((same >= int(AGREE * SAMPLES)) & apart & ((a[:, None] < b[None, :]) | (low != high)))
+    return a[x], b[y], same[x, y]
+
+
+def _asking(group: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a group that are in any pair, without their samples."""
+    i, j, _ = _near(group)
+    return group.iloc[np.union1d(i, j)].drop(columns="samples")
+
+
+def _links(group: pd.DataFrame, known: Frequencies, similar: float) -> pd.DataFrame:
+    """Verified pairs of a group, as many as link all of its texts that similar pairs link: each pair is either
+    verified or left out because others link its texts already."""
+    i, j, same = _near(group)
+    order = np.lexsort((-same.astype("int"), i))
+    i, j = i[order], j[order]
+    node = group["node"].to_numpy()
+    _, part = np.unique(group["root"].to_numpy(), return_inverse=True)
+    found = [(h, counts, np.diff(ends, prepend=0)) for _, _, h, counts, ends in weighted(group["text"].tolist())]
+    h, counts, n = (np.concatenate(x) for x in zip(*found))
+    weight = known.weights(h, counts)
+    start = np.cumsum(n) - n  # every text has shingles, or it would have no samples
+    total = np.add.reduceat(weight, start)
+    _, at = np.unique(h, return_inverse=True)
+    held, pairs = np.zeros(at.max() + 1), []
+    for own, first, size in zip(*np.unique(i, return_index=True, return_counts=True)):
+        left, step = j[first : first + size], FIRST
+        mine = slice(start[own], start[own] + n[own])
+        held[at[mine]] = weight[mine]
+        while len(left := left[part[left] != part[own]]):
+            now, left, step = left[:step], left[step:], step * 4
+            begin = np.cumsum(n[now]) - n[now]
+            of = np.arange(n[now].sum()) + np.repeat(start[now] - begin, n[now])
+            other = held[at[of]]
+            common = np.add.reduceat((other > 0).astype("int64"), begin)
+            both = np.add.reduceat(np.minimum(other, weight[of]), begin)
+            best = np.maximum(common / (n[own] + n[now] - common), both / (total[own] + total[now] - both))
+            for x in now[best >= similar]:
+                if part[x] != part[own]:
+                    pairs.append(sorted((node[own], node[x])))
+                    part[part == part[x]] = part[own]
+        held[at[mine]] = 0
+    return pd.DataFrame(pairs, columns=["u", "v"], dtype="int64")
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -264,7 +299,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     nodes = written(nodes.withColumn("node", F.coalesce("low", unnamed)), "nodes")
 
     bands = [F.xxhash64(F.lit(i), *[F.col("samples")[i * ROWS + j] for j in range(ROWS)]) for i in range(BANDS)]
-    dealt = nodes.filter("samples is not null").select("node", F.explode(F.array(*bands)).alias("bucket"))
+    dealt = nodes.filter("samples is not null").select("node", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     sizes = dealt.groupBy("bucket").agg(F.min("node").alias("lowest"), F.count("*").alias("n")).filter("n > 1")
     buckets = written(dealt.join(sizes, "bucket"), "buckets")
     busy = ids_side(buckets.select("node").distinct())
@@ -277,8 +312,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     star = buckets.filter("node <> lowest").groupBy(F.col("node").alias("v")).agg(F.min("lowest").alias("u"))
     found = written(verified(_agreeing(star, owners), texts, known, similar), "verified")
     roots = written(components(found), "roots")
-    more = verified(_across(buckets, owners, roots), texts, known, similar)
-    roots = components(found.unionByName(more))
+    roots = components(found.unionByName(_across(buckets, owners, texts, star, roots, known, similar)))
 
     members = drawn.join(nodes.select("key", "node", "low"), "key").select("id", "hash", "node", "low")
     named = members.join(roots, "node", "left").withColumn("class_id", F.coalesce("root", "node"))
@@ -286,27 +320,57 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     return named.select("id", "hash", "class_id", kept.alias("kept"))
 
 
-def _across(buckets: DataFrame, owners: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidates between components that still share a bucket."""
-    rooted = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+def _across(
+    buckets: DataFrame, owners: DataFrame, texts: DataFrame, star: DataFrame, roots: DataFrame, known: Frequencies,
+    similar: float,
+) -> DataFrame:
+    """Links between components that still share a bucket, as many as it takes; ``star``: pairs that were verified."""
+    rooted = buckets.join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     mixed = (
         rooted.groupBy("bucket").agg(
             F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"),
             F.min("node").alias("u"), F.max("node").alias("v"),
         )
-        .filter("a <> b").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+        .filter("a <> b")
     )
     mixed = written(mixed, "mixed")
-    two = _agreeing(mixed.filter("n = 2").select("u", "v").distinct(), owners)
-    mixed = mixed.filter("n > 2").select("bucket", "blocks")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = rooted.join(mixed, "bucket").select("bucket", "node", "root", "blocks", block.alias("block"))
-    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", "node", "root", "blocks", "block",
-        (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("task"),
+    two = mixed.filter("n = 2").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
+    two = verified(_agreeing(two, owners), texts, known, similar)
+    sizes = texts.select("node", F.octet_length("text").alias("size"))
+    rooted = written(rooted.join(mixed.filter("n > 2").select("bucket"), "bucket", "left_semi").join(sizes, "node"), "rooted")
+
+    # the largest component of a bucket is not compared with itself: blocks of the others meet all blocks
+    parts = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    dealt = parts.groupBy("bucket").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.max(F.struct("n", "root", "size")).alias("most"),
+        F.sum("n").alias("n"), F.sum("size").alias("size"),
     )
-    full = tasks.join(owners.select("node", "samples"), "node")
-    return full.groupBy("bucket", "task").applyInPandas(_partners, "u long, v long").unionByName(two).distinct()
+
+    def blocks(n, size):
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+
+    dealt = dealt.select(
+        "bucket", "main", blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("few"),
+        blocks(F.col("most.n"), F.col("most.size")).alias("many"),
+    )
+    hashed, large = F.xxhash64("node"), F.col("root") == F.col("main")
+    block = F.when(large, F.col("few") + F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.col("few"))).cast("int")
+    placed = rooted.join(dealt, "bucket").withColumn("blocks", F.col("few") + F.col("many")).withColumn("block", block)
+    others = F.sequence(F.lit(0), F.when(large, F.col("few")).otherwise(F.col("blocks")) - 1)
+    tasks = placed.withColumn("other", F.explode(others)).select(
+        "bucket", "band", "node", "root", "blocks", "block",
+        (F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")).alias("task"),
+    )
+    drawn = owners.select("node", "samples")
+    kind = "bucket long, band int, node long, root long, blocks int, block int, task long"
+    columns = ["bucket", "band", "node", "root", "blocks", "block", "task"]
+    asking = tasks.join(drawn, "node").select(*columns, "samples").groupBy("bucket", "task").applyInPandas(_asking, kind)
+    full = written(asking, "asking").join(drawn, "node").join(texts, "node").select(*columns, "samples", "text")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        return _links(group, known, similar)
+
+    return full.groupBy("bucket", "task").applyInPandas(run, "u long, v long").unionByName(two).distinct()
 
 
 def dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -117,3 +117,29 @@ def test_long_chains_are_one_component(spark):
     got = {r["node"]: r["root"] for r in graph.components(chain.unionByName(star)).collect()}
     assert {got[i] for i in range(201)} == {0} and {got[i] for i in range(1000, 1100)} == {1000} and len(got) == 301
     assert graph.components(chain.limit(0)).count() == 0
+
+
+def test_only_partner_within_a_large_family(documents):
+    """A text whose one similar partner does not stand out among a family by samples: the others lie just below 0.8."""
+    r = random.Random(4)
+    texts = []
+    for _ in range(12):
+        base = sentence(r, 200)
+        near, lone = list(base), list(base)
+        near[150] = lone[150] = f"new{r.random()}"
+        for i in (20, 50, 80, 110):
+            lone[i] = f"new{r.random()}"
+        texts.append(" ".join(base))
+        for _ in range(60):
+            copy = list(base)
+            copy[r.randrange(18, 23)] = f"new{r.random()}"
+            texts.append(" ".join(copy))
+        texts += [" ".join(near), " ".join(lone)]
+    df = documents(enumerate(texts))
+    known = nearcopies.frequencies(df)
+    links = [
+        (a, b) for n in range(0, len(texts), 63) for a, b in combinations(range(n, n + 63), 2)
+        if nearcopies.similarity(texts[a], texts[b], known) >= 0.8
+    ]
+    assert [b for _, b in sorted(links) if b % 63 == 62] == list(range(62, len(texts), 63))
+    assert {x["id"]: x["class_id"] for x in nearcopies.classes(df).collect()} == roots(range(len(texts)), links)
