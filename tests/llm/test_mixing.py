@@ -1,6 +1,8 @@
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from fleetlens.llm import mixing
 
 
@@ -42,3 +44,22 @@ def test_awkward_rows(awkward):
     assert by[4, "the same text again"] % 2 == 0 and by[None, "without a number"] % 2 == 0
     assert mixing.mix(awkward.limit(0)).count() == 0
     assert mixing.mix(awkward, {}, rest=0.0).count() == 0
+
+
+def test_a_scarce_source_has_a_large_mean(documents):
+    """10,000 rows of one source and 3 without any: a mean of 2,500 copies or so for each of the three."""
+    rows = [(i, "t", "hot" if i < 10000 else None) for i in range(10003)]
+    got = mixing.mix(documents(rows), {"hot": 1.0}, rest=3.0, with_copy=True).filter("source is null").collect()
+    mean = 10003 * 3 / 4 / 3
+    seen = {}
+    for r in got:
+        seen.setdefault(r["doc_id"], []).append(r["copy"])
+    assert sorted(seen) == [10000, 10001, 10002] and len({len(c) for c in seen.values()}) > 1
+    assert all(sorted(c) == list(range(len(c))) and abs(len(c) - mean) < 6 * mean**0.5 for c in seen.values())
+
+
+def test_split_draws_are_poisson(spark):
+    rate = 1200.0
+    n = spark.range(4000).select(mixing.count("s", F.col("id"), rate).alias("n"))
+    mean, variance = n.agg(F.avg("n"), F.var_pop("n")).first()
+    assert abs(mean - rate) < 5 * (rate / 4000) ** 0.5 and abs(variance / rate - 1) < 0.12
