@@ -5,7 +5,8 @@ overlap, and boosted trees score them by format (lengths, digits, letters, separ
 around). The trees learn from what anchors say about the candidates of the same corpus: an address that ends like a
 domain, numbers that pass their check, a token that is assigned to a name of a secret. Anchors are not features, so a
 candidate without one is judged by its likeness to those that have it. For each generator the threshold is the lowest
-at which the anchored share of all it selects is still ``PRECISE``; what does not reach that selects nothing.
+at which the anchored share of all it selects is still ``PRECISE``; what does not reach that selects nothing. Anchored
+candidates themselves are selected whatever their score, so look-alikes in the corpus do not hide them.
 
 Only DataFrame functions. A text is searched where it is read; what travels is one row for each match, and one for each
 text without any. Patterns take runs of characters whole, so that no text makes them try again and again.
@@ -180,7 +181,9 @@ def find(docs: DataFrame, model: boosting.Boosted, least: dict[str, float]) -> D
         own = F.col("pattern") == i
         kind = F.when(own, KINDS.index(kinds[i])).otherwise(kind)
         limit = least.get(name, 0.0)
-        good = _valid(name, match) if name in BASE else F.lit(False) if limit == float("inf") else F.col("score") >= limit
+        good = _valid(name, match)  # an anchored candidate stays whatever its score
+        if name in GENERATORS and limit < float("inf"):
+            good = F.coalesce(good, F.lit(False)) | (F.col("score") >= limit)
         chosen = F.when(own, good).otherwise(chosen)
     size = F.length(match)
     placed = (

@@ -95,3 +95,12 @@ def test_boosting():
     least = boosting.threshold(model, cells, 0.95)
     assert all((model.margin(c.values) >= least) == (c.positive > 0) for c in cells)
     assert boosting.threshold(model, [boosting.Cell({"a": 0, "b": 0}, 9, 0)], 0.9) == float("inf")
+
+
+def test_assigned_secrets_stay_among_lookalikes(documents):
+    """Half of the tokens are hashes in quotes that nothing is assigned to; those that are assigned stay all the same."""
+    r = random.Random(6)
+    tokens = ["".join(r.choice("abcdef") + r.choice("0123456789") for _ in range(20)) for _ in range(80)]
+    df = documents([(i, f'say token = "{t}" here' if i % 2 else f'commit "{t}" here') for i, t in enumerate(tokens)])
+    got = {x["doc_id"]: x["found"] for x in pii.find(df, *pii.train(df)).collect()}
+    assert all([f["text"] for f in got[i] if f["kind"] == "secret"] == [t] for i, t in enumerate(tokens) if i % 2)
