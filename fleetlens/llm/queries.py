@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, exactdedup, htmltext, licenses, mixing, nbsvm, nearcopies, neighbours, pii, urlfilter
+from fleetlens.llm import bpe, exactdedup, htmltext, licenses, mixing, nbsvm, nearcopies, neighbours, periodic, pii, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,3 +156,32 @@ def byte_bpe(spark, sf_dir):
 def exact_dedup(spark, sf_dir):
     return exactdedup.copies(table(spark, sf_dir, "documents"))
 
+
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """Text of every tenth document by hash: from some word on, a stretch is repeated to the end."""
+    words = "filter(split(coalesce(text, ''), '[ \\\\x09-\\\\x0D]+'), w -> w <> '')"
+    return (
+        docs.selectExpr("doc_id", "text", "crc32(cast(cast(doc_id as string) as binary)) as h")
+        .selectExpr("*", "h div 10 as g", f"case when h % 10 = 0 then {words} end as w")
+        .selectExpr("*", "cast(g % greatest(size(w), 1) as int) as a")
+        .selectExpr("*", "cast(1 + (size(w) - a) div (3 + g % 8) as int) as p")
+        .selectExpr(
+            "doc_id",
+            "coalesce(array_join(transform(w, (x, i) -> if(i >= a, w[a + (i - a) % p], x)), ' '), text) as text",
+        )
+    )
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark, sf_dir):
+    found = periodic.describe(_with_periods(table(spark, sf_dir, "documents")))
+    line = "concat(r.start, ',', r.length, ',', r.period, '\n')"
+    return (
+        found.selectExpr("*", "array_max(transform(runs, r -> struct(r.length, -r.start as s, -r.period as p))) as top")
+        .selectExpr(
+            "doc_id", "cast(size(runs) as long) as n_runs", "-top.s as start", "top.length as length", "-top.p as period",
+            "1000 * top.length div -top.p as exponent_milli",
+            f"sha2(array_join(transform(runs, r -> {line}), ''), 256) as runs_sha256",
+            "sha2(collapsed, 256) as collapsed_sha256",
+        )
+    )
