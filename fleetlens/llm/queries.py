@@ -8,13 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, exactdedup, htmltext, licenses, mixing, nbsvm, nearcopies, neighbours, periodic, pii, urlfilter
+from fleetlens.llm import bpe, exactdedup, htmltext, licenses, mixing, nbsvm, nearcopies, neighbours, periodic, pii, transducer, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 #: Host labels whose pages make up the list of unwanted URLs.
 UNWANTED = ("spam-farm", "adult-x", "casino-win", "free-bets")
 RANKS = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
+#: Most tokens of a document that is not over the limit.
+TOKEN_LIMIT = 1024
 
 
 def query(name: str, sql: str | None = None):
@@ -157,6 +160,14 @@ def exact_dedup(spark, sf_dir):
     return exactdedup.copies(table(spark, sf_dir, "documents"))
 
 
+@query("op12_token_counts")
+def token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    found = transducer.counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+    return found.selectExpr("*", f"n_tokens > {TOKEN_LIMIT} as over_limit")
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """Text of every tenth document by hash: from some word on, a stretch is repeated to the end."""
     words = "filter(split(coalesce(text, ''), '[ \\\\x09-\\\\x0D]+'), w -> w <> '')"
