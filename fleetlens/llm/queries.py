@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm import bpe, exactdedup, htmltext, licenses, mixing, nbsvm, nearcopies, neighbours, periodic, pii, transducer, urlfilter
+from fleetlens.llm import bpe, exactdedup, htmltext, licenses, mixing, nbsvm, nearcopies, neighbours, periodic, pii, repair, transducer, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -160,6 +160,51 @@ def exact_dedup(spark, sf_dir):
     return exactdedup.copies(table(spark, sf_dir, "documents"))
 
 
+def _damaged(conversations: DataFrame) -> DataFrame:
+    """One row in five dropped, emptied, without ends of sentences, repeated or given to the user, by hash."""
+    return (
+        conversations.selectExpr(
+            "conv_id", "turn", "coalesce(role, ' ') as role", "coalesce(text, ' ') as text",
+            "crc32(cast(concat(coalesce(cast(conv_id as string), ' '), ':', coalesce(cast(turn as string), ' ')) as binary))"
+            " % 20 as damage",
+        )
+        .filter("damage <> 0")
+        .selectExpr(
+            "conv_id", "turn", "if(damage = 4, 'user', role) as role",
+            "case damage when 1 then '' when 2 then regexp_replace(text, '[.!?]', '') else text end as text",
+            "explode(if(damage = 3, array(0, 1), array(0))) as nth",
+        )
+        .drop("nth")
+    )
+
+
+@query("op11_conversation_repair")
+def conversation_repair(spark, sf_dir):
+    conversations = table(spark, sf_dir, "conversations")
+    parts = repair.repair(_damaged(conversations)).selectExpr(
+        "*", "lag(struct(last_initial, last_turn)) over (partition by conv_id order by part) as before",
+        "array_join(transform(edits, e -> e.edit), '') as audit",
+        "array_join(transform(filter(edits, e -> e.edit <> 'D'), e -> concat(e.role, ':', e.text)), '\n') as said",
+        "exists(edits, e -> e.edit <> 'D') as says",
+    ).selectExpr(
+        "*", "cast(before is not null and concat(before.last_initial, first_initial) not in ('su', 'ua', 'au') as int) as seam",
+        "cast(coalesce(before.last_turn = first_turn, false) as int) as same_turn",
+    )
+    found = parts.groupBy("conv_id").agg(
+        F.expr("coalesce(max(last_turn) - min(first_turn) + 1 - sum(turns - same_turn), 0) as gaps"),
+        *[F.sum(name).alias(name) for name in ("blank", "duplicate", "truncated")],
+        F.expr("sum(illegal + seam) as illegal"), F.sum("cost").alias("cost"),
+        F.expr("array_sort(collect_list(struct(part, audit, says, said))) as parts"),
+    )
+    every = conversations.select(F.col("conv_id").alias("conv")).distinct()
+    zero = {name: F.coalesce(name, F.lit(0).cast("long")) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return every.join(found, F.col("conv").eqNullSafe(F.col("conv_id")), "left").withColumns(zero).selectExpr(
+        "conv as conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost",
+        "coalesce(array_join(transform(parts, p -> p.audit), ''), '') as audit",
+        "sha2(coalesce(array_join(transform(filter(parts, p -> p.says), p -> p.said), '\n'), ''), 256) as repaired_sha256",
+    )
+
+
 @query("op12_token_counts")
 def token_counts(spark, sf_dir):
     import public_tokenizers
