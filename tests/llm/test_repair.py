@@ -141,6 +141,6 @@ def test_real_outputs_nulls_and_clashes(spark):
     turns = spark.createDataFrame(rows, NAMES).selectExpr("*", "'x' as digest", "'y' as part", "1 as entry", "2 as _slice")
     got = {r["conv_id"]: [tuple(e) for e in r["edits"]] for r in repair.repair(turns).collect()}
     assert got[1] == [("K", "user", "a."), ("K", "assistant", "b.")]
-    assert got[2] == [("I", "user", ""), ("K", "assistant", "c."), ("D", None, None)]
+    assert got[2] == [("D", None, None)] * 2
     assert got[None] == [("K", "user", "d."), ("I", "assistant", "")]
     assert repair.repair(turns.limit(0)).count() == 0
