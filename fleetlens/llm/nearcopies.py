@@ -1,18 +1,20 @@
 """Near copies by improved consistent weighted sampling over TF-IDF shingles.
 
-A text is a weighted set of its five-word shingles: one plus the logarithm of the count in the text, times an inverse
-document frequency damped to lie between 1 (in all texts) and 1.25 (in one), so that a large family of copies is not
-judged by its edits alone. Document frequencies come from a count sketch over all
-texts; its size is fixed and it is what reaches every executor. Consistent weighted sampling draws ``SAMPLES`` shingles
-of each text such that two texts draw the same one with a chance of their weighted Jaccard similarity, and ``ROWS``
-draws make a band. Texts that share a band are candidates:
-
-1. each text with one other, the smallest of all its buckets: a row for each text, however large its group; pairs
-   whose drawn samples differ too much are left out, the others are verified by the Jaccard similarity of their whole
-   texts, weighted or of the plain sets, whichever is larger;
-2. in buckets that still hold more than one component, every pair across components whose samples agree, block
-   against block: a block verifies the most agreeing pairs of a text first and goes on until each pair is verified or
-   its texts are linked through others. So a text that is no copy of the smallest one is still found through any other.
+A text is a weighted set of its five-word shingles. A shingle weighs the more the oftener it stands in the text (up to
+1.1 times) and the fewer texts have it (up to 1.25 times, from 1 % of them down), so neither a passage that one copy
+repeats nor the edits of a large family outweigh what two texts share, and weighted similarity stays close to that of
+the plain sets. Shares of texts come from a count sketch over all texts; its size is fixed, its noise is a fixed share of
+the texts at every size of the input, and it is what reaches every executor. Consistent weighted sampling draws
+``SAMPLES`` shingles of each text such that two texts draw the same one with a chance of their weighted Jaccard
+similarity, and ``ROWS`` draws make a band. Texts that share a band are candidates, and each pair of candidates is
+verified on whole texts, by the Jaccard similarity weighted or of the plain sets, whichever is larger, or is
+linked through others:
+
+1. each text with one other, the smallest of all its buckets: a row for each text, however large its group;
+2. in buckets that still hold more than one component, every pair across components, block against block: a block
+   verifies the pairs of a text whose samples agree most first and goes on until each pair is verified or its texts are
+   linked through others. So a text that is no copy of the smallest one is still found through any other. Only pairs
+   whose sizes alone rule out the similarity are passed over.
 
 Linked texts form classes. Equal texts are one node throughout, so a text with millions of copies is sampled by each
 task that reads it, and from then on is one row.
@@ -36,10 +38,9 @@ from fleetlens.llm.shared import ids_side, written
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 3
 SAMPLES = BANDS * ROWS
-#: Candidates of which fewer samples agree are not verified: at 0.8, three standard deviations below.
-AGREE = SIMILAR - 3 * (SIMILAR * (1 - SIMILAR) / SAMPLES) ** 0.5
-#: How far the rarest shingles stand above the commonest.
-DAMPED = 0.25
+#: How far the rarest shingles stand above the commonest, from what share of the texts on they count as rare, and how far
+#: a shingle that a text repeats without end stands above one that it has once.
+DAMPED, RARE, REPEATED = 0.25, 0.01, 0.1
 #: Cells of each of the two rows of the sketch, in as many parts.
 CELLS, PARTS = 1 << 18, 64
 #: Texts of a bucket that are compared with as many others at a time, and bytes of them.
@@ -66,21 +67,19 @@ def _cells(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Frequencies:
-    """Inverse document frequencies from the sketch of a corpus of ``texts`` texts."""
+    """Damped inverse document frequencies from the sketch of a corpus of ``texts`` texts."""
 
     def __init__(self, sketch: np.ndarray, texts: int):
-        self.texts = max(1, texts)
-        mean = sketch.sum(1, keepdims=True) / CELLS
-        # what other shingles add to a cell: their mean, and two standard deviations
-        self.sketch = np.maximum(1.0, sketch - mean - 2 * np.sqrt(mean)).astype("float32")
+        # less what other shingles add to a cell on the mean
+        share = (sketch - sketch.sum(1, keepdims=True) / CELLS) / max(1, texts)
+        self.share = share.clip(RARE, 1).astype("float32")
 
     def idf(self, h: np.ndarray) -> np.ndarray:
         a, b = _cells(h)
-        df = np.minimum(np.minimum(self.sketch[0, a], self.sketch[1, b]), self.texts)
-        return 1 + DAMPED * np.log((self.texts + 1) / (df + 1)) / np.log(self.texts + 1)
+        return 1 + DAMPED * np.log(np.minimum(self.share[0, a], self.share[1, b])) / np.log(RARE)
 
     def weights(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return (1 + np.log(counts)) * self.idf(h)
+        return (1 + REPEATED * (1 - 1 / counts)) * self.idf(h)
 
 
 def frequencies(texts: DataFrame) -> Frequencies:
@@ -208,17 +207,9 @@ def verified(pairs: DataFrame, texts: DataFrame, known: Frequencies, similar: fl
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _agreeing(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs enough of whose samples agree."""
-    left = nodes.select(F.col("node").alias("u"), F.col("samples").alias("a"))
-    right = nodes.select(F.col("node").alias("v"), F.col("samples").alias("b"))
-    same = F.aggregate(F.zip_with("a", "b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return pairs.join(left, "u").join(right, "v").filter(same >= F.lit(int(AGREE * SAMPLES))).select("u", "v")
-
-
 def _near(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs i < j of a group's rows, and how many samples agree: of a block with another, of components that are apart,
-    enough samples alike, and no earlier band in common (there they are met as well)."""
+    and with no earlier band in common (there they are met as well)."""
     drawn = np.stack(group["samples"].to_numpy())
     _, root = np.unique(group["root"].to_numpy(), return_inverse=True)
     block, band = group["block"].to_numpy(), int(group["band"].iloc[0])
@@ -233,7 +224,7 @@ def _near(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             shared &= alike
         if i < band:
             apart &= ~shared
-    x, y = np.nonzero((same >= int(AGREE * SAMPLES)) & apart & ((a[:, None] < b[None, :]) | (low != high)))
+    x, y = np.nonzero(apart & ((a[:, None] < b[None, :]) | (low != high)))
     return a[x], b[y], same[x, y]
 
 
@@ -260,6 +251,9 @@ def _links(group: pd.DataFrame, known: Frequencies, similar: float) -> pd.DataFr
     held, pairs = np.zeros(at.max() + 1), []
     for own, first, size in zip(*np.unique(i, return_index=True, return_counts=True)):
         left, step = j[first : first + size], FIRST
+        sizes = np.minimum(n[left], n[own]) / np.maximum(n[left], n[own])
+        weights = np.minimum(total[left], total[own]) / np.maximum(total[left], total[own])
+        left = left[np.maximum(sizes, weights) >= similar]
         mine = slice(start[own], start[own] + n[own])
         held[at[mine]] = weight[mine]
         while len(left := left[part[left] != part[own]]):
@@ -310,7 +304,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     texts = written(texts, "texts")
 
     star = buckets.filter("node <> lowest").groupBy(F.col("node").alias("v")).agg(F.min("lowest").alias("u"))
-    found = written(verified(_agreeing(star, owners), texts, known, similar), "verified")
+    found = written(verified(star, texts, known, similar), "verified")
     roots = written(components(found), "roots")
     roots = components(found.unionByName(_across(buckets, owners, texts, star, roots, known, similar)))
 
@@ -335,7 +329,7 @@ def _across(
     )
     mixed = written(mixed, "mixed")
     two = mixed.filter("n = 2").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
-    two = verified(_agreeing(two, owners), texts, known, similar)
+    two = verified(two, texts, known, similar)
     sizes = texts.select("node", F.octet_length("text").alias("size"))
     rooted = written(rooted.join(mixed.filter("n > 2").select("bucket"), "bucket", "left_semi").join(sizes, "node"), "rooted")
 

@@ -28,6 +28,11 @@ def corpus():
     texts = [" ".join(sentence(r, r.randint(1, 300))) for _ in range(150)]
     for size, edits in ((12, 1), (12, 3), (20, 4), (6, 8), (40, 2)):
         texts += family(r, size, edits)
+    for _ in range(40):
+        once = sentence(r, 200)
+        part = once[60:100]
+        # doubled, tripled, and with a passage that stands there up to thirty times
+        texts += [" ".join(t) for t in (once, once * 2, once * 3, once[:100] + part * r.randint(1, 30) + once[100:])]
     shared = " ".join(sentence(r, 100))
     texts += [shared + " " + " ".join(sentence(r, 100)) for _ in range(30)]
     r.shuffle(texts)
@@ -87,6 +92,17 @@ def test_awkward_rows(awkward, monkeypatch, ids):
     assert nearcopies.dedup(awkward.limit(0)).columns == awkward.columns
 
 
+def test_frequencies_do_not_depend_on_the_number_of_texts():
+    """The same shares of texts in a small and in a large corpus give the same weights."""
+    r = np.random.default_rng(4)
+    cells = r.poisson(3.0, (2, nearcopies.CELLS)).astype("int64")
+    cells[:, :200] += 900
+    h = r.integers(0, 1 << 63, 2000).astype("uint64")
+    small, large = nearcopies.Frequencies(cells, 1000), nearcopies.Frequencies(cells * 100_000, 100_000_000)
+    assert np.allclose(small.idf(h), large.idf(h)) and 1 <= small.idf(h).min() and small.idf(h).max() <= 1.25 + 1e-6
+    assert small.weights(h[:1], np.array([10**6])) / small.weights(h[:1], np.array([1])) < 1.1
+
+
 def test_samples_agree_as_often_as_sets_do():
     r = random.Random(8)
     texts = list(family(r, 200, 3))
