@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.plans.ticks import micros, table, ticks
+from fleetlens.plans.ticks import micros, polls, table, ticks
 from fleetlens.queries import query
-from fleetlens.queries.series import POLLS, RATES
+from fleetlens.queries.series import POLLS, RATES, TICKS
 from fleetlens.session import prepare, run_dir
-from fleetlens.streaming import flows, state
+from fleetlens.streaming import flows, ordered, state
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -70,6 +70,45 @@ def ts2_stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, state.stream_rates(stream), "rates").withColumnRenamed("tie", "event_id").drop("ts_us")
 
 
+def _in_any_order(spark: SparkSession, rows: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """A stream over files that each hold rows of all times, then a heartbeat; and a delay that covers the disorder."""
+    landed = run_dir(spark, label)
+    rows = rows.withColumn("kind", F.col("kind") if "kind" in rows.columns else F.lit(ordered.SAMPLE))
+    rows.repartition(3, F.xxhash64("tie")).write.parquet(landed)
+    span = rows.agg(F.min("ts_us").alias("first"), F.max("ts_us").alias("last")).first()
+    delay = ((span["last"] or 0) - (span["first"] or 0)) // 1_000_000 + 1
+    beat = {"ts_us": (span["last"] or 0) + (delay + 1) * 1_000_000, "kind": ordered.HEARTBEAT}
+    spark.range(1).select(*[F.lit(beat.get(f.name)).cast(f.dataType).alias(f.name) for f in rows.schema]).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(landed)
+    return stream, f"{delay} seconds"
+
+
+def _drained_in_order(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
+    work = run_dir(spark, label)
+    flows.each_batch(stream, ordered.to_folders(f"{work}/out", f"{work}/side"), f"{work}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{work}/out").drop("batch_id")
+
+
+#: Time of a key's rows that are sorted together: keys of the events table have few rows a day.
+SPARSE = 10 * 86_400_000_000
+
+
+@query(
+    "ts2_rates_of_shuffled_files",
+    f"""with {RATES} select device, iface, event_id, cast(delta as bigint) as delta_octets, bps,
+        max(bps) over (partition by device, iface order by ts_us, event_id rows between 69 preceding and current row) as peak_bps from bps""",
+)
+def ts2_rates_of_shuffled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rates of the batch job from files in no order of time."""
+    state.use_state_store(spark)
+    samples = ticks(spark, sf_dir).select(
+        "device", "iface", "ts_us", F.col("event_id").alias("tie"), F.col("c_octets").alias("counter")
+    )
+    stream, delay = _in_any_order(spark, samples, "shuffled-ticks")
+    rates = _drained_in_order(spark, ordered.ordered_rates(stream, delay, bucket_us=SPARSE), "ordered-rates")
+    return rates.withColumnRenamed("tie", "event_id").drop("ts_us")
+
+
 @query(
     "ts3_bucket_mean",
     f"""with {POLLS}, w as (select (max(ts_us) - 600000000) // 1000 * 1000 as mark from polls)
@@ -125,6 +164,56 @@ def ts4_pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, state.stream_pauses(polls), "pauses").withColumnRenamed("tie", "event_id").drop("ts_us")
 
 
+@query(
+    "ts4_changes_of_shuffled_files",
+    f"""with {POLLS}, l as (select *, lag(iface) over (partition by device order by ts_us, event_id) as old from polls)
+        select device, event_id, old as prev_state, iface as state from l where old <> iface""",
+)
+def ts4_changes_of_shuffled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transitions from files in no order of time."""
+    state.use_state_store(spark)
+    samples = _polled(table(spark, sf_dir, "events")).select("device", "ts_us", "tie", "state")
+    stream, delay = _in_any_order(spark, samples, "shuffled-states")
+    changes = _drained_in_order(spark, ordered.ordered_changes(stream, delay, SPARSE), "ordered-changes")
+    return changes.withColumnRenamed("tie", "event_id").drop("ts_us")
+
+
+@query(
+    "ts5_changing_selection",
+    f"""with {TICKS}, m as (
+          select device, iface, ts_us, event_id, 0 as ctl, c_octets, null as kind from ticks
+          union all select device, iface, ts_us, event_id, 1, null, case when octets > 9000 then 'deselected' else 'selected' end
+          from polls where octets > 9000 or octets < 1500),
+        n as (
+          select *, last_value(kind ignore nulls) over k as sel, sum(case when kind = 'deselected' then 1 else 0 end) over k as times
+          from m window k as (partition by device, iface order by ts_us, event_id, ctl rows between unbounded preceding and current row)),
+        l as (
+          select *, lag(c_octets) over k as pc, lag(ts_us) over k as pt from n where ctl = 0 and coalesce(sel, 'selected') = 'selected'
+          window k as (partition by device, iface, times order by ts_us, event_id)),
+        r as (
+          select *, case when pc is null or pc = 0 or c_octets < pc then 0 else c_octets - pc end as delta,
+                 coalesce(ts_us - pt, 10000000) as elapsed_us from l),
+        b as (select *, cast(delta * 8 as double) * 1000000.0 / cast(elapsed_us as double) as bps from r)
+        select device, iface, event_id, cast(delta as bigint) as delta_octets, bps,
+               max(bps) over (partition by device, iface, times order by ts_us, event_id rows between 69 preceding and current row) as peak_bps
+        from b""",
+)
+def ts5_changing_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of interfaces while they are selected; a control row in the stream selects or deselects one from then on."""
+    state.use_state_store(spark)
+    samples = ticks(spark, sf_dir).select(
+        "device", "iface", "ts_us", (F.col("event_id") * 2).alias("tie"), F.col("c_octets").alias("counter"),
+        F.lit(ordered.SAMPLE).alias("kind"),
+    )
+    controls = polls(spark, sf_dir).filter("octets > 9000 or octets < 1500").select(
+        "device", "iface", "ts_us", (F.col("event_id") * 2 + 1).alias("tie"), F.lit(0).cast("bigint").alias("counter"),
+        F.when(F.col("octets") > 9000, ordered.DESELECTED).otherwise(ordered.SELECTED).alias("kind"),
+    )
+    stream, delay = _in_any_order(spark, samples.unionByName(controls), "selection")
+    rates = _drained_in_order(spark, ordered.ordered_rates(stream, delay, bucket_us=SPARSE), "selected-rates")
+    return rates.select("device", "iface", (F.col("tie") / 2).cast("bigint").alias("event_id"), "delta_octets", "bps", "peak_bps")
+
+
 @query(
     "ts5_selection",
     """select event_id, user_id, event_type from events

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -46,119 +47,79 @@ def _ordered(rows: Iterator[pd.DataFrame], last: tuple | None) -> pd.DataFrame:
     return batch.drop_duplicates(["ts_us", "tie"])
 
 
-class RateProcessor(StatefulProcessor):
-    """Deltas, rates and rolling peaks of one counter per (device, interface)."""
-
-    def __init__(self, zero_is_unknown: bool = True, ttl_ms: int | None = None):
-        self.zero_is_unknown = zero_is_unknown
-        self.ttl_ms = ttl_ms
+def rate_step(known: tuple | None, batch: pd.DataFrame, zero_is_unknown: bool = True) -> tuple[tuple, pd.DataFrame]:
+    """State and output after sorted samples (ts_us, tie, counter); state: ts_us, tie, counter, latest rates."""
+    ts = batch["ts_us"].to_numpy(dtype="int64")
+    counter = batch["counter"].to_numpy(dtype="int64")
+    before_ts = np.concatenate(([known[0] if known else ts[0] - NOMINAL_SECONDS * 1_000_000], ts[:-1]))
+    before = np.concatenate(([known[2] if known else 0], counter[:-1]))
+    grown = counter - before
+    unknown = grown < 0
+    if zero_is_unknown:
+        unknown |= before == 0
+    if known is None:
+        unknown[0] = True
+    delta = np.where(unknown, 0, grown)
+    elapsed = ts - before_ts
+    bps = np.where(elapsed > 0, (delta * 8).astype("float64") * 1_000_000.0 / np.where(elapsed > 0, elapsed, 1), 0.0)
+    history = np.concatenate((np.asarray(known[3] if known else [], dtype="float64"), bps))
+    peaks = pd.Series(history).rolling(HISTORY, min_periods=1).max().to_numpy()[-len(bps):]
+    tie = batch["tie"].to_numpy(dtype="int64")
+    state = (int(ts[-1]), int(tie[-1]), int(counter[-1]), [float(v) for v in history[-(HISTORY - 1):]])
+    return state, pd.DataFrame({"ts_us": ts, "tie": tie, "delta_octets": delta, "bps": bps, "peak_bps": peaks})
+
+
+def change_step(known: tuple | None, batch: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+    """State and transitions after sorted samples (ts_us, tie, state); state: ts_us, tie, state."""
+    before = batch["state"].shift(1)
+    if known:
+        before.iloc[0] = known[2]
+    changed = before.notna() & (before != batch["state"])
+    newest = batch.iloc[-1]
+    out = batch[changed]
+    rows = {"ts_us": out["ts_us"], "tie": out["tie"], "prev_state": before[changed], "state": out["state"]}
+    return (int(newest["ts_us"]), int(newest["tie"]), newest["state"]), pd.DataFrame(rows)
+
+
+def pause_step(known: tuple | None, batch: pd.DataFrame, after: int = PAUSE_AFTER) -> tuple[tuple, pd.DataFrame]:
+    """State and alerts after sorted polls (ts_us, tie, failed); state: ts_us, tie, length of the run of failures."""
+    failed = batch["failed"].to_numpy(dtype="int64")
+    total = np.cumsum(failed)
+    base = np.maximum.accumulate(np.where(failed == 0, total, 0))
+    carried = (known[2] if known else 0) * (np.cumsum(failed == 0) == 0)
+    length = np.where(failed == 1, total - base + carried, 0)
+    out = batch[length == after]
+    rows = {"ts_us": out["ts_us"], "tie": out["tie"], "length": np.full(len(out), after)}
+    return (int(batch["ts_us"].iloc[-1]), int(batch["tie"].iloc[-1]), int(length[-1])), pd.DataFrame(rows)
+
+
+class _Stepping(StatefulProcessor):
+    """Sorts the rows of a key within a micro-batch and takes a step with them."""
+
+    def __init__(self, step, schema: str, ttl_ms: int | None = None):
+        self.step, self.schema, self.ttl_ms = step, schema, ttl_ms
 
     def init(self, handle) -> None:
-        schema = "ts_us bigint, tie bigint, counter bigint, history array<double>"
-        self.last = handle.getValueState("last", schema, self.ttl_ms)
+        self.last = handle.getValueState("last", self.schema, self.ttl_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         known = self.last.get() if self.last.exists() else None
         batch = _ordered(rows, known)
         if batch.empty:
             return
-        ts = batch["ts_us"].to_numpy(dtype="int64")
-        counter = batch["counter"].to_numpy(dtype="int64")
-        before_ts = np.concatenate(([known[0] if known else ts[0] - NOMINAL_SECONDS * 1_000_000], ts[:-1]))
-        before = np.concatenate(([known[2] if known else 0], counter[:-1]))
-        grown = counter - before
-        unknown = grown < 0
-        if self.zero_is_unknown:
-            unknown |= before == 0
-        if known is None:
-            unknown[0] = True
-        delta = np.where(unknown, 0, grown)
-        elapsed = ts - before_ts
-        bps = np.where(elapsed > 0, (delta * 8).astype("float64") * 1_000_000.0 / np.where(elapsed > 0, elapsed, 1), 0.0)
-        history = np.concatenate((np.asarray(known[3] if known else [], dtype="float64"), bps))
-        peaks = pd.Series(history).rolling(HISTORY, min_periods=1).max().to_numpy()[-len(bps):]
-        self.last.update(
-            (int(ts[-1]), int(batch["tie"].iloc[-1]), int(counter[-1]), [float(v) for v in history[-(HISTORY - 1):]])
-        )
-        yield pd.DataFrame(
-            {
-                "device": key[0],
-                "iface": key[1],
-                "ts_us": ts,
-                "tie": batch["tie"].to_numpy(dtype="int64"),
-                "delta_octets": delta,
-                "bps": bps,
-                "peak_bps": peaks,
-            }
-        )
+        state, out = self.step(known, batch)
+        self.last.update(state)
+        for place, (name, value) in enumerate(zip(("device", "iface"), key)):
+            out.insert(place, name, value)
+        yield out
 
     def close(self) -> None:
         pass
 
 
-class ChangeProcessor(StatefulProcessor):
-    """Transitions of a text state per device."""
-
-    def __init__(self, ttl_ms: int | None = None):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "ts_us bigint, tie bigint, state string", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.last.get() if self.last.exists() else None
-        batch = _ordered(rows, known)
-        if batch.empty:
-            return
-        before = batch["state"].shift(1)
-        if known:
-            before.iloc[0] = known[2]
-        changed = before.notna() & (before != batch["state"])
-        newest = batch.iloc[-1]
-        self.last.update((int(newest["ts_us"]), int(newest["tie"]), newest["state"]))
-        out = batch[changed]
-        yield pd.DataFrame(
-            {
-                "device": key[0],
-                "ts_us": out["ts_us"],
-                "tie": out["tie"],
-                "prev_state": before[changed],
-                "state": out["state"],
-            }
-        )
-
-    def close(self) -> None:
-        pass
-
-
-class PauseProcessor(StatefulProcessor):
-    """The moment a device's run of failed polls reaches the limit; a success resets the run."""
-
-    def __init__(self, after: int = PAUSE_AFTER, ttl_ms: int | None = None):
-        self.after = after
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "ts_us bigint, tie bigint, length bigint", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.last.get() if self.last.exists() else None
-        batch = _ordered(rows, known)
-        if batch.empty:
-            return
-        failed = batch["failed"].to_numpy(dtype="int64")
-        total = np.cumsum(failed)
-        base = np.maximum.accumulate(np.where(failed == 0, total, 0))
-        carried = (known[2] if known else 0) * (np.cumsum(failed == 0) == 0)
-        length = np.where(failed == 1, total - base + carried, 0)
-        self.last.update((int(batch["ts_us"].iloc[-1]), int(batch["tie"].iloc[-1]), int(length[-1])))
-        out = batch[length == self.after]
-        yield pd.DataFrame(
-            {"device": key[0], "ts_us": out["ts_us"], "tie": out["tie"], "length": np.full(len(out), self.after)}
-        )
-
-    def close(self) -> None:
-        pass
+RATE_STATE = "ts_us bigint, tie bigint, counter bigint, history array<double>"
+CHANGE_STATE = "ts_us bigint, tie bigint, state string"
+PAUSE_STATE = "ts_us bigint, tie bigint, length bigint"
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -170,7 +131,7 @@ def stream_rates(samples: DataFrame, zero_is_unknown: bool = True, ttl_ms: int |
     schema = RATE_OUTPUT.format(device=_type(samples, "device"), iface=_type(samples, "iface"))
     mode = "ProcessingTime" if ttl_ms else "None"
     return samples.groupBy("device", "iface").transformWithStateInPandas(
-        RateProcessor(zero_is_unknown, ttl_ms), StructType.fromDDL(schema), "Append", mode
+        _Stepping(partial(rate_step, zero_is_unknown=zero_is_unknown), RATE_STATE, ttl_ms), StructType.fromDDL(schema), "Append", mode
     )
 
 
@@ -179,7 +140,7 @@ def stream_changes(samples: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     schema = CHANGE_OUTPUT.format(device=_type(samples, "device"))
     mode = "ProcessingTime" if ttl_ms else "None"
     return samples.groupBy("device").transformWithStateInPandas(
-        ChangeProcessor(ttl_ms), StructType.fromDDL(schema), "Append", mode
+        _Stepping(change_step, CHANGE_STATE, ttl_ms), StructType.fromDDL(schema), "Append", mode
     )
 
 
@@ -188,5 +149,5 @@ def stream_pauses(polls: DataFrame, after: int = PAUSE_AFTER, ttl_ms: int | None
     schema = PAUSE_OUTPUT.format(device=_type(polls, "device"))
     mode = "ProcessingTime" if ttl_ms else "None"
     return polls.groupBy("device").transformWithStateInPandas(
-        PauseProcessor(after, ttl_ms), StructType.fromDDL(schema), "Append", mode
+        _Stepping(partial(pause_step, after=after), PAUSE_STATE, ttl_ms), StructType.fromDDL(schema), "Append", mode
     )
