@@ -207,9 +207,9 @@ def verified(pairs: DataFrame, texts: DataFrame, known: Frequencies, similar: fl
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _near(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs i < j of a group's rows, and how many samples agree: of a block with another, of components that are apart,
-    and with no earlier band in common (there they are met as well)."""
+def _near(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a group's two blocks, how many samples of each pair across them agree, and which pairs are to be met: of
+    components that are apart, without an earlier band in common (there they are met as well), each pair once."""
     drawn = np.stack(group["samples"].to_numpy())
     _, root = np.unique(group["root"].to_numpy(), return_inverse=True)
     block, band = group["block"].to_numpy(), int(group["band"].iloc[0])
@@ -224,22 +224,21 @@ def _near(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             shared &= alike
         if i < band:
             apart &= ~shared
-    x, y = np.nonzero(apart & ((a[:, None] < b[None, :]) | (low != high)))
-    return a[x], b[y], same[x, y]
+    if low == high:
+        apart &= a[:, None] < b[None, :]
+    return a, b, same, apart
 
 
 def _asking(group: pd.DataFrame) -> pd.DataFrame:
     """The rows of a group that are in any pair, without their samples."""
-    i, j, _ = _near(group)
-    return group.iloc[np.union1d(i, j)].drop(columns="samples")
+    a, b, _, apart = _near(group)
+    return group.iloc[np.union1d(a[apart.any(1)], b[apart.any(0)])].drop(columns="samples")
 
 
 def _links(group: pd.DataFrame, known: Frequencies, similar: float) -> pd.DataFrame:
     """Verified pairs of a group, as many as link all of its texts that similar pairs link: each pair is either
     verified or left out because others link its texts already."""
-    i, j, same = _near(group)
-    order = np.lexsort((-same.astype("int"), i))
-    i, j = i[order], j[order]
+    a, b, same, apart = _near(group)
     node = group["node"].to_numpy()
     _, part = np.unique(group["root"].to_numpy(), return_inverse=True)
     found = [(h, counts, np.diff(ends, prepend=0)) for _, _, h, counts, ends in weighted(group["text"].tolist())]
@@ -249,8 +248,9 @@ def _links(group: pd.DataFrame, known: Frequencies, similar: float) -> pd.DataFr
     total = np.add.reduceat(weight, start)
     _, at = np.unique(h, return_inverse=True)
     held, pairs = np.zeros(at.max() + 1), []
-    for own, first, size in zip(*np.unique(i, return_index=True, return_counts=True)):
-        left, step = j[first : first + size], FIRST
+    for row in np.flatnonzero(apart.any(1)):
+        met = np.flatnonzero(apart[row])
+        own, left, step = a[row], b[met[np.argsort(-same[row, met].astype("int"), kind="stable")]], FIRST
         sizes = np.minimum(n[left], n[own]) / np.maximum(n[left], n[own])
         weights = np.minimum(total[left], total[own]) / np.maximum(total[left], total[own])
         left = left[np.maximum(sizes, weights) >= similar]
