@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import casts
@@ -129,17 +129,34 @@ def by_routing_mode(df: DataFrame, mode: Column, usable: Column) -> tuple[DataFr
     return df.filter(older), df.filter(~older)
 
 
-def _leaves(path: str, value: object) -> Iterator[tuple[str, str]]:
-    # Objects are walked, everything else (lists included) is a leaf.
-    if not isinstance(value, dict):
-        kinds = {bool: "boolean", int: "integer", float: "float", str: "string", list: "array"}
-        yield path, kinds.get(type(value), "null")
+KINDS = {bool: "boolean", int: "integer", float: "float", str: "string", list: "array", type(None): "null"}
+NOT_JSON, TOO_DEEP = "not json", "too deep"
+
+
+def leaves(document: str | None) -> Iterator[tuple[str, str]]:
+    """(path, kind) of every leaf of a JSON text: objects are walked, everything else, lists included, is a leaf; envelopes
+    are marked. Walked with a stack of its own. Text that is no JSON, or deeper than the parser goes (some thousands
+    of levels), gives one row that says so."""
+    import json
+
+    try:
+        whole = json.loads(document)
+    except (TypeError, ValueError):
+        yield "", NOT_JSON
+        return
+    except RecursionError:
+        yield "", TOO_DEEP
         return
-    if {"success", "data", "error"} <= value.keys():
-        inner = value["data"]
-        yield path, "nested envelope" if isinstance(inner, dict) and "success" in inner else "envelope"
-    for key, inner in value.items():
-        yield from _leaves(f"{path}.{key}" if path else key, inner)
+    stack = [("", whole)]
+    while stack:
+        path, value = stack.pop()
+        if not isinstance(value, dict):
+            yield path, KINDS[type(value)]
+            continue
+        if {"success", "data", "error"} <= value.keys():
+            inner = value["data"]
+            yield path, "nested envelope" if isinstance(inner, dict) and "success" in inner else "envelope"
+        stack += [(f"{path}.{key}" if path else key, inner) for key, inner in reversed(value.items())]
 
 
 #: Rows of a frame of leaves.
@@ -147,13 +164,11 @@ FRAME = 20_000
 
 
 def leaf_profile(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
-    """Path and type of every leaf of a JSON document of any depth, envelopes marked.
+    """Path and type of every leaf of a JSON document, envelopes marked.
 
     Documents nest to any depth, which no built-in generator follows, so each Arrow batch passes
     through a small Python helper; there is no shuffle.
     """
-    import json
-
     import pandas as pd
 
     names = list(keys)
@@ -163,12 +178,7 @@ def leaf_profile(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
             rows = []
             for record in batch.itertuples(index=False):
                 *ids, document = record
-                try:
-                    parsed = json.loads(document)
-                except (TypeError, ValueError):
-                    rows.append((*ids, "", "not json"))
-                    continue
-                rows.extend((*ids, *found) for found in _leaves("", parsed))
+                rows.extend((*ids, *found) for found in leaves(document))
                 if len(rows) >= FRAME:
                     yield pd.DataFrame(rows, columns=[*names, "path", "kind"])
                     rows = []
@@ -177,3 +187,44 @@ def leaf_profile(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     selected = df.select(*names, text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in selected.schema.fields[:-1])
     return selected.mapInPandas(flatten, f"{schema}, path string, kind string")
+
+
+class LeafFlatten:
+    """``leaf_flatten`` in SQL: the leaves of a document, as a lateral join or over a whole table.
+
+    ``select d.id, f.* from docs d, lateral leaf_flatten(d.body) f`` gives path and kind;
+    ``select * from leaf_flatten(table(docs) partition by (id), 'body')`` gives the other columns of the table beside them.
+    """
+
+    @staticmethod
+    def analyze(document, text=None):
+        from pyspark.sql.types import StringType, StructField, StructType
+        from pyspark.sql.udtf import AnalyzeResult
+
+        found = [StructField("path", StringType()), StructField("kind", StringType())]
+        if not document.isTable:
+            return AnalyzeResult(StructType(found))
+        if text is None or text.value not in document.dataType.names:
+            raise ValueError("name the column that holds the documents")
+        others = [f for f in document.dataType.fields if f.name != text.value and f.name not in ("path", "kind")]
+        return AnalyzeResult(StructType(others + found))
+
+    def eval(self, document, text=None):
+        if text is None:
+            yield from leaves(document)
+            return
+        others = [document[name] for name in document.__fields__ if name not in (text, "path", "kind")]
+        for found in leaves(document[text]):
+            yield (*others, *found)
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make ``leaf_flatten`` known to SQL."""
+    import sys
+
+    from pyspark import cloudpickle
+    from pyspark.sql.functions import udtf
+
+    # the worker that analyses a call gets no files sent to the executors, so the class goes by value
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.udtf.register("leaf_flatten", udtf(LeafFlatten))

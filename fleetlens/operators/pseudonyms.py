@@ -254,42 +254,65 @@ def replaced_texts(pieces: DataFrame, mapping: DataFrame) -> DataFrame:
 FRAME, DOCUMENTS = 20_000, 500
 
 
-def _visit(value, parents: tuple[str, ...], context: str, key: str | None, counter: list[int]) -> Iterator[tuple]:
-    """Keys and leaves in document order, numbered by ``counter``."""
+def _children(value) -> Iterator[tuple] | None:
+    """Named values of an object, values of a list without names, None for a leaf."""
     if isinstance(value, dict):
-        for name, inner in value.items():
-            place = counter[0]
-            counter[0] += 1
-            yield place, "key", None, parents[-1] if parents else None, context, len(parents), name
-            yield from _visit(inner, (*parents, name), CONTEXTS.get(name, context), name, counter)
-    elif isinstance(value, list):
-        for inner in value:
-            yield from _visit(inner, parents, context, key, counter)
-    elif isinstance(value, str) or (isinstance(value, (int, float)) and not isinstance(value, bool)):
-        place = counter[0]
-        counter[0] += 1
-        role = "text" if isinstance(value, str) else "number"
-        yield place, role, key, parents[-1] if parents else None, context, len(parents), str(value)
-
-
-def _rebuild(value, changes: dict[int, dict], counter: list[int]):
+        return iter(value.items())
+    return iter([(None, inner) for inner in value]) if isinstance(value, list) else None
+
+
+def _numbered(value) -> bool:
+    return isinstance(value, str) or (isinstance(value, (int, float)) and not isinstance(value, bool))
+
+
+def _visit(document) -> Iterator[tuple]:
+    """Keys and leaves in document order, numbered from 0; walked with a stack of its own, to any depth."""
+    place, stack = 0, [(iter([(None, document)]), None, 0, "", None)]
+    while stack:
+        values, parent, depth, context, key = stack[-1]
+        for name, value in values:
+            below = (parent, depth, context, key)
+            if name is not None:
+                yield place, "key", None, parent, context, depth, name
+                place += 1
+                below = (name, depth + 1, CONTEXTS.get(name, context), name)
+            if (children := _children(value)) is not None:
+                stack.append((children, *below))
+                break
+            if _numbered(value):
+                role = "text" if isinstance(value, str) else "number"
+                yield place, role, below[3], below[0], below[2], below[1], str(value)
+                place += 1
+        else:
+            stack.pop()
+
+
+def _rebuild(document, changes: dict[int, dict]):
     """The document with the numbered keys and leaves replaced, in the order of ``_visit``."""
-    if isinstance(value, dict):
-        out = {}
-        for name, inner in value.items():
-            place = counter[0]
-            counter[0] += 1
-            out[changes[place]["text"] if place in changes else name] = _rebuild(inner, changes, counter)
-        return out
-    if isinstance(value, list):
-        return [_rebuild(inner, changes, counter) for inner in value]
-    if isinstance(value, str) or (isinstance(value, (int, float)) and not isinstance(value, bool)):
-        place = counter[0]
-        counter[0] += 1
-        if place in changes:
-            change = changes[place]
-            return int(change["text"]) if change["is_number"] else change["text"]
-    return value
+    place, whole = 0, []
+    stack = [(iter([(None, document)]), whole)]
+    while stack:
+        values, out = stack[-1]
+        for name, value in values:
+            if name is not None:
+                name = changes[place]["text"] if place in changes else name
+                place += 1
+            children = _children(value)
+            new = value if children is None else type(value)()
+            if children is None and _numbered(value):
+                if place in changes:
+                    new = int(changes[place]["text"]) if changes[place]["is_number"] else changes[place]["text"]
+                place += 1
+            if isinstance(out, dict):
+                out[name] = new
+            else:
+                out.append(new)
+            if children is not None:
+                stack.append((children, new))
+                break
+        else:
+            stack.pop()
+    return whole[0]
 
 
 def _loaded(document) -> tuple[object, bool]:
@@ -300,8 +323,8 @@ def _loaded(document) -> tuple[object, bool]:
 
 
 def occurrences(documents: DataFrame, text: str, position: str = "position") -> DataFrame:
-    """Keys and leaves of JSON documents of any depth, in frames of about ``FRAME`` rows; a document that is no JSON has
-    none."""
+    """Keys and leaves of JSON documents, in frames of about ``FRAME`` rows; a document that is no JSON, or deeper than the
+    parser goes (some thousands of levels), has none."""
 
     def walk(batches):
         import pandas as pd
@@ -311,7 +334,7 @@ def occurrences(documents: DataFrame, text: str, position: str = "position") ->
             rows = []
             for number, document in zip(batch["position"], batch["text"]):
                 parsed, good = _loaded(document)
-                rows.extend((number, *found) for found in (_visit(parsed, (), "", None, [0]) if good else ()))
+                rows.extend((number, *found) for found in (_visit(parsed) if good else ()))
                 if len(rows) >= FRAME:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
@@ -322,13 +345,15 @@ def occurrences(documents: DataFrame, text: str, position: str = "position") ->
 
 def rewritten(documents: DataFrame, text: str, replacements: DataFrame, position: str = "position") -> DataFrame:
     """Documents with their replacements applied. The replacements of one document are gathered
-    (bounded by the document itself) and joined to it. A document that is no JSON is held back: its text is null."""
+    (bounded by the document itself) and joined to it. A document that is no JSON, or too deep to be read or
+    written, is held back: its text is null."""
 
     def one(document, changes):
         parsed, good = _loaded(document)
-        if good:
-            return json.dumps(_rebuild(parsed, dict(changes) if changes is not None else {}, [0]), ensure_ascii=False)
-        return None
+        try:
+            return json.dumps(_rebuild(parsed, dict(changes) if changes is not None else {}), ensure_ascii=False) if good else None
+        except RecursionError:
+            return None
 
     def apply(batches):
         for batch in batches:

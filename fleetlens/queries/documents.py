@@ -487,6 +487,32 @@ def n11_leaf_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.leaf_profile(docs, "doc", ["event_id"])
 
 
+def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr(
+        """concat('{"id":', event_id, ',"env":{"success":true,"data":', props, ',"error":null},"tags":["', event_type, '"],"value":', value, '}')"""
+    )
+    nested.register_functions(spark)
+    return table(spark, sf_dir, "events").select("event_id", text.alias("doc"))
+
+
+LEAVES = """select event_id, unnest(['id', 'env', 'env.success', 'env.data.k', 'env.error', 'tags', 'value']) as path,
+       unnest(['integer', 'envelope', 'boolean', 'integer', 'null', 'array', 'float']) as kind from events"""
+
+
+@query("e3_flatten", LEAVES)
+def e3_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves by a lateral call in SQL."""
+    docs = _profiled(spark, sf_dir)
+    return spark.sql("select d.event_id, f.path, f.kind from {docs} d, lateral leaf_flatten(d.doc) f", docs=docs)
+
+
+@query("e3_flatten_table", LEAVES)
+def e3_flatten_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of a whole table, dealt out by key."""
+    docs = _profiled(spark, sf_dir)
+    return spark.sql("select * from leaf_flatten(table({docs}) partition by (event_id), 'doc')", docs=docs)
+
+
 @query(
     "n12_unwrap_text",
     """select o_orderkey, case o_orderkey % 4 when 0 then o_orderpriority when 1 then o_orderstatus when 2 then cast(o_custkey as varchar) end as text from orders""",
