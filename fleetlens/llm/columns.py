@@ -19,3 +19,13 @@ def whole_row(df: DataFrame) -> Column:
 def unpacked(df: DataFrame, row: str) -> DataFrame:
     """The columns that ``whole_row`` packed, as they were."""
     return df.select(f"{row}.*")
+
+
+def without_overlaps(spans: Column) -> Column:
+    """Of an array of structs with ``first`` and ``last``, best ones first, those that overlap no better one that stays."""
+
+    def taken(kept: Column, span: Column) -> Column:
+        met = F.exists(kept, lambda k: (k["first"] <= span["last"]) & (span["first"] <= k["last"]))
+        return F.when(met, kept).otherwise(F.concat(kept, F.array(span)))
+
+    return F.aggregate(spans, F.slice(spans, 1, 0), taken)

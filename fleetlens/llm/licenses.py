@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlens.llm.columns import text_of
+from fleetlens.llm.columns import text_of, without_overlaps
 
 #: (label, phrase): the base labels.
 PHRASES = (
@@ -23,13 +23,26 @@ PHRASES = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-#: (label, words of a notice): what the method looks for besides.
+#: (label, words of a notice): what the method looks for besides. The notices that licenses ask for.
 NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("gpl-3", "licensed under the gnu general public license version 3"),
     ("gpl-2", "licensed under the gnu general public license version 2"),
     ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "licensed under the gnu lesser general public license version 2 1"),
+    ("lgpl", "licensed under the gnu lesser general public license version 3"),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("mit", "spdx license identifier mit"),
+    ("apache-2", "spdx license identifier apache 2 0"),
+    ("gpl-2", "spdx license identifier gpl 2 0"),
+    ("gpl-3", "spdx license identifier gpl 3 0"),
+    ("lgpl", "spdx license identifier lgpl 2 1"),
+    ("lgpl", "spdx license identifier lgpl 3 0"),
+    ("bsd", "spdx license identifier bsd 3 clause"),
+    ("mpl-2", "spdx license identifier mpl 2 0"),
     ("agpl-3", "licensed under the gnu affero general public license version 3"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
@@ -118,14 +131,18 @@ def scan(
     judged = spans.withColumn("share", share).withColumn(
         "good", F.coalesce(F.when(F.col("base"), F.size("whole") > 0).otherwise((F.col("share") >= covered) & short), F.lit(False))
     )
-    # of the notices found in overlapping places those that cover most stay, base phrases always
-    within = "over (partition by row, good order by first, last, t"
+    # a notice that overlaps a better one is dropped: one met word by word is better than one met with words put in or left
+    # out, then the larger share, then the longer notice; base phrases always stay
+    within = "over (partition by row, good, base order by first, last, t"
     found = judged.selectExpr(
         "*", f"max(last) {within} rows between unbounded preceding and 1 preceding) as before"
     ).selectExpr("*", f"sum(coalesce(cast(first > before as int), 0)) {within}) as place")
-    best = found.selectExpr("*", "max(struct(share, t_words)) over (partition by row, good, place) as best").withColumn(
-        "good", F.col("good") & (F.col("base") | (F.struct("share", "t_words") == F.col("best")))
-    )
+    chain = "array_sort(collect_list(struct(if(size(whole) > 0, 0, 1) as loose, -share as less, -t_words as shorter, first, t, span, last)) "
+    best = found.selectExpr("*", chain + "over (partition by row, good, base, place)) as chain").withColumn(
+        "good", F.col("good") & (F.col("base") | F.exists(
+            without_overlaps(F.col("chain")), lambda s: (s["t"] == F.col("t")) & (s["span"] == F.col("span"))
+        )),
+    )
     base = F.col("base") & F.col("good")
     total = best.groupBy("row", "doc_id", "n_words").agg(
         F.coalesce(F.sum(F.when(base, F.size("whole"))), F.lit(0)).cast("long").alias("n_base"),

@@ -40,5 +40,31 @@ def test_spans_of_the_method(documents):
     assert all(got[i]["labels"] == "" and got[i]["score"] == 0 for i in (7, 8, 9, 10, 12, 14, 15))
 
 
+def test_labels_of_versions_and_program_notices(documents):
+    texts = {
+        "licensed under the GNU Lesser General Public License version 3": "lgpl",
+        "It is licensed under the GNU Lesser General Public License, version 2.1 or later": "lgpl",
+        "licensed under the gnu lesser general public license": "lgpl",
+        "licensed under the GNU General Public License version 3, or the GNU Lesser General Public License": "gpl-3,lgpl",
+        "// SPDX-License-Identifier: MIT": "mit",
+        "# SPDX-License-Identifier: LGPL-3.0-or-later": "lgpl",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that": "bsd",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "gpl-3",
+        "licensed under the gnu general public license version 2 licensed under the gnu lesser general public license version 3": "gpl-2,lgpl",
+    }
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(documents(enumerate(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_only_direct_overlaps_are_dropped(documents):
+    """a overlaps b and b overlaps c, but a and c stand apart: the middle one, met loosely, goes and both others stay."""
+    notices = [("a", "one two three four"), ("b", "three four five six seven x eight nine"), ("c", "seven eight nine ten")]
+    text = "one two three four five six seven eight nine ten"
+    row = licenses.scan(documents([(1, text), (2, text + " filler " + text)]), [], notices).collect()
+    assert {r["doc_id"]: r["labels"] for r in row} == {1: "a,c", 2: "a,c"}
+    assert {r["doc_id"]: len(r["spans"]) for r in row} == {1: 2, 2: 4}
+
+
 def test_empty_table(documents):
     assert licenses.scan(documents([(1, "x")]).limit(0)).count() == 0
