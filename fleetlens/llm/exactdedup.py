@@ -172,11 +172,13 @@ def copies(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
         F.lit(1).cast("long").alias("n"),
     )
     groups = written(_distinct(rows, budget).filter("n > 1").select("digest", F.col("id").alias("keep"), "n"), "copied")
-    joined = slim.join(ids_side(groups, BROADCAST_GROUPS), "digest", "left").select(
-        "id", "digest", F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"),
-        F.coalesce("n", F.lit(1).cast("long")).alias("n"),
-    )
-    numbered = joined.selectExpr("*", "row_number() over (partition by digest, id order by n) as nth")
+    joined = slim.join(ids_side(groups, BROADCAST_GROUPS), "digest", "left")
+    # only rows that have copies can be equal in doc_id as well; all others are numbered where they are
+    single = joined.filter("n is null").select("id", "digest", F.col("id").alias("keep"), F.lit(1).cast("long").alias("n"), F.lit(1).alias("nth"))
+    several = joined.filter("n is not null").selectExpr(
+        "id", "digest", "keep", "n", "row_number() over (partition by digest, id order by n) as nth"
+    )
+    numbered = single.unionByName(several)
     return numbered.select(
         F.col("id").alias("doc_id"),
         F.col("keep").alias("keep_id"),
