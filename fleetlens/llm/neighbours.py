@@ -247,7 +247,7 @@ def search(
                     # these rows are met again in the leaves; one more than an answer, as the query may be among them
                     met = scores[i][seen[bound_cells].any(1)]
                     if len(met) > top:
-                        least[i] = -np.partition(-met, top)[top] - ROUNDING
+                        least[i] = -np.partition(-met, top)[top] - ROUNDING * longest * np.linalg.norm(points[i])
                 repeated = pa.array(np.repeat(np.arange(len(points)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays(
                     [
