@@ -12,8 +12,10 @@ from fleetlens.llm import bpe, exactdedup, htmltext, licenses, mixing, nbsvm, ne
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-#: Host labels whose pages make up the list of unwanted URLs.
-UNWANTED = ("spam-farm", "adult-x", "casino-win", "free-bets")
+#: The list of unwanted sites: six families, each under three domains. It does not depend on the pages that are judged.
+UNWANTED = tuple(
+    f"{name}.example.{zone}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for zone in ("com", "net", "org")
+)
 RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
 #: Most tokens of a document that is not over the limit.
@@ -102,30 +104,27 @@ def source_mix(spark, sf_dir):
             FROM pages),
         named AS (
             SELECT *, regexp_replace(regexp_replace(host, '^(www|m)\\.', ''), ':(80|443)?$', '') AS site FROM parsed),
-        canonical AS (
-            SELECT *, CASE WHEN site <> '' THEN site || regexp_replace(path, '/+$', '') END AS canon FROM named),
-        listed AS (
-            SELECT DISTINCT canon AS entry FROM canonical
-            WHERE regexp_matches(host, '(^|\\.)({"|".join(UNWANTED)})\\.')),
+        listed(entry) AS (VALUES {", ".join(f"('{site}')" for site in UNWANTED)}),
+        found AS (
+            SELECT *, EXISTS (
+                SELECT 1 FROM listed WHERE site = entry OR site LIKE '%.' || entry OR site || regexp_replace(path, '/+$', '') = entry) AS hit
+            FROM named),
         ruled AS (
             SELECT *, CASE
                 WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
                 WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
                 WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
                 WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
-            FROM canonical)
+            FROM found)
         SELECT page_id, host, path, rule,
             CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-                WHEN canon IN (SELECT entry FROM listed WHERE entry IS NOT NULL) THEN 'block' ELSE 'allow' END AS verdict,
-            coalesce(canon IN (SELECT entry FROM listed WHERE entry IS NOT NULL), false) AS listed
+                WHEN hit THEN 'block' ELSE 'allow' END AS verdict,
+            hit AS listed
         FROM ruled""",
 )
 def url_filter(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    host, path = urlfilter.host_of(pages["url"]), urlfilter.path_of(pages["url"])
-    unwanted = host.rlike(rf"(^|\.)({'|'.join(UNWANTED)})\.")
-    listed = pages.filter(unwanted).select(urlfilter.canonical(host, path).alias("canon"))
-    return urlfilter.judge(pages, listed).withColumnRenamed("hit", "listed")
+    listed = spark.createDataFrame([(site,) for site in UNWANTED], "canon string")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), listed).withColumnRenamed("hit", "listed")
 
 
 @query("op7_personal_data")
