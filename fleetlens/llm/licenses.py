@@ -137,7 +137,10 @@ def scan(
     found = judged.selectExpr(
         "*", f"max(last) {within} rows between unbounded preceding and 1 preceding) as before"
     ).selectExpr("*", f"sum(coalesce(cast(first > before as int), 0)) {within}) as place")
-    chain = "array_sort(collect_list(struct(if(size(whole) > 0, 0, 1) as loose, -share as less, -t_words as shorter, first, t, span, last)) "
+    chain = (
+        "array_sort(collect_list(if(good and not base, struct(if(size(whole) > 0, 0, 1) as loose, -share as less, -t_words as shorter, "
+        "first, t, span, last), null)) "
+    )
     best = found.selectExpr("*", chain + "over (partition by row, good, base, place)) as chain").withColumn(
         "good", F.col("good") & (F.col("base") | F.exists(
             without_overlaps(F.col("chain")), lambda s: (s["t"] == F.col("t")) & (s["span"] == F.col("span"))

@@ -2,8 +2,9 @@
 
 Four base kinds are found by their patterns and checks. Besides, generators with high recall propose spans that may
 overlap, and boosted trees score them by format (lengths, digits, letters, separators) and context (the characters
-around). The trees learn from what anchors say about the candidates of the same corpus: an address that ends like a
-domain, numbers that pass their check, a token that is assigned to a name of a secret. Anchors are not features, so a
+around). The trees learn from what anchors say about the candidates of the same corpus: an address that ends like a domain, its signs
+written out or not, numbers that pass their check or are written like national ones, a token that is assigned to a name
+of a secret or has the format of a known kind of key. Anchors are not features, so a
 candidate without one is judged by its likeness to those that have it. For each generator the threshold is the lowest
 at which the anchored share of all it selects is still ``PRECISE``; what does not reach that selects nothing. Anchored
 candidates themselves are selected whatever their score, so look-alikes in the corpus do not hide them.
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm import boosting
-from fleetlens.llm.columns import text_of
+from fleetlens.llm.columns import text_of, without_overlaps
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LOCAL, DOMAIN = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
@@ -39,6 +40,8 @@ GENERATORS = {
 }
 #: Context before a token that names a secret and assigns it.
 ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|passwd|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?$"
+#: Formats of keys that are secrets wherever they stand. Prefixes that issuers document.
+KEYS = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^AIza[A-Za-z0-9_-]{35}$|^xox[abprs]-[A-Za-z0-9-]{16,}$|^sk_live_[A-Za-z0-9]{16,}$"
 #: Characters of context that a candidate is judged by.
 AROUND = 24
 PRECISE = 0.9
@@ -102,11 +105,13 @@ def _valid(name: str, match: Column) -> Column:
         "ip": _octets(match),
         "card": n.between(12, 19) & _luhn(match),
         "phone": n.between(9, 15),
-        "address": match.rlike(r"\.[A-Za-z]{2,}$") & match.contains("@"),
+        # written out, both signs are: name [at] host [dot] com
+        "address": match.rlike(r"\.[A-Za-z]{2,}$") & match.contains("@") | match.rlike(r"[\[(] ?at ?[\])].*[\[(] ?dot ?[\])] ?[A-Za-z]{2,}$"),
         "dotted": _octets(match),
         "number": n.between(12, 19) & _luhn(match),
-        "call": n.between(9, 15) & match.startswith("+"),
-        "token": F.col("before").rlike(ASSIGNED),
+        # without a plus: a code in brackets that begins with 0, or 00 and a country
+        "call": n.between(9, 15) & (match.startswith("+") | match.rlike(r"^\(0[0-9]{1,5}\)[ -]?[0-9]") | match.rlike(r"^00[ -][1-9]")),
+        "token": F.col("before").rlike(ASSIGNED) | match.rlike(KEYS),
     }[name]
 
 
@@ -168,8 +173,8 @@ def train(docs: DataFrame) -> tuple[boosting.Boosted, dict[str, float]]:
 def find(docs: DataFrame, model: boosting.Boosted, least: dict[str, float]) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and found, one row for each row of ``docs``.
 
-    Base spans always stay. A selected candidate is left out where spans overlap, be it directly or through others,
-    and one of them is a base span, or scores higher, or scores the same and starts earlier or is longer. found has
+    Base spans always stay. A selected candidate is left out only if it overlaps a base span or a candidate that stays and
+    scores higher, or scores the same and starts earlier or is longer. found has
     kind, start, end and the text of each span; places are code points, ends exclusive. A null text counts as empty;
     other columns are left out; repeated rows give repeated results.
     """
@@ -189,17 +194,21 @@ def find(docs: DataFrame, model: boosting.Boosted, least: dict[str, float]) -> D
     placed = (
         matches.withColumn("size", size).withColumn("kind", kind).withColumn("base", F.col("pattern") < len(BASE))
         .selectExpr("*", "sum(gap + size) over (partition by row, pattern order by place) as stop")
-        .select("row", "doc_id", "pattern", "kind", "base", "score", "match", (F.col("stop") - F.col("size")).alias("start"), "stop", F.coalesce(chosen, F.lit(False)).alias("chosen"))
+        .select("row", "doc_id", "pattern", "place", "kind", "base", "score", "match", (F.col("stop") - F.col("size")).alias("start"), "stop", F.coalesce(chosen, F.lit(False)).alias("chosen"))
     )
     order = "over (partition by row, chosen order by start, stop, pattern"
     islands = placed.selectExpr(
         "*", f"max(stop) {order} rows between unbounded preceding and 1 preceding) as reached"
     ).selectExpr("*", f"sum(coalesce(cast(start >= reached as int), 0)) {order}) as island")
-    ranked = islands.selectExpr(
-        "*", "max(base) over (partition by row, chosen, island) as based",
-        "row_number() over (partition by row, chosen, island order by score desc, start, stop desc, pattern) as nth",
-    )
-    stays = F.col("chosen") & (F.col("base") | (~F.col("based") & (F.col("nth") == 1)))
+    chain = (
+        "array_sort(collect_list(if(chosen, struct(not base as found, -score as less, start as first, -stop as shorter, pattern, place, "
+        "stop - 1 as last), null)) "
+        "over (partition by row, chosen, island))"
+    )
+    ranked = islands.selectExpr("*", f"{chain} as chain")
+    stays = F.col("chosen") & (F.col("base") | F.exists(
+        without_overlaps(F.col("chain")), lambda s: (s["pattern"] == F.col("pattern")) & (s["place"] == F.col("place"))
+    ))
     span = F.struct("start", "kind", "stop", "match")
     base = stays & F.col("base")
     total = ranked.groupBy("row", "doc_id").agg(
