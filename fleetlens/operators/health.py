@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import series
 from fleetlens.operators.rollup import core_balance
+from fleetlens.plans.slicing import slice_hot, sliced, with_halo, without_halo
 
 # Two cut-points per field (below the first ok, below the second warn).
 CLASSES = (
@@ -219,28 +220,43 @@ def core_alerts(points: DataFrame, imbalance: float = CORE_IMBALANCE) -> DataFra
 
 def lookback_alerts(points: DataFrame, max_rows: int = series.MAX_ROWS) -> DataFrame:
     """Alerts that need earlier samples of the device: a limit broken for some samples in a row, a changed state, a
-    fallen counter."""
-    out = None
-    for rules, kind in ((SUSTAINED, "sustained"), (CHANGES, "changed"), (FALLS, "fell")):
-        for measurement, name, *more in rules:
-            value = F.try_element_at("fields", F.lit(name))
-            samples = points.filter(F.col("measurement") == measurement).select(
-                "collected_at", "device", F.unix_micros("collected_at").alias("ts_us"),
-                _number("fields", name).alias("number"), value["v_str"].alias("text"),
-            )
-            keys, order = ("device",), ("ts_us",)
-            if kind == "sustained":
-                limit, run, severity = more
-                hits = series.sustained(samples, F.col("number") > limit, run, keys, order, max_rows)
-                found = _rule_row(hits, measurement, name, f"> for {run}", str(limit), severity)
-            elif kind == "changed":
-                hits = series.state_changes(samples, "text", keys, order, max_rows)
-                found = _rule_row(hits, measurement, name, "changed", "", more[0])
-            else:
-                hits = series.reboots(samples, "number", keys, order, max_rows)
-                found = _rule_row(hits, measurement, name, "fell", "", more[0])
-            out = found if out is None else out.unionByName(found)
-    return out
+    fallen counter.
+
+    Points are read once: each gives a row for every rule of its measurement, and one window for each device and rule
+    answers all kinds. Of samples of one instant, tags and value decide the order, so the result does not vary.
+    """
+    nothing = F.lit(None)
+
+    def rule(kind: str, measurement: str, name: str, op: str, threshold: str, severity: str, limit: float | None, run: int) -> Column:
+        value = F.try_element_at("fields", F.lit(name))
+        return F.when(F.col("measurement") == measurement, F.struct(
+            F.lit(kind).alias("kind"), F.lit(name).alias("field"), F.lit(op).alias("op"), F.lit(threshold).alias("threshold"),
+            F.lit(severity).alias("severity"), F.lit(run).alias("run"), _number("fields", name).alias("number"), value["v_str"].alias("text"),
+            F.coalesce(_number("fields", name) > (nothing if limit is None else F.lit(limit)), F.lit(False)).cast("int").alias("hit"),
+        ))
+
+    rules = [rule("sustained", m, name, f"> for {run}", str(limit), severity, limit, run) for m, name, limit, run, severity in SUSTAINED]
+    rules += [rule("changed", m, name, "changed", "", severity, None, 1) for m, name, severity in CHANGES]
+    rules += [rule("fell", m, name, "fell", "", severity, None, 1) for m, name, severity in FALLS]
+    looked = {r[0] for r in (*SUSTAINED, *CHANGES, *FALLS)}
+    samples = points.filter(F.col("measurement").isin(*looked)).select(
+        "collected_at", "device", "measurement", F.unix_micros("collected_at").alias("ts_us"),
+        F.array_sort(F.map_entries("tags")).alias("tags"), F.inline(F.array_compact(F.array(*rules))),
+    )
+    samples = samples.withColumn("tie", F.xxhash64("tags", "number", "text")).drop("tags")
+    keys, order, runs = ("device", "measurement", "field"), ("ts_us", "tie"), {r[3] for r in SUSTAINED}
+    cut = slice_hot(samples, keys, order, max_rows)
+    held = with_halo(cut, keys, order, max(1, *[n - 1 for n in runs]))
+    frame = sliced(keys, order)
+    seen = held.select(
+        "*", F.lag("number").over(frame).alias("_number"), F.lag("text").over(frame).alias("_text"),
+        *[F.sum("hit").over(frame.rowsBetween(1 - n, 0)).alias(f"_run_{n}") for n in runs],
+    )
+    broken = (F.col("kind") == "changed") & (F.col("_text") != F.col("text"))
+    broken |= (F.col("kind") == "fell") & (F.col("_number") > F.col("number"))
+    for n in runs:
+        broken |= (F.col("kind") == "sustained") & (F.col("run") == n) & (F.col(f"_run_{n}") == n)
+    return without_halo(seen).filter(broken).select(*ALERT_COLUMNS)
 
 
 def catalog_alerts(points: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -33,8 +33,15 @@ def host_names(collections: DataFrame) -> DataFrame:
     )
 
 
-def resolve_hosts(df: DataFrame, hosts: DataFrame) -> DataFrame:
-    """Host name from the envelope, else reported by the device, else kept in the data, else the device name."""
+def resolve_hosts(df: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
+    """Host name from the envelope, else reported by the device, else kept in the data, else the device name.
+
+    Rows of snapshots carry both of the first two since they landed (``snapshots.envelopes``) and need no join; ``hosts``
+    is for envelopes that landed one by one.
+    """
+    if hosts is None:
+        found = filled(F.col("hostname"), F.col("data_hostname"), F.col("device"))
+        return df.withColumn("hostname", found).drop("data_hostname")
     return (
         join_null_safe(df, hosts, ["collected_at", "device"], "left")
         .withColumn("hostname", filled(F.col("hostname"), F.col("reported"), F.col("data_hostname"), F.col("device")))

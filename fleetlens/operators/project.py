@@ -279,7 +279,7 @@ def points(collections: DataFrame, none_text: bool = False, present: set[str] |
     return out.filter(F.size("fields") > 0)
 
 
-def with_hostname(df: DataFrame, hosts: DataFrame) -> DataFrame:
+def with_hostname(df: DataFrame, hosts: DataFrame | None = None) -> DataFrame:
     """Resolve the host name of points (see ``joins.resolve_hosts``) and make it a tag."""
     resolved = resolve_hosts(df, hosts)
     return resolved.withColumn(

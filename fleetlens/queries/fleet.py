@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.functions import casts, display, naming, netaddr
-from fleetlens.operators import filters, joins, rank, rollup
+from fleetlens.operators import filters, joins, project, rank, rollup
 from fleetlens.plans.ticks import polls, spread, table
 from fleetlens.queries import query
 from fleetlens.sources import snapshots
@@ -216,6 +216,30 @@ def j1_hostname(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.resolve_hosts(devices, hosts).select("c_custkey", "hostname")
 
 
+@query(
+    "j1_hostname_landed",
+    """select c_custkey as total_flows, coalesce(
+            case when c_custkey % 3 = 0 and c_custkey % 2 = 1 then c_name end, case when c_custkey % 5 <> 0 and c_custkey % 7 <> 0 then c_mktsegment end,
+            case when c_custkey % 4 = 0 then 'n-' || cast(c_nationkey as varchar) end, 'dev-' || cast(c_custkey as varchar)) as hostname
+       from customer""",
+)
+def j1_hostname_landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host names of points whose snapshots resolved them on landing: no join."""
+    payload = F.expr(
+        """concat('{"system":{"dev-', c_custkey, '":{"success":', if(c_custkey % 5 = 0, '0', 'true'), ',"hostname":null,"data":{"system_info":{"system":{"hostname":"',
+           if(c_custkey % 7 = 0, '', c_mktsegment), '"}}}}},"vpn":{"dev-', c_custkey, '":{"success":true',
+           if(c_custkey % 3 = 0, concat(',"hostname":"', if(c_custkey % 2 = 0, '', c_name), '"'), ''), ',"data":{',
+           if(c_custkey % 4 = 0, concat('"_hostname":"n-', c_nationkey, '",'), ''), '"vpn_flows":{"num_ipsec":1,"total":', c_custkey, '}}}}}')"""
+    )
+    raw = table(spark, sf_dir, "customer").select(payload.alias("payload"), F.lit(0).cast("timestamp").alias("collected_at"))
+    good, _ = snapshots.parsed(raw)
+    collections = snapshots.collections(snapshots.envelopes(good))
+    points = project.with_hostname(project.points(collections, present={"vpn_flows"}))
+    return points.filter("measurement = 'vpn_flows'").select(
+        F.col("fields")["total_flows"]["v_int"].alias("total_flows"), F.col("tags")["hostname"].alias("hostname")
+    )
+
+
 @query(
     "j2_interface_dimension",
     """with hw as (select l_partkey as p, arg_max(l_returnflag, pos) as status from

@@ -68,18 +68,23 @@ def envelopes(documents: DataFrame, modules: Sequence[str] = MODULES) -> DataFra
 
     Only the known modules are looked at; whatever else a document holds is left alone. An envelope that is no object
     becomes a failed row with an error, its siblings stay as they are. Any set value of ``success`` counts as true.
+    A device's host name is resolved here, where its whole document is at hand: an envelope's own, else the one that the
+    device reports about itself in the same document.
     """
     kept = [c for c in documents.columns if c != "document"]
+    told = f"{casts.truthy_leaf(casts.leaf('e', 'success'))} = 1"
+    reported = f"CASE WHEN {told} THEN {casts.leaf_text('e', 'data', 'system_info', 'system', 'hostname')} END"
+    names = f"transform_values({casts.as_object('document', 'system')}, (k, e) -> {reported})"
     return (
-        documents.select(*kept, F.expr(f"explode({casts.as_object('document')}) as (module, _devices)"))
+        documents.select(*kept, F.expr(names).alias("_names"), F.expr(f"explode({casts.as_object('document')}) as (module, _devices)"))
         .filter(F.col("module").isin(*modules))
-        .select(*kept, "module", F.expr(f"explode({casts.as_object('_devices')}) as (device, _envelope)"))
+        .select(*kept, "_names", "module", F.expr(f"explode({casts.as_object('_devices')}) as (device, _envelope)"))
         .select(
             *kept,
             "module",
             "device",
             F.expr(f"coalesce({casts.truthy_leaf(casts.leaf('_envelope', 'success'))} = 1, false)").alias("success"),
-            F.expr(casts.leaf_text("_envelope", "hostname")).alias("hostname"),
+            F.expr(f"coalesce(nullif({casts.leaf_text('_envelope', 'hostname')}, ''), nullif(try_element_at(_names, device), ''))").alias("hostname"),
             F.expr(
                 f"CASE WHEN {casts.as_object('_envelope')} IS NULL THEN '{MALFORMED}' "
                 f"ELSE {casts.leaf_text('_envelope', 'error')} END"
