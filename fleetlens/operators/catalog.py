@@ -7,43 +7,47 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.operators import glossary
 from fleetlens.operators.specs import MEASUREMENTS
 
 # Most points per device and collection that still count as low and medium.
 LOW_POINTS = 1
 MEDIUM_POINTS = 100
 LABELS = ("boolean", "float", "integer", "string")
-# How a field's name ends, and the unit that stands for.
-UNITS = (
-    ("_mib", "MiB"), ("_gb", "GB"), ("_bytes", "bytes"), ("ibytes", "bytes"), ("obytes", "bytes"), ("_percent", "percent"),
-    ("_used", "percent"), ("_seconds", "seconds"), ("_days", "days"), ("_temp_c", "degrees Celsius"),
-    ("temperature_c", "degrees Celsius"), ("rpm", "revolutions per minute"), ("volts", "volts"), ("_bps", "bits per second"),
-    ("_pps", "packets per second"),
-)
 
 
 def unit(key: Column) -> Column:
-    """Unit of a field by the end of its name; null where none is known."""
+    """Unit of a field that the glossary does not know, by the end of its name; null where none is known."""
     out = F.lit(None).cast("string")
-    for end, name in reversed(UNITS):
+    for end, name in reversed(glossary.UNIT_BY_END):
         out = F.when(key.endswith(end), name).otherwise(out)
     return out
 
 
 def words(key: Column) -> Column:
-    """A name as words, which is what a field or measurement without a text of its own is described by."""
+    """A name as words, which is what a field of an unknown measurement is described by."""
     return F.trim(F.regexp_replace(key, "[_-]+", " "))
 
 
 def descriptions(spark: SparkSession) -> DataFrame:
-    """The static table of all measurements of this library: words of the name, module, how often, notes."""
+    """The static table of all measurements of this library: what they hold, module, how often, notes."""
     rows = [
-        (m.name, m.name.replace("_", " "), m.module, "each collection", f"{len(m.fields) + len(m.computed)} fields of {m.collection}")
+        (m.name, *glossary.MEASUREMENT_TEXTS[m.name], m.module, f"{len(m.fields) + len(m.computed)} fields of {m.collection}")
         for m in sorted(MEASUREMENTS.values(), key=lambda m: m.name)
     ]
-    return spark.createDataFrame(
-        rows, "measurement string, description string, category string, update_frequency string, notes string"
-    )
+    table = spark.createDataFrame(rows, "measurement string, description string, update_frequency string, category string, notes string")
+    return table.select("measurement", "description", "category", "update_frequency", "notes")
+
+
+def field_texts(spark: SparkSession) -> DataFrame:
+    """Unit and description of every tag and field of this library's measurements: (measurement, role, key, unit, text)."""
+    rows = []
+    for m in MEASUREMENTS.values():
+        tags = {t[0] for t in m.tags} | set(m.computed_tags) | ({m.key_tag} if m.key_tag else set())
+        rows += [(m.name, "tag", name, None, glossary.text(name)) for name in sorted(tags | {"hostname"})]
+        names = [f[0] for f in m.fields] + list(m.computed)
+        rows += [(m.name, "field", name, glossary.unit(m.name, name), glossary.text(name)) for name in names]
+    return spark.createDataFrame(rows, "measurement string, role string, key string, unit string, text string")
 
 
 def value_profile(
@@ -121,9 +125,14 @@ def catalog(points: DataFrame, descriptions: DataFrame) -> DataFrame:
     keys = value_profile(
         tag_rows.unionByName(field_rows), ("measurement", "role", "key"), "text", F.col("kind"), "_pos"
     )
+    keys = keys.join(
+        field_texts(points.sparkSession).withColumnsRenamed({"unit": "_unit", "text": "_text"}), ["measurement", "role", "key"], "left"
+    )
+    known = F.col("_text").isNotNull()
+    found = F.when(known, F.col("_unit")).otherwise(F.when(F.col("role") == "field", unit(F.col("key"))))
     described = F.struct(
         F.col("key"), F.array_join("types", "|").alias("type"), F.col("example"), F.col("distinct_values"),
-        F.when(F.col("role") == "field", unit(F.col("key"))).alias("unit"), words(F.col("key")).alias("description"),
+        found.alias("unit"), F.coalesce("_text", words(F.col("key"))).alias("description"),
     )
     gathered = keys.groupBy("measurement").agg(
         F.array_sort(F.collect_list(F.when(F.col("role") == "tag", described))).alias("tags"),

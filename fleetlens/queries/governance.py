@@ -258,6 +258,69 @@ def c2_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("measurement", "category", "cardinality", "points_per_collection", "role", F.inline("keys"))
 
 
+#: What the catalog has to say of these fields, written by hand: measurement, role, key, unit, description.
+SAID = (
+    ("cpu_usage", "field", "cpu_total_used", "%", "processor time that was not idle"),
+    ("cpu_usage", "field", "cpu_iowait", "%", "processor waiting for disks"),
+    ("cpu_usage", "field", "cpu_idle", "%", "idle processor time"),
+    ("system_identity", "field", "vm_cores", "cores", "virtual machine cores"),
+    ("system_identity", "field", "vm_mem_mb", "MiB", "memory of the virtual machine"),
+    ("system_identity", "field", "is_dhcp", None, "1 if the IPv4 address comes from DHCP"),
+    ("system_identity", "tag", "serial", None, "serial"),
+    ("system_uptime", "field", "uptime_seconds", "s", "uptime seconds"),
+    ("task_stats", "field", "tasks_zombie", None, "tasks zombie"),
+    ("cpu_dataplane_tasks", "field", "task_flow_mgmt", "%", "task flow management"),
+    ("cpu_dataplane_tasks", "field", "cpu_cores", "cores", "processor cores"),
+    ("env_thermal", "field", "temperature_c", "°C", "temperature"),
+    ("env_fan", "field", "rpm", "RPM", "revolutions"),
+    ("env_power", "field", "volts", "V", "volts"),
+    ("interface_info", "field", "speed", "Mbps", "speed of the link"),
+    ("interface_counters_hw", "field", "rx_bytes", "bytes", "received bytes"),
+    ("interface_counters_hw", "field", "rx_unicast", "packets", "received unicast"),
+    ("interface_counters_hw", "field", "link_down_count", None, "how often the link went down"),
+    ("interface_counters_logical", "field", "tcp_conn", "connections", "TCP connection"),
+    ("interface_counters_logical", "field", "noarp", "packets", "packets without an ARP entry"),
+    ("ha_status", "field", "av_compat", None, "whether the antivirus versions of the pair match"),
+    ("ha_status", "field", "local_state_duration", "s", "local state duration"),
+    ("bgp_peer", "field", "state_up", "boolean", "1 while the state is up"),
+    ("vpn_tunnel", "field", "kb_limit", "KB", "traffic after which keys are renewed"),
+    ("ipsec_sa", "field", "remaining_percent", "%", "remaining percent"),
+    ("mac_count", "field", "mac_count", "addresses", "number of hardware addresses"),
+    ("memory_usage", "field", "memory_buff_cache_mib", "MiB", "memory buffer cache"),
+    ("disk_usage", "field", "use_percent", "%", "use percent"),
+)
+
+
+@query(
+    "c2_field_texts",
+    "select s.*, u.n as suppliers from (values "
+    + ", ".join("(" + ", ".join("null" if v is None else f"'{v}'" for v in row) + ")" for row in SAID)
+    + ") s(measurement, role, key, unit, description), (select count(*) as n from supplier) u",
+)
+def c2_field_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units and descriptions that the catalog gives to fields of points, one point for each supplier and measurement."""
+    one = "cast(struct(null, 1, null, null) as struct<v_bool:boolean,v_int:bigint,v_dbl:double,v_str:string>)"
+
+    def held(measurement: str, role: str, value: str) -> str:
+        keys = [key for m, r, key, *_ in SAID if (m, r) == (measurement, role)]
+        return f"map_from_arrays(array({', '.join(map(repr, keys))}), array({', '.join([value] * len(keys))}))" if keys else "map()"
+
+    each = [
+        f"struct('{m}' as measurement, cast({held(m, 'tag', repr('x'))} as map<string,string>) as tags, "
+        f"cast({held(m, 'field', one)} as map<string,struct<v_bool:boolean,v_int:bigint,v_dbl:double,v_str:string>>) as fields)"
+        for m in sorted({row[0] for row in SAID})
+    ]
+    points = table(spark, sf_dir, "supplier").select(
+        F.timestamp_seconds("s_suppkey").alias("collected_at"), F.concat(F.lit("dev-"), F.col("s_suppkey")).alias("device"),
+        F.expr(f"inline(array({', '.join(each)}))"),
+    )
+    rows = catalog.catalog(points, catalog.descriptions(spark))
+    counted = points.groupBy("measurement").agg(F.countDistinct("device").alias("suppliers"))
+    both = F.array(*[F.struct(F.lit(r).alias("role"), F.col(f"{r}s").alias("keys")) for r in ("tag", "field")])
+    listed = rows.join(counted, "measurement").select("measurement", "suppliers", F.inline(both)).select("measurement", "suppliers", "role", F.inline("keys"))
+    return listed.select("measurement", "role", "key", "unit", "description", "suppliers")
+
+
 @query(
     "a8_catalog_summary",
     f"""with {CATALOG}, n as (select max(n) as n from (select count(*) as n from part group by p_partkey)),
