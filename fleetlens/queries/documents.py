@@ -10,7 +10,7 @@ from fleetlens.operators import nested, project, rollup, textparse
 from fleetlens.plans.ticks import spread, table
 from fleetlens.queries import query
 from fleetlens.session import run_dir
-from fleetlens.sources import snapshots, store
+from fleetlens.sources import linesink, snapshots, store
 
 # ---- sources and sinks ----------------------------------------------------------------------
 
@@ -179,6 +179,15 @@ def s4_line_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+@query("s4_line_sink_committed", LINES)
+def s4_line_sink_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same lines through the sink that moves files into place when the whole job has ended."""
+    path = run_dir(spark, "committed-lines")
+    spark.dataSource.register(linesink.LineSink)
+    store.lines(part_points(spark, sf_dir), prefix="x_").write.format("line_sink").mode("append").save(path)
+    return spark.read.text(f"{path}/part-*.txt").withColumnRenamed("value", "line")
+
+
 @query("s5_json_sink", "select o_orderkey, o_custkey, o_totalprice, o_orderpriority from orders")
 def s5_json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "json")
