@@ -9,7 +9,7 @@ from fleetlens.plans.ticks import micros, polls, table, ticks
 from fleetlens.queries import query
 from fleetlens.queries.series import POLLS, RATES, TICKS
 from fleetlens.session import prepare, run_dir
-from fleetlens.streaming import flows, ordered, state
+from fleetlens.streaming import flows, gates, ordered, state
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -261,3 +261,18 @@ def ts7_line_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     write = flows.to_lines_and_metrics(f"{work}/lines", f"{work}/metrics", prefix="x_")
     flows.each_batch(stream, write, f"{work}/checkpoint").awaitTermination()
     return spark.read.text(f"{work}/lines").select(F.col("value").alias("line"))
+
+
+@query("f08_stream_gate", "select event_id, value from events where event_id % 4 < 2")
+def f08_stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four batches, of which the third has a third of its values below zero: the stream halts there."""
+    work = run_dir(spark, "gate")
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    for i in range(4):
+        spoilt = F.when((F.col("event_id") % 3 == 0) & (F.lit(i) == 2), -1.0).otherwise(F.col("value"))
+        events.filter(F.col("event_id") % 4 == i).withColumn("value", spoilt).coalesce(1).write.mode("append").parquet(f"{work}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/in")
+    write = gates.gated({"not negative": F.col("value") >= 0}, {"not negative": 0.9}, flows.to_folder_per_batch(f"{work}/out"), f"{work}/held")
+    if not gates.ended_at_gate(flows.each_batch(stream, write, f"{work}/checkpoint")):
+        raise RuntimeError("the gate let a bad batch pass")
+    return spark.read.parquet(f"{work}/out").drop("batch_id")
