@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions.netaddr import IPV4_ANYWHERE, MAC, documentation_ip, ip_class
 from fleetlens.plans.numbering import number_within
+from fleetlens.session import run_dir
 
 # Placeholders that stay, section names, and the keys that mark each category.
 PLACEHOLDERS = ("unknown", "n/a", "N/A", "null", "none", "None")
@@ -369,10 +370,16 @@ def rewritten(documents: DataFrame, text: str, replacements: DataFrame, position
     return both.mapInPandas(apply, "position bigint, text string")
 
 
+def _landed(df: DataFrame, label: str) -> DataFrame:
+    path = run_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pseudonymised(
     documents: DataFrame, text: str, level: str = "standard", position: str = "position", previous: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Rewritten documents and the dictionary used."""
-    pieces = identifiers(occurrences(documents, text, position), level)
+    """Rewritten documents and the dictionary used. The pieces are landed in the shared folder, as both are made of them."""
+    pieces = _landed(identifiers(occurrences(documents, text, position), level), "pieces")
     mapping = dictionary(pieces, previous)
     return rewritten(documents, text, replaced_texts(pieces, mapping), position), mapping
