@@ -164,11 +164,15 @@ def _in_order(
     rows: DataFrame, step: Callable, schema: str, value: str, value_type: str, keys: Sequence[str], outputs: str, delay: str,
     selected: bool, idle_ms: int | None, bucket_us: int,
 ) -> DataFrame:
-    kind = F.col("kind") if "kind" in rows.columns else F.lit(SAMPLE)
+    kind = F.coalesce(F.col("kind") if "kind" in rows.columns else F.lit(None), F.lit(SAMPLE))
+    # A null makes pandas read the whole column as floats, also for the other keys of an Arrow batch, so rows that are
+    # not samples get numbers for what they do not have.
+    tie = F.coalesce(F.col("tie"), F.when(kind != SAMPLE, 0))
+    held = F.coalesce(F.col(value).cast(value_type), F.when(kind != SAMPLE, F.lit(0).cast(value_type)))
     marked = (
         rows.withColumn("_ts", F.timestamp_micros("ts_us")).withWatermark("_ts", delay)
         # without the watermarked column, rows behind the watermark reach the processor, which reports them
-        .select(*keys, "ts_us", "tie", F.coalesce(kind, F.lit(SAMPLE)).alias("kind"), F.col(value).cast(value_type).alias("value"))
+        .select(*keys, "ts_us", tie.alias("tie"), kind.alias("kind"), held.alias("value"))
     )
     named = [f"{k} {_type(rows, k)}" for k in keys]
     out = StructType.fromDDL(", ".join([*named, outputs, "reason string"]))

@@ -100,3 +100,19 @@ def test_keys_that_nothing_names_are_forgotten(spark, tmp_path):
     for name in ("last", "place"):
         known = spark.read.format("statestore").option("path", str(tmp_path / "checkpoint")).option("stateVarName", name).load()
         assert {r["key"]["device"] for r in known.collect()} == {"b"}
+
+
+def test_heartbeat_and_controls_without_numbers_beside_samples_of_other_keys(spark, tmp_path):
+    devices = [f"d{i}" for i in range(40)]
+    beat = (None, None, 5000 * SECOND, None, None, None, None, "heartbeat")
+    big = 2**53 + 1
+    files = [
+        [*(row(d, ts, tie, big + tie) for d in devices for ts, tie in ((10, 1), (20, 2))), beat],
+        [*(row(d, 30, 3, None, "deselected") for d in devices[:20]), *(row(d, 40, 4, big + 9) for d in devices), beat],
+        [row("x", 9000, 1)], [row("x", 9001, 2)],
+    ]
+    stream = land(spark, str(tmp_path / "in"), *files)
+    got, side = drained(spark, ordered.ordered_rates(stream, "4000 seconds"), tmp_path)
+    want = Counter({(1, 0): 40, (2, 1): 40, (4, 7): 20})
+    assert bag(got.filter("device != 'x'"), "tie", "delta_octets") == want
+    assert side.count() == 0
