@@ -105,7 +105,7 @@ def ts2_rates_of_shuffled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "device", "iface", "ts_us", F.col("event_id").alias("tie"), F.col("c_octets").alias("counter")
     )
     stream, delay = _in_any_order(spark, samples, "shuffled-ticks")
-    rates = _drained_in_order(spark, ordered.ordered_rates(stream, delay, bucket_us=SPARSE), "ordered-rates")
+    rates = _drained_in_order(spark, ordered.ordered_rates(stream, delay, bucket_us=SPARSE, groups=state.GROUPS), "ordered-rates")
     return rates.withColumnRenamed("tie", "event_id").drop("ts_us")
 
 
@@ -174,7 +174,7 @@ def ts4_changes_of_shuffled_files(spark: SparkSession, sf_dir: str) -> DataFrame
     state.use_state_store(spark)
     samples = _polled(table(spark, sf_dir, "events")).select("device", "ts_us", "tie", "state")
     stream, delay = _in_any_order(spark, samples, "shuffled-states")
-    changes = _drained_in_order(spark, ordered.ordered_changes(stream, delay, SPARSE), "ordered-changes")
+    changes = _drained_in_order(spark, ordered.ordered_changes(stream, delay, SPARSE, groups=state.GROUPS), "ordered-changes")
     return changes.withColumnRenamed("tie", "event_id").drop("ts_us")
 
 
@@ -210,7 +210,7 @@ def ts5_changing_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("octets") > 9000, ordered.DESELECTED).otherwise(ordered.SELECTED).alias("kind"),
     )
     stream, delay = _in_any_order(spark, samples.unionByName(controls), "selection")
-    rates = _drained_in_order(spark, ordered.ordered_rates(stream, delay, bucket_us=SPARSE), "selected-rates")
+    rates = _drained_in_order(spark, ordered.ordered_rates(stream, delay, bucket_us=SPARSE, groups=state.GROUPS), "selected-rates")
     return rates.select("device", "iface", (F.col("tie") / 2).cast("bigint").alias("event_id"), "delta_octets", "bps", "peak_bps")
 
 

@@ -1,6 +1,6 @@
 """State fed in event-time order: late rows, changing selections, forgotten keys.
 
-Rows of a key wait in a buffer of time buckets until the watermark has passed them, whatever files they came in; an
+Keys are dealt to groups, or each is its own. Rows of a group wait in a buffer of time buckets until the watermark has passed them, whatever files they came in; an
 event-time timer then releases them in order, a bucket at a time, to the same steps that ``state`` takes. A row that
 comes after its place has been passed is not lost: it is emitted with a reason, for a side table.
 
@@ -24,20 +24,23 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from fleetlens.operators.series import PAUSE_AFTER
-from fleetlens.streaming.state import CHANGE_STATE, PAUSE_STATE, RATE_STATE, _type, change_step, pause_step, rate_step
+from fleetlens.streaming.state import (
+    CHANGE_OUTPUT, CHANGE_STATE, PAUSE_OUTPUT, PAUSE_STATE, RATE_OUTPUT, RATE_STATE, as_text, change_step, grouped, numbered, pause_step,
+    rate_step, typed,
+)
 
 #: Kinds of rows, as they are named in column ``kind``; the last one goes to no buffer.
 SAMPLE, SELECTED, DESELECTED, HEARTBEAT = "sample", "selected", "deselected", "heartbeat"
 #: Why a row is in the side output.
 LATE, REPEATED = "late", "repeated"
-#: Time of rows that are sorted together; a bucket of one key must fit into memory.
+#: Time of rows that are sorted together; a bucket of one group of keys must fit into memory.
 BUCKET_US = 600_000_000
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class InOrder(StatefulProcessor):
-    """Buffers the rows of a key, releases them behind the watermark and steps over them."""
+    """Buffers the rows of a group of keys, releases them behind the watermark and steps over them key by key."""
 
     def __init__(
         self, step: Callable, schema: str, value: str, value_type: str, keys: Sequence[str], outputs: Sequence[str],
@@ -46,115 +49,157 @@ class InOrder(StatefulProcessor):
         self.step, self.schema, self.value, self.value_type = step, schema, value, value_type
         self.keys, self.outputs, self.selected = list(keys), list(outputs), selected
         self.idle_ms, self.bucket_us = idle_ms, bucket_us
+        self.columns = [*self.keys, "ts_us", "tie", "kind", "value"]
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", self.schema)
-        self.place = handle.getValueState("place", "ts_us bigint, tie bigint, selected boolean, parts bigint, seen_us bigint")
+        named = ", ".join(f"{k} string" for k in self.keys)
+        self.last = handle.getListState("last", f"{named}, {self.schema}")
+        self.place = handle.getListState("place", f"{named}, ts_us bigint, tie bigint, selected boolean")
+        self.parts = handle.getValueState("parts", "parts bigint")
         self.buffer = handle.getMapState(
             "buffer", "bucket bigint, part bigint",
-            f"ts_us array<bigint>, tie array<bigint>, kind array<string>, value array<{self.value_type}>",
+            ", ".join(f"{k} array<string>" for k in self.keys)
+            + f", ts_us array<bigint>, tie array<bigint>, kind array<string>, value array<{self.value_type}>",
         )
 
-    def _at(self) -> tuple:
-        return self.place.get() if self.place.exists() else (None, None, self.selected, 0, None)
+    def _read(self, state) -> dict[tuple, tuple]:
+        n = len(self.keys)
+        return {tuple(row[:n]): tuple(row[n:]) for row in state.get()}
 
-    def _hold(self, rows: pd.DataFrame, part: int) -> int:
-        """Puts rows into their buckets; the next free part number."""
+    def _write(self, state, kept: dict[tuple, tuple]) -> None:
+        if kept:
+            state.put([(*name, *value) for name, value in kept.items()])
+        else:
+            state.clear()
+
+    def _hold(self, rows: pd.DataFrame) -> None:
+        """Puts rows into their buckets."""
+        known = self.parts.get()
+        first = part = known[0] if known else 0
         for bucket, some in rows.groupby(rows["ts_us"] // self.bucket_us):
-            columns = tuple(some[c].tolist() for c in ("ts_us", "tie", "kind", "value"))
-            self.buffer.updateValue((int(bucket), part), columns)
+            self.buffer.updateValue((int(bucket), part), tuple(some[c].tolist() for c in self.columns))
             part += 1
-        return part
+        if part > first:
+            self.parts.update((part,))
 
     def _wake(self, ts_us: int) -> None:
         self.handle.registerTimer(-(-int(ts_us) // 1000))
 
-    def _told(self, key, out: pd.DataFrame, reason: str | None = None) -> pd.DataFrame:
-        full = pd.DataFrame({name: [value] * len(out) for name, value in zip(self.keys, key)}, index=out.index)
+    def _told(self, out: pd.DataFrame, reason: str | None = None) -> pd.DataFrame:
+        full = out[self.keys].copy()
         for name in self.outputs:
             full[name] = out[name] if name in out else None
         full["reason"] = reason
         return full.reset_index(drop=True)
 
+    def _passed(self, chunk: pd.DataFrame, places: dict) -> np.ndarray:
+        """Which rows come after their place has been passed."""
+        number, names = numbered(chunk, self.keys)
+        at = [places.get(n) for n in names]
+        known = np.array([p is not None for p in at])[number]
+        at_ts = np.array([p[0] if p else 0 for p in at], dtype="int64")[number]
+        at_tie = np.array([p[1] if p else 0 for p in at], dtype="int64")[number]
+        ts, tie = chunk["ts_us"].to_numpy(), chunk["tie"].to_numpy()
+        return known & ((ts < at_ts) | ((ts == at_ts) & (tie <= at_tie)))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ts, tie, selected, parts, seen = self._at()
-        earliest = None
+        places, come = self._read(self.place), []
         for chunk in rows:
             chunk = chunk[chunk["kind"] != HEARTBEAT]
-            if ts is not None:
-                passed = (chunk["ts_us"] < ts) | ((chunk["ts_us"] == ts) & (chunk["tie"] <= tie))
+            if places and len(chunk):
+                passed = self._passed(chunk, places)
                 if passed.any():
-                    yield self._told(key, chunk[passed], LATE)
+                    yield self._told(chunk[passed], LATE)
                     chunk = chunk[~passed]
             if len(chunk):
-                parts = self._hold(chunk, parts)
-                first, newest = int(chunk["ts_us"].min()), int(chunk["ts_us"].max())
-                earliest = first if earliest is None else min(earliest, first)
-                seen = newest if seen is None else max(seen, newest)
-        if earliest is not None:
-            self.place.update((ts, tie, selected, parts, seen))
-            self._wake(earliest)
+                come.append(chunk[self.columns])
+        if come:
+            held = pd.concat(come, ignore_index=True)
+            self._hold(held)
+            self._wake(held["ts_us"].min())
+
+    def _released(self, held: pd.DataFrame, places: dict, known: dict) -> Iterator[pd.DataFrame]:
+        """Output of the rows of a bucket that the watermark has passed; ``places`` and ``known`` go on to behind them."""
+        number, names = numbered(held, self.keys)
+        ts, tie = held["ts_us"].to_numpy(dtype="int64"), held["tie"].to_numpy(dtype="int64")
+        place = np.lexsort((tie, ts, number))
+        number, ts, tie = number[place], ts[place], tie[place]
+        again = np.append(False, (np.diff(number) == 0) & (np.diff(ts) == 0) & (np.diff(tie) == 0))
+        if again.any():
+            yield self._told(held.iloc[place[again]], REPEATED)
+        number, ts, tie, rows = number[~again], ts[~again], tie[~again], held.iloc[place[~again]]
+        begin = np.searchsorted(number, np.arange(len(names)))
+        end = np.append(begin[1:], len(number)) - 1
+        kind = rows["kind"].to_numpy(dtype=object)
+        off, on = kind == DESELECTED, kind == SELECTED
+        before = np.array([places[n][2] if n in places else self.selected for n in names])
+        latest = np.maximum.accumulate(np.where(off | on, np.arange(len(kind)), -1))
+        selected = np.where(latest >= begin[number], on[latest], before[number])
+        times = np.cumsum(off)
+        times = times - (times - off)[begin][number]
+        taken = (kind == SAMPLE) & selected
+        if taken.any():
+            samples = rows[taken].rename(columns={"value": self.value}).reset_index(drop=True)
+            of, since = number[taken], times[taken]
+            starts = np.append(True, (np.diff(of) != 0) | (np.diff(since) != 0))
+            going = [known.get(names[n]) if t == 0 else None for n, t in zip(of[starts], since[starts])]
+            states, out = self.step(going, np.cumsum(starts) - 1, samples)
+            ended = {names[n]: (t, state) for n, t, state in zip(of[starts], since[starts], states)}
+            if len(out):
+                for k in self.keys:
+                    out[k] = samples[k].iloc[out.index]
+                yield self._told(out)
+        else:
+            ended = {}
+        for n, (name, at) in enumerate(zip(names, end.tolist())):
+            times_off, state = ended.get(name, (None, None))
+            if times_off == times[at]:
+                known[name] = state
+            elif times[at]:
+                known.pop(name, None)
+            places[name] = (int(ts[at]), int(tie[at]), bool(selected[at]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        ts, tie, selected, parts, seen = self._at()
-        known = self.last.get() if self.last.exists() else None
-        had, released = known is not None, False
+        places, known = self._read(self.place), self._read(self.last)
         held: dict[int, list[int]] = {}
         for bucket, part in list(self.buffer.keys()):
             held.setdefault(bucket, []).append(part)
-        for bucket in sorted(held):
-            if bucket * self.bucket_us > limit:
-                break
+        for bucket in sorted(b for b in held if b * self.bucket_us <= limit):
             pieces = []
-            for part in held[bucket]:
-                pieces.append(pd.DataFrame(dict(zip(("ts_us", "tie", "kind", "value"), self.buffer.getValue((bucket, part))))))
+            for part in sorted(held[bucket]):
+                pieces.append(pd.DataFrame(dict(zip(self.columns, self.buffer.getValue((bucket, part))))))
                 self.buffer.removeKey((bucket, part))
-            batch = pd.concat(pieces, ignore_index=True).sort_values(["ts_us", "tie"], kind="stable")
+            batch = pd.concat(pieces, ignore_index=True)
             waits = batch["ts_us"] > limit
             if waits.any():
-                parts = self._hold(batch[waits], parts)
-                self._wake(batch["ts_us"][waits].iloc[0])
-            batch = batch[~waits]
-            again = batch.duplicated(["ts_us", "tie"])
-            if again.any():
-                yield self._told(key, batch[again], REPEATED)
-                batch = batch[~again]
-            if batch.empty:
-                continue
-            released = True
-            ts, tie = int(batch["ts_us"].iloc[-1]), int(batch["tie"].iloc[-1])
-            control = (batch["kind"] != SAMPLE).to_numpy()
-            edges = [0, *(np.flatnonzero(control) + 1).tolist(), len(batch)]
-            for a, b in zip(edges, edges[1:]):
-                some = batch.iloc[a:b]
-                ends = None if some.empty or some["kind"].iloc[-1] == SAMPLE else some["kind"].iloc[-1]
-                samples = some.iloc[: len(some) - (ends is not None)].rename(columns={"value": self.value})
-                if selected and len(samples):
-                    known, out = self.step(known, samples.reset_index(drop=True))
-                    if len(out):
-                        yield self._told(key, out)
-                if ends == DESELECTED:
-                    selected, known = False, None
-                elif ends == SELECTED:
-                    selected = True
+                self._hold(batch[waits])
+                self._wake(batch["ts_us"][waits].min())
+            if not waits.all():
+                yield from self._released(batch[~waits].reset_index(drop=True), places, known)
         later = [b for b in held if b * self.bucket_us > limit]
         if later:
             self._wake(min(later) * self.bucket_us)
-        idle = self.idle_ms is not None and seen is not None and seen + self.idle_ms * 1000 <= limit
-        if idle and not later and not self.buffer.exists():
-            self.last.clear()
-            if selected == self.selected:
-                self.place.clear()
-            return
-        if known is not None and released:
-            self.last.update(known)
-        elif known is None and had:
-            self.last.clear()
-        self.place.update((ts, tie, selected, parts, seen))
-        if self.idle_ms is not None and not later:
-            self._wake(seen + self.idle_ms * 1000)
+        if self.idle_ms is not None:
+            self._forget(limit, places, known)
+        self._write(self.place, places)
+        self._write(self.last, known)
+
+    def _forget(self, limit: int, places: dict, known: dict) -> None:
+        """Forgets keys that nothing has named for ``idle_ms`` and wakes when the next one will be due."""
+        due = {n: p[0] + self.idle_ms * 1000 for n, p in places.items() if n in known or p[2] == self.selected}
+        if any(at <= limit for at in due.values()):
+            for _, rows in list(self.buffer.iterator()):
+                for name in set(zip(*rows[: len(self.keys)])):
+                    due.pop(name, None)
+        for name in [n for n, at in due.items() if at <= limit]:
+            del due[name]
+            known.pop(name, None)
+            if places[name][2] == self.selected:
+                del places[name]
+        if due:
+            self._wake(min(due.values()))
 
     def close(self) -> None:
         pass
@@ -162,55 +207,60 @@ class InOrder(StatefulProcessor):
 
 def _in_order(
     rows: DataFrame, step: Callable, schema: str, value: str, value_type: str, keys: Sequence[str], outputs: str, delay: str,
-    selected: bool, idle_ms: int | None, bucket_us: int,
+    selected: bool, idle_ms: int | None, bucket_us: int, groups: int | None,
 ) -> DataFrame:
     kind = F.coalesce(F.col("kind") if "kind" in rows.columns else F.lit(None), F.lit(SAMPLE))
     # A null makes pandas read the whole column as floats, also for the other keys of an Arrow batch, so rows that are
     # not samples get numbers for what they do not have.
     tie = F.coalesce(F.col("tie"), F.when(kind != SAMPLE, 0))
     held = F.coalesce(F.col(value).cast(value_type), F.when(kind != SAMPLE, F.lit(0).cast(value_type)))
+    by = list(keys) if groups is None else ["key_group"]
     marked = (
-        rows.withColumn("_ts", F.timestamp_micros("ts_us")).withWatermark("_ts", delay)
+        (rows if groups is None else grouped(rows, keys, groups)).withColumn("_ts", F.timestamp_micros("ts_us")).withWatermark("_ts", delay)
         # without the watermarked column, rows behind the watermark reach the processor, which reports them
-        .select(*keys, "ts_us", tie.alias("tie"), kind.alias("kind"), held.alias("value"))
+        .select(*by, *as_text(keys), "ts_us", tie.alias("tie"), kind.alias("kind"), held.alias("value"))
     )
-    named = [f"{k} {_type(rows, k)}" for k in keys]
-    out = StructType.fromDDL(", ".join([*named, outputs, "reason string"]))
+    out = StructType.fromDDL(", ".join([*(f"key_{k} string" for k in keys), outputs, "reason string"]))
     columns = [f.name for f in out][len(keys) : -1]
-    processor = InOrder(step, schema, value, value_type, keys, columns, selected, idle_ms, bucket_us)
-    return marked.groupBy(*keys).transformWithStateInPandas(processor, out, "Append", "EventTime")
+    processor = InOrder(step, schema, value, value_type, [f"key_{k}" for k in keys], columns, selected, idle_ms, bucket_us)
+    return typed(marked.groupBy(*by).transformWithStateInPandas(processor, out, "Append", "EventTime"), rows, keys)
 
 
 def ordered_rates(
     samples: DataFrame, delay: str, zero_is_unknown: bool = True, selected: bool = True, idle_ms: int | None = None,
-    bucket_us: int = BUCKET_US,
+    bucket_us: int = BUCKET_US, groups: int | None = None,
 ) -> DataFrame:
     """Rates of a stream of (device, iface, ts_us, tie, counter and, if there are control rows, kind), in event-time order.
 
     Rows with a ``reason`` are not rates but samples that came when later ones had been passed (``late``) or a second time
-    (``repeated``). ``selected``: whether keys count before any control row names them.
+    (``repeated``). ``selected``: whether keys count before any control row names them. ``groups``: keys are dealt to so
+    many groups that share state calls, which tables of many keys need (see ``state.GROUPS``); without it each key has
+    calls of its own, and the state can be read by key.
     """
     return _in_order(
         samples, partial(rate_step, zero_is_unknown=zero_is_unknown), RATE_STATE, "counter", "bigint", ("device", "iface"),
-        "ts_us bigint, tie bigint, delta_octets bigint, bps double, peak_bps double", delay, selected, idle_ms, bucket_us,
+        RATE_OUTPUT, delay, selected, idle_ms, bucket_us, groups,
     )
 
 
-def ordered_changes(samples: DataFrame, delay: str, bucket_us: int = BUCKET_US, idle_ms: int | None = None) -> DataFrame:
+def ordered_changes(
+    samples: DataFrame, delay: str, bucket_us: int = BUCKET_US, idle_ms: int | None = None, groups: int | None = None
+) -> DataFrame:
     """Transitions of a stream of (device, ts_us, tie, state), in event-time order; rows with a reason as in rates."""
     return _in_order(
         samples, change_step, CHANGE_STATE, "state", "string", ("device",),
-        "ts_us bigint, tie bigint, prev_state string, state string", delay, True, idle_ms, bucket_us,
+        CHANGE_OUTPUT, delay, True, idle_ms, bucket_us, groups,
     )
 
 
 def ordered_pauses(
-    polls: DataFrame, delay: str, after: int = PAUSE_AFTER, bucket_us: int = BUCKET_US, idle_ms: int | None = None
+    polls: DataFrame, delay: str, after: int = PAUSE_AFTER, bucket_us: int = BUCKET_US, idle_ms: int | None = None,
+    groups: int | None = None,
 ) -> DataFrame:
     """Pause alerts of a stream of (device, ts_us, tie, failed), in event-time order; rows with a reason as in rates."""
     return _in_order(
         polls, partial(pause_step, after=after), PAUSE_STATE, "failed", "boolean", ("device",),
-        "ts_us bigint, tie bigint, length bigint", delay, True, idle_ms, bucket_us,
+        PAUSE_OUTPUT, delay, True, idle_ms, bucket_us, groups,
     )
 
 

@@ -116,3 +116,17 @@ def test_heartbeat_and_controls_without_numbers_beside_samples_of_other_keys(spa
     want = Counter({(1, 0): 40, (2, 1): 40, (4, 7): 20})
     assert bag(got.filter("device != 'x'"), "tie", "delta_octets") == want
     assert side.count() == 0
+
+
+def test_keys_that_share_groups(spark, table, tmp_path):
+    """As many state calls as groups, not keys; the results are those of the batch."""
+    rows, files = table
+    rows = [(f"{r[0]}{r[3] % 9}", *r[1:]) for r in rows]
+    stream = land(spark, str(tmp_path / "in"), *[[(f"{r[0]}{r[3] % 9}", *r[1:]) for r in f] for f in files[:3]], files[3])
+    got, side = drained(spark, ordered.ordered_rates(stream, "90000 seconds", bucket_us=3600 * SECOND, groups=3), tmp_path / "a")
+    want = series.poll_records(spark.createDataFrame(rows, SCHEMA), octets=("counter",), order=("ts_us", "tie"))
+    columns = ("device", "iface", "tie")
+    assert bag(got, *columns, "delta_octets", "bps", "peak_bps") == bag(want, *columns, "delta_counter", "counter_bps", "counter_peak_bps")
+    assert side.count() == 0
+    known = spark.read.format("statestore").option("path", str(tmp_path / "a" / "checkpoint")).option("stateVarName", "last").load()
+    assert known.count() == len({r[:2] for r in rows}) and {r["key"]["key_group"] for r in known.collect()} <= {0, 1, 2}
