@@ -142,7 +142,8 @@ def part_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     def slot(kind: str, value) -> F.Column:
         return F.struct(*[(value if t == kind else nothing[t]).alias(s) for t, s in project.VALUE_TYPES.items()])
 
-    return table(spark, sf_dir, "part").select(
+    # a small file is one split, and a part gives nine rows of a catalog
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(
         F.concat(F.lit("dev-"), F.col("p_partkey")).alias("device"),
         F.lit("stock item").alias("measurement"),
         F.create_map(

@@ -34,3 +34,10 @@ def test_other_measurements_are_described_by_their_names(spark):
     )
     row = catalog.catalog(points, catalog.descriptions(spark)).first()
     assert (row["tags"][0]["description"], row["fields"][0]["unit"], row["fields"][0]["description"]) == ("some tag", "MiB", "free mib")
+
+
+def test_parts_of_one_small_file_are_read_by_all_cores(spark):
+    from fleetlens.queries.documents import part_points
+
+    points = part_points(spark, "/root/testdata/sf0.001")
+    assert points.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
