@@ -172,6 +172,11 @@ def as_object(value: str, *keys: str) -> str:
     return get_as(value, "map<string,variant>", *keys)
 
 
+def is_object(value: str, *keys: str) -> str:
+    """Whether a leaf is an object; none of its members is copied for that."""
+    return f"({get_as(value, 'struct<>', *keys)} IS NOT NULL)"
+
+
 def as_list(value: str, *keys: str) -> str:
     return get_as(value, "array<variant>", *keys)
 
@@ -217,14 +222,15 @@ def present(value: str) -> str:
     return f"coalesce({value} IS NOT NULL AND NOT is_variant_null({value}) AND {get_as(value, 'string')} NOT IN ('', '{{}}', '[]'), false)"
 
 
-def one_or_many(value: str) -> str:
+def one_or_many(value: str, *keys: str) -> str:
     """An array as it is, a single object as an array of one; scalars and null give null."""
-    return f"coalesce({as_list(value)}, CASE WHEN {as_object(value)} IS NOT NULL THEN array({value}) END)"
+    single = leaf(value, *keys) if keys else value
+    return f"coalesce({as_list(value, *keys)}, CASE WHEN {is_object(value, *keys)} THEN array({single}) END)"
 
 
-def objects_of(value: str) -> str:
+def objects_of(value: str, *keys: str) -> str:
     """Objects of a one-or-many value; elements that are not objects are left out."""
-    return f"filter({one_or_many(value)}, item -> {as_object('item')} IS NOT NULL)"
+    return f"filter({one_or_many(value, *keys)}, item -> {is_object('item')})"
 
 
 def first_path(value: str, paths) -> str:

@@ -68,6 +68,10 @@ CORE_IMBALANCE = 50.0
 HOT_SHARE = 0.9
 CONTENT_DAYS = 7
 
+#: Measurements that the classes, and all alerts of the catalog, look at.
+CLASSED = {row[0] for row in CLASSES}
+WATCHED = {row[0] for row in (*ALERTS, *PAIRS, *SUSTAINED, *CHANGES, *FALLS)} | {"load_average"}
+
 RULE_COLUMNS = "measurement string, field string, op string, threshold string, severity string"
 
 

@@ -23,17 +23,17 @@ POINT = f"struct<measurement:string,tags:map<string,string>,fields:{FIELD_MAP}>"
 def _entry_rows(df: DataFrame, shape: str, path: tuple[str, ...]) -> DataFrame:
     at = casts.leaf("body", *path) if path else "body"
     if shape == "one":
-        return df.filter(f"{casts.as_object(at)} IS NOT NULL").selectExpr(
+        return df.filter(casts.is_object("body", *path)).selectExpr(
             "*", "cast(null as string) as entry_key", f"{at} as entry"
         )
     if shape == "many":
-        return df.selectExpr("*", "cast(null as string) as entry_key", f"explode({casts.objects_of(at)}) as entry")
+        return df.selectExpr("*", "cast(null as string) as entry_key", f"explode({casts.objects_of('body', *path)}) as entry")
     if shape == "map":
         return nested.explode_map(df, at)
     if shape == "slots":
         slots = casts.first_path("body", [(name,) for name in path[0].split("|")])
         by_slot = nested.explode_map(df, slots, "entry_key", "_slot")
-        return by_slot.selectExpr("*", f"explode({casts.objects_of(casts.leaf('_slot', 'entry'))}) as entry").drop("_slot")
+        return by_slot.selectExpr("*", f"explode({casts.objects_of('_slot', 'entry')}) as entry").drop("_slot")
     if shape in ("plane", "cores"):
         planes = casts.first_path("body", [("resource-monitor", "data-processors"), ("resource-monitor",)])
         chosen = casts.first_key("p", ["dp0", "s1dp0"])
@@ -42,12 +42,12 @@ def _entry_rows(df: DataFrame, shape: str, path: tuple[str, ...]) -> DataFrame:
         rows = df.selectExpr("*", f"inline(array({found}))").filter("entry IS NOT NULL")
         if shape == "plane":
             return rows
-        cores = casts.objects_of(casts.leaf("entry", "cpu-load-average", "entry"))
+        cores = casts.objects_of("entry", "cpu-load-average", "entry")
         return rows.withColumn("entry", F.expr(f"explode({cores})"))
     if shape == "summary":
-        keyed = f"map_filter({casts.as_object(at)}, (_, v) -> {casts.as_object('v')} IS NOT NULL)"
+        keyed = f"map_filter({casts.as_object(at)}, (_, v) -> {casts.is_object('v')})"
         routers = casts.bound(keyed, f"CASE WHEN size(m) > 0 THEN m ELSE map('', {at}) END", "m")
-        rows = df.filter(f"{casts.as_object(at)} IS NOT NULL").selectExpr("*", f"explode({routers}) as (entry_key, entry)")
+        rows = df.filter(casts.is_object("body", *path)).selectExpr("*", f"explode({routers}) as (entry_key, entry)")
         return rows.withColumn("entry_key", F.expr("nullif(entry_key, '')"))
     raise ValueError(f"unknown shape {shape}")
 
@@ -90,7 +90,7 @@ def _as_it_came(value: str) -> str:
         f"'{slot}', CASE WHEN k.label = '{label}' THEN {casts.get_as('k.x', kind)} END"
         for label, (kind, slot) in zip(("integer", "float", "string", "boolean"), VALUE_TYPES.items())
     )
-    labelled = casts.bound(value, f"named_struct('x', x, 'label', {casts.leaf_label('x')})", "x")
+    labelled = casts.bound(value, f"CASE WHEN x IS NOT NULL THEN named_struct('x', x, 'label', {casts.leaf_label('x')}) END", "x")
     return casts.bound(labelled, f"named_struct({slots})", "k")
 
 
@@ -140,7 +140,7 @@ def _point(spec: Measurement, none_text: bool) -> str:
     fields += [f"'{name}', {_slot(wide_type, value)}" for name, (wide_type, value) in spec.computed.items()]
     tags = [f"'{n}', {c}" for n, c in _tags(spec, none_text).items()]
     tag_map = f"map_filter(map({', '.join(tags)}), (_, t) -> t <> '')" if tags else "cast(map() as map<string,string>)"
-    live = "coalesce(cast(f.v_bool as string), cast(f.v_int as string), cast(f.v_dbl as string), f.v_str) IS NOT NULL"
+    live = " OR ".join(f"f.{slot} IS NOT NULL" for slot in VALUE_TYPES.values())
     field_map = f"map_filter(map({', '.join(fields)}), (_, f) -> {live})"
     return f"cast(named_struct('measurement', '{spec.name}', 'tags', {tag_map}, 'fields', {field_map}) as {POINT})"
 
@@ -252,16 +252,19 @@ def category_points(collections: DataFrame, min_entries: int = rollup.MIN_CATEGO
     )
 
 
-def points(collections: DataFrame, none_text: bool = False, present: set[str] | None = None) -> DataFrame:
+def points(
+    collections: DataFrame, none_text: bool = False, present: set[str] | None = None, named: set[str] | None = None
+) -> DataFrame:
     """Every point of the given collections (see ``sources.snapshots.collections``).
 
     ``present`` names the collections that occur, when that is known (a micro-batch, the folders of
-    the collection table); passes over other collections are then left out of the plan.
+    the collection table); passes over other collections are then left out of the plan. ``named`` names the
+    measurements that are asked for, when others would be dropped later anyway (those that a list of rules names).
 
     Measurements that read the same entries share a pass, and each pass filters on (module,
     collection), so on the partitioned collection table every file is read by few passes.
     """
-    specs = sorted(MEASUREMENTS.values(), key=lambda s: s.reading())
+    specs = sorted((s for s in MEASUREMENTS.values() if named is None or s.name in named), key=lambda s: s.reading())
     parts = [
         _plain_points(collections, group, none_text)
         for (_, name, _, _), group in groupby(specs, key=lambda s: s.reading())
@@ -276,6 +279,8 @@ def points(collections: DataFrame, none_text: bool = False, present: set[str] |
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
+    if named is not None:
+        out = out.filter(F.col("measurement").isin(*named))
     return out.filter(F.size("fields") > 0)
 
 

@@ -16,14 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over at least as many partitions as there are cores, for work that is heavy per row.
+def spread(df: DataFrame, *keys: str, per_core: int = 1) -> DataFrame:
+    """Rows over at least ``per_core`` partitions for each core, for work that is heavy per row.
 
     Only a table smaller than the cluster is shuffled (a single small file gives one partition); a
-    large one already comes in many splits and is returned as it is.
+    large one already comes in many splits and is returned as it is. Splits of a file may hold very different numbers of
+    rows, so tables of which few columns are read ask for more than one partition a core. The filter lets every row pass
+    and stays behind the shuffle, so no later filter, whose expressions are the heavy work, moves before it.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
+    wanted = df.sparkSession.sparkContext.defaultParallelism * per_core
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, *keys).filter(F.spark_partition_id() >= 0)
 
 
 def micros(column: str):

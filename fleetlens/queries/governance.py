@@ -93,8 +93,8 @@ def h2_text_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "field")
 
 
-def _health_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer is a poll of its nation's device, with eleven measurements made of its columns."""
+def _health_points(spark: SparkSession, sf_dir: str, named: set[str]) -> DataFrame:
+    """Every customer is a poll of its nation's device, with eleven measurements made of its columns; points of those ``named``."""
     payload = F.expr(
         """concat('{"system":{"fw-', c_nationkey, '":{"success":true,"data":{"resource_usage":{"cpu_idle":', c_custkey % 100, ',"memory_usage_percent":', c_custkey * 7 % 100,
            ',"swap_usage_percent":', c_custkey * 3 % 100, ',"load_average_15min":', c_custkey % 8, ',"tasks_zombie":', c_custkey % 3, '},"environmental":{"thermal":{"S1":{"entry":{"slot":1,"DegreesC":', c_custkey % 100,
@@ -103,16 +103,14 @@ def _health_points(spark: SparkSession, sf_dir: str) -> DataFrame:
            '"}}},"extended_cpu":{"resource-monitor":{"dp0":{"second":{"cpu-load-average":{"entry":[{"coreid":0,"value":"', c_custkey % 100, '"},{"coreid":1,"value":"10"}]}}}}},"system_info":{"system":{"_uptime_seconds":', c_custkey * 60 % 7200,
            '}}}}},"interfaces":{"fw-', c_nationkey, '":{"success":true,"data":{"interface_counters":{"hw":{"entry":{"name":"eth1","port":{"rx-error":', c_custkey % 5, ',"tx-error":', c_custkey * 11 % 120, '}}}}}}}}')"""
     )
-    rows = spread(table(spark, sf_dir, "customer"), "c_custkey").select(
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey", per_core=3).select(
         F.timestamp_seconds(F.col("c_custkey") * 60).alias("collected_at"), payload.alias("payload")
     )
     good, _ = snapshots.parsed(rows)
-    landed, stored = run_dir(spark, "bronze"), run_dir(spark, "points")
-    store.write_collections(snapshots.collections(snapshots.envelopes(good)), landed)
+    landed = run_dir(spark, "bronze")
+    store.write_collections(snapshots.collections(snapshots.envelopes(good)), landed, gather=False)
     present = {"resource_usage", "environmental", "ha_status", "extended_cpu", "system_info", "interface_counters"}
-    points = project.points(store.read_collections(spark, landed), present=present)
-    store.write_points(health.with_error_totals(points), stored, partitions=("measurement",))
-    return store.read_points(spark, stored)
+    return health.with_error_totals(project.points(store.read_collections(spark, landed), present=present, named=named))
 
 
 POLLED = """with c as (select c_custkey as k, 'fw-' || cast(c_nationkey as varchar) as device from customer),
@@ -131,7 +129,7 @@ POLLED = """with c as (select c_custkey as k, 'fw-' || cast(c_nationkey as varch
       select device, measurement, field, level, count(*) as n from v group by all""",
 )
 def h1_catalog_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = project.long_metrics(_health_points(spark, sf_dir))
+    metrics = project.long_metrics(_health_points(spark, sf_dir, health.CLASSED))
     found = health.classified(metrics, health.cut_points(spark), health.metric_columns(metrics)[0])
     return found.groupBy("device", "measurement", "field", "level").agg(F.count("*").alias("n"))
 
@@ -157,7 +155,9 @@ def h1_catalog_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
       select k * 60 as at, device, measurement, field, severity from a""",
 )
 def h2_catalog_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = _health_points(spark, sf_dir)
+    stored = run_dir(spark, "points")
+    store.write_points(_health_points(spark, sf_dir, health.WATCHED), stored, partitions=("measurement",))
+    points = store.read_points(spark, stored)
     found = health.catalog_alerts(points, project.long_metrics(points))
     return found.select(F.unix_seconds("collected_at").alias("at"), "device", "measurement", "field", "severity")
 

@@ -16,6 +16,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
+    # Landed bodies are read whole, so columns split from them on writing would only be put together again.
+    spark.conf.set("spark.sql.variant.inferShreddingSchema", "false")
+    # Read as it is; the older form of times has to be computed for every row.
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
     return spark
 
 

@@ -55,8 +55,9 @@ def parsed(raw: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
     A document's own ``timestamp`` is its collection time; the file's is used where it has none.
     """
     parse = "parse_json" if strict else "try_parse_json"
-    documents = raw.withColumn("document", F.expr(f"{parse}(payload)"))
-    broken = F.expr(f"{casts.as_object('document')} is null")
+    # Generated, not projected: filters on the document would else be moved below the projection and parse it once more.
+    documents = raw.drop("document").selectExpr("*", f"inline(array(named_struct('document', {parse}(payload))))")
+    broken = F.expr(f"NOT {casts.is_object('document')}")
     if "collected_at" in raw.columns:
         own = F.expr("try_variant_get(document, '$.timestamp', 'timestamp')")
         documents = documents.withColumn("collected_at", F.coalesce(own, F.col("collected_at")))
@@ -86,7 +87,7 @@ def envelopes(documents: DataFrame, modules: Sequence[str] = MODULES) -> DataFra
             F.expr(f"coalesce({casts.truthy_leaf(casts.leaf('_envelope', 'success'))} = 1, false)").alias("success"),
             F.expr(f"coalesce(nullif({casts.leaf_text('_envelope', 'hostname')}, ''), nullif(try_element_at(_names, device), ''))").alias("hostname"),
             F.expr(
-                f"CASE WHEN {casts.as_object('_envelope')} IS NULL THEN '{MALFORMED}' "
+                f"CASE WHEN NOT {casts.is_object('_envelope')} THEN '{MALFORMED}' "
                 f"ELSE {casts.leaf_text('_envelope', 'error')} END"
             ).alias("error"),
             F.expr(casts.leaf("_envelope", "data")).alias("data"),

@@ -51,10 +51,14 @@ def read_points(
     return df
 
 
-def write_collections(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Collection rows by module and collection, so a measurement reads only its own folder."""
+def write_collections(df: DataFrame, path: str, mode: str = "append", gather: bool = True) -> None:
+    """Collection rows by module and collection, so a measurement reads only its own folder.
+
+    ``gather`` puts a collection's rows into few files, cut by their bytes. Without it every task writes its own rows, so
+    those who read a folder, whose work is by the row, find files for all cores.
+    """
     keys = ("module", "collection")
-    df.hint("rebalance", *keys).write.mode(mode).partitionBy(*keys).parquet(path)
+    (df.hint("rebalance", *keys) if gather else df).write.mode(mode).partitionBy(*keys).parquet(path)
 
 
 def read_collections(spark: SparkSession, path: str) -> DataFrame:
