@@ -110,10 +110,46 @@ def _values(spec: Measurement) -> dict[str, tuple[str, str]]:
     return plain | spec.computed
 
 
+def _read_together(spec: Measurement) -> tuple[str | None, dict[str, tuple[str, str]]]:
+    """Type of a struct of the untyped fields, and where each is found in ``_raw``, a column of that type.
+
+    One walk over an entry fills it, where fields read one by one search the entry's names once each. A leaf of
+    another type is null there too, and leaves its siblings alone. A field whose path crosses that of another one is left out.
+    """
+    tree: dict = {}
+    found: dict[str, tuple[str, str]] = {}
+    for name, source, kind in spec.fields:
+        if not kind.startswith("raw:"):
+            continue
+        node, keys = tree, source.split("/")
+        for i, key in enumerate(keys):
+            wanted = kind[4:] if i == len(keys) - 1 else {}
+            held = node.setdefault(key, wanted)
+            twins = sum(other.lower() == key.lower() for other in node)
+            if twins > 1 or isinstance(held, dict) != isinstance(wanted, dict) or (isinstance(held, str) and held != wanted):
+                break
+            node = held
+        else:
+            found[name] = kind[4:], "_raw" + "".join(f".`{key}`" for key in keys)
+
+    def ddl(node: dict) -> str:
+        return f"struct<{','.join(f'`{k}`:{ddl(v) if isinstance(v, dict) else v}' for k, v in node.items())}>"
+
+    clash = any(len({k.lower() for k in node}) < len(node) for node in _nodes(tree))
+    return (None, {}) if clash or len(found) < 2 else (ddl(tree), found)
+
+
+def _nodes(tree: dict) -> list[dict]:
+    return [tree, *[inner for v in tree.values() if isinstance(v, dict) for inner in _nodes(v)]]
+
+
 def wide(collections: DataFrame, spec: Measurement, none_text: bool = False) -> DataFrame:
     """Typed table of one measurement; a row without any field value is left out."""
     rows = _entry_rows(_of(collections, spec), spec.shape, spec.path)
-    values = _values(spec)
+    together, found = _read_together(spec)
+    if together:
+        rows = rows.selectExpr("*", f"{casts.get_as('entry', together)} as _raw")
+    values = _values(spec) | found
     # A tag may share its name with a field (local_as) or a context column (device of a disk); it then
     # gets a suffix. The row travels as one generated struct: a filter on plain columns would be pushed below the projection and
     # evaluate every expression twice.

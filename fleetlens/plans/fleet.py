@@ -157,7 +157,7 @@ def body_sql(plan: Plan) -> str:
 
 def collection_rows(spark: SparkSession, sf_dir: str, plan: Plan) -> DataFrame:
     """Collection rows of one measurement, one per row of the source table."""
-    rows = spread(table(spark, sf_dir, plan.table).select(F.col(KEYS[plan.table]).cast("bigint").alias("k")), "k")
+    rows = spread(table(spark, sf_dir, plan.table).select(F.col(KEYS[plan.table]).cast("bigint").alias("k")), "k", per_core=3)
     return rows.select(
         F.lit(None).cast("timestamp").alias("collected_at"),
         F.lit(plan.spec.module).alias("module"),

@@ -66,3 +66,17 @@ def test_objects_are_told_from_other_leaves(spark):
         f"transform({casts.objects_of('v', 'x', 'y')}, o -> to_json(o)) as many", f"transform({casts.objects_of('v', 'x')}, o -> to_json(o)) as one"
     ).first()
     assert inner["many"] == ['{"a":1}', '{"b":2}'] and inner["one"] == ['{"y":[{"a":1},2,{"b":2}]}']
+
+
+def test_untyped_fields_are_read_in_one_walk(spark):
+    spec = project.MEASUREMENTS["interface_counters_logical"]
+    body = """{"ifnet":{"ifnet":{"entry":[{"name":"a","ibytes":1,"obytes":"x","pod":"7","land":null,"teardrop":2.9},
+        {"name":"b","ibytes":{"z":1},"sctp_conn":5,"ibytes2":9},{"name":"c","other":1},3]}}}"""
+    rows = spark.createDataFrame([(body,)], "body string").selectExpr(
+        "cast(null as timestamp) collected_at", "'d' device", "cast(null as string) hostname", "cast(null as string) data_hostname",
+        f"'{spec.module}' module", f"'{spec.collection}' collection", "false superseded", "parse_json(body) body",
+    )
+    table = project.wide(rows, spec)
+    assert _optimized(table).count("try_variant_get(entry") <= 2
+    found = {r["interface"]: {k: v for k, v in r.asDict().items() if isinstance(v, int)} for r in table.collect()}
+    assert found == {"a": {"ibytes": 1, "pod": 7, "teardrop": 2}, "b": {"sctp_conn": 5}}
