@@ -60,7 +60,10 @@ def s1_snapshot_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "supplier").select(
         "s_suppkey", F.when(F.col("s_suppkey") % 7 == 0, F.substr(payload, F.lit(1), F.lit(60))).otherwise(payload).alias("value")
     )
-    rows.repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    # A file costs far more than its bytes: a given number of tasks, which are not put together by their bytes, write and commit.
+    tasks = spark.sparkContext.defaultParallelism * 3
+    writer = rows.repartition(tasks, "s_suppkey").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy("s_suppkey").text(path)
     raw = snapshots.read_snapshots(spark, path).withColumn(
         "id", F.regexp_extract("source", "s_suppkey=([0-9]+)", 1).cast("bigint")
     )

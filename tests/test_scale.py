@@ -1,14 +1,19 @@
 """Work that is heavy per row stays spread over tasks, and is done once."""
 
+import os
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
 from fleetlens.functions import casts
 from fleetlens.operators import project
 from fleetlens.plans.ticks import spread
 from fleetlens.sources import snapshots, store
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def _optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
@@ -80,3 +85,9 @@ def test_untyped_fields_are_read_in_one_walk(spark):
     assert _optimized(table).count("try_variant_get(entry") <= 2
     found = {r["interface"]: {k: v for k, v in r.asDict().items() if isinstance(v, int)} for r in table.collect()}
     assert found == {"a": {"ibytes": 1, "pod": 7, "teardrop": 2}, "b": {"sctp_conn": 5}}
+
+
+@pytest.mark.skipif(not os.path.isdir(SMALL), reason="tables not there")
+def test_snapshot_files_are_written_by_several_tasks(spark):
+    files = entry_point.queries()["s1_snapshot_file"](spark, SMALL).inputFiles()
+    assert len({re.search(r"part-(\d+)-", f).group(1) for f in files}) > 1
