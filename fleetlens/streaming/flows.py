@@ -70,15 +70,24 @@ def points_of(collections: DataFrame, hosts: DataFrame | None = None) -> DataFra
     return project.with_hostname(project.points(collections, present=present), reported)
 
 
-def with_points(envelopes: DataFrame, use: Callable[[DataFrame], None], hosts: DataFrame | None = None) -> None:
-    """``use`` the points of a micro-batch of envelopes, which is parsed once."""
+def with_points(
+    envelopes: DataFrame, use: Callable[[DataFrame], None], hosts: DataFrame | None = None, several: bool = True
+) -> None:
+    """``use`` the points of a micro-batch of envelopes, which is parsed once.
+
+    Points are kept while ``use`` goes on if it reads them ``several`` times; they are many times larger than the
+    collections, so whoever reads them once takes them as they are made.
+    """
     collections = snapshots.collections(envelopes).persist()
     try:
-        points = points_of(collections, hosts).persist()
+        points = points_of(collections, hosts)
+        if several:
+            points.persist()
         try:
             use(points)
         finally:
-            points.unpersist()
+            if several:
+                points.unpersist()
     finally:
         collections.unpersist()
 
@@ -127,7 +136,7 @@ def ingest(
     """Landed envelope files to long metrics, exactly once per file."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        with_points(batch, lambda points: write_batch(project.long_metrics(points), target, batch_id), hosts)
+        with_points(batch, lambda points: write_batch(project.long_metrics(points), target, batch_id), hosts, several=False)
 
     stream = snapshots.read_envelopes(spark, landing, streaming=True, files_per_trigger=files_per_trigger)
     return each_batch(stream, write, checkpoint, once=once)

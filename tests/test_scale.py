@@ -11,6 +11,7 @@ from fleetlens.functions import casts
 from fleetlens.operators import project
 from fleetlens.plans.ticks import spread
 from fleetlens.sources import snapshots, store
+from fleetlens.streaming import flows
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -91,3 +92,15 @@ def test_untyped_fields_are_read_in_one_walk(spark):
 def test_snapshot_files_are_written_by_several_tasks(spark):
     files = entry_point.queries()["s1_snapshot_file"](spark, SMALL).inputFiles()
     assert len({re.search(r"part-(\d+)-", f).group(1) for f in files}) > 1
+
+
+def test_points_that_are_used_once_are_not_kept(spark):
+    good, _ = snapshots.parsed(_documents(spark, 10, 2))
+    seen = {}
+
+    def use(points):
+        seen[points.is_cached] = sorted(map(str, points.collect()))
+
+    for several in (True, False):
+        flows.with_points(snapshots.envelopes(good), use, several=several)
+    assert set(seen) == {True, False} and seen[True] == seen[False] != []
