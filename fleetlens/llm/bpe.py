@@ -29,8 +29,9 @@ from fleetlens.llm.columns import text_of
 LEAF_CHARS, LEAF_BYTES = 8192, 512
 #: Up to this many bytes, a list of pairs beats a heap.
 SHORT = 64
-#: Distinct pieces a worker remembers; it forgets all and starts again beyond.
-REMEMBERED = 100_000
+#: Distinct pieces a worker remembers before it starts anew. Those of the last time stay at hand until then and are taken
+#: over where they are met again, so common pieces stay and rare ones go. It holds twice as many, beside those of the texts at hand.
+REMEMBERED = 200_000
 NO_RANK = 1 << 60
 #: Texts that are cut before new pieces are looked up together, and new pieces that are merged together.
 TEXTS, TOGETHER = 64, 4096
@@ -51,6 +52,7 @@ class Codec:
         self.cut = regex.compile(pattern)
         self.stable: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[str, bytes]] = {}
+        self.before: dict[str, tuple[str, bytes]] = {}
         self.text_of_id = {rank: str(rank) for rank in self.tokens}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)])
         pairs = {
@@ -190,18 +192,22 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Remembers ids as decimal text, and the bytes they decode to, of pieces not met before."""
-        data = {p: p.encode("utf-8", "surrogatepass") for p in pieces}
-        ids = {p: [r] if (r := self.ranks.get(d)) is not None else None for p, d in data.items()}
-        for shortest, longest in ((2, 8), (9, 16), (17, 32)):
-            some = [p for p, d in data.items() if ids[p] is None and shortest <= len(d) <= longest]
+        known, ranks, text_of_id, tokens = self.known, self.ranks, self.text_of_id, self.tokens
+        short: list[list[tuple[str, bytes]]] = [[] for _ in range(4)]  # up to 8, 16, 24 and 32 bytes
+        for p in pieces:
+            data = p.encode("utf-8", "surrogatepass")
+            if (rank := ranks.get(data)) is not None:
+                known[p] = text_of_id[rank], tokens[rank]
+            elif len(data) <= 32:
+                short[(len(data) - 1) // 8].append((p, data))
+            else:
+                found = self.tree(data)
+                known[p] = ",".join([text_of_id[t] for t in found]), self.decode(found)
+        for some in short:
             for i in range(0, len(some), TOGETHER):
                 group = some[i : i + TOGETHER]
-                ids.update(zip(group, self.merged_together([data[p] for p in group])))
-        text_of_id = self.text_of_id
-        for p, found in ids.items():
-            if found is None:
-                found = self.tree(data[p])
-            self.known[p] = ",".join([text_of_id[t] for t in found]), self.decode(found)
+                for (p, _), found in zip(group, self.merged_together([data for _, data in group])):
+                    known[p] = ",".join([text_of_id[t] for t in found]), b"".join([tokens[t] for t in found])
 
     def encode(self, text: str) -> list[int]:
         return [t for p in self.cuts(text) for t in self.piece(p.encode("utf-8", "surrogatepass"))]
@@ -215,9 +221,13 @@ class Codec:
             cut = [self.cuts(text) for text in texts[i : i + TEXTS]]
             needed = set().union(*cut)
             new = needed.difference(self.known)
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = needed
+            if self.known and len(self.known) + len(new) > REMEMBERED:
+                if len(self.known) <= REMEMBERED:  # not what one heap of texts brought all at once
+                    self.before = self.known
+                self.known, new = {}, needed
+            if new and self.before:
+                self.known.update([(p, found) for p in new if (found := self.before.get(p)) is not None])
+                new = new.difference(self.known)
             if new:
                 self.learn(new)
             for pieces in cut:

@@ -44,6 +44,19 @@ def test_round_trip_remembers_and_forgets(codec, library, monkeypatch):
         assert ids == ",".join(map(str, library.encode_ordinary(text))) and data == text.encode()
 
 
+def test_common_pieces_are_learned_once(monkeypatch):
+    """Rare pieces fill what is remembered again and again; a piece met in every text is still learned once."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "TEXTS", 4)
+    codec = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    learn, learned = codec.learn, []
+    monkeypatch.setattr(codec, "learn", lambda pieces: (learned.extend(pieces), learn(pieces)))
+    texts = [f"everywhere{' everywhere' * 3} {'x' * n}q {'y' * n}q {'z' * n}q {'v' * n}q" for n in range(1, 120)]
+    assert b"".join(data for _, data in codec.round_trip(texts)) == "".join(texts).encode()
+    assert learned.count(" everywhere") == 1 and len(learned) == len(set(learned)) == 4 * 119 + 2
+    assert len(codec.known) <= 50 and len(codec.before) <= 50
+
+
 def test_digests(awkward, library):
     rows = {(r["doc_id"], r["text"] or "") for r in awkward.collect()}
     got = bpe.digests(awkward, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
