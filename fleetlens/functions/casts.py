@@ -29,7 +29,8 @@ def exact_round(value: str, digits: int) -> str:
 
     SQL ``round`` works on the decimal text, so 2.675 (stored just below it) would become 2.68. The
     two differ only when the text ends in a 5 one place further; then the exact value is compared
-    with the half, in pieces small enough for every product to be exact.
+    with the half, in pieces small enough for every product to be exact. Nothing is to be done for null and whole
+    numbers, which most values are (adding zero makes -0 a 0, as rounding does).
     """
     if digits < 0 or digits > 4:
         raise ValueError("digits must be between 0 and 4")
@@ -46,7 +47,7 @@ def exact_round(value: str, digits: int) -> str:
     tie = f"abs(v) * {step} < 4503599627370496D AND round(v, {digits + 1}) = v AND {units} % 10 = 5"
     return bound(
         f"cast({value} as double)",
-        f"CASE WHEN {tie} THEN signum(v) * {chosen} / {10 ** digits}D ELSE round(v, {digits}) END",
+        f"CASE WHEN v IS NULL OR v % 1 = 0 THEN v + 0D WHEN {tie} THEN signum(v) * {chosen} / {10 ** digits}D ELSE round(v, {digits}) END",
         "v",
     )
 

@@ -68,9 +68,18 @@ CORE_IMBALANCE = 50.0
 HOT_SHARE = 0.9
 CONTENT_DAYS = 7
 
-#: Measurements that the classes, and all alerts of the catalog, look at.
-CLASSED = {row[0] for row in CLASSES}
-WATCHED = {row[0] for row in (*ALERTS, *PAIRS, *SUSTAINED, *CHANGES, *FALLS)} | {"load_average"}
+
+
+def _asked(*rows: tuple[str, str]) -> dict[str, set[str]]:
+    return {measurement: {name for m, name in rows if m == measurement} for measurement, _ in rows}
+
+
+#: Measurements and their fields (or patterns of names) that the classes, and all alerts of the catalog, look at.
+CLASSED = _asked(*[row[:2] for row in CLASSES], ("interface_counters_hw", "rx_error"), ("interface_counters_hw", "tx_error"))
+WATCHED = _asked(
+    *[row[:2] for row in (*ALERTS, *PAIRS, *SUSTAINED, *CHANGES, *FALLS)], *[(row[0], row[3]) for row in PAIRS],
+    ("load_average", "load_15min"),
+)
 
 RULE_COLUMNS = "measurement string, field string, op string, threshold string, severity string"
 

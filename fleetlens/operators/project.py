@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable, Mapping
+from fnmatch import fnmatchcase
 from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
@@ -167,25 +168,39 @@ def _of(collections: DataFrame, spec: Measurement) -> DataFrame:
     )
 
 
-def _point(spec: Measurement, none_text: bool) -> str:
-    """SQL text of the point struct of one entry."""
-    fields = []
+def _point(spec: Measurement, none_text: bool, asked: Iterable[str] | None = None) -> str:
+    """SQL text of the point struct of one entry.
+
+    With ``asked``, fields that no name or pattern there asks for are computed only for a point that has none of the others.
+    """
+    fields = {}
     for name, source, kind in spec.fields:
         found = casts.leaf("entry", *source.split("/"))
-        fields.append(f"'{name}', {_as_it_came(found) if kind.startswith('raw:') else _slot(*_typed(kind, source))}")
-    fields += [f"'{name}', {_slot(wide_type, value)}" for name, (wide_type, value) in spec.computed.items()]
+        fields[name] = _as_it_came(found) if kind.startswith("raw:") else _slot(*_typed(kind, source))
+    fields |= {name: _slot(wide_type, value) for name, (wide_type, value) in spec.computed.items()}
     tags = [f"'{n}', {c}" for n, c in _tags(spec, none_text).items()]
     tag_map = f"map_filter(map({', '.join(tags)}), (_, t) -> t <> '')" if tags else "cast(map() as map<string,string>)"
     live = " OR ".join(f"f.{slot} IS NOT NULL" for slot in VALUE_TYPES.values())
-    field_map = f"map_filter(map({', '.join(fields)}), (_, f) -> {live})"
+
+    def filled(names: list[str]) -> str:
+        return f"map_filter(map({', '.join(f"'{n}', {fields[n]}" for n in names)}), (_, f) -> {live})"
+
+    first = [n for n in fields if asked is None or any(fnmatchcase(n, pattern) for pattern in asked)] or list(fields)
+    rest = [n for n in fields if n not in first]
+    field_map = filled(first)
+    if rest:
+        field_map = casts.bound(field_map, f"CASE WHEN size(asked) > 0 THEN asked ELSE {filled(rest)} END", "asked")
     return f"cast(named_struct('measurement', '{spec.name}', 'tags', {tag_map}, 'fields', {field_map}) as {POINT})"
 
 
-def _plain_points(collections: DataFrame, specs: Iterable[Measurement], none_text: bool) -> DataFrame:
+def _plain_points(
+    collections: DataFrame, specs: Iterable[Measurement], none_text: bool, named: Collection[str] | None
+) -> DataFrame:
     """Points of all measurements read from one place: one scan, one explode."""
     specs = list(specs)
     rows = _entry_rows(_of(collections, specs[0]), specs[0].shape, specs[0].path)
-    listed = ", ".join(_point(s, none_text) for s in specs)
+    asked = named if isinstance(named, Mapping) else {}
+    listed = ", ".join(_point(s, none_text, asked.get(s.name)) for s in specs)
     return rows.selectExpr(*CONTEXT, "module", f"inline(array({listed}))")
 
 
@@ -289,20 +304,22 @@ def category_points(collections: DataFrame, min_entries: int = rollup.MIN_CATEGO
 
 
 def points(
-    collections: DataFrame, none_text: bool = False, present: set[str] | None = None, named: set[str] | None = None
+    collections: DataFrame, none_text: bool = False, present: set[str] | None = None, named: Collection[str] | None = None
 ) -> DataFrame:
     """Every point of the given collections (see ``sources.snapshots.collections``).
 
     ``present`` names the collections that occur, when that is known (a micro-batch, the folders of
     the collection table); passes over other collections are then left out of the plan. ``named`` names the
-    measurements that are asked for, when others would be dropped later anyway (those that a list of rules names).
+    measurements that are asked for, when others would be dropped later anyway (those that a list of rules names). As a
+    mapping it also gives the fields asked for, each a name or a pattern with ``*``: a point then has all of those that it
+    holds, and others only if it holds none, so no point is lost.
 
     Measurements that read the same entries share a pass, and each pass filters on (module,
     collection), so on the partitioned collection table every file is read by few passes.
     """
     specs = sorted((s for s in MEASUREMENTS.values() if named is None or s.name in named), key=lambda s: s.reading())
     parts = [
-        _plain_points(collections, group, none_text)
+        _plain_points(collections, group, none_text, named)
         for (_, name, _, _), group in groupby(specs, key=lambda s: s.reading())
         if present is None or present & {name, *(f for f, first in FALLBACKS.items() if first == name), FALLBACKS.get(name, name)}
     ]

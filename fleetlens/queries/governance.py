@@ -93,7 +93,7 @@ def h2_text_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "field")
 
 
-def _health_points(spark: SparkSession, sf_dir: str, named: set[str]) -> DataFrame:
+def _health_points(spark: SparkSession, sf_dir: str, named: dict[str, set[str]]) -> DataFrame:
     """Every customer is a poll of its nation's device, with eleven measurements made of its columns; points of those ``named``."""
     payload = F.expr(
         """concat('{"system":{"fw-', c_nationkey, '":{"success":true,"data":{"resource_usage":{"cpu_idle":', c_custkey % 100, ',"memory_usage_percent":', c_custkey * 7 % 100,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
 from fleetlens.functions import casts
-from fleetlens.operators import project
+from fleetlens.operators import health, project
 from fleetlens.plans.ticks import spread
 from fleetlens.sources import snapshots, store
 from fleetlens.streaming import flows
@@ -53,6 +53,42 @@ def test_landing_without_gathering_leaves_files_for_all_tasks(spark, tmp_path):
     assert landed.select("_metadata.file_path").distinct().count() == 4
 
 
+def test_fields_that_no_rule_names_are_left_out_but_no_point_is(spark):
+    payload = F.expr(
+        """element_at(array('{"load_average_1min":1,"load_average_15min":3}', '{"load_average_1min":1}', '{"load_average_15min":3}', '{"other":1}'), cast(id + 1 as int))"""
+    )
+    rows = spark.range(4).select(
+        F.timestamp_seconds("id").alias("collected_at"), F.lit("system").alias("module"), F.lit("d").alias("device"),
+        F.lit(None).cast("string").alias("hostname"), F.lit(None).cast("string").alias("data_hostname"),
+        F.lit("resource_usage").alias("collection"), F.parse_json(payload).alias("body"), F.lit(False).alias("superseded"),
+    )
+
+    def fields(named):
+        found = project.points(rows, present={"resource_usage"}, named=named)
+        return {(r["collected_at"].minute * 60 + r["collected_at"].second, *sorted(r["fields"])) for r in found.collect()}
+
+    assert fields({"load_average"}) == {(0, "load_15min", "load_1min"), (1, "load_1min"), (2, "load_15min")}
+    for asked in ("load_15min", "load_15*"):
+        assert fields({"load_average": {asked}}) == {(0, "load_15min"), (1, "load_1min"), (2, "load_15min")}
+    assert fields({"load_average": {"nothing"}}) == fields({"load_average"})
+
+
+def test_every_field_that_alerts_look_at_is_asked_for(spark):
+    """Each rule's field, of either side of a pair, and what the look-back and core rules read."""
+    looked = {(r[0], r[1]) for r in (*health.ALERTS, *health.PAIRS, *health.SUSTAINED, *health.CHANGES, *health.FALLS)}
+    looked |= {(r[0], r[3]) for r in health.PAIRS} | {("load_average", "load_15min"), ("cpu_dataplane_cores", "cpu_utilization_avg")}
+    assert looked == {(m, name) for m, names in health.WATCHED.items() for name in names}
+    assert {r[:2] for r in health.CLASSES} <= {(m, name) for m, names in health.CLASSED.items() for name in names}
+
+
+def test_whole_numbers_and_null_round_at_once(spark):
+    values = "double(null), 0D, -0D, 7D, -100D, 1e300D, double('NaN'), double('Infinity'), 2.675D, -0.125D, 0.375D"
+    text = casts.exact_round("x", 2)
+    got = spark.sql(f"select {text} as y from (select explode(array({values})) as x)").collect()
+    assert [str(r["y"]) for r in got] == ["None", "0.0", "0.0", "7.0", "-100.0", "1e+300", "nan", "inf", "2.67", "-0.12", "0.38"]
+    assert "v IS NULL OR v % 1 = 0" in text
+
+
 def test_named_measurements_are_those_of_all_points(spark):
     good, _ = snapshots.parsed(_documents(spark, 10, 2))
     rows = snapshots.collections(snapshots.envelopes(good))
