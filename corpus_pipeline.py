@@ -17,17 +17,20 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to the table of labels, takes for good."""
+    shared.small_heaps(spark)
     labels = spark.read.parquet(os.path.join(sf_dir, "labels.parquet"))
     return nbsvm.keep_good(docs, nbsvm.train(docs, labels))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id."""
+    shared.small_heaps(spark)
     return exactdedup.dedup(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the document with the smallest doc_id."""
+    shared.small_heaps(spark)
     return nearcopies.dedup(docs)
 
 
@@ -38,6 +41,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Numbers and digests of the token ids and of the decoded texts."""
+    shared.small_heaps(spark)
     return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 

@@ -31,7 +31,8 @@ LEAF_CHARS, LEAF_BYTES = 8192, 512
 SHORT = 64
 #: Distinct pieces a worker remembers before it starts anew. Those of the last time stay at hand until then and are taken
 #: over where they are met again, so common pieces stay and rare ones go. It holds twice as many, beside those of the texts at hand.
-REMEMBERED = 200_000
+#: A worker outlives its stage, so what it remembers stays in an executor's memory: some 400 bytes a piece.
+REMEMBERED = 100_000
 NO_RANK = 1 << 60
 #: Texts that are cut before new pieces are looked up together, and new pieces that are merged together.
 TEXTS, TOGETHER = 64, 4096
@@ -51,9 +52,10 @@ class Codec:
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.cut = regex.compile(pattern)
         self.stable: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, tuple[str, bytes]] = {}
-        self.before: dict[str, tuple[str, bytes]] = {}
+        self.known: dict[str, str] = {}
+        self.before: dict[str, str] = {}
         self.text_of_id = {rank: str(rank) for rank in self.tokens}
+        self.said = {said: self.tokens[rank] for rank, said in self.text_of_id.items()}
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)])
         pairs = {
             ranks[token[:i]] << 32 | ranks[token[i:]]: rank
@@ -191,23 +193,22 @@ class Codec:
         return np.where((self.pairs[at] == wanted) & (left >= 0) & (right >= 0), self.made[at], NO_RANK)
 
     def learn(self, pieces: set[str]) -> None:
-        """Remembers ids as decimal text, and the bytes they decode to, of pieces not met before."""
-        known, ranks, text_of_id, tokens = self.known, self.ranks, self.text_of_id, self.tokens
+        """Remembers ids as decimal text of pieces not met before."""
+        known, ranks, text_of_id = self.known, self.ranks, self.text_of_id
         short: list[list[tuple[str, bytes]]] = [[] for _ in range(4)]  # up to 8, 16, 24 and 32 bytes
         for p in pieces:
             data = p.encode("utf-8", "surrogatepass")
             if (rank := ranks.get(data)) is not None:
-                known[p] = text_of_id[rank], tokens[rank]
+                known[p] = text_of_id[rank]
             elif len(data) <= 32:
                 short[(len(data) - 1) // 8].append((p, data))
             else:
-                found = self.tree(data)
-                known[p] = ",".join([text_of_id[t] for t in found]), self.decode(found)
+                known[p] = ",".join([text_of_id[t] for t in self.tree(data)])
         for some in short:
             for i in range(0, len(some), TOGETHER):
                 group = some[i : i + TOGETHER]
                 for (p, _), found in zip(group, self.merged_together([data for _, data in group])):
-                    known[p] = ",".join([text_of_id[t] for t in found]), b"".join([tokens[t] for t in found])
+                    known[p] = ",".join([text_of_id[t] for t in found])
 
     def encode(self, text: str) -> list[int]:
         return [t for p in self.cuts(text) for t in self.piece(p.encode("utf-8", "surrogatepass"))]
@@ -231,8 +232,8 @@ class Codec:
             if new:
                 self.learn(new)
             for pieces in cut:
-                found = [self.known[p] for p in pieces]
-                yield ",".join([f[0] for f in found]), b"".join([f[1] for f in found])
+                said = ",".join([self.known[p] for p in pieces])
+                yield said, b"".join([self.said[t] for t in said.split(",")]) if said else b""
 
 
 def _codec(path: str, pattern: str, made: dict = {}) -> Codec:  # noqa: B006  one for each worker

@@ -39,16 +39,16 @@ def _winners(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     in both, the first.
     """
     n = table.num_rows
-    digests, texts = table["digest"].to_pylist(), table["text"].to_pylist()
+    digests, texts = table["digest"].to_pylist(), table["text"]
     ids, counts = table["id"].to_pylist(), table["n"].to_pylist()
     slots = [-1] * (1 << max(4, (2 * n).bit_length()))
     mask, best, total = len(slots) - 1, {}, {}
     for i in range(n):
         at = int(digests[i][:16], 16) & mask
-        while (k := slots[at]) >= 0 and not (digests[k] == digests[i] and texts[k] == texts[i]):
-            if digests[k] == digests[i]:
-                raise ValueError(f"two texts share the digest {digests[i]}")
+        while (k := slots[at]) >= 0 and digests[k] != digests[i]:
             at = (at + 1) & mask
+        if k >= 0 and texts[k] != texts[i]:
+            raise ValueError(f"two texts share the digest {digests[i]}")
         if k < 0:
             slots[at] = best[i] = i
             total[i] = counts[i]
@@ -150,11 +150,14 @@ def dedup(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     table gives an empty table. Other columns are carried along, whatever their names.
     """
     text = text_of(docs)
-    rows = docs.select(
-        F.sha2(text, 256).alias("digest"), text.alias("text"), docs["doc_id"].cast("long").alias("id"),
-        F.lit(1).cast("long").alias("n"), whole_row(docs).alias("row"),
-    )
-    return unpacked(_distinct(rows, budget), "row")
+    base = [F.sha2(text, 256).alias("digest"), text.alias("text"), docs["doc_id"].cast("long").alias("id"), F.lit(1).cast("long").alias("n")]
+    if dict(docs.dtypes).get("text") != "string":
+        return unpacked(_distinct(docs.select(*base, whole_row(docs).alias("row")), budget), "row")
+    # a text that is a string travels once, beside the rest of its row
+    rest = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"])
+    found = _distinct(docs.select(*base, docs["text"].isNull().alias("missing"), rest.alias("row")), budget)
+    own = F.when(~F.col("missing"), F.col("text")).alias("text", metadata=docs.schema["text"].metadata)
+    return found.select(*[own if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def copies(docs: DataFrame, budget: int = BUDGET) -> DataFrame:

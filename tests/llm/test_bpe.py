@@ -1,4 +1,5 @@
 import random
+import sys
 from hashlib import sha256
 
 import pytest
@@ -57,6 +58,16 @@ def test_common_pieces_are_learned_once(monkeypatch):
     assert len(codec.known) <= 50 and len(codec.before) <= 50
 
 
+def test_what_is_remembered_is_small():
+    """A worker lives on after its stage, so two full stores of rare pieces must leave room for the stages after it."""
+    codec = bpe.Codec(bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), P.PATTERN)
+    codec.learn(pieces := {f" q{i * 7919:x}zß" for i in range(10_000)})
+    held = sys.getsizeof(codec.known)
+    for piece, found in codec.known.items():
+        held += sum(map(sys.getsizeof, (piece, found, *(found if isinstance(found, tuple) else ()))))
+    assert len(codec.known) == len(pieces) and held / len(pieces) * 2 * bpe.REMEMBERED < 64 << 20
+
+
 def test_digests(awkward, library):
     rows = {(r["doc_id"], r["text"] or "") for r in awkward.collect()}
     got = bpe.digests(awkward, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)

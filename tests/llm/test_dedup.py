@@ -36,6 +36,27 @@ def test_dedup_keeps_columns_and_one_row(awkward):
     assert (5, "the same text again") in got and (8, [t for _, t in got if t and len(t) > 999][0]) in got
 
 
+def test_texts_travel_once(awkward, monkeypatch):
+    distinct, sent = exactdedup._distinct, []
+    monkeypatch.setattr(exactdedup, "_distinct", lambda df, budget: sent.append(df) or distinct(df, budget))
+    kept = exactdedup.dedup(awkward)
+    assert [f.name for f in sent[0].schema["row"].dataType] == [c for c in awkward.columns if c != "text"]
+    assert kept.columns == awkward.columns and kept.dtypes == awkward.dtypes
+    found, rows = kept.collect(), Counter(awkward.collect())
+    assert all(r in rows for r in found)  # null texts stay null, other columns come from the same row
+    other = awkward.withColumn("text", awkward["text"].cast("binary"))
+    got = exactdedup.dedup(other).selectExpr("doc_id", "cast(text as string) as text").collect()
+    assert Counter(map(tuple, got)) == Counter((r["doc_id"], r["text"]) for r in found)
+
+
+def test_two_texts_of_one_digest_stop_the_job():
+    rows = {"digest": ["ab" * 32] * 2, "text": ["one", "two"], "id": [1, 2], "n": [1, 1]}
+    with pytest.raises(ValueError, match="share the digest"):
+        exactdedup._winners(pa.table(rows))
+    rows["text"] = ["one", "one"]
+    assert [x.tolist() for x in exactdedup._winners(pa.table(rows))] == [[1], [2]]
+
+
 def test_empty_table(documents):
     nothing = documents([(1, "a")]).filter("doc_id > 1")
     assert exactdedup.copies(nothing).count() == 0 and exactdedup.dedup(nothing).columns == nothing.columns

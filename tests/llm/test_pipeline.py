@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from hashlib import md5, sha256
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
 from fleetlens.llm import mixing, nbsvm, nearcopies, queries
@@ -26,6 +27,27 @@ def test_stages_in_order(spark):
     assert corpus_pipeline.run(spark, SMALL).count() > 0
 
 
+def test_rows_go_to_workers_in_small_heaps(spark, documents, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(8000, numPartitions=1).selectExpr("id as doc_id", "repeat('x', 3000) as text")
+
+    def heaps(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["size"])
+
+    for _, stage in corpus_pipeline.STAGES:
+        if stage is corpus_pipeline.mix:
+            continue  # without Python
+        spark.conf.unset(name)
+        monkeypatch.setattr(corpus_pipeline.nbsvm, "train", lambda *a: None)
+        monkeypatch.setattr(corpus_pipeline.nbsvm, "keep_good", lambda docs, model: docs)
+        monkeypatch.setattr(corpus_pipeline.nearcopies, "dedup", lambda docs: docs)
+        if stage is not corpus_pipeline.quality or os.path.isdir(SMALL):
+            stage(spark, documents([(1, "a")], clashes=False), SMALL)
+            assert max(r["size"] for r in rows.mapInArrow(heaps, "size long").collect()) < 5 << 20
+    spark.conf.unset(name)
+
+
 def kept_by_similarity(docs, known):
     """Of each class of similar texts the smallest doc_id, from all pairs that share a shingle."""
     root, holders = {i: i for i, _, _ in docs}, defaultdict(list)
